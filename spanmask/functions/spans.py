@@ -177,3 +177,15 @@ def label_counts(labels: Column) -> Column:
 def covered_ranges(kept: Column) -> Column:
     """array<struct<start,end>> of placeholder ranges in the output text."""
     return F.transform(kept, lambda k: F.struct(k["out_start"].alias("start"), k["out_end"].alias("end")))
+
+
+def explode_rows(df, array_col: str, alias: str, *keep):
+    """Rows of ``array_col`` (none for an empty array), as ``alias``.
+
+    ``explode`` would make Catalyst infer ``size(array) > 0`` and push it below
+    the projections that compute the array, evaluating the whole regex/fold
+    chain again inside the filter; ``explode_outer`` plus a filter on the
+    generated column keeps the chain computed once.
+    """
+    out = df.select(*keep, F.explode_outer(array_col).alias(alias))
+    return out.where(F.col(alias).isNotNull())

@@ -17,9 +17,8 @@ def map_total(m) -> "F.Column":
 
 def label_counts_long(df: DataFrame, id_col: str, counts_col: str) -> DataFrame:
     """(id, label, n) from a label -> count map (P5)."""
-    return df.select(id_col, F.explode(counts_col).alias("label", "n")).select(
-        id_col, "label", F.col("n").cast("bigint").alias("n")
-    )
+    out = df.select(id_col, F.explode_outer(counts_col).alias("label", "n"))
+    return out.where(F.col("label").isNotNull()).select(id_col, "label", F.col("n").cast("bigint").alias("n"))
 
 
 def doc_hits(df: DataFrame, id_col: str, counts_col: str = "rx_counts") -> DataFrame:
@@ -48,7 +47,7 @@ def run_summary(df: DataFrame, layers: dict[str, str]) -> DataFrame:
     differ in case (``EMAIL`` vs ``person``) so they never collide.
     """
     parts = [
-        df.select(F.lit(layer).alias("layer"), F.explode(col).alias("label", "n"))
+        df.select(F.lit(layer).alias("layer"), F.explode_outer(col).alias("label", "n")).where(F.col("label").isNotNull())
         for layer, col in layers.items()
     ]
     long = parts[0]

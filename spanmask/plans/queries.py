@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.detectors import PinRegistry
+from ..functions.spans import explode_rows
 from ..operators import regex_layer as RL
 from ..operators.aggregates import audit, doc_hits, label_counts_long
 from ..operators.segments import uncovered_segments
@@ -70,8 +71,7 @@ def q_source_text(spark, sf_dir):
 def q_detect(spark, sf_dir, label, source, id_col):
     df = source(spark, sf_dir)
     spans = RL.detector_spans(df, label, "text", registry(spark))
-    s = F.explode("spans").alias("s")
-    return spans.select(id_col, "text", s).select(
+    return explode_rows(spans, "spans", "s", id_col, "text").select(
         id_col,
         F.col("s.start").cast("bigint").alias("start"),
         F.col("s.end").cast("bigint").alias("end"),
@@ -84,7 +84,7 @@ def q_detect(spark, sf_dir, label, source, id_col):
 def q_pin_semi_join(spark, sf_dir):
     df = notes(spark, sf_dir)
     raw = RL.detector_spans(df, "POSTAL_CODE", "text", raw=True)
-    cands = raw.select("note_id", "text", F.explode("spans").alias("s")).select(
+    cands = explode_rows(raw, "spans", "s", "note_id", "text").select(
         "note_id",
         F.col("s.start").cast("bigint").alias("start"),
         F.col("s.end").cast("bigint").alias("end"),
@@ -98,7 +98,7 @@ def q_pin_semi_join(spark, sf_dir):
 # ---- P1-P5 ----------------------------------------------------------------
 def q_all_spans(spark, sf_dir):
     df = RL.with_candidates(documents(spark, sf_dir), "text", registry(spark), name="c")
-    return df.select("doc_id", F.explode("c").alias("s")).select(
+    return explode_rows(df, "c", "s", "doc_id").select(
         "doc_id", *[F.col("s." + n).cast("bigint").alias(n) for n in ("start", "end")],
         F.col("s.label").alias("label"), F.col("s.prio").cast("bigint").alias("prio"),
     )
@@ -110,7 +110,7 @@ def _layer1_docs(spark, sf_dir, source=documents):
 
 def q_resolved_spans(spark, sf_dir):
     df = _layer1_docs(spark, sf_dir)
-    return df.select("doc_id", F.explode("rx_spans").alias("s")).select(
+    return explode_rows(df, "rx_spans", "s", "doc_id").select(
         "doc_id", *_bigint("s.start", "s.end"), F.col("s.label").alias("label")
     ).toDF("doc_id", "start", "end", "label")
 
@@ -121,7 +121,7 @@ def q_redact_regex(spark, sf_dir):
 
 def q_covered_ranges(spark, sf_dir):
     df = _layer1_docs(spark, sf_dir)
-    return df.select("doc_id", F.explode("rx_spans").alias("s")).select(
+    return explode_rows(df, "rx_spans", "s", "doc_id").select(
         "doc_id",
         F.col("s.out_start").cast("bigint").alias("out_start"),
         F.col("s.out_end").cast("bigint").alias("out_end"),
@@ -136,7 +136,7 @@ def q_label_counts(spark, sf_dir):
 def q_uncovered_segments(spark, sf_dir):
     df = _layer1_docs(spark, sf_dir)
     seg = uncovered_segments(df, "rx_text", "rx_covered")
-    return seg.select("doc_id", F.explode("segments").alias("g")).select(
+    return explode_rows(seg, "segments", "g", "doc_id").select(
         "doc_id",
         F.col("g.seg_start").cast("bigint").alias("seg_start"),
         (F.col("g.seg_start") + F.length("g.seg_text")).cast("bigint").alias("seg_end"),
