@@ -189,3 +189,9 @@ def explode_rows(df, array_col: str, alias: str, *keep):
     """
     out = df.select(*keep, F.explode_outer(array_col).alias(alias))
     return out.where(F.col(alias).isNotNull())
+
+
+def posexplode_rows(df, array_col: str, pos: str, alias: str, *keep):
+    """Like :func:`explode_rows` with the element position as ``pos``."""
+    out = df.select(*keep, F.posexplode_outer(array_col).alias(pos, alias))
+    return out.where(F.col(alias).isNotNull())

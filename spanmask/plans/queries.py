@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.detectors import PinRegistry
-from ..functions.spans import explode_rows
+from ..functions.spans import explode_rows, posexplode_rows, sentinel
+from ..functions import chunks as C
+from ..config import DEFAULT_CHUNK_SIZE, DEFAULT_OVERLAP
+from ..operators.aggregates import chunk_stats
 from ..operators import regex_layer as RL
 from ..operators.aggregates import audit, doc_hits, label_counts_long
 from ..operators.segments import uncovered_segments
@@ -193,6 +196,47 @@ def q_pipeline_regex_only(spark, sf_dir):
     )
 
 
+# ---- C1-C4, A4 --------------------------------------------------------------
+def _ranges_query(df, id_col, ranges_fn, idx_name):
+    d = df.withColumn("_s", sentinel(F.col("text")))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    d = d.withColumn("_r", ranges_fn(text, F.col("_s")))
+    out = posexplode_rows(d, "_r", idx_name, "r", id_col)
+    return out.select(
+        id_col, F.col(idx_name).cast("bigint").alias(idx_name),
+        F.col("r.start").cast("bigint").alias("start"), F.col("r.end").cast("bigint").alias("end"),
+    )
+
+
+def _chunks(text, sent):
+    return C.chunk_ranges(text, sent, DEFAULT_CHUNK_SIZE, DEFAULT_OVERLAP)
+
+
+def q_paragraph_units(spark, sf_dir):
+    return _ranges_query(para_docs(spark, sf_dir), "doc_id", C.paragraph_ranges, "unit_idx")
+
+
+def q_sentence_units(spark, sf_dir):
+    return _ranges_query(documents(spark, sf_dir), "doc_id", C.sentence_ranges, "unit_idx")
+
+
+def q_hard_windows(spark, sf_dir):
+    fn = lambda t, s: C.hard_windows(F.lit(0), F.length(t), DEFAULT_CHUNK_SIZE, DEFAULT_OVERLAP)
+    return _ranges_query(documents(spark, sf_dir), "doc_id", fn, "window_idx")
+
+
+def q_chunk_documents(spark, sf_dir):
+    return _ranges_query(documents(spark, sf_dir), "doc_id", _chunks, "chunk_idx")
+
+
+def q_chunk_para_docs(spark, sf_dir):
+    return _ranges_query(para_docs(spark, sf_dir), "doc_id", _chunks, "chunk_idx")
+
+
+def q_chunk_stats(spark, sf_dir):
+    return chunk_stats(q_chunk_documents(spark, sf_dir), "doc_id")
+
+
 DETECT_SOURCES = {
     "EMAIL": ("detect_email", documents, "doc_id"),
     "PHONE": ("detect_phone", documents, "doc_id"),
@@ -228,5 +272,11 @@ def registered() -> dict:
         redact_nonblank=q_redact_nonblank,
         blank_docs=q_blank_docs,
         pipeline_regex_only=q_pipeline_regex_only,
+        paragraph_units=q_paragraph_units,
+        sentence_units=q_sentence_units,
+        hard_windows=q_hard_windows,
+        chunk_documents=q_chunk_documents,
+        chunk_para_docs=q_chunk_para_docs,
+        chunk_stats=q_chunk_stats,
     )
     return q
