@@ -66,3 +66,47 @@ from {conversations}
 
 # The fixture registry: the one valid PIN used throughout the tests.
 REGISTRY_SQL = "select '560068' as pin"
+
+# Letters with personal data for both layers: an IP and a phone for the regex
+# layer (with only a blank between them), nation/region/segment names and two
+# stopwords for the entity layer.
+ENTITY_NOTES_SQL = """
+select c.c_custkey as note_id,
+  'Dear client, parcel for ' || n.n_name || ' (' || r.r_name || ') from 10.0.' || cast(c.c_custkey % 256 as string)
+  || '.1 (415) 555-' || lpad(cast(c.c_custkey % 10000 as string), 4, '0')
+  || ' for the ' || c.c_mktsegment || ' office.' as text
+from {customer} c
+join {nation} n on n.n_nationkey = c.c_nationkey
+join {region} r on r.r_regionkey = n.n_regionkey
+"""
+
+# Dictionary of the stand-in scorer: (term, label, confidence).
+ENTITY_TERMS_SQL = """
+select n_name as term, 'location' as label, cast(60 + 10 * (n_nationkey % 5) as double) / 100 as confidence from {nation}
+union all
+select distinct split_part(n_name, ' ', 1) as term, 'city' as label, cast(80 as double) / 100 as confidence from {nation}
+union all
+select r_name as term, 'location' as label, cast(90 as double) / 100 as confidence from {region}
+union all
+select distinct c_mktsegment as term, 'organization' as label, cast(70 as double) / 100 as confidence from {customer}
+union all
+select term, 'person' as label, cast(95 as double) / 100 as confidence
+from (select 'client' as term union all select 'office' as term) s
+"""
+
+# Literal entity hits on the notes (chunk-local offsets hit_start/hit_end, one
+# chunk per note):
+# overlapping, contained and disjoint spans, confidences on both sides of 0.75,
+# stopword texts and one label outside the label set.
+ENTITY_HITS_SQL = """
+select note_id, 0 as chunk_idx, 0 as hit_idx, 0 as hit_start, instr(text, ' ') - 1 as hit_end, 'person' as label,
+  substr(text, 1, instr(text, ' ') - 1) as text, cast(note_id % 100 as double) / 100 as confidence from {notes}
+union all
+select note_id, 0, 1, 2, 9, 'organization', substr(text, 3, 7), cast((note_id + 37) % 100 as double) / 100 from {notes}
+union all
+select note_id, 0, 2, 5, 8, 'city', substr(text, 6, 3), cast((note_id + 71) % 100 as double) / 100 from {notes}
+union all
+select note_id, 0, 3, 3, 12, 'iban', substr(text, 4, 9), cast((note_id + 13) % 100 as double) / 100 from {notes}
+union all
+select note_id, 0, 4, 0, 4, 'email', substr(text, 1, 4), cast(99 as double) / 100 from {notes}
+"""

@@ -17,7 +17,12 @@ from ..functions.detectors import PinRegistry
 from ..functions.spans import explode_rows, posexplode_rows, sentinel
 from ..functions import chunks as C
 from ..config import DEFAULT_CHUNK_SIZE, DEFAULT_OVERLAP
-from ..operators.aggregates import chunk_stats
+from ..operators.aggregates import chunk_stats, run_summary
+from ..operators import entities as E
+from ..functions.spans import mask
+from ..config import RedactConfig
+from . import pipeline as PL
+from . import pipeline_full as PF
 from ..operators import regex_layer as RL
 from ..operators.aggregates import audit, doc_hits, label_counts_long
 from ..operators.segments import uncovered_segments
@@ -237,6 +242,150 @@ def q_chunk_stats(spark, sf_dir):
     return chunk_stats(q_chunk_documents(spark, sf_dir), "doc_id")
 
 
+# ---- entity layer: E1-E4, V4-V6, P7-P10, C5, Q2, A2 -------------------------------
+def entity_notes(spark, sf_dir):
+    t = partial(table, spark, sf_dir)
+    return spark.sql(D.ENTITY_NOTES_SQL, customer=t("customer"), nation=t("nation"), region=t("region"))
+
+
+def entity_terms(spark, sf_dir):
+    t = partial(table, spark, sf_dir)
+    return spark.sql(D.ENTITY_TERMS_SQL, customer=t("customer"), nation=t("nation"), region=t("region"))
+
+
+def entity_hits(spark, sf_dir):
+    hits = spark.sql(D.ENTITY_HITS_SQL, notes=notes(spark, sf_dir))
+    return hits.withColumnRenamed("hit_start", "start").withColumnRenamed("hit_end", "end")
+
+
+def dictionary_scorer(spark, sf_dir):
+    return E.DictionaryScorer.from_table(spark, entity_terms(spark, sf_dir))
+
+
+def _scored_notes(spark, sf_dir, threshold):
+    cfg = RedactConfig()
+    df = RL.redact_regex(entity_notes(spark, sf_dir), "text", registry(spark))
+    df = PF.with_chunks(df, "rx_text", "rx_covered", cfg)
+    return PF.score_chunks(df, dictionary_scorer(spark, sf_dir), threshold)
+
+
+def q_chunk_segments(spark, sf_dir):
+    cfg = RedactConfig()
+    df = RL.redact_regex(entity_notes(spark, sf_dir), "text", registry(spark))
+    df = PF.with_chunks(df, "rx_text", "rx_covered", cfg)
+    out = posexplode_rows(df, "chunks", "chunk_idx", "c", "note_id")
+    return out.select("note_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"),
+                      *_bigint("c.start", "c.end")).toDF("note_id", "chunk_idx", "start", "end")
+
+
+def q_score_chunks(spark, sf_dir):
+    df = _scored_notes(spark, sf_dir, 0.0)
+    out = explode_rows(df, "scored.hits", "h", "note_id")
+    return out.select(
+        "note_id", F.col("h.chunk_idx").cast("bigint").alias("chunk_idx"),
+        F.col("h.start").cast("bigint").alias("start"), F.col("h.end").cast("bigint").alias("end"),
+        F.col("h.label").alias("label"), F.col("h.text").alias("text"), F.col("h.confidence").alias("confidence"),
+    )
+
+
+def q_remap_offsets(spark, sf_dir):
+    df = _scored_notes(spark, sf_dir, 0.0)
+    df = df.withColumn("g", E.remap(F.col("scored.hits"), F.transform("chunks", lambda c: c["start"])))
+    out = explode_rows(df, "g", "s", "note_id")
+    return out.select("note_id", F.col("s.chunk_idx").cast("bigint").alias("chunk_idx"),
+                      F.col("s.start").cast("bigint").alias("start"), F.col("s.end").cast("bigint").alias("end"),
+                      F.col("s.label").alias("label"))
+
+
+def q_chunks_scored(spark, sf_dir):
+    df = PL.redact(entity_notes(spark, sf_dir), "text", registry=registry(spark),
+                   disable_model=False, scorer=dictionary_scorer(spark, sf_dir))
+    return df.select("note_id", F.col("num_chunks").cast("bigint").alias("num_chunks"),
+                     F.col("scored_chunks").cast("bigint").alias("scored_chunks"))
+
+
+def _pipeline_full(spark, sf_dir):
+    return PL.redact(entity_notes(spark, sf_dir), "text", registry=registry(spark),
+                     disable_model=False, scorer=dictionary_scorer(spark, sf_dir))
+
+
+def q_pipeline_full(spark, sf_dir):
+    df = _pipeline_full(spark, sf_dir)
+    return df.select(
+        "note_id", F.col("redacted").alias("text"),
+        F.col("regex_hits").cast("bigint").alias("regex_hits"),
+        F.col("model_hits").cast("bigint").alias("model_hits"),
+        "mode", F.col("num_chunks").cast("bigint").alias("num_chunks"),
+    )
+
+
+def q_run_summary(spark, sf_dir):
+    return run_summary(_pipeline_full(spark, sf_dir), {"regex": "regex_counts", "model": "model_counts"})
+
+
+_HIT_COLS = ["note_id", "chunk_idx", "hit_idx", "start", "end", "label", "text", "confidence"]
+
+
+def _hits_out(df):
+    return df.select(
+        "note_id", *[F.col(c).cast("bigint").alias(c) for c in ("chunk_idx", "hit_idx", "start", "end")],
+        "label", "text", "confidence",
+    )
+
+
+def q_entity_threshold(spark, sf_dir):
+    h = entity_hits(spark, sf_dir)
+    return _hits_out(h.where(F.col("confidence") >= RedactConfig().threshold))
+
+
+def q_entity_stopwords(spark, sf_dir):
+    h = entity_hits(spark, sf_dir)
+    stop = spark.createDataFrame([(w,) for w in P.ENTITY_STOPWORDS], "word string")
+    # fixed 13-word list: broadcast anti join
+    return _hits_out(h.join(F.broadcast(stop), F.lower(F.trim(h["text"])) == stop["word"], "left_anti"))
+
+
+def q_label_filter(spark, sf_dir):
+    h = entity_hits(spark, sf_dir)
+    return _hits_out(h.where(F.col("label").isin(list(P.ENTITY_LABELS))))
+
+
+def _filtered_hits(spark, sf_dir):
+    h = E.filter_hits(entity_hits(spark, sf_dir), RedactConfig().threshold)
+    return h.withColumn("label_idx", F.array_position(F.array(*[F.lit(x) for x in P.ENTITY_LABELS]), F.col("label")).cast("int") - 1)
+
+
+def q_merged_spans(spark, sf_dir):
+    m = E.merge_table(_filtered_hits(spark, sf_dir), "note_id", ["chunk_idx", "label_idx", "hit_idx"])
+    return m.select("note_id", *_bigint("start", "end"), "label")
+
+
+def _notes_layer1(spark, sf_dir):
+    return RL.redact_regex(notes(spark, sf_dir), "text", registry(spark))
+
+
+def q_covered_guard(spark, sf_dir):
+    merged = q_merged_spans(spark, sf_dir)
+    l1 = _notes_layer1(spark, sf_dir)
+    cov = explode_rows(l1, "rx_covered", "c", "note_id").select(
+        "note_id", F.col("c.start").cast("bigint").alias("start"), F.col("c.end").cast("bigint").alias("end"))
+    return E.guard_table(merged, cov, "note_id")
+
+
+def q_redact_entities(spark, sf_dir):
+    h = _filtered_hits(spark, sf_dir)
+    spans = h.groupBy("note_id").agg(F.collect_list(F.struct(
+        F.col("start").cast("int").alias("start"), (F.col("start") - F.col("end")).cast("int").alias("neg_len"),
+        F.col("chunk_idx").cast("int").alias("chunk_idx"), F.col("label_idx").alias("label_idx"),
+        F.col("hit_idx").cast("int").alias("hit_idx"), F.col("end").cast("int").alias("end"), F.col("label"),
+    )).alias("hits"))
+    l1 = _notes_layer1(spark, sf_dir).join(spans, "note_id", "left")
+    l1 = l1.withColumn("hits", F.coalesce("hits", F.array().cast(E.ESPAN_ARRAY)))
+    l1 = l1.withColumn("kept", E.greedy(E.guard(E.merge_contained(F.col("hits")), F.col("rx_covered"))))
+    return l1.select("note_id", mask(F.col("rx_text"), F.col("kept"), E.upper_placeholder).alias("text"),
+                     F.size("kept").cast("bigint").alias("model_hits"))
+
+
 DETECT_SOURCES = {
     "EMAIL": ("detect_email", documents, "doc_id"),
     "PHONE": ("detect_phone", documents, "doc_id"),
@@ -278,5 +427,17 @@ def registered() -> dict:
         chunk_documents=q_chunk_documents,
         chunk_para_docs=q_chunk_para_docs,
         chunk_stats=q_chunk_stats,
+        chunk_segments=q_chunk_segments,
+        score_chunks=q_score_chunks,
+        remap_offsets=q_remap_offsets,
+        chunks_scored=q_chunks_scored,
+        pipeline_full=q_pipeline_full,
+        run_summary=q_run_summary,
+        entity_threshold=q_entity_threshold,
+        entity_stopwords=q_entity_stopwords,
+        label_filter=q_label_filter,
+        merged_spans=q_merged_spans,
+        covered_guard=q_covered_guard,
+        redact_entities=q_redact_entities,
     )
     return q
