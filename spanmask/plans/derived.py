@@ -84,7 +84,7 @@ join {region} r on r.r_regionkey = n.n_regionkey
 ENTITY_TERMS_SQL = """
 select n_name as term, 'location' as label, cast(60 + 10 * (n_nationkey % 5) as double) / 100 as confidence from {nation}
 union all
-select distinct split_part(n_name, ' ', 1) as term, 'city' as label, cast(80 as double) / 100 as confidence from {nation}
+select distinct split_part(r_name, ' ', 1) as term, 'city' as label, cast(80 as double) / 100 as confidence from {region}
 union all
 select r_name as term, 'location' as label, cast(90 as double) / 100 as confidence from {region}
 union all
