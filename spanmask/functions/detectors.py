@@ -82,14 +82,34 @@ def _guards(text: Column) -> dict[str, Column]:
 _ADDRESS_FIRST = "(?=[FHDPTBSN])"
 
 
+def _address_cands(text: Column, sent: Column, prio: int, keep) -> Column:
+    """ADDRESS candidates with the labelled-form look-ahead (V2), exactly.
+
+    The look-ahead scans up to nine lines at every position the grammar is
+    tried, which is quadratic on long texts.  Scanning with the body alone gives
+    the same matches as long as none of them starts at a blocked position (both
+    scans are identical up to the first blocked candidate), so the look-ahead is
+    tested only at candidate starts, and only rows holding a blocked candidate
+    (labelled forms) are rescanned with the full grammar.
+    """
+    body = _ADDRESS_FIRST + P.to_java(P.ADDRESS_BODY)
+    full = _ADDRESS_FIRST + P.JAVA_DETECTORS["ADDRESS"]
+    form = "^(?:" + P.to_java(P.ADDRESS_FORM_LINE) + ")"
+    quick = find_cands(text, sent, body, "ADDRESS", prio)
+    blocked = F.exists(quick, lambda c: F.substring(text, c["start"] + 1, F.lit(2147483647)).rlike(form))
+    cands = F.when(blocked, find_cands(text, sent, full, "ADDRESS", prio)).otherwise(quick)
+    if keep is not None:
+        cands = F.filter(cands, lambda c: keep(F.substring(text, c["start"] + 1, c["end"] - c["start"])))
+    guard = _guards(text)["ADDRESS"]
+    return F.when(guard, cands).otherwise(empty(CAND_ARRAY))
+
+
 def detector_cands(text: Column, sent: Column, label: str, registry: PinRegistry,
                    raw: bool = False) -> Column:
     """array<candidate> for one detector label; ``raw`` skips the registry test."""
     prio = P.DETECTOR_ORDER.index(label)
     pattern = P.JAVA_DETECTORS[label]
     keep = None
-    if label == "ADDRESS":
-        pattern = _ADDRESS_FIRST + pattern
     if raw:
         pass
     elif label == "ADDRESS":
@@ -101,6 +121,8 @@ def detector_cands(text: Column, sent: Column, label: str, registry: PinRegistry
 
         def keep(match):
             return (F.length(match) != 6) | registry.contains(match)
+    if label == "ADDRESS":
+        return _address_cands(text, sent, prio, keep)
     return find_cands(text, sent, pattern, label, prio, keep=keep, guard=_guards(text)[label])
 
 

@@ -27,6 +27,7 @@ from ..operators import regex_layer as RL
 from ..operators.aggregates import audit, doc_hits, label_counts_long
 from ..operators.segments import uncovered_segments
 from . import derived as D
+from ..sources.io import balanced
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return balanced(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def notes(spark, sf_dir) -> DataFrame:
