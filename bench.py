@@ -44,8 +44,9 @@ def main():
         "resolved_spans": lambda: Q.q_resolved_spans(spark, sf_dir),
         "run_summary_notes": lambda: Q.q_run_summary(spark, sf_dir),
     }
-    # warm-up: JVM, Python workers, codegen caches
+    # warm-up: JVM, Python scoring workers, codegen caches
     regex_only().limit(50).write.format("noop").mode("overwrite").save()
+    full().limit(200).write.format("noop").mode("overwrite").save()
     times = {}
     for name, fn in runs.items():
         t0 = time.perf_counter()

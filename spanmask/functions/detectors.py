@@ -43,8 +43,8 @@ class PinRegistry:
         if table is None:
             return cls()
         shaped = table.select(F.trim(F.col(column)).alias("pin")).where(F.col("pin").rlike(PIN_SHAPE)).distinct()
-        # bounded by the PIN shape (<= 800,000 rows); this is a dimension lookup
-        return cls(r["pin"] for r in shaped.toLocalIterator())
+        # bounded by the PIN shape (<= 800,000 rows): a dimension lookup
+        return cls(r["pin"] for r in shaped.collect())
 
     def contains(self, pin: Column) -> Column:
         if not self.pins:

@@ -63,6 +63,17 @@ def empty(t: T.DataType) -> Column:
     return F.array().cast(t)
 
 
+def let(value: Column, body) -> Column:
+    """``body(v)`` with ``value`` evaluated once and bound to the lambda variable v.
+
+    Catalyst inlines a projected column into its consumer when it is referenced
+    once there; references inside lambda bodies then re-evaluate it per element.
+    Binding expensive inputs (span folds, masked texts) through a one-element
+    ``transform`` keeps them computed once per row whatever the plan shape.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def sentinel(text: Column) -> Column:
     """First noncharacter absent from ``text``; fails loudly if all 32 occur."""
     text = F.coalesce(text, F.lit(""))
@@ -156,22 +167,28 @@ def mask(text: Column, kept: Column, placeholder=None) -> Column:
     """Replace each kept span (sorted, disjoint) by ``[LABEL]``."""
     placeholder = placeholder or (lambda label: F.concat(F.lit("["), label, F.lit("]")))
 
-    def piece(k, i):
-        prev_end = F.when(i == 0, F.lit(0)).otherwise(kept[i - 1]["end"])
-        return F.concat(F.substring(text, prev_end + 1, k["start"] - prev_end), placeholder(k["label"]))
+    def build(t, ks):
+        def piece(k, i):
+            prev_end = F.when(i == 0, F.lit(0)).otherwise(ks[i - 1]["end"])
+            return F.concat(F.substring(t, prev_end + 1, k["start"] - prev_end), placeholder(k["label"]))
 
-    tail_from = F.coalesce(F.element_at(kept, -1)["end"], F.lit(0)) + 1
-    body = F.array_join(F.transform(kept, piece), "")
-    masked = F.concat(body, F.substring(text, tail_from, F.lit(2147483647)))
-    return F.when(F.size(kept) == 0, text).otherwise(masked)
+        tail_from = F.coalesce(F.element_at(ks, -1)["end"], F.lit(0)) + 1
+        masked = F.concat(F.array_join(F.transform(ks, piece), ""), F.substring(t, tail_from, F.lit(2147483647)))
+        return F.when(F.size(ks) == 0, t).otherwise(masked)
+
+    return let(text, lambda t: let(kept, lambda ks: build(t, ks)))
 
 
 def label_counts(labels: Column) -> Column:
     """map<label,int> over an array of labels; only labels that occur (P5)."""
-    distinct = F.array_distinct(labels)
-    return F.map_from_entries(
-        F.transform(distinct, lambda l: F.struct(l.alias("key"), F.size(F.filter(labels, lambda x: x == l)).alias("value")))
-    )
+
+    def count(ls):
+        return F.map_from_entries(F.transform(
+            F.array_distinct(ls),
+            lambda l: F.struct(l.alias("key"), F.size(F.filter(ls, lambda x: x == l)).alias("value")),
+        ))
+
+    return let(labels, count)
 
 
 def covered_ranges(kept: Column) -> Column:

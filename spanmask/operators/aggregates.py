@@ -44,16 +44,18 @@ def run_summary(df: DataFrame, layers: dict[str, str]) -> DataFrame:
     """Run total per (layer, label) over all documents (A2).
 
     ``layers`` maps a layer name to its counts column; labels of the two layers
-    differ in case (``EMAIL`` vs ``person``) so they never collide.
+    differ in case (``EMAIL`` vs ``person``) so they never collide.  One pass:
+    both maps are flattened into one array per row, then a hash aggregate with
+    a map-side partial step.
     """
-    parts = [
-        df.select(F.lit(layer).alias("layer"), F.explode_outer(col).alias("label", "n")).where(F.col("label").isNotNull())
-        for layer, col in layers.items()
-    ]
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
-    return long.groupBy("layer", "label").agg(F.sum("n").cast("bigint").alias("n"))
+    def tagged(layer):
+        # one-argument lambda: PySpark reads a two-argument one as (element, index)
+        return lambda e: F.struct(F.lit(layer).alias("layer"), e["key"].alias("label"), e["value"].alias("n"))
+
+    entries = [F.transform(F.map_entries(F.col(col)), tagged(layer)) for layer, col in layers.items()]
+    flat = df.select(F.explode_outer(F.concat(*entries)).alias("e")).where(F.col("e").isNotNull())
+    return flat.groupBy(F.col("e.layer").alias("layer"), F.col("e.label").alias("label")).agg(
+        F.sum("e.n").cast("bigint").alias("n"))
 
 
 def chunk_stats(chunks: DataFrame, id_col: str) -> DataFrame:

@@ -94,7 +94,8 @@ class DictionaryScorer(Scorer):
         n = terms.count()
         if n > cls.MAX_TERMS:
             raise ValueError(f"dictionary of {n} terms exceeds the broadcast bound {cls.MAX_TERMS}")
-        rows = [(r["term"], r["label"], float(r["confidence"])) for r in terms.toLocalIterator() if r["term"]]
+        # size checked above: collect in one job
+        rows = [(r["term"], r["label"], float(r["confidence"])) for r in terms.collect() if r["term"]]
         return cls(terms_bc=spark.sparkContext.broadcast(rows))
 
     def load(self):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.spans import empty
+from ..functions.spans import empty, let
 
 SEG_TYPE = T.StructType([T.StructField("seg_start", T.IntegerType()), T.StructField("seg_text", T.StringType())])
 SEG_ARRAY = T.ArrayType(SEG_TYPE)
@@ -34,5 +34,10 @@ def segments_expr(text: Column, covered: Column) -> Column:
     return F.aggregate(F.array_sort(covered), zero, merge, finish)
 
 
+def segments_of(text: Column, covered: Column) -> Column:
+    """:func:`segments_expr` with ``text`` evaluated once."""
+    return let(text, lambda t: segments_expr(t, covered))
+
+
 def uncovered_segments(df: DataFrame, text_col: str, covered_col: str, name: str = "segments") -> DataFrame:
-    return df.withColumn(name, segments_expr(F.coalesce(F.col(text_col), F.lit("")), F.col(covered_col)))
+    return df.withColumn(name, segments_of(F.coalesce(F.col(text_col), F.lit("")), F.col(covered_col)))

@@ -17,12 +17,12 @@ from ..functions.chunks import chunk_ranges
 from ..functions.spans import label_counts, mask, sentinel
 from ..operators import entities as E
 from ..operators.aggregates import map_total
-from ..operators.segments import segments_expr
+from ..operators.segments import segments_of
 
 
 def chunk_column(text, covered, sent, size: int, overlap: int):
     """array<struct<start,end>>: chunks of every uncovered segment, in text offsets."""
-    segs = segments_expr(text, covered)
+    segs = segments_of(text, covered)
     per_seg = F.transform(
         segs,
         lambda g: F.transform(

@@ -39,15 +39,15 @@ def documents(spark, sf_dir) -> DataFrame:
 
 
 def notes(spark, sf_dir) -> DataFrame:
-    return spark.sql(D.NOTES_SQL, customer=table(spark, sf_dir, "customer"))
+    return balanced(spark.sql(D.NOTES_SQL, customer=table(spark, sf_dir, "customer")))
 
 
 def form_notes(spark, sf_dir) -> DataFrame:
-    return spark.sql(D.FORM_NOTES_SQL, customer=table(spark, sf_dir, "customer"))
+    return balanced(spark.sql(D.FORM_NOTES_SQL, customer=table(spark, sf_dir, "customer")))
 
 
 def blank_conversations(spark, sf_dir) -> DataFrame:
-    return spark.sql(D.BLANK_CONV_SQL, conversations=table(spark, sf_dir, "conversations"))
+    return balanced(spark.sql(D.BLANK_CONV_SQL, conversations=table(spark, sf_dir, "conversations")))
 
 
 def para_docs(spark, sf_dir) -> DataFrame:
@@ -246,7 +246,7 @@ def q_chunk_stats(spark, sf_dir):
 # ---- entity layer: E1-E4, V4-V6, P7-P10, C5, Q2, A2 -------------------------------
 def entity_notes(spark, sf_dir):
     t = partial(table, spark, sf_dir)
-    return spark.sql(D.ENTITY_NOTES_SQL, customer=t("customer"), nation=t("nation"), region=t("region"))
+    return balanced(spark.sql(D.ENTITY_NOTES_SQL, customer=t("customer"), nation=t("nation"), region=t("region")))
 
 
 def entity_terms(spark, sf_dir):
