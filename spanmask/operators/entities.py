@@ -11,6 +11,7 @@ expressions; table forms of the same operators are provided for span tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -127,15 +128,16 @@ class DictionaryScorer(Scorer):
         return hits
 
 
-_MODELS: dict[int, object] = {}
-LOADS = {"count": 0}
+# Per Python worker: models by cache key (kept small; a worker serves few models).
+_MODELS: dict[str, object] = {}
+_MAX_MODELS = 4
 
 
-def _model_for(scorer: Scorer):
-    key = id(scorer)
+def _model_for(scorer: Scorer, key: str):
     if key not in _MODELS:
+        if len(_MODELS) >= _MAX_MODELS:
+            _MODELS.pop(next(iter(_MODELS)))
         _MODELS[key] = scorer.load()
-        LOADS["count"] += 1
     return _MODELS[key]
 
 
@@ -146,10 +148,13 @@ def score_udf(scorer: Scorer, labels: Sequence[str], threshold: float):
     """
     labels = list(labels)
     order = {lab: i for i, lab in enumerate(labels)}
+    # fixed on the driver: every task of this query shares one cached model per
+    # worker; a scorer may name a stable key (e.g. its model id) to share across queries
+    key = getattr(scorer, "cache_key", None) or uuid.uuid4().hex
 
     @F.pandas_udf(SCORED_TYPE)
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        model = _model_for(scorer)
+        model = _model_for(scorer, key)
         for texts, _ in batches:
             all_hits, all_errors = [], []
             for chunks in texts:
