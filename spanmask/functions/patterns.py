@@ -118,40 +118,134 @@ JAVA_WORD = f"[{JAVA_WORD_BODY}]"
 JAVA_BOUNDARY = f"(?:(?<={JAVA_WORD})(?!{JAVA_WORD})|(?<!{JAVA_WORD})(?={JAVA_WORD}))"
 
 
+def _class_end(pattern: str, i: int) -> int:
+    """Index just past the character class opening at ``pattern[i] == '['``."""
+    j = i + 1
+    if pattern[j : j + 1] == "^":
+        j += 1
+    if pattern[j : j + 1] == "]":
+        j += 1
+    while pattern[j] != "]":
+        j += 2 if pattern[j] == "\\" else 1
+    return j + 1
+
+
+def _word_only_class(body: str) -> bool:
+    """True if every member of a (non-negated) class body is a word character."""
+    if body.startswith("^"):
+        return False
+    i = 0
+    while i < len(body):
+        if body[i] == "\\":
+            if body[i + 1] != "d":
+                return False
+            i += 2
+            continue
+        if i + 2 < len(body) and body[i + 1] == "-":
+            a, b = body[i], body[i + 2]
+            if not (a.isascii() and b.isascii() and a.isalnum() and b.isalnum()):
+                return False
+            i += 3
+            continue
+        if not (body[i].isalnum() or body[i] == "_"):
+            return False
+        i += 1
+    return True
+
+
+def _next_atom(pattern: str, i: int) -> str | None:
+    """The single-character atom starting at i (``\\d``, a class or a literal word
+    character), looking into a following non-capturing group without alternation."""
+    if pattern.startswith("(?:", i):
+        depth, j = 0, i
+        while j < len(pattern):
+            c = pattern[j]
+            if c == "\\":
+                j += 2
+                continue
+            if c == "[":
+                j = _class_end(pattern, j)
+                continue
+            if c == "(":
+                depth += 1
+            elif c == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            elif c == "|" and depth == 1:
+                return None
+            j += 1
+        return _next_atom(pattern, i + 3)
+    if pattern.startswith("\\d", i):
+        return "\\d"
+    if pattern[i : i + 1] == "[":
+        j = _class_end(pattern, i)
+        return pattern[i:j] if _word_only_class(pattern[i + 1 : j - 1]) else None
+    c = pattern[i : i + 1]
+    if c and (c.isalnum() or c == "_"):
+        return c
+    return None
+
+
 def to_java(pattern: str) -> str:
     """Rewrite a Python ``re`` grammar into a Java regex with identical matches.
 
     Only ``\\b``, ``\\d`` and ``\\s`` change; inside a character class ``\\d``
-    and ``\\s`` are spliced in as class members.
+    and ``\\s`` are spliced in as class members.  A ``\\b`` next to an atom that
+    only matches word characters reduces to a one-sided test: before such an atom
+    it becomes "no word character behind" (with the atom tested first, as a
+    cheap look-ahead), after one (repeated at least once) "no word character
+    ahead".
     """
     out: list[str] = []
-    i, in_class = 0, False
+    i = 0
+    last_word = False  # the last emitted atom matches word characters only
     while i < len(pattern):
         ch = pattern[i]
         if ch == "\\" and i + 1 < len(pattern):
             esc = pattern[i + 1]
             if esc == "d":
-                out.append(JAVA_DIGIT_BODY if in_class else f"[{JAVA_DIGIT_BODY}]")
+                out.append(f"[{JAVA_DIGIT_BODY}]")
+                last_word = True
             elif esc == "s":
-                out.append(JAVA_SPACE_BODY if in_class else f"[{JAVA_SPACE_BODY}]")
-            elif esc == "b" and not in_class:
-                out.append(JAVA_BOUNDARY)
+                out.append(f"[{JAVA_SPACE_BODY}]")
+                last_word = False
+            elif esc == "b":
+                nxt = _next_atom(pattern, i + 2)
+                if nxt is not None:
+                    out.append(f"(?={to_java(nxt)})(?<!{JAVA_WORD})")
+                elif last_word:
+                    out.append(f"(?!{JAVA_WORD})")
+                else:
+                    out.append(JAVA_BOUNDARY)
             else:
                 out.append(pattern[i : i + 2])
+                last_word = False  # escaped punctuation or a control character
             i += 2
             continue
-        if ch == "[" and not in_class:
-            in_class = True
-            out.append(ch)
-            # a leading "]" or "^]" is a literal member, never the class end
-            if pattern[i + 1 : i + 2] == "^":
-                out.append("^")
-                i += 1
-            i += 1
+        if ch == "[":
+            j = _class_end(pattern, i)
+            body = pattern[i + 1 : j - 1]
+            out.append("[" + body.replace("\\d", JAVA_DIGIT_BODY).replace("\\s", JAVA_SPACE_BODY) + "]")
+            last_word = _word_only_class(body)
+            i = j
             continue
-        if ch == "]" and in_class:
-            in_class = False
-        out.append(ch)
+        if ch == "{":
+            j = pattern.index("}", i)
+            lo = pattern[i + 1 : j].split(",")[0]
+            out.append(pattern[i : j + 1])
+            last_word = last_word and lo.isdigit() and int(lo) >= 1
+            i = j + 1
+            continue
+        if ch == "+":
+            out.append(ch)
+        elif ch in "*?":
+            out.append(ch)
+            if not (ch == "?" and out[-2:-1] and out[-2][-1:] in "}+*?"):
+                last_word = False
+        else:
+            out.append(ch)
+            last_word = ch.isalnum() or ch == "_"
         i += 1
     return "".join(out)
 
