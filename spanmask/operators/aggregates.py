@@ -65,3 +65,25 @@ def chunk_stats(chunks: DataFrame, id_col: str) -> DataFrame:
         F.max(F.col("end") - F.col("start")).cast("bigint").alias("max_chunk_len"),
         F.sum(F.col("end") - F.col("start")).cast("bigint").alias("total_len"),
     )
+
+
+def observe_run(df: DataFrame, run_id: str):
+    """Whole-run metrics gathered while the result is written (A3, Q5).
+
+    Returns (DataFrame, Observation); after the write action,
+    ``observation.get`` holds document count, hits per layer and lengths;
+    never text.  No extra pass over the data.
+    """
+    from pyspark.sql import Observation
+
+    obs = Observation(f"spanmask_{run_id}")
+    observed = df.observe(
+        obs,
+        F.count(F.lit(1)).alias("docs"),
+        F.sum("regex_hits").cast("bigint").alias("regex_hits"),
+        F.sum("model_hits").cast("bigint").alias("model_hits"),
+        F.sum("num_chunks").cast("bigint").alias("chunks"),
+        F.sum(F.length("redacted")).cast("bigint").alias("output_chars"),
+        F.sum(F.when((F.col("regex_hits") + F.col("model_hits")) > 0, 1).otherwise(0)).cast("bigint").alias("changed_docs"),
+    )
+    return observed, obs

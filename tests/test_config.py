@@ -66,3 +66,13 @@ def test_blank_documents(spark):
     assert rows[1]["redacted"] == "" and rows[2]["redacted"] == ""
     assert rows[3]["redacted"] == " \n\t\u0085 "
     assert all(r["mode"] == "blank" and dict(r["regex_counts"]) == {} for r in rows.values())
+
+
+def test_run_metrics_observed(spark):
+    from spanmask.operators.aggregates import observe_run
+
+    df = spark.createDataFrame([(1, "mail a.b@mail.example.com"), (2, "nothing")], "id long, text string")
+    out, obs = observe_run(redact(df, "text", disable_model=True), C.new_run_id())
+    out.write.format("noop").mode("overwrite").save()
+    m = obs.get
+    assert m["docs"] == 2 and m["regex_hits"] == 1 and m["changed_docs"] == 1
