@@ -69,7 +69,8 @@ def _guards(text: Column) -> dict[str, Column]:
         "AADHAAR": has_digit,
         "UPI": has_at,
         "IP": has_digit & (F.instr(text, ".") > 0),
-        "SECRET": None,
+        # any match holds 20 consecutive token characters: a look-around-free scan
+        "SECRET": text.rlike(r"[A-Za-z0-9_\-]{20}"),
         "LONGNUM": has_digit,
         "ADDRESS": (F.instr(text, "\n") > 0) & text.rlike(P.JAVA_PIN),
         "SSN": has_digit & (F.instr(text, "-") > 0),
