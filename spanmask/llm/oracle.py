@@ -35,4 +35,25 @@ select p.doc_id, p.source, p.size, g.source_size::bigint as source_size, round(g
 from placed p join goal g on p.source is not distinct from g.source
 """
 
-ORACLE = {"op4_substring_dedup": OP4, "op10_mixing": OP10}
+#: Exact search: every query against every other usable vector.
+OP2 = """
+with v as (select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and len(embedding) > 0 and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs as (select q.vec_id as query_id, c.vec_id, list_distance(q.e, c.e) as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
+ranked as (select *, row_number() over (partition by query_id order by score, vec_id) as r from pairs)
+select query_id, r::integer as rank, vec_id, score from ranked where r <= 10
+"""
+
+#: The rules as plain conditions on host and path.
+OP5 = r"""
+with parsed as (select page_id,
+    case when contains(url, '://') then translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end as host,
+    case when contains(url, '://') then regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) else '' end as path from pages),
+rules(rule, h, p, v) as (values ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'), ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+numbered as (select row_number() over () as n, * from parsed),
+fits as (select n, rule, v, row_number() over (partition by n order by length(rule) desc, rule) as o from numbered, rules where (host = h or ends_with(host, '.' || h)) and starts_with(path, p))
+select page_id, host, path, rule, coalesce(v, 'allow') as verdict from numbered left join (select * from fits where o = 1) using (n)
+"""
+
+ORACLE = {"op2_vector_search": OP2, "op5_url_filter": OP5, "op4_substring_dedup": OP4, "op10_mixing": OP10}

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanmask.llm import mixing, packing, quality_classifier, quality_rules, simhash, substring_dedup
+from spanmask.llm import html_extract, language_id, mixing, packing, quality_classifier, quality_rules, simhash, substring_dedup, url_filter, vector_search
 from spanmask.llm.features import held_out
 
 TOKENIZER_FILE = "word_bpe_49k.json"
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
 def tokenizer_path() -> str:
@@ -25,6 +26,17 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "lang")
+    out = language_id.predict(docs.select("doc_id", "text"), language_id.fit(docs))
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op2_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return vector_search.search(rows, F.col("vec_id") % 100 == 0, k=10)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     out = quality_rules.judge(docs, quality_rules.fit(docs, _labels(spark, sf_dir)))
@@ -36,10 +48,20 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), tokenizer_path())
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return html_extract.extract(pages, "html").select("page_id", "url", "text", "n_chars")
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     out = quality_classifier.score(docs, quality_classifier.fit(docs, _labels(spark, sf_dir)))
@@ -62,9 +84,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_language_id": op1_language_id,
+        "op2_vector_search": op2_vector_search,
         "op3_quality_rules": op3_quality_rules,
         "op4_substring_dedup": op4_substring_dedup,
+        "op5_url_filter": op5_url_filter,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op7_html_extract": op7_html_extract,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_simhash": op9_simhash,
         "op10_mixing": op10_mixing,
