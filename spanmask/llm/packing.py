@@ -75,9 +75,10 @@ def tokenize_pieces(df: DataFrame, path: str, column: str = "text", id_column: s
     return df.select(id_column, column).mapInArrow(run, schema)
 
 
-def _complement(have: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """Available lengths with sum ``gap``: one, two or three of them, the longest first."""
-    if gap < len(have) and have[gap]:
+def _complement(have: np.ndarray, gap: int, most: int) -> tuple[int, ...] | None:
+    """Available lengths with sum ``gap``: as few as possible, ``most`` of them at most, the
+    longest first."""
+    if most and have[gap]:
         return (gap,)
 
     def two(total: int, top: int) -> tuple[int, int] | None:
@@ -88,9 +89,9 @@ def _complement(have: np.ndarray, gap: int) -> tuple[int, ...] | None:
                 return x, total - x
         return None
 
-    if pair := two(gap, gap - 1):
+    if most > 1 and (pair := two(gap, gap - 1)):
         return pair
-    for a in np.flatnonzero(have[: gap - 1])[::-1].tolist():
+    for a in np.flatnonzero(have[: gap - 1])[::-1].tolist() if most > 2 else ():
         if 3 * a < gap:
             break
         have[a] -= 1
@@ -102,7 +103,16 @@ def _complement(have: np.ndarray, gap: int) -> tuple[int, ...] | None:
 
 
 def plan(counts: dict[int, int], capacity: int = 2048) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths of one sequence) and how often each is used; uses every count up."""
+    """Patterns (lengths of one sequence) and how often each is used; uses every count up.
+
+    Exact combinations of up to three lengths save most when short lengths abound; where they
+    are scarce, using them up so leaves worse residuals.  So the plan is made with
+    combinations of up to three, two, one and no lengths, and the shortest is taken."""
+    plans = [_plan(counts, capacity, most) for most in (3, 2, 1, 0)]
+    return min(plans, key=lambda p: sum(times for _, times in p))
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
     have = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         have[length] += n
@@ -110,15 +120,14 @@ def plan(counts: dict[int, int], capacity: int = 2048) -> list[tuple[tuple[int,
     left: list[tuple[int, int]] = []
     for length in range(capacity, 0, -1):
         while have[length]:
-            n = int(have[length])
             if length == capacity:
                 combo: tuple[int, ...] | None = ()
             else:
                 have[length] -= 1
-                combo = _complement(have, capacity - length)
+                combo = _complement(have, capacity - length, most)
                 have[length] += 1
             if combo is None:
-                left.append((length, n))
+                left.append((length, int(have[length])))
                 have[length] = 0
                 break
             pattern = (length, *combo)
