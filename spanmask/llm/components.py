@@ -35,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Rounds are checkpointed; the loop ends when a round changes nothing, after about the
     logarithm of the longest chain of links.  No links: an empty result."""
-    now = settle(_small_star(edges.where("u <> v").select("u", "v")))
+    now = settle(_small_star(settle(edges.where("u <> v").select("u", "v"))))
     before = _state(now)
     while before[0]:
         now = settle(_small_star(_large_star(now)))
