@@ -16,6 +16,9 @@ empty results.
 
 from __future__ import annotations
 
+import os
+import re
+import struct
 import zlib
 from collections import defaultdict
 
@@ -27,30 +30,91 @@ from pyspark.sql import types as T
 
 from spanmask.llm.blocks import pieces, settle, utf8
 
-CACHED_WORDS = 1 << 19
+CACHED_WORDS, CACHED_CORES = 1 << 19, 1 << 20
 _RANKED = 50_000
-_tokenizers: dict[str, tuple] = {}
+#: Letters and a tail of ASCII punctuation (no apostrophe): cut there by the tokenizer too.
+_PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
+_PROBES = ["Hello,", "ÉTÉ", "naïve...", "a", "straße!!", "Zürich)", "The***", "xyz|", "Œuvre", "don't", "ab12", "e\u0301", "--", "ÀÖØöøÿ", "Supercalifragilistic$$$", "ﬁn", "<|endoftext|>", "I'm"]
+_tokenizers: dict[str, Tokens] = {}
 
 
-def _tokenizer(path: str):
-    """The tokenizer of a file and the words it has already met; once per Python worker."""
-    if path not in _tokenizers:
-        from tokenizers import Tokenizer
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    return _tokenizers[path]
 
+class Tokens:
+    """Ids of texts, by word where the tokenizer treats words apart, with caches.
+
+    Words are encoded apart if that gives the ids of the whole text, and a word's letters
+    apart from its trailing punctuation, straight by the tokenizer's model, if that gives the
+    ids of the word; both are tried on fixed probes, else the longer way is taken."""
 
-def _token_bytes(path: str, words: list[bytes]) -> bytes:
-    """Little-endian 32-bit ids of a text given as its words."""
-    tok, known = _tokenizer(path)
-    if new := list(set(words) - known.keys()):
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = list(set(words))
-        for w, e in zip(new, tok.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    return b"".join(map(known.__getitem__, words))
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
+        self.words = _Words(self)
+        self.cores: dict[str, bytes] = {}
+        lower = [c for c in map(chr, range(0xDF, 0x100)) if c != "\u00F7"]
+        shown = [self.tok.pre_tokenizer.pre_tokenize_str(c) if self.tok.pre_tokenizer else [] for c in lower]
+        self.letters = {ord(c): s[0][0] for c, s in zip(lower, shown, strict=True) if len(s) == 1}
+        whole = self._full([" ".join(_PROBES)])[0]
+        self.by_word = whole == b"".join(self._full(_PROBES)) == b"".join(self._full(["\n\t".join(_PROBES)]))
+        self.by_letters = len(self.letters) == len(lower) and all(self._plain(w) in (None, f) for w, f in zip(_PROBES, self._full(_PROBES), strict=True))
+        self.cores.clear()
+
+    def _full(self, texts: list[str]) -> list[bytes]:
+        return [_packed(e.ids) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+
+    def _core(self, mapped: str) -> bytes:
+        ids = self.cores.get(mapped)
+        if ids is None:
+            if len(self.cores) >= CACHED_CORES:
+                self.cores.clear()
+            ids = self.cores[mapped] = _packed([t.id for t in self.model.tokenize(mapped)])
+        return ids
+
+    def _plain(self, word: str) -> bytes | None:
+        """Ids of a word of letters and trailing punctuation; None for other words."""
+        m = _PLAIN.fullmatch(word)
+        if not m:
+            return None
+        core = m[1].lower()
+        ids = self._core(core if core.isascii() else core.translate(self.letters))
+        return ids + self._core(m[2]) if m[2] else ids
+
+    def ids(self, text: bytes) -> bytes:
+        """Little-endian 32-bit ids of a whole text."""
+        if not self.by_word:
+            return self._full([text.decode()])[0]
+        return b"".join(map(self.words.__getitem__, text.split()))
+
+
+class _Words(dict):
+    """Ids by word; asks the tokenizer for a word it does not hold."""
+
+    def __init__(self, tokens: Tokens):
+        self.tokens = tokens
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        ids = self.tokens._plain(text) if self.tokens.by_letters else None
+        if ids is None:
+            ids = self.tokens._full([text])[0]
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        self[word] = ids
+        return ids
+
+
+def _tokens(path: str) -> Tokens:
+    """The tokenizer of a file, read once per Python worker."""
+    if path not in _tokenizers:
+        # one thread: Spark runs a task per core
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        _tokenizers[path] = Tokens(path)
+    return _tokenizers[path]
 
 
 def tokenize_pieces(df: DataFrame, path: str, column: str = "text", id_column: str = "doc_id", capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -60,12 +124,13 @@ def tokenize_pieces(df: DataFrame, path: str, column: str = "text", id_column: s
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
+        tokens = _tokens(path)
         for batch in batches:
             for part in pieces(batch, column):
                 data, offsets = utf8(part.column(column))
                 raw, rows = data.tobytes(), []
                 for i in range(part.num_rows):
-                    ids = _token_bytes(path, raw[offsets[i] : offsets[i + 1]].split()) + end
+                    ids = tokens.ids(raw[offsets[i] : offsets[i + 1]]) + end
                     for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[at : at + 4 * capacity]
                         rows.append((i, n, at // 4, len(cut) // 4, zlib.crc32(cut)))
