@@ -6,10 +6,10 @@ validated before any job is planned, so a bad setting never starts a job.
 
 from __future__ import annotations
 
-import math
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from typing import NamedTuple
 
 # Defaults and accepted spellings of "true".
 DEFAULT_MODEL_ID = "dictionary"
@@ -21,6 +21,32 @@ TRUE_VALUES = frozenset({"1", "true", "yes", "on"})
 KEY_MODEL_ID = "spanmask.model_id"
 KEY_THRESHOLD = "spanmask.threshold"
 KEY_DISABLE_MODEL = "spanmask.disable_model"
+KEY_CHUNK_SIZE = "spanmask.chunk_size"
+KEY_OVERLAP = "spanmask.overlap"
+
+
+class Setting(NamedTuple):
+    """One setting: the config field it fills, how its text is read, what it must be."""
+
+    field: str
+    read: Callable[[str], object]
+    valid: Callable[[object], bool]
+    meaning: str
+
+
+def _flag(text: str) -> bool:
+    return text.strip().lower() in TRUE_VALUES
+
+
+#: Settings by key.  A text that cannot be read or is not valid is an error that names the
+#: key; None, or "" where a model id is expected, leaves the default.
+SETTINGS: dict[str, Setting] = {
+    KEY_MODEL_ID: Setting("model_id", lambda t: t.strip() or DEFAULT_MODEL_ID, lambda v: isinstance(v, str), "a model id"),
+    KEY_THRESHOLD: Setting("threshold", float, lambda v: isinstance(v, (int, float)) and 0 <= v <= 1, "a number from 0 to 1"),
+    KEY_DISABLE_MODEL: Setting("disable_model", _flag, lambda v: isinstance(v, bool), "a flag"),
+    KEY_CHUNK_SIZE: Setting("chunk_size", int, lambda v: isinstance(v, int) and v > 0, "a whole number over 0"),
+    KEY_OVERLAP: Setting("overlap", int, lambda v: isinstance(v, int) and v >= 0, "a whole number, 0 or more"),
+}
 
 
 @dataclass(frozen=True)
@@ -32,38 +58,25 @@ class RedactConfig:
     overlap: int = DEFAULT_OVERLAP
 
     def __post_init__(self):
-        check_threshold(self.threshold)
-        if self.chunk_size < 1 or self.overlap < 0:
-            raise ValueError("chunk_size must be >= 1 and overlap >= 0")
-
-
-def check_threshold(value: float) -> float:
-    if not isinstance(value, (int, float)) or math.isnan(value) or not 0.0 <= value <= 1.0:
-        raise ValueError(f"{KEY_THRESHOLD} must be between 0.0 and 1.0")
-    return float(value)
-
-
-def load_config(settings: Mapping[str, str] | None = None) -> RedactConfig:
-    """Build a config from string settings: blank model id -> default; the
-    threshold must parse as a float in [0, 1] (NaN fails); the disable flag is
-    true for 1/true/yes/on, trimmed, any case."""
-    settings = settings or {}
-    model_id = (settings.get(KEY_MODEL_ID) or "").strip() or DEFAULT_MODEL_ID
-    raw = settings.get(KEY_THRESHOLD)
-    threshold = DEFAULT_THRESHOLD
-    if raw is not None:
+        wrong = [f"{key}: {getattr(self, s.field)!r} is not {s.meaning}" for key, s in SETTINGS.items() if not s.valid(getattr(self, s.field))]
+        if wrong:
+            raise ValueError("; ".join(wrong))
+
+
+def load_config(settings: Mapping[str, str | None] | None = None) -> RedactConfig:
+    """The config of string settings (unknown keys are left alone)."""
+    given = {k: t for k, t in (settings or {}).items() if k in SETTINGS and t is not None}
+    values = {}
+    for key, text in given.items():
         try:
-            threshold = float(raw)
-        except ValueError as exc:
-            raise ValueError(f"{KEY_THRESHOLD} must be a float between 0.0 and 1.0") from exc
-        check_threshold(threshold)
-    disable = (settings.get(KEY_DISABLE_MODEL) or "").strip().lower() in TRUE_VALUES
-    return RedactConfig(model_id=model_id, threshold=threshold, disable_model=disable)
+            values[SETTINGS[key].field] = SETTINGS[key].read(text)
+        except ValueError:
+            raise ValueError(f"{key}: {text!r} is not {SETTINGS[key].meaning}") from None
+    return RedactConfig(**values)
 
 
 def config_from_spark(spark) -> RedactConfig:
-    keys = (KEY_MODEL_ID, KEY_THRESHOLD, KEY_DISABLE_MODEL)
-    return load_config({k: v for k in keys if (v := spark.conf.get(k, None)) is not None})
+    return load_config({k: spark.conf.get(k, None) for k in SETTINGS})
 
 
 def new_run_id() -> str:

@@ -1,9 +1,9 @@
 """Chunking as Column expressions.
 
 Ranges are ``struct<start:int,end:int>`` with code-point offsets into the text
-the expression was given.  Units come from the sentinel split (separator kept
+the expression was given.  Units come from the split at marks (separator kept
 with the piece on its left), hard windows from ``sequence``, and packing is one
-``aggregate`` fold over the units.  Recursion depth is fixed by the unit rules:
+blocked fold over the units.  Recursion depth is fixed by the unit rules:
 
 * text that fits -> one range;
 * paragraph units if the text has a paragraph break, else sentence units, else
@@ -19,35 +19,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .spans import RANGE_ARRAY, empty
-
-INT_MAX = 2147483647
+from .spans import RANGE_ARRAY, empty, let, pieces_around, scan, with_cut
 
 
 def _rng(s: Column, e: Column) -> Column:
     return F.struct(s.alias("start"), e.alias("end"))
 
 
-def unit_ranges(text: Column, sent: Column, java_sep: str, base: Column | None = None) -> Column:
+def unit_ranges(text: Column, java_sep: str, base: Column | None = None) -> Column:
     """Units split after each separator match; empty tail dropped.
 
     Returns ranges shifted by ``base``; a text without separator gives one unit.
     """
     base = F.lit(0) if base is None else base
-    marked = F.regexp_replace(text, F.lit(java_sep), F.concat(F.lit("$0"), sent))
-    pieces = F.split(marked, sent, -1)
-    zero = F.struct(base.alias("pos"), empty(RANGE_ARRAY).alias("out"))
-
-    def merge(acc, p):
-        n = F.length(p)
-        out = F.when(n > 0, F.concat(acc["out"], F.array(_rng(acc["pos"], acc["pos"] + n)))).otherwise(acc["out"])
-        return F.struct((acc["pos"] + n).alias("pos"), out.alias("out"))
-
-    return F.aggregate(pieces, zero, merge, lambda acc: acc["out"])
 
+    def step(acc, p):
+        end = acc["pos"] + F.length(p)
+        return {"pos": end}, F.when(end > acc["pos"], F.array(_rng(acc["pos"], end))).otherwise(empty(RANGE_ARRAY))
 
-def has_match(text: Column, java_sep: str) -> Column:
-    return text.rlike(java_sep)
+    return scan(pieces_around(text, java_sep, before=""), {"pos": base}, RANGE_ARRAY, step)
 
 
 def hard_windows(s: Column, e: Column, size: int, overlap: int) -> Column:
@@ -68,66 +58,75 @@ def pack(units: Column, size: int, oversize) -> Column:
 
     ``oversize(u)`` gives the ranges that replace a unit longer than ``size``.
     """
-    zero = F.struct(F.lit(0).alias("cur"), F.lit(0).alias("buf"), empty(RANGE_ARRAY).alias("out"))
 
-    def merge(acc, u):
+    def flushed(acc):
+        return F.when(acc["cur"] > acc["buf"], F.array(_rng(acc["buf"], acc["cur"]))).otherwise(empty(RANGE_ARRAY))
+
+    def step(acc, u):
         fits = (u["end"] - acc["buf"]) <= size
-        flushed = F.when(acc["cur"] > acc["buf"], F.concat(acc["out"], F.array(_rng(acc["buf"], acc["cur"])))).otherwise(acc["out"])
         big = (u["end"] - u["start"]) > size
-        return F.when(fits, F.struct(u["end"].alias("cur"), acc["buf"].alias("buf"), acc["out"].alias("out"))).otherwise(
-            F.when(big, F.struct(u["end"].alias("cur"), u["end"].alias("buf"), F.concat(flushed, oversize(u)).alias("out")))
-            .otherwise(F.struct(u["end"].alias("cur"), u["start"].alias("buf"), flushed.alias("out")))
-        )
-
-    def finish(acc):
-        return F.when(acc["cur"] > acc["buf"], F.concat(acc["out"], F.array(_rng(acc["buf"], acc["cur"])))).otherwise(acc["out"])
+        new = {
+            "cur": u["end"],
+            "buf": F.when(fits, acc["buf"]).when(big, u["end"]).otherwise(u["start"]),
+        }
+        return new, F.when(fits, empty(RANGE_ARRAY)).when(big, F.concat(flushed(acc), oversize(u))).otherwise(flushed(acc))
 
     # the fold is seeded with (0, 0): units must start at 0 for the seed to be right
-    return F.aggregate(units, zero, merge, finish)
+    return scan(units, {"cur": F.lit(0), "buf": F.lit(0)}, RANGE_ARRAY, step, flushed)
+
 
+def _sentence_level(sub: Column, s: Column, size: int, overlap: int) -> Column:
+    """Chunks of the text ``sub`` (no paragraph break inside) by sentence packing,
+    shifted by ``s``."""
+
+    def chunks(units):
+        # packing's seed assumes units start at 0: pack in local coordinates, then shift
+        packed = pack(units, size, lambda u: hard_windows(u["start"], u["end"], size, overlap))
+        whole = hard_windows(F.lit(0), F.element_at(units, -1)["end"], size, overlap)
+        return F.transform(
+            F.when(F.size(units) == 1, whole).otherwise(packed),
+            lambda r: _rng(r["start"] + s, r["end"] + s),
+        )
 
-def _sentence_level(text: Column, sent: Column, s: Column, e: Column, size: int, overlap: int) -> Column:
-    """Chunks of text[s:e] (no paragraph break inside) by sentence packing."""
-    sub = F.substring(text, s + 1, e - s)
-    units = unit_ranges(sub, sent, P.JAVA_SENTENCE_END, base=s)
-    whole = (F.size(units) == 1)
-    # packing's seed assumes units start at 0: pack in local coordinates, shift back
-    local = F.transform(units, lambda u: _rng(u["start"] - s, u["end"] - s))
-    packed = pack(local, size, lambda u: hard_windows(u["start"], u["end"], size, overlap))
-    shifted = F.transform(packed, lambda r: _rng(r["start"] + s, r["end"] + s))
-    return F.when(whole, hard_windows(s, e, size, overlap)).otherwise(shifted)
+    return let(unit_ranges(sub, P.JAVA_SENTENCE_END), chunks)
 
 
-def chunk_ranges(text: Column, sent: Column, size: int = 1600, overlap: int = 200) -> Column:
+def chunk_ranges(text: Column, size: int = 1600, overlap: int = 200) -> Column:
     """array<range>: paragraph-aware chunks of ``text`` (C4), in order."""
-    n = F.length(text)
-    para_units = unit_ranges(text, sent, P.JAVA_PARAGRAPH)
-    has_para = F.size(para_units) > 1
-    tail = F.element_at(para_units, -1)
-    tail_has_break = has_match(F.substring(text, tail["start"] + 1, tail["end"] - tail["start"]), P.JAVA_PARAGRAPH)
-    last_start = tail["start"]
-
-    def para_oversize(u):
-        is_tail = (u["start"] == last_start) & ~tail_has_break
-        return F.when(is_tail, _sentence_level(text, sent, u["start"], u["end"], size, overlap)).otherwise(
-            hard_windows(u["start"], u["end"], size, overlap)
+
+    def by_paragraph(t, part, units):
+        tail = F.element_at(units, -1)
+
+        # the tail's text is cut once, bound, and descended into only if it is oversize
+        def body(tail_text):
+            descends = ~tail_text.rlike(P.JAVA_PARAGRAPH)
+
+            def oversize(u):
+                return F.when(
+                    (u["start"] == tail["start"]) & descends, _sentence_level(tail_text, u["start"], size, overlap)
+                ).otherwise(hard_windows(u["start"], u["end"], size, overlap))
+
+            return pack(units, size, oversize)
+
+        return F.when(F.size(units) == 1, hard_windows(F.lit(0), F.length(t), size, overlap)).otherwise(
+            let(part(tail["start"], tail["end"] - tail["start"]), body)
         )
 
-    by_para = F.when(F.size(para_units) == 1, hard_windows(F.lit(0), n, size, overlap)).otherwise(
-        pack(para_units, size, para_oversize)
-    )
-    has_break = has_match(text, P.JAVA_PARAGRAPH)
-    return (
-        F.when(n == 0, empty(RANGE_ARRAY))
-        .when(n <= size, F.array(_rng(F.lit(0), n)))
-        .when(has_break, by_para)
-        .otherwise(_sentence_level(text, sent, F.lit(0), n, size, overlap))
-    )
+    def chunks(t, part):
+        n = F.length(t)
+        return (
+            F.when(n == 0, empty(RANGE_ARRAY))
+            .when(n <= size, F.array(_rng(F.lit(0), n)))
+            .when(t.rlike(P.JAVA_PARAGRAPH), let(unit_ranges(t, P.JAVA_PARAGRAPH), lambda u: by_paragraph(t, part, u)))
+            .otherwise(_sentence_level(t, F.lit(0), size, overlap))
+        )
+
+    return with_cut(text, chunks)
 
 
-def sentence_ranges(text: Column, sent: Column) -> Column:
-    return unit_ranges(text, sent, P.JAVA_SENTENCE_END)
+def sentence_ranges(text: Column) -> Column:
+    return unit_ranges(text, P.JAVA_SENTENCE_END)
 
 
-def paragraph_ranges(text: Column, sent: Column) -> Column:
-    return unit_ranges(text, sent, P.JAVA_PARAGRAPH)
+def paragraph_ranges(text: Column) -> Column:
+    return unit_ranges(text, P.JAVA_PARAGRAPH)

@@ -13,54 +13,69 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .spans import CAND_ARRAY, empty, find_cands
+from .spans import CAND_ARRAY, empty, find_cands, let, with_cut
 
 # Every possible PIN: six ASCII digits, the first one 1-8.  At most 800,000
-# values exist, which is the proven size bound of anything we ship to tasks.
+# values exist, so a bitmap of 12,500 words holds any registry.
 PIN_SHAPE = r"^[1-8][0-9]{5}$"
-_MAX_PINS = 800_000
-_INSET_LIMIT = 50_000
+_FIRST_PIN, _PIN_WORDS = 100_000, 12_500
+PIN_BITS = "__spanmask_pins"
+
+
+def pin_rows(table: DataFrame, column: str = "pin") -> DataFrame:
+    """Distinct PIN-shaped values of a registry table: 800,000 rows at most."""
+    return table.select(F.trim(F.col(column).cast("string")).alias("pin")).where(F.col("pin").rlike(PIN_SHAPE)).distinct()
 
 
 class PinRegistry:
     """Membership test for Indian PIN codes (V1).
 
-    Built from a user table ``pin_registry(pin STRING)`` (or any iterable).  Only
-    PIN-shaped values can ever match, so the set is bounded by 800,000 entries
-    whatever the table holds; it travels to tasks inside the expression (a hash
-    ``InSet`` for normal registries, a one-character-per-PIN bitmap literal of
-    800 KB beyond that).  ``None`` or an empty table means every 6-digit code is
-    rejected, as when the registry cannot be loaded.
+    Built from a user table ``pin_registry(pin STRING)`` or any iterable.  Only
+    PIN-shaped values can ever match, so the set is one bitmap of fixed size,
+    made by Spark as a scalar subquery when the query runs: nothing is collected
+    while a query is built, whatever the size of the table.  :meth:`attach` adds
+    it to the rows that are tested.  No table means every 6-digit code is
+    rejected, as when the registry cannot be loaded; a table that cannot be read
+    raises, since its reader does.
     """
 
-    def __init__(self, pins: Iterable[str] = ()):
-        self.pins = frozenset(p for p in pins if p is not None and len(p) == 6
-                              and p.isascii() and p.isdigit() and p[0] in "12345678")
-        assert len(self.pins) <= _MAX_PINS
+    def __init__(self, pins: Iterable[str] | None = None, table: DataFrame | None = None, column: str = "pin"):
+        self.pins = None if pins is None else sorted({p for p in pins if p is not None})
+        self.table, self.column = table, column
 
     @classmethod
-    def from_table(cls, table: DataFrame | None, column: str = "pin") -> "PinRegistry":
-        if table is None:
-            return cls()
-        shaped = table.select(F.trim(F.col(column)).alias("pin")).where(F.col("pin").rlike(PIN_SHAPE)).distinct()
-        # bounded by the PIN shape (<= 800,000 rows): a dimension lookup
-        return cls(r["pin"] for r in shaped.collect())
-
-    def contains(self, pin: Column) -> Column:
+    def from_table(cls, table: DataFrame | None, column: str = "pin") -> PinRegistry:
+        return cls(table=table, column=column)
+
+    def rows(self, spark) -> DataFrame | None:
+        if self.table is not None:
+            return pin_rows(self.table, self.column)
         if not self.pins:
-            return F.lit(False)
-        if len(self.pins) <= _INSET_LIMIT:
-            return pin.isin(sorted(self.pins))
-        bits = ["0"] * _MAX_PINS
-        for p in self.pins:
-            bits[int(p) - 100_000] = "1"
-        idx = F.when(pin.rlike(PIN_SHAPE), pin.cast("int") - 99_999)
-        return F.coalesce(F.substring(F.lit("".join(bits)), idx, F.lit(1)) == "1", F.lit(False))
+            return None
+        return pin_rows(spark.createDataFrame([(p,) for p in self.pins], "pin string"))
+
+    def attach(self, df: DataFrame) -> DataFrame:
+        """``df`` with the bitmap in a reserved column (null: nothing registered)."""
+        rows = self.rows(df.sparkSession)
+        if rows is None:
+            return df.withColumn(PIN_BITS, F.lit(None).cast("array<bigint>"))
+        at = F.col("pin").cast("bigint") - _FIRST_PIN
+        words = rows.groupBy((at / 64).cast("int").alias("w")).agg(
+            F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 64).cast("int"))).alias("bits"))
+        every = df.sparkSession.range(_PIN_WORDS).select(F.col("id").cast("int").alias("w")).join(words, "w", "left")
+        bitmap = every.agg(F.array_sort(F.collect_list(F.struct("w", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("b"))
+        return df.withColumn(PIN_BITS, bitmap.select(F.transform("b", lambda x: x["bits"])).scalar())
+
+    @staticmethod
+    def contains(pin: Column) -> Column:
+        at = F.when(pin.rlike(PIN_SHAPE), pin.cast("bigint") - _FIRST_PIN)
+        word = F.get(F.col(PIN_BITS), (at / 64).cast("int"))
+        return F.coalesce(F.getbit(word, (at % 64).cast("int")) == 1, F.lit(False))
 
 
 # Cheap necessary conditions (a row failing one cannot match that detector).
 def _guards(text: Column) -> dict[str, Column]:
-    has_digit = text.rlike(r"\p{Nd}")
+    has_digit = text.rlike(f"[{P.JAVA_DIGIT_BODY}]")
     has_at = F.instr(text, "@") > 0
     return {
         "EMAIL": has_at,
@@ -83,7 +98,26 @@ def _guards(text: Column) -> dict[str, Column]:
 _ADDRESS_FIRST = "(?=[FHDPTBSN])"
 
 
-def _address_cands(text: Column, sent: Column, prio: int, keep) -> Column:
+_FORM_LINES, _FORM_WINDOW = 9, 4096
+
+
+def _form_at(part, start: Column) -> Column:
+    """Whether the labelled form starts at ``start``: it lies in nine lines, which are
+    looked for in a window of the text first and in all that follows if that has fewer."""
+    form = "^(?:" + P.to_java(P.ADDRESS_FORM_LINE) + ")"
+
+    def nine_lines(text):
+        return F.substring_index(text, "\n", _FORM_LINES)
+
+    def test(window):
+        near = nine_lines(window)
+        return F.when(F.octet_length(near) < F.octet_length(window), near.rlike(form)).otherwise(
+            nine_lines(part(start, F.lit(1 << 30))).rlike(form))
+
+    return let(part(start, F.lit(_FORM_WINDOW)), test)
+
+
+def _address_cands(text: Column, prio: int, keep) -> Column:
     """ADDRESS candidates with the labelled-form look-ahead (V2), exactly.
 
     The look-ahead scans up to nine lines at every position the grammar is
@@ -95,19 +129,21 @@ def _address_cands(text: Column, sent: Column, prio: int, keep) -> Column:
     """
     body = _ADDRESS_FIRST + P.to_java(P.ADDRESS_BODY)
     full = _ADDRESS_FIRST + P.JAVA_DETECTORS["ADDRESS"]
-    form = "^(?:" + P.to_java(P.ADDRESS_FORM_LINE) + ")"
-    quick = find_cands(text, sent, body, "ADDRESS", prio)
-    blocked = F.exists(quick, lambda c: F.substring(text, c["start"] + 1, F.lit(2147483647)).rlike(form))
-    cands = F.when(blocked, find_cands(text, sent, full, "ADDRESS", prio)).otherwise(quick)
-    if keep is not None:
-        cands = F.filter(cands, lambda c: keep(F.substring(text, c["start"] + 1, c["end"] - c["start"])))
-    guard = _guards(text)["ADDRESS"]
-    return F.when(guard, cands).otherwise(empty(CAND_ARRAY))
-
-
-def detector_cands(text: Column, sent: Column, label: str, registry: PinRegistry,
-                   raw: bool = False) -> Column:
-    """array<candidate> for one detector label; ``raw`` skips the registry test."""
+
+    def cands(t, part):
+        def chosen(quick):
+            blocked = F.exists(quick, lambda c: _form_at(part, c["start"]))
+            found = F.when(blocked, find_cands(t, full, "ADDRESS", prio)).otherwise(quick)
+            return found if keep is None else F.filter(found, lambda c: keep(part(c["start"], c["end"] - c["start"])))
+
+        return let(find_cands(t, body, "ADDRESS", prio), chosen)
+
+    return F.when(_guards(text)["ADDRESS"], with_cut(text, cands)).otherwise(empty(CAND_ARRAY))
+
+
+def detector_cands(text: Column, label: str, raw: bool = False) -> Column:
+    """array<candidate> for one detector label; ``raw`` skips the registry test, which
+    else needs the column that :meth:`PinRegistry.attach` adds."""
     prio = P.DETECTOR_ORDER.index(label)
     pattern = P.JAVA_DETECTORS[label]
     keep = None
@@ -117,20 +153,19 @@ def detector_cands(text: Column, sent: Column, label: str, registry: PinRegistry
 
         def keep(match):
             pin = F.regexp_extract(match, P.JAVA_PIN, 0)
-            return (pin != "") & registry.contains(pin)
+            return (pin != "") & PinRegistry.contains(pin)
     elif label == "POSTAL_CODE":
 
         def keep(match):
-            return (F.length(match) != 6) | registry.contains(match)
+            return (F.length(match) != 6) | PinRegistry.contains(match)
     if label == "ADDRESS":
-        return _address_cands(text, sent, prio, keep)
-    return find_cands(text, sent, pattern, label, prio, keep=keep, guard=_guards(text)[label])
+        return _address_cands(text, prio, keep)
+    return find_cands(text, pattern, label, prio, keep=keep, guard=_guards(text)[label])
 
 
-def all_cands(text: Column, sent: Column, registry: PinRegistry,
-              labels: Iterable[str] = P.DETECTOR_ORDER) -> Column:
+def all_cands(text: Column, labels: Iterable[str] = P.DETECTOR_ORDER) -> Column:
     """Union of every detector's candidates (P1), one array per row."""
-    arrays = [detector_cands(text, sent, lab, registry) for lab in labels]
+    arrays = [detector_cands(text, lab) for lab in labels]
     if not arrays:
         return empty(CAND_ARRAY)
     return F.concat(*arrays) if len(arrays) > 1 else arrays[0]

@@ -107,13 +107,34 @@ def _class_body(cps: list[int]) -> str:
     return "".join(parts)
 
 
+# Ranges of letters, numbers and digits that Unicode assigned after version
+# 13, which is the JVM's; Python's version decides which of them are word characters.
+_LATER = (
+    "870-887 889-88E 8B5 8C8-8C9 C5D CDD 170D 171F 1B4C 2C2F 2C5F 9FFD-9FFF A7C0-A7C1 A7D0-A7D1 A7D3 A7D5-A7D9 A7F2-A7F4 "
+    "10570-105BC 10780-107BA 10F70-10F81 11071-11075 1123F-11240 11740-11746 11AB0-11ABF 11F02-11F33 11F50-11F59 12F90-12FF0 "
+    "1342F 13441-13446 16A70-16AC9 1AFF0-1AFFE 1B11F-1B122 1B132 1B155 1D2C0-1D2D3 1DF00-1DF2A 1E030-1E06D 1E290-1E2AD "
+    "1E4D0-1E4F9 1E7E0-1E7FE 2A6DE-2A6DF 2B735-2B739 2EBF0-2EE5D 31350-323AF"
+)
+
+
+def _later(pred) -> list[int]:
+    bounds = [[int(x, 16) for x in r.split("-")] for r in _LATER.split()]
+    return [c for b in bounds for c in range(b[0], b[-1] + 1) if pred(chr(c))]
+
+
+def _with_later(java_body: str, pred) -> str:
+    """A class body of the JVM plus the later code points, which are looked up only for
+    characters from U+0870 on."""
+    return java_body + "[[\\x{870}-\\x{10FFFF}]&&[" + _class_body(_later(pred)) + "]]"
+
+
 # Java class bodies with Python's meaning.
 JAVA_SPACE_BODY = _class_body(_PY_SPACE)
-JAVA_DIGIT_BODY = r"\p{Nd}"
+JAVA_DIGIT_BODY = _with_later(r"\p{Nd}", str.isdecimal)
 # Python's word character: str.isalnum() or "_"; Unicode letters and numbers.
 # The literal U+10000 (already a letter) makes Java compile supplementary-aware
 # look-behinds, so a letter outside the BMP before a match is seen whole.
-JAVA_WORD_BODY = "\\p{L}\\p{N}_\U00010000"
+JAVA_WORD_BODY = _with_later("\\p{L}\\p{N}_\U00010000", str.isalnum)
 JAVA_WORD = f"[{JAVA_WORD_BODY}]"
 JAVA_BOUNDARY = f"(?:(?<={JAVA_WORD})(?!{JAVA_WORD})|(?<!{JAVA_WORD})(?={JAVA_WORD}))"
 

@@ -5,11 +5,16 @@ offsets.  Everything here builds expressions evaluated inside one row, so a
 document never leaves its partition: no shuffle, whole-stage codegen around the
 regex calls, higher-order functions for the sequential folds.
 
-Exact offsets without leaving the JVM: ``regexp_replace(text, p, S$0S)`` wraps
-each match in a sentinel character S that does not occur in the row, ``split``
-on S yields alternating gap / match pieces, and one fold over the piece lengths
-turns them into code-point offsets (Spark's ``length`` counts code points, like
-Python).
+Exact offsets without leaving the JVM: ``regexp_replace(text, p, M$0M)`` wraps
+each match in the mark M, ``split`` on M yields alternating gap / match pieces,
+and a fold over the piece lengths turns them into code-point offsets (Spark's
+``length`` counts code points, like Python).  M is a noncharacter; where a text
+holds it, the scanned copy has another noncharacter there.  No grammar tells the
+two apart and the length stays, so every text has the same offsets either way.
+
+Folds that append work in blocks (:func:`scan`) and slices of a long text are cut
+from blocks of it (:func:`cut`), so the cost of a row grows with its length and
+its number of spans, not with their product.
 """
 
 from __future__ import annotations
@@ -54,9 +59,14 @@ KEPT_ARRAY = T.ArrayType(KEPT_TYPE)
 RANGE_TYPE = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 RANGE_ARRAY = T.ArrayType(RANGE_TYPE)
 
-# Noncharacters U+FDD0..U+FDEF never appear in interchanged text; the first one
-# absent from a row is that row's sentinel.
-SENTINELS = [chr(c) for c in range(0xFDD0, 0xFDF0)]
+# The mark around matches, and what stands for it in scanned text: two noncharacters,
+# which never appear in interchanged text.
+MARK, STAND_IN = chr(0xFDD0), chr(0xFDD1)
+
+# Elements per block of a fold, code points per block of a long text.
+_SCAN_BLOCK = 128
+_TEXT_BLOCK = 1024
+_WHOLE_BYTES = 4096
 
 
 def empty(t: T.DataType) -> Column:
@@ -74,29 +84,101 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def sentinel(text: Column) -> Column:
-    """First noncharacter absent from ``text``; fails loudly if all 32 occur."""
-    text = F.coalesce(text, F.lit(""))
-    expr = None
-    for s in SENTINELS:
-        cond = F.instr(text, s) == 0
-        expr = F.when(cond, F.lit(s)) if expr is None else expr.when(cond, F.lit(s))
-    return expr.otherwise(F.raise_error(F.lit("text holds all 32 sentinel noncharacters")))
+def once(value: Column) -> Column:
+    """``value``, marked so that Catalyst neither repeats it nor moves a filter below it.
+
+    A filter on a span column would else be pushed under the projection that computes
+    it, with a copy of the whole regex chain in it.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
+def scan(xs: Column, state: dict[str, Column], out_type: T.ArrayType, step, finish=None) -> Column:
+    """Fold over ``xs`` that appends to an array.
+
+    ``step(state, x)`` gives the next state (a dict) and the array to append;
+    ``finish(state)`` an array for the end.  Elements are taken in blocks: a block
+    appends to its own short array, and the fold over the blocks collects those, so
+    an append copies at most a block's output or the list of blocks.
+    """
+    names = list(state)
+
+    def pick(acc):
+        return [acc[n].alias(n) for n in names]
+
+    def inside(acc, x):
+        new, items = step(acc, x)
+        return F.struct(*(new[n].alias(n) for n in names), F.concat(acc["out"], items).alias("out"))
+
+    def block(acc, xs_block):
+        start = F.struct(*pick(acc), empty(out_type).alias("out"))
+        done = F.aggregate(xs_block, start, inside)
+        return let(done, lambda d: F.struct(*pick(d), F.concat(acc["outs"], F.array(d["out"])).alias("outs")))
+
+    def result(acc):
+        if finish is None:
+            return F.flatten(acc["outs"])
+        return F.concat(F.flatten(acc["outs"]), finish(acc))
+
+    def run(v):
+        n = F.ceil(F.size(v) / F.lit(_SCAN_BLOCK)).cast("int")
+        blocks = F.when(n > 0, F.transform(
+            F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1),
+            lambda i: F.slice(v, i * _SCAN_BLOCK + 1, F.lit(_SCAN_BLOCK)),
+        )).otherwise(F.array(v))
+        zero = F.struct(*(c.alias(n) for n, c in state.items()), empty(T.ArrayType(out_type)).alias("outs"))
+        return F.aggregate(blocks, zero, block, result)
+
+    return let(xs, run)
 
 
-def split_on_matches(text: Column, sent: Column, java_pattern: str) -> Column:
+def text_blocks(text: Column) -> Column:
+    """Blocks of 1,024 code points of a long text; none for a short one."""
+    return F.when(F.octet_length(text) <= _WHOLE_BYTES, empty(T.ArrayType(T.StringType()))).otherwise(
+        F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % _TEXT_BLOCK), F.lit(0))
+    )
+
+
+def cut(text: Column, blocks: Column, start: Column, n: Column) -> Column:
+    """``n`` code points of ``text`` from ``start``; reads only the blocks they lie in."""
+    first = F.floor(start / _TEXT_BLOCK).cast("int")
+    last = F.least(F.floor((start + n - 1) / _TEXT_BLOCK).cast("int"), F.size(blocks) - 1)
+    at = start % _TEXT_BLOCK + 1
+    one = F.substring(F.get(blocks, first), at, n)
+    many = F.concat(
+        F.substring(F.get(blocks, first), at, F.lit(_TEXT_BLOCK)),
+        F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""),
+        F.substring(F.get(blocks, last), F.lit(1), start + n - last * _TEXT_BLOCK),
+    )
+    return (
+        F.when(F.size(blocks) == 0, F.substring(text, start + 1, n))
+        .when((n <= 0) | (first >= F.size(blocks)), F.lit(""))
+        .when(first >= last, one)
+        .otherwise(many)
+    )
+
+
+def with_cut(text: Column, body) -> Column:
+    """``body(t, slice)`` with the text and its blocks evaluated once; slice(start, n)."""
+    return let(text, lambda t: let(text_blocks(t), lambda bl: body(t, lambda s, n: cut(t, bl, s, n))))
+
+
+def pieces_around(text: Column, java_pattern: str, before: str = MARK, after: str = MARK) -> Column:
+    """Split ``text`` at the marks put before and after each match."""
+    safe = F.translate(text, MARK, STAND_IN)
+    marked = F.regexp_replace(safe, F.lit(java_pattern), F.lit(f"{before}$0{after}"))
+    return F.split(marked, MARK, -1)
+
+
+def split_on_matches(text: Column, java_pattern: str) -> Column:
     """array<string>: gap, match, gap, match, ..., gap (odd positions are matches)."""
-    marked = F.regexp_replace(text, F.lit(java_pattern), F.concat(sent, F.lit("$0"), sent))
-    return F.split(marked, sent, -1)
+    return pieces_around(text, java_pattern)
 
 
 def matches_to_cands(pieces: Column, label: str, prio: int, keep=None) -> Column:
     """Fold the piece array into candidate spans; ``keep(match)`` filters matches."""
-    zero = F.struct(
-        F.lit(0).alias("pos"), F.lit(0).alias("i"), empty(CAND_ARRAY).alias("out")
-    )
 
-    def merge(acc, piece):
+    def step(acc, piece):
         n = F.length(piece)
         take = (acc["i"] % 2) == 1
         if keep is not None:
@@ -108,23 +190,20 @@ def matches_to_cands(pieces: Column, label: str, prio: int, keep=None) -> Column
             (acc["pos"] + n).alias("end"),
             F.lit(label).alias("label"),
         )
-        return F.struct(
-            (acc["pos"] + n).alias("pos"),
-            (acc["i"] + 1).alias("i"),
-            F.when(take, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
-        )
+        items = F.when(take, F.array(span)).otherwise(empty(CAND_ARRAY))
+        return {"pos": acc["pos"] + n, "i": acc["i"] + 1}, items
 
-    return F.aggregate(pieces, zero, merge, lambda acc: acc["out"])
+    return scan(pieces, {"pos": F.lit(0), "i": F.lit(0)}, CAND_ARRAY, step)
 
 
-def find_cands(text: Column, sent: Column, java_pattern: str, label: str, prio: int,
+def find_cands(text: Column, java_pattern: str, label: str, prio: int,
                keep=None, guard: Column | None = None) -> Column:
     """All non-overlapping matches of one detector as candidate spans.
 
     ``guard`` is a cheap necessary condition for any match; rows failing it skip
     the regex entirely (it never changes the result).
     """
-    cands = matches_to_cands(split_on_matches(text, sent, java_pattern), label, prio, keep)
+    cands = matches_to_cands(split_on_matches(text, java_pattern), label, prio, keep)
     if guard is None:
         return cands
     return F.when(guard, cands).otherwise(empty(CAND_ARRAY))
@@ -138,9 +217,8 @@ def resolve(cands: Column) -> Column:
     placeholder in the masked text: start plus the running sum of
     (placeholder length - span length) over earlier kept spans.
     """
-    zero = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("delta"), empty(KEPT_ARRAY).alias("kept"))
 
-    def merge(acc, s):
+    def step(acc, s):
         ph = F.length(s["label"]) + 2
         out_start = s["start"] + acc["delta"]
         kept = F.struct(
@@ -151,32 +229,29 @@ def resolve(cands: Column) -> Column:
             (out_start + ph).alias("out_end"),
         )
         take = s["start"] >= acc["last"]
-        return F.when(
-            take,
-            F.struct(
-                s["end"].alias("last"),
-                (acc["delta"] + ph - (s["end"] - s["start"])).alias("delta"),
-                F.concat(acc["kept"], F.array(kept)).alias("kept"),
-            ),
-        ).otherwise(acc)
+        new = {
+            "last": F.when(take, s["end"]).otherwise(acc["last"]),
+            "delta": F.when(take, acc["delta"] + ph - (s["end"] - s["start"])).otherwise(acc["delta"]),
+        }
+        return new, F.when(take, F.array(kept)).otherwise(empty(KEPT_ARRAY))
 
-    return F.aggregate(F.array_sort(cands), zero, merge, lambda acc: acc["kept"])
+    return scan(F.array_sort(cands), {"last": F.lit(-1), "delta": F.lit(0)}, KEPT_ARRAY, step)
 
 
 def mask(text: Column, kept: Column, placeholder=None) -> Column:
     """Replace each kept span (sorted, disjoint) by ``[LABEL]``."""
     placeholder = placeholder or (lambda label: F.concat(F.lit("["), label, F.lit("]")))
 
-    def build(t, ks):
+    def build(t, part, ks):
         def piece(k, i):
-            prev_end = F.when(i == 0, F.lit(0)).otherwise(ks[i - 1]["end"])
-            return F.concat(F.substring(t, prev_end + 1, k["start"] - prev_end), placeholder(k["label"]))
+            prev_end = F.when(i == 0, F.lit(0)).otherwise(F.get(ks, i - 1)["end"])
+            return F.concat(part(prev_end, k["start"] - prev_end), placeholder(k["label"]))
 
-        tail_from = F.coalesce(F.element_at(ks, -1)["end"], F.lit(0)) + 1
-        masked = F.concat(F.array_join(F.transform(ks, piece), ""), F.substring(t, tail_from, F.lit(2147483647)))
+        tail_from = F.coalesce(F.get(ks, F.size(ks) - 1)["end"], F.lit(0))
+        masked = F.concat(F.array_join(F.transform(ks, piece), ""), part(tail_from, F.length(t) - tail_from))
         return F.when(F.size(ks) == 0, t).otherwise(masked)
 
-    return let(text, lambda t: let(kept, lambda ks: build(t, ks)))
+    return with_cut(text, lambda t, part: let(kept, lambda ks: build(t, part, ks)))
 
 
 def label_counts(labels: Column) -> Column:

@@ -40,6 +40,24 @@ def audit(df: DataFrame, id_col: str, text_col: str, out_col: str = "rx_text",
     )
 
 
+def full_audit(df: DataFrame, id_col: str, text_col: str, run_id: str = "") -> DataFrame:
+    """Audit record of both layers per document of ``redact`` (A3): lengths, hits and labels
+    of each layer, chunks, chunks scored and failed, and the run id; never the text."""
+    return df.select(
+        id_col,
+        F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("bigint").alias("input_len"),
+        F.length("redacted").cast("bigint").alias("output_len"),
+        *(F.col(f"{layer}_hits").cast("bigint").alias(f"{layer}_hits") for layer in ("regex", "model")),
+        *(F.size(F.map_keys(F.col(f"{layer}_counts"))).cast("bigint").alias(f"{layer}_labels") for layer in ("regex", "model")),
+        F.col("num_chunks").cast("bigint").alias("num_chunks"),
+        F.col("scored_chunks").cast("bigint").alias("scored_chunks"),
+        F.size("model_errors").cast("bigint").alias("failed_chunks"),
+        (F.col("regex_hits") + F.col("model_hits") > 0).alias("changed"),
+        "mode",
+        F.lit(run_id).alias("run_id"),
+    )
+
+
 def run_summary(df: DataFrame, layers: dict[str, str]) -> DataFrame:
     """Run total per (layer, label) over all documents (A2).
 

@@ -1,18 +1,17 @@
 """Contextual layer: entity scoring and masking.
 
-Scoring runs in an iterator pandas UDF over each document's array of chunk
-texts: the scorer is loaded once per Python worker (E4), every Arrow batch is
-scored in one call, a failing chunk only records its error type (E3).  Hits come
-back as an array column of the same row, so the document never leaves its
-partition: no shuffle and no join back.  Filtering (V4-V6), offset remapping
-(P10), merging (P7), the covered guard (P8) and masking (P9) are Column
-expressions; table forms of the same operators are provided for span tables.
+Scoring works on chunk rows (key, chunk_idx, cstart, text), spread over all tasks, so
+one long document is scored by many of them.  A scorer turns chunk rows into hit rows:
+a Python model gets batches of texts, loaded once per worker (E4), a failing text only
+records its error type (E3); a dictionary is a table and the match a join.  Hits alone
+travel back to their documents.  Merging (P7), the covered guard (P8) and masking (P9)
+are Column expressions; table forms of the same operators are provided for span tables.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -21,24 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import patterns as P
-from ..functions.spans import empty
+from ..functions.spans import empty, scan, split_on_matches, with_cut
 
-HIT_TYPE = T.StructType(
-    [
-        T.StructField("chunk_idx", T.IntegerType()),
-        T.StructField("label_idx", T.IntegerType()),
-        T.StructField("hit_idx", T.IntegerType()),
-        T.StructField("start", T.IntegerType()),
-        T.StructField("end", T.IntegerType()),
-        T.StructField("label", T.StringType()),
-        T.StructField("text", T.StringType()),
-        T.StructField("confidence", T.DoubleType()),
-    ]
-)
-HIT_ARRAY = T.ArrayType(HIT_TYPE)
-SCORED_TYPE = T.StructType(
-    [T.StructField("hits", HIT_ARRAY), T.StructField("errors", T.ArrayType(T.StringType()))]
-)
+# One row per scored chunk (scored = 1, its error if it failed) and one per hit (scored = 0).
+SCORED_FIELDS = "key string, chunk_idx int, cstart int, scored int, error string, hit_idx int, label_idx int, start int, end int, label string, text string, confidence double"
 
 # Sort key for merging: position, longer first, then the scoring order.
 ESPAN_TYPE = T.StructType(
@@ -59,12 +44,15 @@ ESPAN_ARRAY = T.ArrayType(ESPAN_TYPE)
 class Scorer:
     """Protocol of a pluggable entity model.
 
-    ``load()`` runs once per Python worker; ``score(model, text, labels,
-    threshold)`` returns hits of one chunk as dicts with ``label``, ``start``,
-    ``end`` (chunk-local code points), ``text`` and ``confidence``.
+    ``load()`` runs once per Python worker.  ``score_batch(model, texts, labels,
+    threshold)`` returns for each text its hits, dicts with ``label``, ``start``,
+    ``end`` (chunk-local code points), ``text`` and ``confidence``, or the exception
+    that this text raised.  A scorer that takes one text at a time gives
+    ``score(model, text, labels, threshold)`` instead.
     """
 
     name = "scorer"
+    batch_size = 64
 
     def load(self):
         return None
@@ -72,190 +60,209 @@ class Scorer:
     def score(self, model, text: str, labels: Sequence[str], threshold: float) -> list[dict]:
         raise NotImplementedError
 
+    def score_batch(self, model, texts: Sequence[str], labels: Sequence[str], threshold: float) -> list:
+        out = []
+        for text in texts:
+            try:
+                out.append(self.score(model, text, labels, threshold))
+            except Exception as exc:  # noqa: BLE001 - a failing text adds no spans (E3)
+                out.append(exc)
+        return out
 
-def _is_word(ch: str) -> bool:
-    return ch.isalnum() or ch == "_"
+    def scored(self, chunks: DataFrame, labels: Sequence[str], threshold: float) -> DataFrame:
+        """Rows of SCORED_FIELDS for chunk rows that are not blank."""
+        return _model_scored(self, chunks, labels, threshold)
+
+
+# Per Python worker: each scorer's model, by a key fixed when the query is built.
+_MODELS: dict[str, object] = {}
+
+
+def _model_for(scorer: Scorer, key: str):
+    if key not in _MODELS:
+        _MODELS[key] = scorer.load()
+    return _MODELS[key]
+
+
+def _model_scored(scorer: Scorer, chunks: DataFrame, labels: Sequence[str], threshold: float) -> DataFrame:
+    labels = list(labels)
+    order = {lab: i for i, lab in enumerate(labels)}
+    # a scorer may name a stable key (e.g. its model id) to share its model across queries
+    cache_key = getattr(scorer, "cache_key", None) or uuid.uuid4().hex
+    names = [f.split()[0] for f in SCORED_FIELDS.split(", ")]
+
+    def hit_rows(key, idx, cstart, found):
+        if isinstance(found, Exception):
+            return [(key, idx, cstart, 1, type(found).__name__, *[None] * 7)]
+        rows = [(key, idx, cstart, 1, None, *[None] * 7)]
+        seen: dict[str, int] = {}
+        for h in found:
+            n = seen[h["label"]] = seen.get(h["label"], -1) + 1
+            rows.append((key, idx, cstart, 0, None, n, order.get(h["label"], len(order)), int(h["start"]), int(h["end"]),
+                         h["label"], h.get("text") or "", float(h.get("confidence", 1.0))))
+        return rows
+
+    def run(frames):
+        model = _model_for(scorer, cache_key)
+        for frame in frames:
+            rows = []
+            for lo in range(0, len(frame), scorer.batch_size):
+                part = frame.iloc[lo : lo + scorer.batch_size]
+                texts = list(part["text"])
+                try:
+                    found = scorer.score_batch(model, texts, labels, threshold)
+                except Exception as exc:  # noqa: BLE001 - the batch fails, not the job
+                    found = [exc] * len(texts)
+                for key, idx, cstart, f in zip(part["key"], part["chunk_idx"], part["cstart"], found, strict=True):
+                    rows += hit_rows(key, idx, cstart, f)
+            yield pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in ("hit_idx", "label_idx", "start", "end")})
+
+    return chunks.select("key", "chunk_idx", "cstart", "text").mapInPandas(run, SCORED_FIELDS)
+
+
+_TOKEN = f"[{P.JAVA_WORD_BODY}]+|[^{P.JAVA_SPACE_BODY}]"
+TOKEN_ARRAY = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("token", T.StringType())]))
+
+
+def tokens(text: Column) -> Column:
+    """array<struct<pos, token>>: runs of word characters, and other single characters that
+    are not space."""
+
+    def step(acc, piece):
+        item = F.struct(acc["pos"].alias("pos"), piece.alias("token"))
+        return {"pos": acc["pos"] + F.length(piece), "i": acc["i"] + 1}, F.when(acc["i"] % 2 == 1, F.array(item)).otherwise(empty(TOKEN_ARRAY))
+
+    return scan(split_on_matches(text, _TOKEN), {"pos": F.lit(0), "i": F.lit(0)}, TOKEN_ARRAY, step)
 
 
 @dataclass
 class DictionaryScorer(Scorer):
-    """Stand-in model: every occurrence of a dictionary term at word boundaries.
+    """Every occurrence of a dictionary term at word boundaries, as a join.
 
-    ``terms`` is a list of (term, label, confidence); it reaches the workers as
-    a broadcast variable whose size is checked when the scorer is built.
+    ``terms`` is a table (term, label, confidence) of any size.  Each token of a chunk,
+    with as much text after it as the longest term has, meets the terms that start with
+    that token; Spark broadcasts the terms only if they are small.  Terms that start with
+    space match nothing.
     """
 
-    terms_bc: object = None
+    terms: DataFrame
     name: str = "dictionary"
 
-    MAX_TERMS = 2_000_000
-
     @classmethod
-    def from_table(cls, spark, terms: DataFrame) -> "DictionaryScorer":
-        n = terms.count()
-        if n > cls.MAX_TERMS:
-            raise ValueError(f"dictionary of {n} terms exceeds the broadcast bound {cls.MAX_TERMS}")
-        # size checked above: collect in one job
-        rows = [(r["term"], r["label"], float(r["confidence"])) for r in terms.collect() if r["term"]]
-        return cls(terms_bc=spark.sparkContext.broadcast(rows))
+    def from_table(cls, spark, terms: DataFrame) -> DictionaryScorer:
+        return cls(terms)
+
+    def scored(self, chunks: DataFrame, labels: Sequence[str], threshold: float) -> DataFrame:
+        order = F.array(*(F.lit(x) for x in labels))
+        word = f"[{P.JAVA_WORD_BODY}]$"
+        terms = self.terms.where(F.length("term") > 0).select(
+            F.col("term"), F.col("label"), F.col("confidence").cast("double").alias("confidence"),
+            F.length("term").alias("size"), F.regexp_extract("term", f"^(?:{_TOKEN})", 0).alias("token"))
+        terms = terms.where(F.col("label").isin(list(labels)) & (F.col("confidence") >= F.lit(threshold)) & (F.col("token") != ""))
+        longest = terms.agg(F.coalesce(F.max("size"), F.lit(0)).alias("n")).scalar()
+        around = with_cut(F.col("text"), lambda t, part: F.transform(tokens(t), lambda k: F.struct(
+            k["pos"].alias("pos"), k["token"].alias("token"), part(k["pos"], F.col("__spanmask_longest") + 1).alias("rest"))))
+        at = chunks.withColumn("__spanmask_longest", longest).select("key", "chunk_idx", "cstart", F.explode_outer(around).alias("k"))
+        at = at.select("key", "chunk_idx", "cstart", F.col("k.pos").alias("pos"), F.col("k.token").alias("token"), F.col("k.rest").alias("rest"))
+        met = at.join(terms, "token").where(
+            (F.substring("rest", F.lit(1), F.col("size")) == F.col("term"))
+            & ~(F.col("term").rlike(word) & F.substring("rest", F.col("size") + 1, F.lit(1)).rlike(word)))
+        nth = F.row_number().over(Window.partitionBy("key", "chunk_idx", "label").orderBy("pos", "size", "term", "confidence"))
+        hits = met.select(
+            "key", "chunk_idx", "cstart", F.lit(0).alias("scored"), F.lit(None).cast("string").alias("error"),
+            (nth - 1).alias("hit_idx"), (F.array_position(order, F.col("label")) - 1).cast("int").alias("label_idx"),
+            F.col("pos").alias("start"), (F.col("pos") + F.col("size")).alias("end"), "label", F.col("term").alias("text"), "confidence")
+        done = chunks.select(
+            "key", "chunk_idx", "cstart", F.lit(1).alias("scored"), F.lit(None).cast("string").alias("error"),
+            *(F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in SCORED_FIELDS.split(", ")[5:]))
+        return done.unionByName(hits)
 
-    def load(self):
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        grouped: dict[str, list] = {}
-        for term, label, conf in self.terms_bc.value:
-            grouped.setdefault(term, []).append((label, conf))
-        for term, entries in grouped.items():
-            automaton.add_word(term, (term, entries))
-        automaton.make_automaton()
-        return automaton
-
-    def score(self, model, text, labels, threshold):
-        hits = []
-        if len(model) == 0:
-            return hits
-        for end_idx, (term, entries) in model.iter(text):
-            start = end_idx - len(term) + 1
-            end = end_idx + 1
-            if start > 0 and _is_word(text[start - 1]) and _is_word(term[0]):
-                continue
-            if end < len(text) and _is_word(text[end]) and _is_word(term[-1]):
-                continue
-            for label, conf in entries:
-                if label in labels and conf >= threshold:
-                    hits.append({"label": label, "start": start, "end": end, "text": term, "confidence": conf})
-        return hits
-
-
-# Per Python worker: models by cache key (kept small; a worker serves few models).
-_MODELS: dict[str, object] = {}
-_MAX_MODELS = 4
 
+# ---- filters (V4, V5, E2) --------------------------------------------------------
+_EDGE_SPACE = f"^[{P.JAVA_SPACE_BODY}]+|[{P.JAVA_SPACE_BODY}]+$"
 
-def _model_for(scorer: Scorer, key: str):
-    if key not in _MODELS:
-        if len(_MODELS) >= _MAX_MODELS:
-            _MODELS.pop(next(iter(_MODELS)))
-        _MODELS[key] = scorer.load()
-    return _MODELS[key]
 
+def entity_word(text: Column) -> Column:
+    """A hit's text as it is compared with the stopwords: without space around it, lower case."""
+    return F.lower(F.regexp_replace(text, _EDGE_SPACE, ""))
 
-def score_udf(scorer: Scorer, labels: Sequence[str], threshold: float):
-    """Iterator pandas UDF: (array<string> chunk texts, their count) -> struct<hits, errors>.
 
-    Call it through :func:`score_column`, which passes the chunk array twice.
-    """
-    labels = list(labels)
-    order = {lab: i for i, lab in enumerate(labels)}
-    # fixed on the driver: every task of this query shares one cached model per
-    # worker; a scorer may name a stable key (e.g. its model id) to share across queries
-    key = getattr(scorer, "cache_key", None) or uuid.uuid4().hex
-
-    @F.pandas_udf(SCORED_TYPE)
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        model = _model_for(scorer, key)
-        for texts, _ in batches:
-            all_hits, all_errors = [], []
-            for chunks in texts:
-                hits, errors = [], []
-                for ci, chunk in enumerate(chunks if chunks is not None else []):
-                    if chunk is None or not chunk.strip():
-                        continue  # whitespace-only chunks are counted, never scored (V6)
-                    try:
-                        found = scorer.score(model, chunk, labels, threshold)
-                    except Exception as exc:  # noqa: BLE001 - a failing chunk adds no spans (E3)
-                        errors.append(type(exc).__name__)
-                        continue
-                    by_label: dict[str, list] = {}
-                    for h in found:
-                        by_label.setdefault(h["label"], []).append(h)
-                    for lab in sorted(by_label, key=lambda x: order.get(x, len(order))):
-                        for hi, h in enumerate(by_label[lab]):
-                            hits.append({
-                                "chunk_idx": ci, "label_idx": order.get(lab, len(order)), "hit_idx": hi,
-                                "start": int(h["start"]), "end": int(h["end"]), "label": lab,
-                                "text": h.get("text", chunk[h["start"]:h["end"]]),
-                                "confidence": float(h.get("confidence", 1.0)),
-                            })
-                all_hits.append(hits)
-                all_errors.append(errors)
-            yield pd.DataFrame({"hits": all_hits, "errors": all_errors})
-
-    # Non-deterministic (as model inference may be): Catalyst then keeps the UDF
-    # in its own projection instead of inlining it into lambdas or generators,
-    # where Python functions cannot be evaluated, and never scores a row twice.
-    return score.asNondeterministic()
-
-
-def score_column(chunk_texts: Column, scorer: Scorer, labels: Sequence[str], threshold: float) -> Column:
-    """Scored hits of a chunk-text array column.
-
-    The array goes in with its size: referenced twice, its (lambda-built)
-    expression stays in the projection below instead of being inlined into the
-    UDF call, where a Python function cannot take higher-order arguments.
-    """
-    return score_udf(scorer, labels, threshold)(chunk_texts, F.size(chunk_texts))
+def confident(threshold: float) -> Column:
+    return F.col("confidence") >= F.lit(threshold)
 
 
-# ---- filters (V4, V5, E2) --------------------------------------------------------
-def keep_hit(h: Column, threshold: float, labels: Sequence[str] = P.ENTITY_LABELS) -> Column:
-    """Confidence at or above the threshold, a known label, not a stopword."""
-    return (
-        (h["confidence"] >= F.lit(threshold))
-        & h["label"].isin(list(labels))
-        & ~F.lower(F.trim(h["text"])).isin(list(P.ENTITY_STOPWORDS))
-    )
+def known_label(labels: Sequence[str] = P.ENTITY_LABELS) -> Column:
+    return F.col("label").isin(list(labels))
 
 
-def remap(hits: Column, chunk_starts: Column) -> Column:
+def not_stopword() -> Column:
+    return ~entity_word(F.coalesce(F.col("text"), F.lit(""))).isin(list(P.ENTITY_STOPWORDS))
+
+
+def filter_hits(hits: DataFrame, threshold: float, labels: Sequence[str] = P.ENTITY_LABELS) -> DataFrame:
+    """V4 + E2 + V5: confident hits of a known label that are not stopwords."""
+    return hits.where(confident(threshold) & known_label(labels) & not_stopword())
+
+
+def remap(hits: DataFrame) -> DataFrame:
     """Chunk-local offsets -> offsets in the scored text (P10)."""
-    return F.transform(
-        hits,
-        lambda h: F.struct(
-            (h["start"] + chunk_starts[h["chunk_idx"]]).alias("start"),
-            (h["start"] - h["end"]).alias("neg_len"),
-            h["chunk_idx"].alias("chunk_idx"),
-            h["label_idx"].alias("label_idx"),
-            h["hit_idx"].alias("hit_idx"),
-            (h["end"] + chunk_starts[h["chunk_idx"]]).alias("end"),
-            h["label"].alias("label"),
-        ),
+    return hits.withColumn("start", F.col("start") + F.col("cstart")).withColumn("end", F.col("end") + F.col("cstart"))
+
+
+def gather(scored: DataFrame, threshold: float, labels: Sequence[str] = P.ENTITY_LABELS) -> DataFrame:
+    """Per key: ``scored_chunks``, ``model_errors`` and ``hits`` (kept ones, as ESPAN structs)."""
+    keep = confident(threshold) & known_label(labels) & not_stopword()
+    span = F.struct(
+        F.col("start"), (F.col("start") - F.col("end")).alias("neg_len"), "chunk_idx", "label_idx", "hit_idx", F.col("end"), "label",
+    ).cast(ESPAN_TYPE)
+    return remap(scored).groupBy("key").agg(
+        F.sum("scored").cast("int").alias("scored_chunks"),
+        F.collect_list("error").alias("model_errors"),
+        F.collect_list(F.when(F.col("start").isNotNull() & keep, span)).alias("hits"),
     )
 
 
 # ---- in-row span operators (P7, P8, P9) -------------------------------------------
 def merge_contained(spans: Column) -> Column:
     """Sort, then drop a span fully inside the last kept one."""
-    zero = F.struct(F.lit(-1).alias("m"), empty(ESPAN_ARRAY).alias("out"))
 
     def step(acc, s):
         drop = (s["start"] < acc["m"]) & (s["end"] <= acc["m"])
-        return F.when(drop, acc).otherwise(
-            F.struct(F.greatest(acc["m"], s["end"]).alias("m"), F.concat(acc["out"], F.array(s)).alias("out"))
-        )
+        return {"m": F.greatest(acc["m"], s["end"])}, F.when(drop, empty(ESPAN_ARRAY)).otherwise(F.array(s))
 
-    return F.aggregate(F.array_sort(spans), zero, step, lambda acc: acc["out"])
+    return scan(F.array_sort(spans), {"m": F.lit(-1)}, ESPAN_ARRAY, step)
 
 
 def guard(spans: Column, covered: Column) -> Column:
-    """Drop spans that touch a covered range."""
-    return F.filter(
-        spans,
-        lambda s: ~F.exists(covered, lambda c: ~((s["end"] <= c["start"]) | (s["start"] >= c["end"]))),
+    """Drop spans that touch a covered range.
+
+    One walk over both: ranges and spans are merged by their start.  Covered ranges
+    are disjoint, so a span touches one if the last range that starts before the
+    span's end ends after the span's start; that range is the next one, or one
+    already passed.  Sorted by end for the spans and by start for the ranges, each
+    span meets exactly the ranges that start before its end.
+    """
+    events = F.concat(
+        F.transform(covered, lambda c: F.struct(c["start"].alias("at"), F.lit(1).alias("kind"), c["end"].alias("end"), F.lit(None).cast(ESPAN_TYPE).alias("span"))),
+        F.transform(spans, lambda s: F.struct(s["end"].alias("at"), F.lit(0).alias("kind"), s["start"].alias("end"), s.alias("span"))),
     )
 
+    def step(acc, e):
+        is_range = e["kind"] == 1
+        clear = ~is_range & (e["end"] >= acc["reach"])
+        return {"reach": F.when(is_range, F.greatest(acc["reach"], e["end"])).otherwise(acc["reach"])}, F.when(clear, F.array(e["span"])).otherwise(empty(ESPAN_ARRAY))
+
+    return F.array_sort(scan(F.array_sort(events), {"reach": F.lit(0)}, ESPAN_ARRAY, step))
+
 
 def greedy(spans: Column) -> Column:
     """P9 walk over sorted spans: skip a span starting before the cursor."""
-    zero = F.struct(F.lit(0).alias("cur"), empty(ESPAN_ARRAY).alias("out"))
 
     def step(acc, s):
-        return F.when(s["start"] < acc["cur"], acc).otherwise(
-            F.struct(s["end"].alias("cur"), F.concat(acc["out"], F.array(s)).alias("out"))
-        )
+        skip = s["start"] < acc["cur"]
+        return {"cur": F.when(skip, acc["cur"]).otherwise(s["end"])}, F.when(skip, empty(ESPAN_ARRAY)).otherwise(F.array(s))
 
-    return F.aggregate(spans, zero, step, lambda acc: acc["out"])
+    return scan(spans, {"cur": F.lit(0)}, ESPAN_ARRAY, step)
 
 
 def upper_placeholder(label: Column) -> Column:
@@ -263,13 +270,6 @@ def upper_placeholder(label: Column) -> Column:
 
 
 # ---- table forms ------------------------------------------------------------------
-def filter_hits(hits: DataFrame, threshold: float, labels: Sequence[str] = P.ENTITY_LABELS) -> DataFrame:
-    """V4 + E2 + V5 on a hit table; the stopword list is a broadcast anti join."""
-    stop = hits.sparkSession.createDataFrame([(w,) for w in P.ENTITY_STOPWORDS], "word string")
-    kept = hits.where((F.col("confidence") >= F.lit(threshold)) & F.col("label").isin(list(labels)))
-    return kept.join(F.broadcast(stop), F.lower(F.trim(kept["text"])) == stop["word"], "left_anti")
-
-
 def merge_table(spans: DataFrame, id_col: str, ties: Sequence[str]) -> DataFrame:
     """P7 as a window: kept ends only grow, so the last kept end is the running
     maximum of earlier ends."""

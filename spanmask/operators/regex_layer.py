@@ -14,10 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.detectors import PinRegistry, all_cands, detector_cands
-from ..functions.spans import covered_ranges, label_counts, mask, resolve, sentinel
-
-_SPACE_CLASS = f"[{P.JAVA_SPACE_BODY}]"
+from ..functions.detectors import PIN_BITS, PinRegistry, all_cands, detector_cands
+from ..functions.spans import covered_ranges, label_counts, mask, once, resolve
 
 
 def is_blank(text: Column) -> Column:
@@ -25,17 +23,20 @@ def is_blank(text: Column) -> Column:
     return text.isNull() | ~text.rlike(f"[^{P.JAVA_SPACE_BODY}]")
 
 
-def with_sentinel(df: DataFrame, text_col: str, name: str = "_sm_sent") -> DataFrame:
-    return df.withColumn(name, sentinel(F.col(text_col)))
+def check_free(df: DataFrame, names: Iterable[str]) -> None:
+    """Raise if ``df`` already has one of the columns that an operator adds."""
+    taken = {c.lower() for c in df.columns} & {n.lower() for n in names}
+    if taken:
+        raise ValueError(f"the input already has columns named {sorted(taken)}; rename them first")
 
 
 def with_candidates(df: DataFrame, text_col: str = "text", registry: PinRegistry | None = None,
                     labels: Iterable[str] = P.DETECTOR_ORDER, name: str = "rx_cands") -> DataFrame:
     """Adds ``name``: array of candidate spans of the chosen detectors."""
-    registry = registry or PinRegistry()
-    df = with_sentinel(df, text_col)
+    check_free(df, [name, PIN_BITS])
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.withColumn(name, all_cands(text, F.col("_sm_sent"), registry, labels)).drop("_sm_sent")
+    df = (registry or PinRegistry()).attach(df)
+    return df.withColumn(name, once(all_cands(text, labels))).drop(PIN_BITS)
 
 
 def detector_spans(df: DataFrame, label: str, text_col: str = "text",
@@ -43,14 +44,12 @@ def detector_spans(df: DataFrame, label: str, text_col: str = "text",
     """Adds ``spans``: one detector's matches as array<struct<start,end,label>>.
 
     ``raw`` lists candidates before the registry test (V1)."""
-    registry = registry or PinRegistry()
-    df = with_sentinel(df, text_col)
+    check_free(df, ["spans", PIN_BITS])
     text = F.coalesce(F.col(text_col), F.lit(""))
-    cands = detector_cands(text, F.col("_sm_sent"), label, registry, raw=raw)
-    return df.withColumn(
-        "spans",
-        F.transform(cands, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["label"].alias("label"))),
-    ).drop("_sm_sent")
+    df = (registry or PinRegistry()).attach(df)
+    cands = detector_cands(text, label, raw=raw)
+    spans = F.transform(cands, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["label"].alias("label")))
+    return df.withColumn("spans", once(spans)).drop(PIN_BITS)
 
 
 def redact_regex(df: DataFrame, text_col: str = "text", registry: PinRegistry | None = None,
@@ -59,22 +58,17 @@ def redact_regex(df: DataFrame, text_col: str = "text", registry: PinRegistry |
 
     Adds ``rx_spans`` (kept spans with input and output offsets), ``rx_text``
     (masked text; null input becomes ""), ``rx_counts`` (map label -> n) and
-    ``rx_covered`` (placeholder ranges in ``rx_text``).
+    ``rx_covered`` (placeholder ranges in ``rx_text``), under another prefix if
+    ``out_prefix`` says so.  Input columns of these names are an error.  The spans
+    are computed once whatever is filtered or selected afterwards.
     """
     spans, out, counts, covered = (out_prefix + s for s in ("spans", "text", "counts", "covered"))
-    staged = with_candidates(df, text_col, registry, name="_sm_cands")
-    staged = staged.withColumn(spans, resolve(F.col("_sm_cands"))).drop("_sm_cands")
+    check_free(df, [spans, out, counts, covered])
+    staged = with_candidates(df, text_col, registry, name="__spanmask_cands")
+    staged = staged.withColumn(spans, once(resolve(F.col("__spanmask_cands")))).drop("__spanmask_cands")
     text = F.coalesce(F.col(text_col), F.lit(""))
     return (
         staged.withColumn(out, mask(text, F.col(spans)))
         .withColumn(counts, label_counts(F.col(spans)["label"]))
         .withColumn(covered, covered_ranges(F.col(spans)))
     )
-
-
-def redact_text_column(text: Column, registry: PinRegistry | None = None) -> Column:
-    """Single-expression form usable in ``select``/SQL: the masked text."""
-    registry = registry or PinRegistry()
-    t = F.coalesce(text, F.lit(""))
-    kept = resolve(all_cands(t, sentinel(t), registry))
-    return mask(t, kept)

@@ -6,37 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.spans import empty, let
+from ..functions.spans import empty, scan, with_cut
 
 SEG_TYPE = T.StructType([T.StructField("seg_start", T.IntegerType()), T.StructField("seg_text", T.StringType())])
 SEG_ARRAY = T.ArrayType(SEG_TYPE)
 
 
-def segments_expr(text: Column, covered: Column) -> Column:
+def segments_of(text: Column, covered: Column) -> Column:
     """array<struct<seg_start,seg_text>>: text outside ``covered``.
 
     Tolerates unsorted and nested ranges: ranges are sorted and the cursor only
     moves forward (to the largest end seen so far).
     """
-    zero = F.struct(F.lit(0).alias("cur"), empty(SEG_ARRAY).alias("segs"))
-
-    def merge(acc, c):
-        gap = F.struct(acc["cur"].alias("seg_start"),
-                       F.substring(text, acc["cur"] + 1, c["start"] - acc["cur"]).alias("seg_text"))
-        segs = F.when(c["start"] > acc["cur"], F.concat(acc["segs"], F.array(gap))).otherwise(acc["segs"])
-        return F.struct(F.greatest(acc["cur"], c["end"]).alias("cur"), segs.alias("segs"))
 
-    def finish(acc):
-        tail = F.struct(acc["cur"].alias("seg_start"),
-                        F.substring(text, acc["cur"] + 1, F.lit(2147483647)).alias("seg_text"))
-        return F.when(acc["cur"] < F.length(text), F.concat(acc["segs"], F.array(tail))).otherwise(acc["segs"])
+    def build(t, part):
+        def gap(start, end):
+            seg = F.struct(start.alias("seg_start"), part(start, end - start).alias("seg_text"))
+            return F.when(end > start, F.array(seg)).otherwise(empty(SEG_ARRAY))
 
-    return F.aggregate(F.array_sort(covered), zero, merge, finish)
+        return scan(
+            F.array_sort(covered), {"cur": F.lit(0)}, SEG_ARRAY,
+            lambda acc, c: ({"cur": F.greatest(acc["cur"], c["end"])}, gap(acc["cur"], c["start"])),
+            lambda acc: gap(acc["cur"], F.length(t)),
+        )
 
-
-def segments_of(text: Column, covered: Column) -> Column:
-    """:func:`segments_expr` with ``text`` evaluated once."""
-    return let(text, lambda t: segments_expr(t, covered))
+    return with_cut(text, build)
 
 
 def uncovered_segments(df: DataFrame, text_col: str, covered_col: str, name: str = "segments") -> DataFrame:

@@ -52,20 +52,34 @@ from {documents}
 group by doc_id // 3
 """
 
-# Conversations with blank and null turns mixed in (V7, S3).
+# Every conversation turn (variant 0), and a blank or null row beside each (V7, S3).
 BLANK_CONV_SQL = """
-select conv_id, turn,
-  case turn % 5
-    when 1 then ''
-    when 2 then ' ' || chr(10) || chr(9) || ' '
-    when 3 then null
-    else text
+select conv_id, turn, 0 as variant, text from {conversations}
+union all
+select conv_id, turn, 1 + cast(turn % 3 as int) as variant,
+  case turn % 3
+    when 0 then ''
+    when 1 then ' ' || chr(10) || chr(9) || ' '
   end as text
 from {conversations}
 """
 
-# The fixture registry: the one valid PIN used throughout the tests.
-REGISTRY_SQL = "select '560068' as pin"
+# The fixture registry: the PIN used throughout the tests and one per customer.
+REGISTRY_SQL = """
+select '560068' as pin union
+select cast(200000 + c_custkey * 37 % 600000 as string) as pin from {customer}
+"""
+
+# Social security numbers on both sides of each rule: areas 000, 666 and 9xx, group 00,
+# serial 0000.
+SSN_NOTES_SQL = """
+select c_custkey as note_id,
+  'ssn ' || case c_custkey % 7 when 0 then '000' when 1 then '666' when 2 then '9' || lpad(cast(c_custkey % 100 as string), 2, '0')
+    else lpad(cast(c_custkey % 899 + 1 as string), 3, '0') end
+  || '-' || case c_custkey % 5 when 0 then '00' else lpad(cast(c_custkey % 99 + 1 as string), 2, '0') end
+  || '-' || case c_custkey % 3 when 0 then '0000' else lpad(cast(c_custkey % 9999 + 1 as string), 4, '0') end || ' given' as text
+from {customer}
+"""
 
 # Letters with personal data for both layers: an IP and a phone for the regex
 # layer (with only a blank between them), nation/region/segment names and two
@@ -94,6 +108,16 @@ select term, 'person' as label, cast(95 as double) / 100 as confidence
 from (select 'client' as term union all select 'office' as term) s
 """
 
+# Dictionary of the documents: the first words of their texts; most contain others of
+# the texts' words, some are stopwords.
+DOCUMENT_TERMS_SQL = """
+select distinct term,
+  case length(term) % 3 when 0 then 'person' when 1 then 'organization' else 'city' end as label,
+  cast(60 + 10 * (length(term) % 5) as double) / 100 as confidence
+from (select split_part(split_part(text, chr(10), 1), ' ', 1) as term from {documents}) w
+where length(term) between 3 and 14
+"""
+
 # Literal entity hits on the notes (chunk-local offsets hit_start/hit_end, one
 # chunk per note):
 # overlapping, contained and disjoint spans, confidences on both sides of 0.75,
@@ -109,4 +133,7 @@ union all
 select note_id, 0, 3, 3, 12, 'iban', substr(text, 4, 9), cast((note_id + 13) % 100 as double) / 100 from {notes}
 union all
 select note_id, 0, 4, 0, 4, 'email', substr(text, 1, 4), cast(99 as double) / 100 from {notes}
+union all
+select note_id, 0, 5, 9, 14, 'person', case note_id % 4 when 0 then 'Client' || chr(10) when 1 then chr(9) || 'pin ' when 2 then chr(160) || 'OFFICE' else chr(160) || 'ann' end,
+  cast(90 as double) / 100 from {notes}
 """

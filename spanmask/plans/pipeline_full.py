@@ -1,82 +1,80 @@
 """Entity branch of the pipeline (Q2): segments -> chunks -> score -> mask.
 
-All of it stays inside the document's row: the uncovered segments (P6) are
-chunked (C5), the chunk texts go through the scoring UDF in Arrow batches (E1),
-and the returned hits are filtered (V4-V6), remapped (P10), merged (P7),
-guarded (P8) and masked (P9) by Column expressions.
+The uncovered segments (P6) are chunked in the row (C5).  The chunks become rows of
+their own, equal ones of equal documents once, spread over all tasks and scored (E1);
+their kept hits (V4-V6), remapped (P10), are gathered by document and joined back to it,
+where they are merged (P7), guarded (P8) and masked (P9) by Column expressions.
+
+Layer 1 feeds both the chunk rows and the join, so its rows are persisted on disk when
+the query first runs (DISK_ONLY; lost parts are computed again).  ``unpersist`` or
+``spark.catalog.clearCache()`` frees them.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RedactConfig
 from ..functions import patterns as P
 from ..functions.chunks import chunk_ranges
-from ..functions.spans import label_counts, mask, sentinel
+from ..functions.spans import label_counts, mask, once, with_cut
 from ..operators import entities as E
-from ..operators.aggregates import map_total
+from ..operators.regex_layer import is_blank
 from ..operators.segments import segments_of
+from .pipeline import PREFIX, result
+
+CHUNKS, KEY = PREFIX + "chunks", PREFIX + "key"
 
 
-def chunk_column(text, covered, sent, size: int, overlap: int):
+def chunk_column(text, covered, size: int, overlap: int):
     """array<struct<start,end>>: chunks of every uncovered segment, in text offsets."""
-    segs = segments_of(text, covered)
     per_seg = F.transform(
-        segs,
+        segments_of(text, covered),
         lambda g: F.transform(
-            chunk_ranges(g["seg_text"], sent, size, overlap),
+            chunk_ranges(g["seg_text"], size, overlap),
             lambda r: F.struct((g["seg_start"] + r["start"]).alias("start"), (g["seg_start"] + r["end"]).alias("end")),
         ),
     )
     return F.flatten(per_seg)
 
 
-def with_chunks(df: DataFrame, text_col: str, covered_col: str, config: RedactConfig) -> DataFrame:
+def with_chunks(df: DataFrame, config: RedactConfig, text_col: str = PREFIX + "text", covered_col: str = PREFIX + "covered") -> DataFrame:
+    """Adds the chunk ranges, and a key that rows of equal text and equal ranges share."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    staged = df.withColumn("_sm_sent2", sentinel(text))
-    staged = staged.withColumn(
-        "chunks", chunk_column(text, F.col(covered_col), F.col("_sm_sent2"), config.chunk_size, config.overlap)
-    ).drop("_sm_sent2")
-    return staged.withColumn(
-        "chunk_texts", F.transform("chunks", lambda c: F.substring(text, c["start"] + 1, c["end"] - c["start"]))
-    )
+    key = F.sha2(F.concat_ws("|", F.to_json(F.col(covered_col)), text), 256)
+    return df.withColumn(CHUNKS, once(chunk_column(text, F.col(covered_col), config.chunk_size, config.overlap))).withColumn(KEY, key)
 
 
-def score_chunks(df: DataFrame, scorer, threshold: float, labels=P.ENTITY_LABELS) -> DataFrame:
-    """Adds ``scored``: struct<hits, errors> from the scorer."""
-    return df.withColumn("scored", E.score_column(F.col("chunk_texts"), scorer, labels, threshold))
+def chunk_rows(staged: DataFrame, text_col: str = PREFIX + "text") -> DataFrame:
+    """(key, chunk_idx, cstart, text) of all chunks that are not blank, each once, spread
+    over the tasks by a hash: a long document's chunks go to many of them."""
+    texts = with_cut(F.col(text_col), lambda t, part: F.transform(
+        F.col(CHUNKS), lambda c: F.struct(c["start"].alias("cstart"), part(c["start"], c["end"] - c["start"]).alias("text"))))
+    rows = staged.select(F.col(KEY).alias("key"), F.posexplode_outer(texts).alias("chunk_idx", "c"))
+    rows = rows.select("key", "chunk_idx", "c.cstart", "c.text").where(~is_blank(F.col("text")))
+    return rows.groupBy("key", "chunk_idx").agg(F.first("cstart").alias("cstart"), F.first("text").alias("text"))
 
 
-def entity_layer(out: DataFrame, base_cols, text_col, id_col, config: RedactConfig, scorer) -> DataFrame:
+def scored_rows(staged: DataFrame, scorer, threshold: float, labels=P.ENTITY_LABELS, text_col: str = PREFIX + "text") -> DataFrame:
+    """Rows of ``entities.SCORED_FIELDS`` for the chunks of ``staged``."""
     if scorer is None:
         raise ValueError("the entity layer needs a scorer (or disable_model=True)")
-    staged = with_chunks(out, "rx_text", "rx_covered", config)
-    staged = score_chunks(staged, scorer, config.threshold)
-    staged = staged.withColumn(
-        "_sm_spans",
-        E.remap(F.filter("scored.hits", lambda h: E.keep_hit(h, config.threshold)),
-                F.transform("chunks", lambda c: c["start"])),
-    )
-    staged = staged.withColumn(
-        "model_spans", E.greedy(E.guard(E.merge_contained(F.col("_sm_spans")), F.col("rx_covered")))
-    ).drop("_sm_spans")
-    blank = F.col("_sm_blank")
-    res = staged.select(
-        *base_cols,
-        F.when(blank, F.coalesce(F.col(text_col), F.lit("")))
-        .otherwise(mask(F.col("rx_text"), F.col("model_spans"), E.upper_placeholder)).alias("redacted"),
-        F.when(blank, F.create_map().cast("map<string,int>")).otherwise(F.col("rx_counts")).alias("regex_counts"),
-        F.when(blank, F.create_map().cast("map<string,int>"))
-        .otherwise(label_counts(F.col("model_spans")["label"])).alias("model_counts"),
-        F.when(blank, F.lit("blank")).otherwise(F.lit(getattr(scorer, "name", "scorer"))).alias("mode"),
-        F.when(blank, F.lit(0)).otherwise(F.size("chunks")).alias("num_chunks"),
-        F.when(blank, F.lit(0)).otherwise(
-            F.size(F.filter("chunk_texts", lambda t: t.rlike(f"[^{P.JAVA_SPACE_BODY}]")))
-        ).alias("scored_chunks"),
-        F.coalesce(F.col("scored.errors"), F.array().cast("array<string>")).alias("model_errors"),
-    )
-    return res.withColumn("regex_hits", map_total(F.col("regex_counts"))).withColumn(
-        "model_hits", map_total(F.col("model_counts"))
-    )
+    return scorer.scored(chunk_rows(staged, text_col), labels, threshold)
+
+
+def entity_layer(layer1: DataFrame, columns: list[str], text_col: str, config: RedactConfig, scorer) -> DataFrame:
+    staged = with_chunks(layer1, config).persist(StorageLevel.DISK_ONLY)
+    found = E.gather(scored_rows(staged, scorer, config.threshold), config.threshold).withColumnRenamed("key", KEY)
+    names = {c: PREFIX + c for c in ("scored_chunks", "model_errors", "hits")}
+    for old, new in names.items():
+        found = found.withColumnRenamed(old, new)
+    out = staged.join(found, KEY, "left")
+    hits = F.coalesce(F.col(names["hits"]), F.array().cast(E.ESPAN_ARRAY))
+    spans, kept = F.col(PREFIX + "entities"), PREFIX + "entities"
+    out = out.withColumn(kept, once(E.greedy(E.guard(E.merge_contained(hits), F.col(PREFIX + "covered")))))
+    return result(
+        out, columns, text_col, getattr(scorer, "name", "scorer"), mask(F.col(PREFIX + "text"), spans, E.upper_placeholder),
+        label_counts(spans["label"]), F.size(CHUNKS), F.coalesce(F.col(names["scored_chunks"]), F.lit(0)),
+        F.coalesce(F.col(names["model_errors"]), F.array().cast("array<string>")))

@@ -9,25 +9,26 @@ from __future__ import annotations
 
 from functools import partial
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.detectors import PinRegistry
-from ..functions.spans import explode_rows, posexplode_rows, sentinel
+from ..functions.detectors import PinRegistry, pin_rows
+from ..functions.spans import explode_rows, posexplode_rows
 from ..functions import chunks as C
 from ..config import DEFAULT_CHUNK_SIZE, DEFAULT_OVERLAP
 from ..operators.aggregates import chunk_stats, run_summary
 from ..operators import entities as E
-from ..functions.spans import mask
+from ..functions.spans import mask, once
 from ..config import RedactConfig
 from . import pipeline as PL
 from . import pipeline_full as PF
 from ..operators import regex_layer as RL
-from ..operators.aggregates import audit, doc_hits, label_counts_long
+from ..operators.aggregates import audit, doc_hits, full_audit, label_counts_long
 from ..operators.segments import uncovered_segments
 from . import derived as D
-from ..sources.io import balanced
+from ..sources.io import changed, decode_text, nonblank_redacted, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,19 +36,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark, sf_dir) -> DataFrame:
-    return balanced(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def notes(spark, sf_dir) -> DataFrame:
-    return balanced(spark.sql(D.NOTES_SQL, customer=table(spark, sf_dir, "customer")))
+    return spread(spark.sql(D.NOTES_SQL, customer=table(spark, sf_dir, "customer")))
+
+
+def ssn_notes(spark, sf_dir) -> DataFrame:
+    return spread(spark.sql(D.SSN_NOTES_SQL, customer=table(spark, sf_dir, "customer")))
 
 
 def form_notes(spark, sf_dir) -> DataFrame:
-    return balanced(spark.sql(D.FORM_NOTES_SQL, customer=table(spark, sf_dir, "customer")))
+    return spread(spark.sql(D.FORM_NOTES_SQL, customer=table(spark, sf_dir, "customer")))
 
 
 def blank_conversations(spark, sf_dir) -> DataFrame:
-    return balanced(spark.sql(D.BLANK_CONV_SQL, conversations=table(spark, sf_dir, "conversations")))
+    return spread(spark.sql(D.BLANK_CONV_SQL, conversations=table(spark, sf_dir, "conversations")))
 
 
 def para_docs(spark, sf_dir) -> DataFrame:
@@ -61,8 +66,12 @@ def para_docs(spark, sf_dir) -> DataFrame:
     )
 
 
-def registry(spark) -> PinRegistry:
-    return PinRegistry.from_table(spark.sql(D.REGISTRY_SQL))
+def registry_table(spark, sf_dir) -> DataFrame:
+    return spark.sql(D.REGISTRY_SQL, customer=table(spark, sf_dir, "customer"))
+
+
+def registry(spark, sf_dir) -> PinRegistry:
+    return PinRegistry.from_table(registry_table(spark, sf_dir))
 
 
 def _bigint(*names):
@@ -72,14 +81,14 @@ def _bigint(*names):
 # ---- S1 -------------------------------------------------------------------
 def q_source_text(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = decode_text(F.col("text"))
     return docs.select("doc_id", text.alias("text"), F.length(text).cast("bigint").alias("n_chars"))
 
 
 # ---- D1-D11 ---------------------------------------------------------------
 def q_detect(spark, sf_dir, label, source, id_col):
     df = source(spark, sf_dir)
-    spans = RL.detector_spans(df, label, "text", registry(spark))
+    spans = RL.detector_spans(df, label, "text", registry(spark, sf_dir))
     return explode_rows(spans, "spans", "s", id_col, "text").select(
         id_col,
         F.col("s.start").cast("bigint").alias("start"),
@@ -99,14 +108,13 @@ def q_pin_semi_join(spark, sf_dir):
         F.col("s.end").cast("bigint").alias("end"),
         F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("pin"),
     ).where(F.length("pin") == 6)
-    reg = spark.sql(D.REGISTRY_SQL)
-    # the registry is bounded by the PIN shape (<= 800,000 rows): broadcast is safe
-    return cands.join(F.broadcast(reg), "pin", "left_semi")
+    # PIN-shaped and distinct, so 800,000 short rows at most
+    return cands.join(F.broadcast(pin_rows(registry_table(spark, sf_dir))), "pin", "left_semi")
 
 
 # ---- P1-P5 ----------------------------------------------------------------
 def q_all_spans(spark, sf_dir):
-    df = RL.with_candidates(documents(spark, sf_dir), "text", registry(spark), name="c")
+    df = RL.with_candidates(documents(spark, sf_dir), "text", registry(spark, sf_dir), name="c")
     return explode_rows(df, "c", "s", "doc_id").select(
         "doc_id", *[F.col("s." + n).cast("bigint").alias(n) for n in ("start", "end")],
         F.col("s.label").alias("label"), F.col("s.prio").cast("bigint").alias("prio"),
@@ -114,7 +122,7 @@ def q_all_spans(spark, sf_dir):
 
 
 def _layer1_docs(spark, sf_dir, source=documents):
-    return RL.redact_regex(source(spark, sf_dir), "text", registry(spark))
+    return RL.redact_regex(source(spark, sf_dir), "text", registry(spark, sf_dir))
 
 
 def q_resolved_spans(spark, sf_dir):
@@ -163,27 +171,24 @@ def q_audit(spark, sf_dir):
 
 
 def q_changed_only(spark, sf_dir):
-    df = _layer1_docs(spark, sf_dir)
-    return df.where(F.size("rx_spans") > 0).select("doc_id", F.col("rx_text").alias("text"))
+    df = PL.redact(documents(spark, sf_dir), "text", registry=registry(spark, sf_dir), disable_model=True)
+    return changed(df).select("doc_id", F.col("redacted").alias("text"))
 
 
 # ---- S3, V7 ---------------------------------------------------------------
+def _conversations_redacted(spark, sf_dir):
+    return PL.redact(blank_conversations(spark, sf_dir), "text", registry=registry(spark, sf_dir), disable_model=True)
+
+
 def q_redact_nonblank(spark, sf_dir):
-    conv = blank_conversations(spark, sf_dir)
-    kept = conv.where(~RL.is_blank(F.col("text")))
-    out = RL.redact_regex(kept, "text", registry(spark))
-    return out.select("conv_id", "turn", F.col("rx_text").alias("text"))
+    out = nonblank_redacted(_conversations_redacted(spark, sf_dir))
+    return out.select("conv_id", "turn", "variant", F.col("redacted").alias("text"))
 
 
 def q_blank_docs(spark, sf_dir):
-    conv = blank_conversations(spark, sf_dir)
-    out = RL.redact_regex(conv, "text", registry(spark))
-    blank = RL.is_blank(F.col("text"))
-    return out.select(
-        "conv_id", "turn",
-        F.when(blank, F.coalesce(F.col("text"), F.lit(""))).otherwise(F.col("rx_text")).alias("text"),
-        blank.alias("is_blank"),
-        F.when(blank, F.lit(0)).otherwise(F.size("rx_spans")).cast("bigint").alias("regex_hits"),
+    return _conversations_redacted(spark, sf_dir).select(
+        "conv_id", "turn", "variant", F.col("redacted").alias("text"),
+        (F.col("mode") == "blank").alias("is_blank"), F.col("regex_hits").cast("bigint").alias("regex_hits"),
     )
 
 
@@ -191,7 +196,7 @@ def q_blank_docs(spark, sf_dir):
 def q_pipeline_regex_only(spark, sf_dir):
     from .pipeline import redact
 
-    df = redact(documents(spark, sf_dir), "text", registry=registry(spark), disable_model=True)
+    df = redact(documents(spark, sf_dir), "text", registry=registry(spark, sf_dir), disable_model=True)
     return df.select(
         "doc_id",
         F.col("redacted").alias("text"),
@@ -204,9 +209,7 @@ def q_pipeline_regex_only(spark, sf_dir):
 
 # ---- C1-C4, A4 --------------------------------------------------------------
 def _ranges_query(df, id_col, ranges_fn, idx_name):
-    d = df.withColumn("_s", sentinel(F.col("text")))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    d = d.withColumn("_r", ranges_fn(text, F.col("_s")))
+    d = df.withColumn("_r", once(ranges_fn(F.coalesce(F.col("text"), F.lit("")))))
     out = posexplode_rows(d, "_r", idx_name, "r", id_col)
     return out.select(
         id_col, F.col(idx_name).cast("bigint").alias(idx_name),
@@ -214,8 +217,8 @@ def _ranges_query(df, id_col, ranges_fn, idx_name):
     )
 
 
-def _chunks(text, sent):
-    return C.chunk_ranges(text, sent, DEFAULT_CHUNK_SIZE, DEFAULT_OVERLAP)
+def _chunks(text):
+    return C.chunk_ranges(text, DEFAULT_CHUNK_SIZE, DEFAULT_OVERLAP)
 
 
 def q_paragraph_units(spark, sf_dir):
@@ -227,7 +230,7 @@ def q_sentence_units(spark, sf_dir):
 
 
 def q_hard_windows(spark, sf_dir):
-    fn = lambda t, s: C.hard_windows(F.lit(0), F.length(t), DEFAULT_CHUNK_SIZE, DEFAULT_OVERLAP)
+    fn = lambda t: C.hard_windows(F.lit(0), F.length(t), DEFAULT_CHUNK_SIZE, DEFAULT_OVERLAP)
     return _ranges_query(documents(spark, sf_dir), "doc_id", fn, "window_idx")
 
 
@@ -246,7 +249,7 @@ def q_chunk_stats(spark, sf_dir):
 # ---- entity layer: E1-E4, V4-V6, P7-P10, C5, Q2, A2 -------------------------------
 def entity_notes(spark, sf_dir):
     t = partial(table, spark, sf_dir)
-    return balanced(spark.sql(D.ENTITY_NOTES_SQL, customer=t("customer"), nation=t("nation"), region=t("region")))
+    return spread(spark.sql(D.ENTITY_NOTES_SQL, customer=t("customer"), nation=t("nation"), region=t("region")))
 
 
 def entity_terms(spark, sf_dir):
@@ -254,74 +257,79 @@ def entity_terms(spark, sf_dir):
     return spark.sql(D.ENTITY_TERMS_SQL, customer=t("customer"), nation=t("nation"), region=t("region"))
 
 
+def document_terms(spark, sf_dir):
+    return spark.sql(D.DOCUMENT_TERMS_SQL, documents=table(spark, sf_dir, "documents"))
+
+
 def entity_hits(spark, sf_dir):
     hits = spark.sql(D.ENTITY_HITS_SQL, notes=notes(spark, sf_dir))
     return hits.withColumnRenamed("hit_start", "start").withColumnRenamed("hit_end", "end")
 
 
-def dictionary_scorer(spark, sf_dir):
-    return E.DictionaryScorer.from_table(spark, entity_terms(spark, sf_dir))
+#: Inputs of the entity queries: rows, id column, dictionary.
+ENTITY_SOURCES = {"notes": (entity_notes, "note_id", entity_terms), "documents": (documents, "doc_id", document_terms)}
 
 
-def _scored_notes(spark, sf_dir, threshold):
-    cfg = RedactConfig()
-    df = RL.redact_regex(entity_notes(spark, sf_dir), "text", registry(spark))
-    df = PF.with_chunks(df, "rx_text", "rx_covered", cfg)
-    return PF.score_chunks(df, dictionary_scorer(spark, sf_dir), threshold)
+def _staged(spark, sf_dir, source):
+    rows, id_col, terms = ENTITY_SOURCES[source]
+    df = RL.redact_regex(rows(spark, sf_dir), "text", registry(spark, sf_dir), PL.PREFIX)
+    return PF.with_chunks(df, RedactConfig()), id_col, E.DictionaryScorer(terms(spark, sf_dir))
 
 
-def q_chunk_segments(spark, sf_dir):
-    cfg = RedactConfig()
-    df = RL.redact_regex(entity_notes(spark, sf_dir), "text", registry(spark))
-    df = PF.with_chunks(df, "rx_text", "rx_covered", cfg)
-    out = posexplode_rows(df, "chunks", "chunk_idx", "c", "note_id")
-    return out.select("note_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"),
-                      *_bigint("c.start", "c.end")).toDF("note_id", "chunk_idx", "start", "end")
+def q_chunk_segments(spark, sf_dir, source):
+    staged, id_col, _ = _staged(spark, sf_dir, source)
+    out = posexplode_rows(staged, PF.CHUNKS, "chunk_idx", "c", id_col)
+    return out.select(id_col, F.col("chunk_idx").cast("bigint").alias("chunk_idx"),
+                      *_bigint("c.start", "c.end")).toDF(id_col, "chunk_idx", "start", "end")
 
 
-def q_score_chunks(spark, sf_dir):
-    df = _scored_notes(spark, sf_dir, 0.0)
-    out = explode_rows(df, "scored.hits", "h", "note_id")
-    return out.select(
-        "note_id", F.col("h.chunk_idx").cast("bigint").alias("chunk_idx"),
-        F.col("h.start").cast("bigint").alias("start"), F.col("h.end").cast("bigint").alias("end"),
-        F.col("h.label").alias("label"), F.col("h.text").alias("text"), F.col("h.confidence").alias("confidence"),
-    )
+def _hits(spark, sf_dir, source):
+    """All hits of the scorer, with the ids of the rows that share the scored text."""
+    staged, id_col, scorer = _staged(spark, sf_dir, source)
+    staged = staged.persist(StorageLevel.DISK_ONLY)
+    hits = PF.scored_rows(staged, scorer, 0.0).where(F.col("start").isNotNull())
+    ids = staged.select(F.col(PF.KEY).alias("key"), id_col)
+    return hits.join(ids, "key"), id_col
+
 
+def q_score_chunks(spark, sf_dir, source):
+    hits, id_col = _hits(spark, sf_dir, source)
+    return hits.select(id_col, *[F.col(c).cast("bigint").alias(c) for c in ("chunk_idx", "start", "end")], "label", "text", "confidence")
 
-def q_remap_offsets(spark, sf_dir):
-    df = _scored_notes(spark, sf_dir, 0.0)
-    df = df.withColumn("g", E.remap(F.col("scored.hits"), F.transform("chunks", lambda c: c["start"])))
-    out = explode_rows(df, "g", "s", "note_id")
-    return out.select("note_id", F.col("s.chunk_idx").cast("bigint").alias("chunk_idx"),
-                      F.col("s.start").cast("bigint").alias("start"), F.col("s.end").cast("bigint").alias("end"),
-                      F.col("s.label").alias("label"))
 
+def q_remap_offsets(spark, sf_dir, source):
+    hits, id_col = _hits(spark, sf_dir, source)
+    return E.remap(hits).select(id_col, *[F.col(c).cast("bigint").alias(c) for c in ("chunk_idx", "start", "end")], "label")
 
-def q_chunks_scored(spark, sf_dir):
-    df = PL.redact(entity_notes(spark, sf_dir), "text", registry=registry(spark),
-                   disable_model=False, scorer=dictionary_scorer(spark, sf_dir))
-    return df.select("note_id", F.col("num_chunks").cast("bigint").alias("num_chunks"),
-                     F.col("scored_chunks").cast("bigint").alias("scored_chunks"))
 
+def _pipeline_full(spark, sf_dir, source):
+    rows, id_col, terms = ENTITY_SOURCES[source]
+    return PL.redact(rows(spark, sf_dir), "text", registry=registry(spark, sf_dir), disable_model=False,
+                     scorer=E.DictionaryScorer(terms(spark, sf_dir))), id_col
 
-def _pipeline_full(spark, sf_dir):
-    return PL.redact(entity_notes(spark, sf_dir), "text", registry=registry(spark),
-                     disable_model=False, scorer=dictionary_scorer(spark, sf_dir))
 
+def q_chunks_scored(spark, sf_dir, source):
+    df, id_col = _pipeline_full(spark, sf_dir, source)
+    return df.select(id_col, *[F.col(c).cast("bigint").alias(c) for c in ("num_chunks", "scored_chunks")])
 
-def q_pipeline_full(spark, sf_dir):
-    df = _pipeline_full(spark, sf_dir)
+
+def q_pipeline_full(spark, sf_dir, source):
+    df, id_col = _pipeline_full(spark, sf_dir, source)
     return df.select(
-        "note_id", F.col("redacted").alias("text"),
+        id_col, F.col("redacted").alias("text"),
         F.col("regex_hits").cast("bigint").alias("regex_hits"),
         F.col("model_hits").cast("bigint").alias("model_hits"),
         "mode", F.col("num_chunks").cast("bigint").alias("num_chunks"),
     )
 
 
-def q_run_summary(spark, sf_dir):
-    return run_summary(_pipeline_full(spark, sf_dir), {"regex": "regex_counts", "model": "model_counts"})
+def q_run_summary(spark, sf_dir, source):
+    return run_summary(_pipeline_full(spark, sf_dir, source)[0], {"regex": "regex_counts", "model": "model_counts"})
+
+
+def q_audit_full(spark, sf_dir, source):
+    df, id_col = _pipeline_full(spark, sf_dir, source)
+    return full_audit(df, id_col, "text").drop("run_id")
 
 
 _HIT_COLS = ["note_id", "chunk_idx", "hit_idx", "start", "end", "label", "text", "confidence"]
@@ -335,20 +343,15 @@ def _hits_out(df):
 
 
 def q_entity_threshold(spark, sf_dir):
-    h = entity_hits(spark, sf_dir)
-    return _hits_out(h.where(F.col("confidence") >= RedactConfig().threshold))
+    return _hits_out(entity_hits(spark, sf_dir).where(E.confident(RedactConfig().threshold)))
 
 
 def q_entity_stopwords(spark, sf_dir):
-    h = entity_hits(spark, sf_dir)
-    stop = spark.createDataFrame([(w,) for w in P.ENTITY_STOPWORDS], "word string")
-    # fixed 13-word list: broadcast anti join
-    return _hits_out(h.join(F.broadcast(stop), F.lower(F.trim(h["text"])) == stop["word"], "left_anti"))
+    return _hits_out(entity_hits(spark, sf_dir).where(E.not_stopword()))
 
 
 def q_label_filter(spark, sf_dir):
-    h = entity_hits(spark, sf_dir)
-    return _hits_out(h.where(F.col("label").isin(list(P.ENTITY_LABELS))))
+    return _hits_out(entity_hits(spark, sf_dir).where(E.known_label()))
 
 
 def _filtered_hits(spark, sf_dir):
@@ -362,7 +365,7 @@ def q_merged_spans(spark, sf_dir):
 
 
 def _notes_layer1(spark, sf_dir):
-    return RL.redact_regex(notes(spark, sf_dir), "text", registry(spark))
+    return RL.redact_regex(notes(spark, sf_dir), "text", registry(spark, sf_dir))
 
 
 def q_covered_guard(spark, sf_dir):
@@ -402,12 +405,23 @@ DETECT_SOURCES = {
 }
 
 
+ENTITY_QUERIES = {
+    "chunk_segments": q_chunk_segments,
+    "score_chunks": q_score_chunks,
+    "remap_offsets": q_remap_offsets,
+    "chunks_scored": q_chunks_scored,
+    "pipeline_full": q_pipeline_full,
+    "run_summary": q_run_summary,
+    "audit_full": q_audit_full,
+}
+
+
 def registered() -> dict:
     q = {"source_text": q_source_text}
     for label, (key, src, idc) in DETECT_SOURCES.items():
         q[key] = partial(q_detect, label=label, source=src, id_col=idc)
     q["address_form_excluded"] = partial(q_detect, label="ADDRESS", source=form_notes, id_col="note_id")
-    q["ssn_rules"] = partial(q_detect, label="SSN", source=notes, id_col="note_id")
+    q["ssn_rules"] = partial(q_detect, label="SSN", source=ssn_notes, id_col="note_id")
     q.update(
         pin_semi_join=q_pin_semi_join,
         all_spans=q_all_spans,
@@ -428,12 +442,6 @@ def registered() -> dict:
         chunk_documents=q_chunk_documents,
         chunk_para_docs=q_chunk_para_docs,
         chunk_stats=q_chunk_stats,
-        chunk_segments=q_chunk_segments,
-        score_chunks=q_score_chunks,
-        remap_offsets=q_remap_offsets,
-        chunks_scored=q_chunks_scored,
-        pipeline_full=q_pipeline_full,
-        run_summary=q_run_summary,
         entity_threshold=q_entity_threshold,
         entity_stopwords=q_entity_stopwords,
         label_filter=q_label_filter,
@@ -441,4 +449,7 @@ def registered() -> dict:
         covered_guard=q_covered_guard,
         redact_entities=q_redact_entities,
     )
+    for key, fn in ENTITY_QUERIES.items():
+        q[key] = partial(fn, source="notes")
+        q[key + "_documents"] = partial(fn, source="documents")
     return q

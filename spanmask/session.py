@@ -35,19 +35,22 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; set a scratch one only
-    when none is configured (local tests)."""
-    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if current:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(current)
-        return current
-    path = tempfile.mkdtemp(prefix="spanmask-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    """The cluster's shared ``spark.checkpoint.dir``.
+
+    In local mode, where one machine is the cluster, a temporary folder stands in for an
+    unset one; elsewhere an unset one is an error, since tasks on other machines could not
+    read a local folder."""
+    context = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not current:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        current = tempfile.mkdtemp(prefix="spanmask-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", current)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(current)
+    return current

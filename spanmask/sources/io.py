@@ -11,18 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def balanced(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread an input that arrives in fewer splits than there are cores.
+#: Session setting: tasks that an input is dealt to before the regex layer.  Unset (the
+#: default), an input keeps its splits and no text is shuffled; a single-row-group file on
+#: many cores is the case to set it for.
+INPUT_PARTITIONS = "spanmask.input_partitions"
 
-    Large inputs already come in many splits and are left alone (no shuffle);
-    a small file with one row group would otherwise be redacted by one task.
-    """
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. Spark Connect has no RDD view: leave as is
-        return df
-    return df.repartition(target) if current < target else df
+
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``df`` dealt to ``partitions`` tasks if the caller or the session asks for it."""
+    asked = partitions or int(df.sparkSession.conf.get(INPUT_PARTITIONS, "0"))
+    return df.repartition(asked) if asked else df
 
 
 def decode_text(col: Column) -> Column:
@@ -30,11 +28,8 @@ def decode_text(col: Column) -> Column:
     return F.coalesce(F.make_valid_utf8(F.col(col) if isinstance(col, str) else col), F.lit(""))
 
 
-def read_parquet_text(spark: SparkSession, path: str, text_col: str = "text", balance: bool = True) -> DataFrame:
-    df = spark.read.parquet(path)
-    if balance:
-        df = balanced(df)
-    return df
+def read_parquet_text(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    return spread(spark.read.parquet(path), partitions)
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
@@ -49,11 +44,14 @@ def read_binary_files(spark: SparkSession, path: str) -> DataFrame:
     return df.select("path", decode_text(F.col("content").cast("string")).alias("text"))
 
 
-def write_changed(df: DataFrame, path: str, hits_col: str = "regex_hits", extra_hits: str | None = "model_hits",
-                  fmt: str = "parquet", mode: str = "append") -> None:
-    """Write back only rows where at least one span was masked."""
-    total = F.col(hits_col) + (F.col(extra_hits) if extra_hits and extra_hits in df.columns else F.lit(0))
-    df.where(total > 0).write.format(fmt).mode(mode).save(path)
+def changed(df: DataFrame) -> DataFrame:
+    """Rows of ``redact`` where at least one span was masked."""
+    return df.where(F.col("regex_hits") + F.col("model_hits") > 0)
+
+
+def write_changed(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:
+    """Write back only the rows that changed."""
+    changed(df).write.format(fmt).mode(mode).save(path)
 
 
 def nonblank_redacted(df: DataFrame, text_col: str = "text", out_col: str = "redacted") -> DataFrame:

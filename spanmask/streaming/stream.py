@@ -1,16 +1,15 @@
 """The redaction transform as a Structured Streaming job.
 
-The deterministic layer and the in-row entity layer are stateless per row, so
-the batch transform is reused unchanged on a streaming DataFrame: no state
-store, no watermark.  The query checkpoint lives under the cluster's shared
-``spark.checkpoint.dir`` unless a location is given, so a restarted driver or
-lost executors resume from the last committed micro-batch.
+The deterministic layer is stateless per row, so the batch transform is reused unchanged
+on a streaming DataFrame: no state store, no watermark.  With a scorer each micro-batch
+runs the batch transform and replaces its own folder of the sink, so a micro-batch that is
+run again writes the same rows once.  A restarted query resumes after the last micro-batch
+its checkpoint has committed; therefore the checkpoint, or a query name that fixes its
+place under ``spark.checkpoint.dir``, must be given.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -33,18 +32,24 @@ def redact_stream(stream: DataFrame, sink_path: str, text_col: str = "text",
                   scorer=None, checkpoint: str | None = None, fmt: str = "parquet",
                   available_now: bool = True, query_name: str | None = None) -> StreamingQuery:
     """Start the streaming redaction of ``stream`` into ``sink_path``."""
-    spark = stream.sparkSession
-    config = config or RedactConfig()
-    name = query_name or f"spanmask_{uuid.uuid4().hex[:8]}"
+    if checkpoint is None and query_name is None:
+        raise ValueError("give checkpoint or query_name: without a fixed place a restart would begin again")
+    spark, config = stream.sparkSession, config or RedactConfig()
     if checkpoint is None:
-        checkpoint = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
-    out = redact(stream, text_col, registry=registry, config=config,
-                 disable_model=config.disable_model or scorer is None, scorer=scorer)
-    writer = (
-        out.writeStream.format(fmt)
-        .queryName(name)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-    )
+        checkpoint = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{query_name}"
+    if config.disable_model or scorer is None:
+        out = redact(stream, text_col, registry=registry, config=config, disable_model=True)
+        writer = out.writeStream.format(fmt).outputMode("append").option("path", sink_path)
+    else:
+
+        def write(batch: DataFrame, batch_id: int) -> None:
+            done = redact(batch, text_col, registry=registry, config=config, disable_model=False, scorer=scorer)
+            done.write.format(fmt).mode("overwrite").save(f"{sink_path.rstrip('/')}/batch={batch_id}")
+            batch.sparkSession.catalog.clearCache()
+
+        writer = stream.writeStream.foreachBatch(write)
+    writer = writer.option("checkpointLocation", checkpoint)
+    if query_name:
+        writer = writer.queryName(query_name)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
-    return writer.start(sink_path)
+    return writer.start()

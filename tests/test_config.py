@@ -57,7 +57,7 @@ def test_disabled_model_equals_layer_one(spark):
     assert got["redacted"] == expected["rx_text"]
     assert dict(got["regex_counts"]) == dict(expected["rx_counts"])
     assert dict(got["model_counts"]) == {}
-    assert got["mode"] == "disabled" and got["num_chunks"] == 0
+    assert got["mode"] == "disabled" and got["num_chunks"] == got["scored_chunks"] == 0 and got["model_errors"] == []
 
 
 def test_blank_documents(spark):
@@ -76,3 +76,47 @@ def test_run_metrics_observed(spark):
     out.write.format("noop").mode("overwrite").save()
     m = obs.get
     assert m["docs"] == 2 and m["regex_hits"] == 1 and m["changed_docs"] == 1
+
+
+def test_one_schema_for_all_modes(spark):
+    class Nothing(Scorer):
+        def score(self, model, text, labels, threshold):
+            return []
+
+    df = spark.createDataFrame([(1, "text"), (2, " ")], "id long, text string")
+    assert redact(df, disable_model=True).dtypes == redact(df, scorer=Nothing(), disable_model=False).dtypes
+
+
+def test_input_columns_stay_and_clashes_are_errors(spark):
+    df = spark.createDataFrame([(1, "mail a.b@mail.example.com", "MINE", "x", "y")], "id long, text string, rx_text string, chunks string, spans string")
+    row = redact(df, disable_model=True).first()
+    assert (row["rx_text"], row["chunks"], row["spans"]) == ("MINE", "x", "y")
+    with pytest.raises(ValueError, match="redacted"):
+        redact(df.withColumn("Redacted", F.lit(1)), disable_model=True)
+    with pytest.raises(ValueError, match="rx_text"):
+        redact_regex(df, "text")
+
+
+def test_chunk_settings():
+    cfg = C.load_config({C.KEY_CHUNK_SIZE: "50", C.KEY_OVERLAP: "0", "other": "x", C.KEY_THRESHOLD: None})
+    assert (cfg.chunk_size, cfg.overlap, cfg.threshold) == (50, 0, C.DEFAULT_THRESHOLD)
+    for key, raw in ((C.KEY_CHUNK_SIZE, "0"), (C.KEY_CHUNK_SIZE, "1.5"), (C.KEY_OVERLAP, "-1")):
+        with pytest.raises(ValueError, match=re.escape(key)):
+            C.load_config({key: raw})
+
+
+def test_full_audit_counts_both_layers(spark):
+    from spanmask.operators.aggregates import full_audit
+
+    class Fails(Scorer):
+        def score(self, model, text, labels, threshold):
+            if "bad" in text:
+                raise KeyError("x")
+            return [{"label": "person", "start": 0, "end": 3, "text": text[:3], "confidence": 0.9}]
+
+    df = spark.createDataFrame([(1, "Ann mail a.b@mail.example.com now"), (2, "bad one"), (3, "")], "id long, text string")
+    run_id = C.new_run_id()
+    rows = {r["id"]: r for r in full_audit(redact(df, scorer=Fails(), disable_model=False), "id", "text", run_id).collect()}
+    assert (rows[1]["regex_hits"], rows[1]["model_hits"], rows[1]["num_chunks"], rows[1]["scored_chunks"], rows[1]["failed_chunks"]) == (1, 2, 2, 2, 0)
+    assert (rows[2]["model_hits"], rows[2]["failed_chunks"], rows[2]["changed"]) == (0, 1, False)
+    assert rows[3]["mode"] == "blank" and {r["run_id"] for r in rows.values()} == {run_id}

