@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .spans import CAND_ARRAY, empty, find_cands, let, with_cut
+from .spans import CAND_ARRAY, empty, find_cands, let, matches_to_cands, split_on_matches, with_cut
 
 # Every possible PIN: six ASCII digits, the first one 1-8.  At most 800,000
 # values exist, so a bitmap of 12,500 words holds any registry.
@@ -144,28 +144,38 @@ def _address_cands(text: Column, prio: int, keep) -> Column:
 def detector_cands(text: Column, label: str, raw: bool = False) -> Column:
     """array<candidate> for one detector label; ``raw`` skips the registry test, which
     else needs the column that :meth:`PinRegistry.attach` adds."""
-    prio = P.DETECTOR_ORDER.index(label)
-    pattern = P.JAVA_DETECTORS[label]
-    keep = None
-    if raw:
-        pass
-    elif label == "ADDRESS":
-
-        def keep(match):
+    return all_cands(text, [label], raw)
+
+
+def all_cands(text: Column, labels: Iterable[str] = P.DETECTOR_ORDER, raw: bool = False) -> Column:
+    """Union of the detectors' candidates (P1), one array per row.
+
+    The pieces of all detectors but ADDRESS go through one fold, which keeps the plan
+    small: each detector adds its regex and its guard only."""
+    labels, guards = list(labels), _guards(text)
+    arrays = []
+    if "ADDRESS" in labels:
+
+        def in_registry(match):
             pin = F.regexp_extract(match, P.JAVA_PIN, 0)
             return (pin != "") & PinRegistry.contains(pin)
-    elif label == "POSTAL_CODE":
 
-        def keep(match):
-            return (F.length(match) != 6) | PinRegistry.contains(match)
-    if label == "ADDRESS":
-        return _address_cands(text, prio, keep)
-    return find_cands(text, pattern, label, prio, keep=keep, guard=_guards(text)[label])
+        arrays.append(_address_cands(text, P.DETECTOR_ORDER.index("ADDRESS"), None if raw else in_registry))
+    plain = [x for x in labels if x != "ADDRESS"]
+    if plain:
+        found = F.array(*(
+            F.struct(
+                F.when(guards[x], split_on_matches(text, P.JAVA_DETECTORS[x])).otherwise(F.array().cast("array<string>")).alias("pieces"),
+                F.lit(P.DETECTOR_ORDER.index(x)).alias("prio"), F.lit(x).alias("label"))
+            for x in plain))
+
+        def cands(d):
+            def keep(match):
+                return (d["label"] != "POSTAL_CODE") | (F.length(match) != 6) | PinRegistry.contains(match)
 
+            return matches_to_cands(d["pieces"], d["label"], d["prio"], None if raw or "POSTAL_CODE" not in plain else keep)
 
-def all_cands(text: Column, labels: Iterable[str] = P.DETECTOR_ORDER) -> Column:
-    """Union of every detector's candidates (P1), one array per row."""
-    arrays = [detector_cands(text, lab) for lab in labels]
+        arrays.append(F.flatten(F.transform(found, cands)))
     if not arrays:
         return empty(CAND_ARRAY)
     return F.concat(*arrays) if len(arrays) > 1 else arrays[0]

@@ -175,7 +175,7 @@ def split_on_matches(text: Column, java_pattern: str) -> Column:
     return pieces_around(text, java_pattern)
 
 
-def matches_to_cands(pieces: Column, label: str, prio: int, keep=None) -> Column:
+def matches_to_cands(pieces: Column, label: Column, prio: Column, keep=None) -> Column:
     """Fold the piece array into candidate spans; ``keep(match)`` filters matches."""
 
     def step(acc, piece):
@@ -186,9 +186,9 @@ def matches_to_cands(pieces: Column, label: str, prio: int, keep=None) -> Column
         span = F.struct(
             acc["pos"].alias("start"),
             (-n).alias("neg_len"),
-            F.lit(prio).alias("prio"),
+            prio.alias("prio"),
             (acc["pos"] + n).alias("end"),
-            F.lit(label).alias("label"),
+            label.alias("label"),
         )
         items = F.when(take, F.array(span)).otherwise(empty(CAND_ARRAY))
         return {"pos": acc["pos"] + n, "i": acc["i"] + 1}, items
@@ -196,17 +196,9 @@ def matches_to_cands(pieces: Column, label: str, prio: int, keep=None) -> Column
     return scan(pieces, {"pos": F.lit(0), "i": F.lit(0)}, CAND_ARRAY, step)
 
 
-def find_cands(text: Column, java_pattern: str, label: str, prio: int,
-               keep=None, guard: Column | None = None) -> Column:
-    """All non-overlapping matches of one detector as candidate spans.
-
-    ``guard`` is a cheap necessary condition for any match; rows failing it skip
-    the regex entirely (it never changes the result).
-    """
-    cands = matches_to_cands(split_on_matches(text, java_pattern), label, prio, keep)
-    if guard is None:
-        return cands
-    return F.when(guard, cands).otherwise(empty(CAND_ARRAY))
+def find_cands(text: Column, java_pattern: str, label: str, prio: int) -> Column:
+    """All non-overlapping matches of one pattern as candidate spans."""
+    return matches_to_cands(split_on_matches(text, java_pattern), F.lit(label), F.lit(prio))
 
 
 def resolve(cands: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -54,3 +55,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not context.getCheckpointDir():
         context.setCheckpointDir(current)
     return current
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, for clusters where it is not installed."""
+    import spanmask
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(spanmask.__file__)))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spanmask-ship-"), "spanmask"), "zip", root, "spanmask")
+    spark.sparkContext.addPyFile(archive)

@@ -33,3 +33,17 @@ def test_inputs_are_dealt_out_only_on_request(spark):
     df = spark.range(100).coalesce(1).select(F.col("id").cast("string").alias("text"))
     assert "Exchange" not in io.spread(df)._jdf.queryExecution().executedPlan().toString()
     assert io.spread(df, 3).rdd.getNumPartitions() == 3
+
+
+def test_the_package_can_be_shipped(spark):
+    import zipfile
+
+    from spanmask.session import ship_package
+
+    ship_package(spark)
+    shipped = [f for f in spark.sparkContext._python_includes if f.endswith("spanmask.zip")]
+    assert shipped
+    from pyspark import SparkFiles
+
+    with zipfile.ZipFile(os.path.join(SparkFiles.getRootDirectory(), shipped[-1])) as z:
+        assert {"spanmask/operators/entities.py", "spanmask/functions/spans.py"} <= set(z.namelist())
