@@ -40,8 +40,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of passages of 35 words that repeat."""
-    out = substring_dedup.remove_repeats(docs.select(F.struct("*").alias("row"), "text"), "text", 35)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row.text"))
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    out = substring_dedup.remove_repeats(docs.select(rest.alias("row"), "text"), "text", 35)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     cut = out.select(*(text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
     return _with_chars(cut, docs)
 

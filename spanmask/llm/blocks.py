@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: The bytes that separate words: space and U+0009-U+000D.
 SPACES = b" \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 3 << 19
 
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[list(SPACES)] = False

@@ -49,17 +49,22 @@ def _dense(batches):
 
 
 class Model:
-    def __init__(self, rows):
-        rows.sort(key=lambda r: (r["label"], r["v"]))
-        self.y = np.array([r["label"] for r in rows], np.float32)
-        self.w = np.array([r["weight"] for r in rows], np.float32)
+    def __init__(self, rows: pa.Table):
+        """``rows``: v (float16 bytes), label, weight; in any order."""
+        vectors, label = rows.column("v").to_pylist(), rows.column("label").to_pylist()
+        order = sorted(range(len(label)), key=lambda i: (label[i], vectors[i]))
+        self.y = np.array(label, np.float32)[order]
+        self.w = rows.column("weight").to_numpy().astype(np.float32)[order]
         self.prior = float((self.y * self.w).sum() + 0.5) / (float(self.w.sum()) + 1.0)
         self.near = None
-        if rows:
-            x = np.stack([np.frombuffer(r["v"], np.float16) for r in rows]).astype(np.float32)
-            self.mean = np.average(x, axis=0, weights=self.w).astype(np.float32)
+        if order:
+            x = np.empty((len(order), len(vectors[0]) // 2), np.float32)
+            for to, i in enumerate(order):
+                x[to] = np.frombuffer(vectors[i], np.float16)
+                vectors[i] = None
+            self.mean = (self.w / self.w.sum()) @ x
             x -= self.mean
-            self.basis = _leading(x, min(DIMS, len(rows)))
+            self.basis = _leading(x, min(DIMS, len(order)))
             self.near = _unit(x @ self.basis)
 
     def score(self, column) -> np.ndarray:
@@ -95,8 +100,8 @@ def _leading(x: np.ndarray, dims: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> Model:
-    got = labelled_sample(docs, labels, label, rows).mapInArrow(_dense, "v binary, label int, weight double").collect()  # 2 * rows vectors at most
-    return Model(got)
+    # 2 * rows vectors at most
+    return Model(labelled_sample(docs, labels, label, rows).mapInArrow(_dense, "v binary, label int, weight double").toArrow())
 
 
 def score(df: DataFrame, model: Model, column: str = "text", name: str = "score") -> DataFrame:

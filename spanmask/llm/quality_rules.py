@@ -91,13 +91,16 @@ class _Rows:
         self.idx = np.concatenate([np.frombuffer(r["idx"], np.int32) for r in rows])
         self.val = np.concatenate([np.frombuffer(r["val"], np.float32) for r in rows])
         size = np.array([len(r["idx"]) // 4 for r in rows])
-        self.row, self.bounds = np.repeat(np.arange(len(rows)), size), np.concatenate([[0], np.cumsum(size)])
+        self.row, self.bounds = np.repeat(np.arange(len(rows), dtype=np.int32), size), np.concatenate([[0], np.cumsum(size)])
         self.y = np.array([r["label"] for r in rows], np.float64)
         self.w = np.array([r["weight"] for r in rows], np.float64)
         self.w /= self.w.sum()
 
     def linear(self, w: np.ndarray) -> np.ndarray:
-        return per_text(w[self.idx].astype(np.float64) * self.val, self.bounds) + w[-1]
+        if not len(self.idx):
+            return np.full(len(self.y), float(w[-1]))
+        sums = np.add.reduceat(w[self.idx] * self.val, np.minimum(self.bounds[:-1], len(self.idx) - 1), dtype=np.float64)
+        return np.where(np.diff(self.bounds) > 0, sums, 0.0) + w[-1]
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -107,7 +110,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, steps: int = 120) -> tuple[np.ndarray, float, float]:
     """Weights (the last is the bias) and the slope and shift of the calibration."""
     sample = labelled_sample(docs, labels, label, rows)
-    got = sample.mapInArrow(_sparse, "idx binary, val binary, label int, weight double").collect()  # 2 * rows texts at most
+    got = sample.mapInArrow(_sparse, "idx binary, val binary, label int, weight double").toArrow().to_pylist()  # 2 * rows texts at most
     got.sort(key=lambda r: (r["label"], r["idx"], r["val"]))
     dims = 4 * (1 << BITS) + 1
     w = np.zeros(dims, np.float32)
@@ -118,14 +121,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     learn, check = [r for i, r in enumerate(got) if i % 4], got[::4]
     if len({r["label"] for r in check}) < 2 or len({r["label"] for r in learn}) < 2:
         learn = check = got
-    a, m, v = _Rows(learn), np.zeros(dims), np.zeros(dims)
+    a, b, m, v = _Rows(learn), _Rows(check), np.zeros(dims), np.zeros(dims)
+    del got, learn, check
     for t in range(1, steps + 1):
         g = (_sigmoid(a.linear(w)) - a.y) * a.w
-        grad = np.bincount(a.idx, a.val * g[a.row], dims) + 1e-5 * w
+        grad = np.bincount(a.idx, a.val * g.astype(np.float32)[a.row], dims) + 1e-5 * w
         grad[-1] = g.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         w = (w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-10)).astype(np.float32)
-    b = _Rows(check)
     z = b.linear(w)
     n1, n0 = b.y.sum(), len(b.y) - b.y.sum()
     goal = np.where(b.y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))

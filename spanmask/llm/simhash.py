@@ -69,7 +69,7 @@ def fingerprints(df: DataFrame, column: str = "text", k: int = 3, name: str = "f
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, column, 2 << 20):
+            for part in pieces(batch, column, 1 << 20):
                 data, offsets = utf8(part.column(column))
                 lower = data + np.where((data >= 65) & (data <= 90), np.uint8(32), np.uint8(0))
                 fp = majority(*_shingle_hashes(Words(lower, offsets), k))
