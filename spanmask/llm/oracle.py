@@ -35,12 +35,12 @@ select p.doc_id, p.source, p.size, g.source_size::bigint as source_size, round(g
 from placed p join goal g on p.source is not distinct from g.source
 """
 
-#: Exact search: every query against every other usable vector.
+#: Exact search: every query against every other usable vector; squares are added in order.
 OP2 = """
 with v as (select vec_id, embedding::double[] as e from embeddings
   where embedding is not null and len(embedding) > 0 and vec_id is not null
     and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
-pairs as (select q.vec_id as query_id, c.vec_id, list_distance(q.e, c.e) as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
+pairs as (select q.vec_id as query_id, c.vec_id, sqrt(list_reduce(list_prepend(0.0::double, list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), lambda a, b: a + b)) as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
 ranked as (select *, row_number() over (partition by query_id order by score, vec_id) as r from pairs)
 select query_id, r::integer as rank, vec_id, score from ranked where r <= 10
 """

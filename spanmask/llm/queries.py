@@ -73,7 +73,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_documents(spark, sf_dir, "source")).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return mixing.mix(_documents(spark, sf_dir, "source")).select("doc_id", "source", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
