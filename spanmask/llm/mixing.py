@@ -18,10 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanmask.llm.blocks import WORD_PATTERN
+from spanmask.llm.blocks import WORD_PATTERN, settle
 
 GOLDEN = 0.6180339887498949
-BUCKET = 20_000
+BUCKET = 1_000
 SLOTS = 1 << 16
 WEIGHTS = (3.0, 1.0, 2.0)
 
@@ -76,7 +76,8 @@ def mix(df: DataFrame, column: str = "text", id_column: str = "doc_id", source_c
     rows = df.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), size.alias("size"), F.col(column).alias("text"))
     # the shuffle: md5 of id and size; equal keys are ordered by id, size
     rows = rows.select("id", "source", "size", F.md5(F.concat_ws("|", F.lit("mix"), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("size").cast("string"))).alias("key"))
-    return _mix(rows, slots).select(F.col("id").alias(id_column), "source", "size", "source_size", "target", "start", "taken", "first_slot")
+    # the word counts are read by every step that follows
+    return _mix(settle(rows), slots).select(F.col("id").alias(id_column), "source", "size", "source_size", "target", "start", "taken", "first_slot")
 
 
 def _mix(rows: DataFrame, slots: int) -> DataFrame:
