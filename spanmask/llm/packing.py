@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 
 from spanmask.llm.blocks import pieces, settle, utf8
 
-CACHED_WORDS, CACHED_CORES = 1 << 19, 1 << 20
-_RANKED = 50_000
+CACHED_WORDS, CACHED_CORES = 1 << 18, 1 << 19
+_RANKED = 500
 #: Letters and a tail of ASCII punctuation (no apostrophe): cut there by the tokenizer too.
 _PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
 _PROBES = ["Hello,", "ÉTÉ", "naïve...", "a", "straße!!", "Zürich)", "The***", "xyz|", "Œuvre", "don't", "ab12", "e\u0301", "--", "ÀÖØöøÿ", "Supercalifragilistic$$$", "ﬁn", "<|endoftext|>", "I'm"]
