@@ -3,11 +3,11 @@
 Texts are lower-cased and mapped to letters and one boundary symbol for any run of other
 characters.  Counts of runs of four symbols over all learning rows, per language, are
 combined per task and summed by Spark, which derives the continuation counts of the lower
-orders.  Each language's model is a set of sorted arrays of 64-bit hashes with the
-discounted probability of a run and the interpolation weight of a context; it holds at most
-``ENTRIES`` runs of each order, the most frequent (rarer ones are scored by the lower
-orders), which bounds the broadcast.  A text gets the language of the lowest cross-entropy
-per symbol.
+orders.  Each language's model holds every counted run: sorted arrays with the discounted
+probability of a run and the interpolation weight of a context, cut into shards of
+``ENTRIES`` runs, each a broadcast of its own.  The driver and a task hold one shard at a
+time, besides the first ``KEPT`` runs, which tasks keep loaded.  A text gets the language of
+the lowest cross-entropy per symbol.
 
 Calibration, on learning rows that are not counted (fold 1): ``score`` is the probability
 that the choice is right, a logistic function of the margin to the second language;
@@ -24,14 +24,16 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanmask.llm.blocks import mix64, per_text, pieces, settle
+from spanmask.llm.blocks import from_bytes, per_text, pieces, settle, to_bytes
 
 ORDER = 4
 ENTRIES = 200_000
+KEPT = 4_000_000
 REJECT = 0.999
 FOLDS = 5
 _SYMBOL_BITS = 16
@@ -123,60 +125,110 @@ def _orders(counts: DataFrame) -> DataFrame:
     return out
 
 
-def _frequent(table: DataFrame, entries: int) -> DataFrame:
-    """Of each language and order the runs with the highest counts, ``entries`` at most."""
-    steps = table.groupBy("lang", "order", "n").agg(F.count(F.lit(1)).alias("m"))
-    so_far = F.sum("m").over(Window.partitionBy("lang", "order").orderBy(F.desc("n")))
-    least = steps.withColumn("m", so_far).where(F.col("m") <= entries).groupBy("lang", "order").agg(F.min("n").alias("least"))
-    return table.join(F.broadcast(least), ["lang", "order"]).where("n >= least").drop("least")
+def _parts(table: DataFrame):
+    """(lang, order, run, n, total, kinds) of all rows in the order of lang, order and run, some
+    thousand at a time; the driver holds those of one partition."""
+
+    def pack(batches):
+        for batch in batches:
+            for (lang, order), t in batch.to_pandas().groupby(["lang", "order"]):
+                part = pa.RecordBatch.from_pandas(t[["run", "n", "total", "kinds"]], preserve_index=False)
+                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([order], pa.int32()), pa.array([to_bytes(part)], pa.binary())], ["lang", "order", "part"])
+
+    ordered = table.select("lang", "order", "run", "n", "total", "kinds").orderBy("lang", "order", "run")
+    for r in ordered.mapInArrow(pack, "lang string, order int, part binary").toLocalIterator():
+        part = from_bytes(bytes(r["part"]))
+        yield (r["lang"], r["order"], *(c.to_numpy() for c in part.columns))
+
+
+class _Shard:
+    """Probabilities of neighbouring runs, weights of their contexts."""
+
+    def __init__(self, run: np.ndarray, probability: np.ndarray, ctx: np.ndarray, weight: np.ndarray):
+        ctx, at = np.unique(ctx, return_index=True)
+        self.run, self.probability, self.ctx, self.weight = run, probability.astype(np.float32), ctx, weight[at].astype(np.float32)
 
 
-class _Sorted:
-    """Values by 64-bit hash: a sorted array and its values."""
+class _Place:
+    """Bounds of a shard, and the shard or its broadcast."""
 
-    def __init__(self, key: np.ndarray, value: np.ndarray, default: float):
-        h = mix64(key)
-        h, at = np.unique(h, return_index=True)
-        self.hash, self.value, self.default = h, value[at].astype(np.float32), default
+    def __init__(self, shard: _Shard, kept: bool, store):
+        self.run, self.ctx = (shard.run[0], shard.run[-1]), (shard.ctx[0], shard.ctx[-1])
+        self.kept, self.held = kept, store(shard)
 
-    def get(self, hashed: np.ndarray) -> np.ndarray:
-        if not len(self.hash):
-            return np.full(len(hashed), self.default, np.float32)
-        at = np.minimum(np.searchsorted(self.hash, hashed), len(self.hash) - 1)
-        return np.where(self.hash[at] == hashed, self.value[at], np.float32(self.default))
+    def fill(self, run: np.ndarray, probability: np.ndarray, ctx: np.ndarray, weight: np.ndarray) -> None:
+        """Puts what the shard knows of the sorted ``run`` and ``ctx`` into the other two."""
+        a, b = np.searchsorted(run, self.run[0]), np.searchsorted(run, self.run[1], "right")
+        c, d = np.searchsorted(ctx, self.ctx[0]), np.searchsorted(ctx, self.ctx[1], "right")
+        if a == b and c == d:
+            return
+        shard = self.held.value if isinstance(self.held, Broadcast) else self.held
+        for mine, out, key, value in ((run[a:b], probability[a:b], shard.run, shard.probability), (ctx[c:d], weight[c:d], shard.ctx, shard.weight)):
+            at = np.searchsorted(key, mine)
+            met = key[at] == mine
+            out[met] = value[at[met]]
+        if isinstance(self.held, Broadcast) and not self.kept:
+            self.held.__dict__.pop("_value", None)  # read again from the executor's disk when needed
 
 
 class Model:
-    """Per language and order: discounted probabilities of runs, weights of contexts."""
-
-    def __init__(self, table: pd.DataFrame, kinds_of_counts: pd.DataFrame):
-        self.langs = sorted(table["lang"].unique()) if len(table) else []
-        self.orders, self.floor = [], []
-        for lang in self.langs:
-            levels = []
-            for order in range(1, ORDER + 1):
-                t = table[(table["lang"] == lang) & (table["order"] == order)]
-                c = kinds_of_counts[(kinds_of_counts["lang"] == lang) & (kinds_of_counts["order"] == order)]
-                n1, n2 = float(c["n1"].sum()), float(c["n2"].sum())
-                d = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
-                run, n, total, kinds = (t[x].to_numpy() for x in ("run", "n", "total", "kinds"))
-                run = run.view(np.uint64)
-                ctx = (run >> np.uint64(_SYMBOL_BITS)) if order > 1 else np.zeros(len(run), np.uint64)
-                levels.append((_Sorted(run, (n - d) / total, 0.0), _Sorted(ctx, d * kinds / total, 1.0)))
-            self.orders.append(levels)
-            self.floor.append(1.0 / (1 + len(table[(table["lang"] == lang) & (table["order"] == 1)])))
+    """Per language and order: discounted probabilities of runs, weights of contexts, in shards.
+
+    ``table``: rows (lang, order, run, n, total, kinds), as a frame or in parts ordered by these."""
+
+    def __init__(self, table, kinds_of_counts: pd.DataFrame, entries: int = ENTRIES, store=lambda shard: shard):
+        if isinstance(table, pd.DataFrame):
+            by = table.sort_values(["lang", "order", "run"]).groupby(["lang", "order"])
+            table = ((lang, order, *(t[x].to_numpy() for x in ("run", "n", "total", "kinds"))) for (lang, order), t in by)
+        discounts = {}
+        for c in kinds_of_counts.itertuples():
+            n1, n2 = float(c.n1), float(c.n2)
+            discounts[c.lang, c.order] = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
+        found: dict[str, list] = {}
+        letters: dict[str, int] = {}
+        size, waiting, at = 0, [], None
+
+        def shard():
+            nonlocal size
+            lang, order = at
+            run, n, total, kinds = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            d = discounts.get(at, 0.5)
+            ctx = (run.view(np.uint64) >> np.uint64(_SYMBOL_BITS)).view(np.int64) if order > 1 else np.zeros(len(run), np.int64)
+            size += len(run)
+            levels = found.setdefault(lang, [[] for _ in range(ORDER)])
+            levels[order - 1].append(_Place(_Shard(run, (n - d) / total, ctx, d * kinds / total), size <= KEPT, store))
+            waiting.clear()
+
+        for lang, order, *part in table:
+            if waiting and (at != (lang, order) or sum(len(w[0]) for w in waiting) >= entries):
+                shard()
+            at = (lang, order)
+            if order == 1:
+                letters[lang] = letters.get(lang, 0) + len(part[0])
+            for lo in range(0, len(part[0]), entries):
+                if lo:
+                    shard()
+                waiting.append([x[lo : lo + entries] for x in part])
+        if waiting:
+            shard()
+        self.langs = sorted(found)
+        self.orders = [found[lang] for lang in self.langs]
+        self.floor = [1.0 / (1 + letters[lang]) for lang in self.langs]
         self.slope, self.typical, self.limit = 1.0, np.zeros(len(self.langs)), np.full(len(self.langs), np.inf)
 
     def log_probabilities(self, code: np.ndarray) -> np.ndarray:
         """Natural logarithms per run and language."""
         out = np.empty((len(code), len(self.langs)), np.float32)
         masks = [np.uint64((1 << (_SYMBOL_BITS * n)) - 1) for n in range(ORDER + 1)]
-        run_hash = [mix64(code & masks[n]) for n in range(1, ORDER + 1)]
-        ctx_hash = [mix64((code >> np.uint64(_SYMBOL_BITS)) & masks[n]) for n in range(ORDER)]
+        run = [np.unique((code & masks[n]).view(np.int64), return_inverse=True) for n in range(1, ORDER + 1)]
+        ctx = [np.unique(((code >> np.uint64(_SYMBOL_BITS)) & masks[n]).view(np.int64), return_inverse=True) for n in range(ORDER)]
         for k, levels in enumerate(self.orders):
             p = np.full(len(code), self.floor[k], np.float32)
-            for n, (probability, weight) in enumerate(levels):
-                p = probability.get(run_hash[n]) + weight.get(ctx_hash[n]) * p
+            for (runs_, run_at), (ctxs, ctx_at), places in zip(run, ctx, levels, strict=True):
+                probability, weight = np.zeros(len(runs_), np.float32), np.ones(len(ctxs), np.float32)
+                for place in places:
+                    place.fill(runs_, probability, ctxs, weight)
+                p = probability[run_at] + weight[ctx_at] * p
             out[:, k] = np.log(np.maximum(p, 1e-12))
         return out
 
@@ -210,17 +262,16 @@ def fit(docs: DataFrame, column: str = "text", lang_column: str = "lang", id_col
     counts = settle(counts.groupBy("lang", "run").agg(F.sum("n").alias("n")))
     table = settle(_orders(counts))
     kinds = table.where("n <= 2").groupBy("lang", "order").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"))
-    model = Model(_frequent(table, entries).toArrow().to_pandas(), kinds.toArrow().to_pandas())
+    model = Model(_parts(table), kinds.toArrow().to_pandas(), entries, docs.sparkSession.sparkContext.broadcast)
     return _calibrated(known.where("fold = 1").select("lang", "text"), model)
 
 
 def _calibrated(rows: DataFrame, model: Model) -> Model:
     if not model.langs:
         return model
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    m = model  # tasks get the shards' places with the function, the shards as broadcasts
 
     def run(batches):
-        m = shared.value
         for batch in batches:
             for part in pieces(batch, "text"):
                 best, low, margin, size, letters = m.judge(part.column("text").to_pylist())
@@ -247,10 +298,9 @@ def predict(df: DataFrame, model: Model, column: str = "text") -> DataFrame:
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
     kept = [f for f in df.schema.fields if f.name != column and f.name not in {a.name for a in added}]
     names = [f.name for f in kept]
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    m = model
 
     def run(batches):
-        m = shared.value
         for batch in batches:
             for part in pieces(batch, column):
                 best, low, margin, size, _ = m.judge(part.column(column).to_pylist())

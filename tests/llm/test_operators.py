@@ -284,6 +284,16 @@ def test_language_edges(odd, empty, docs):
     assert language_id.predict(noise, model, "text").first()["rejected"]
 
 
+def test_no_counted_run_is_lost(docs, monkeypatch):
+    """Shards of any size, kept or read again, give the scores of the whole model."""
+    monkeypatch.setattr(language_id, "KEPT", 5_000)
+    few = docs.where("doc_id < 300").select("doc_id", "lang", "text")
+    whole, cut = (language_id.fit(few, entries=n) for n in (1 << 30, 700))
+    assert max(len(places) for levels in cut.orders for places in levels) > 5
+    a, b = (sorted((r["doc_id"], r["lang_pred"], r["entropy"], r["score"], r["rejected"]) for r in language_id.predict(few, m, "text").collect()) for m in (whole, cut))
+    assert a == b
+
+
 def test_pruned_model_still_tells_languages_apart(docs):
     out = language_id.predict(docs.select("doc_id", "lang", "text"), language_id.fit(docs, entries=500), "text").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in out) >= 0.95 * len(out)
