@@ -4,7 +4,10 @@ Slot t of the schedule belongs to the source in whose share of the cumulative we
 point frac(t * golden ratio) falls, so every stretch of slots is near the target mix.
 Each source's rows are shuffled by a hash, laid end to end and cut into blocks of equal
 size; the source's r-th slot takes its r-th block, starting over after the last one.
-A source takes blocks until its target; the last one is cut there.
+A source takes blocks until its target; the last one is cut there.  Nothing is taken but by
+a slot: shares are in proportion to the blocks that the targets need, M in all, and 2 M + 16
+slots are dealt.  Of as many golden-ratio points neighbours are less than 1 / M apart, so each
+source gets all the slots it needs.
 
 Prefix sums are two-level (hash buckets of about ``BUCKET`` rows, then rows in a bucket), so
 a source with a third of all rows is spread over many tasks.
@@ -54,8 +57,9 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float =
     return t.select("source", "source_size", F.coalesce(target, F.col("limit")).cast("double").alias("target"), "w")
 
 
-def schedule(goal: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(source, rank, slot): the slots of each source in the order of the schedule."""
+def schedule(goal: DataFrame, slots: int | Column = SLOTS) -> DataFrame:
+    """(source, rank, slot): the slots of each source in the order of the schedule; ``slots`` is
+    their number."""
     spark = goal.sparkSession
     whole = Window.partitionBy()
     to = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
@@ -63,7 +67,9 @@ def schedule(goal: DataFrame, slots: int = SLOTS) -> DataFrame:
     # all shares as one value, so a slot finds its source without a join over ranges
     shares = share.agg(F.sort_array(F.collect_list(F.struct("high", "low", "source")))).scalar()
     t = (F.col("slot") + 0.5) * F.lit(GOLDEN)
-    points = spark.range(slots).select(F.col("id").alias("slot")).withColumn("x", t - F.floor(t))
+    wide = F.lit(1 << 10).cast("long")
+    first = spark.range(1 << 10).withColumn("slots", F.lit(slots).cast("long")).where("id < slots")
+    points = first.select(F.explode(F.sequence(F.col("id"), F.col("slots") - 1, wide)).alias("slot")).withColumn("x", t - F.floor(t))
     found = F.filter(F.col("shares"), lambda s: s["high"] > F.col("x"))
     dealt = points.withColumn("shares", shares).withColumn("found", found).where(F.size("found") > 0).select("slot", F.col("found")[0]["source"].alias("source"))
     return dealt.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1)
@@ -71,13 +77,14 @@ def schedule(goal: DataFrame, slots: int = SLOTS) -> DataFrame:
 
 def mix(df: DataFrame, column: str = "text", id_column: str = "doc_id", source_column: str = "source", slots: int = SLOTS) -> DataFrame:
     """Per row: id, size, source, source_size, target, start (place in its source's shuffled
-    stream), taken, and first_slot (place in the schedule of its first taken block)."""
+    stream), taken, first_slot and second_slot (place in the schedule of its first block taken,
+    and of the first when its source starts over; null: not taken)."""
     size = word_count(F.col(column))
     rows = df.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), size.alias("size"), F.col(column).alias("text"))
     # the shuffle: md5 of id and size; equal keys are ordered by id, size
     rows = rows.select("id", "source", "size", F.md5(F.concat_ws("|", F.lit("mix"), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("size").cast("string"))).alias("key"))
     # the word counts are read by every step that follows
-    return _mix(settle(rows), slots).select(F.col("id").alias(id_column), "source", "size", "source_size", "target", "start", "taken", "first_slot")
+    return _mix(settle(rows), slots).select(F.col("id").alias(id_column), "source", "size", "source_size", "target", "start", "taken", "first_slot", "second_slot")
 
 
 def _mix(rows: DataFrame, slots: int) -> DataFrame:
@@ -102,21 +109,24 @@ def _mix(rows: DataFrame, slots: int) -> DataFrame:
     length = F.least(F.col("block"), F.col("source_size") - F.col("b") * F.col("block"))
     from_ = F.floor(F.col("rank") / F.col("blocks")) * F.col("source_size") + F.col("b") * F.col("block")
     words = F.greatest(F.least(F.round("target").cast("long") - from_, length), F.lit(0)).cast("long")
-    taken = ranks.select("source", "rank", "b", words.alias("words")).where("words > 0")
-    slot = schedule(goal, slots)
-    taken = _same(taken, slot, "source", "rank", how="left")
-    # slots beyond the schedule's end follow it in the order of their ranks
-    by_block = taken.groupBy("source", "b").agg(F.collect_list("words").alias("cuts"), F.min(F.coalesce(F.col("slot"), F.lit(slots) + F.col("rank"))).alias("slot"))
+    due = ranks.select("source", "rank", "b", F.floor(F.col("rank") / F.col("blocks")).alias("turn"), words.alias("words")).where("words > 0")
+    needed = due.groupBy("source").agg(F.count(F.lit(1)).alias("target"))
+    slots_dealt = needed.agg(2 * F.sum("target") + 16).scalar()
+    # a block is taken by the slot of its rank only
+    taken = _same(due, schedule(needed, slots_dealt), "source", "rank")
+    by_block = taken.groupBy("source", "b").agg(F.collect_list(F.struct("turn", "words", "slot")).alias("cuts"))
     placed = placed.withColumn("block", block)
     end = F.col("start") + F.col("size")
     some = placed.withColumn("b", F.explode(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / F.col("block")), F.floor((end - 1) / F.col("block")))).otherwise(F.array(F.floor(F.col("start") / F.col("block"))))))
     met = _same(some, by_block, "source", "b", how="left")
     lo = F.greatest(F.col("start") - F.col("b") * F.col("block"), F.lit(0))
     hi = F.least(end - F.col("b") * F.col("block"), F.col("block"))
-    part_taken = F.aggregate(F.coalesce("cuts", F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda a, w: a + F.greatest(F.least(w, hi) - lo, F.lit(0)).cast("long"))
-    met = met.withColumn("part", part_taken).withColumn("slot", F.when(F.col("part") > 0, F.col("slot")))
+    words_of = lambda cut: F.greatest(F.least(cut["words"], hi) - lo, F.lit(0)).cast("long")
+    part_taken = F.coalesce(F.aggregate("cuts", F.lit(0).cast("long"), lambda a, cut: a + words_of(cut)), F.lit(0).cast("long"))
+    slot_of = lambda turn: F.array_min(F.transform(F.filter("cuts", lambda cut: (cut["turn"] == turn) & (words_of(cut) > 0)), lambda cut: cut["slot"]))
+    met = met.withColumn("part", part_taken).withColumn("slot_0", slot_of(0)).withColumn("slot_1", slot_of(1))
     one = ["source", "start", "id", "size", "key", "source_size", "target", "nth", "bucket"]
-    return met.groupBy(*one).agg(F.sum("part").alias("taken"), F.min("slot").alias("first_slot"))
+    return met.groupBy(*one).agg(F.sum("part").alias("taken"), F.min("slot_0").alias("first_slot"), F.min("slot_1").alias("second_slot"))
 
 
 def _same(left: DataFrame, right: DataFrame, *on: str, how: str = "inner") -> DataFrame:
@@ -129,19 +139,21 @@ def _same(left: DataFrame, right: DataFrame, *on: str, how: str = "inner") -> Da
 
 
 def mixed_rows(df: DataFrame, column: str = "text", id_column: str = "doc_id", source_column: str = "source", slots: int = SLOTS) -> DataFrame:
-    """The rows of ``df`` as often as the mix takes them; where it takes part of a row's words,
-    the text holds the first of them, joined by one space."""
+    """The rows of ``df`` as often as the mix takes them, in the order of the schedule's slots;
+    where it takes part of a row's words, the text holds the first of them, joined by one
+    space."""
     h = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
     key = F.concat_ws("|", F.coalesce(F.col(id_column).cast("string"), F.lit("null")), h.cast("string"))
     rows = df.select(F.struct("*").alias("row"), key.alias("key"), F.col(column).alias("text"), F.col(source_column).alias("source"))
     # equal rows have equal keys; they are told apart by a number
     nth = F.row_number().over(Window.partitionBy("key").orderBy("key"))
-    dealt = mix(rows, "text", "key", "source", slots).where("taken > 0").select("key", "size", "taken")
-    dealt = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("taken"))))
+    dealt = mix(rows, "text", "key", "source", slots).where("taken > 0").select("key", "size", "taken", "start", "first_slot", "second_slot")
+    dealt = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("taken"), "start")))
     met = rows.drop("source", "text").withColumn("nth", nth).join(dealt, ["key", "nth"])
     cut = (F.col("taken") % F.col("size")).cast("int")
-    met = met.withColumn("words", F.explode(F.flatten(F.array(
-        F.array_repeat(F.lit(-1), F.floor(F.col("taken") / F.col("size")).cast("int")), F.when(cut > 0, F.array(cut)).otherwise(F.array().cast("array<int>"))))))
+    met = met.select("*", F.posexplode(F.flatten(F.array(
+        F.array_repeat(F.lit(-1), F.floor(F.col("taken") / F.col("size")).cast("int")), F.when(cut > 0, F.array(cut)).otherwise(F.array().cast("array<int>"))))).alias("turn", "words"))
+    met = met.orderBy(F.when(F.col("turn") == 0, F.col("first_slot")).otherwise(F.col("second_slot")), "start", "key")
     first = F.array_join(F.slice(F.regexp_extract_all(F.col(f"row.{column}"), F.lit(WORD_PATTERN), F.lit(0)), 1, F.greatest("words", F.lit(1))), " ")
     text = F.when(F.col("words") > 0, first).otherwise(F.col(f"row.{column}"))
     return met.select(*(text.alias(c) if c == column else F.col(f"row.`{c}`").alias(c) for c in df.columns))

@@ -261,6 +261,34 @@ def test_mixed_rows_hold_the_words_taken(odd, docs):
         assert all(abs(words[s] - n) <= 1 for s, n in taken.items())
 
 
+def test_only_slots_take_words(docs, monkeypatch):
+    dealt = mixing.schedule
+    whole = mixing.mix(docs, slots=1 << 10).agg(F.sum("taken")).first()[0]
+    monkeypatch.setattr(mixing, "schedule", lambda goal, slots: dealt(goal, slots).where("rank < 3"))
+    three = mixing.mix(docs, slots=1 << 10).groupBy("source").agg(F.sum("taken").alias("n")).collect()
+    block = math.ceil(whole / (1 << 10)) + 1
+    assert all(0 < r["n"] <= 3 * block for r in three)
+
+
+def test_every_needed_slot_is_dealt():
+    for m in [*range(1, 400), 4_001, 65_536, 70_003]:
+        x = np.sort(((np.arange(2 * m + 16) + 0.5) * mixing.GOLDEN) % 1.0)
+        assert max(np.diff(x).max(), x[0], 1 - x[-1]) < 1 / m
+
+
+def test_mixed_rows_come_in_the_order_of_the_schedule(docs):
+    want = []
+    key = F.concat_ws("|", F.col("doc_id").cast("string"), F.xxhash64(*docs.columns).cast("string"))  # what mixed_rows shuffles by
+    for r in mixing.mix(docs.select(key.alias("key"), "text", "source"), "text", "key", slots=1 << 10).where("taken > 0").collect():
+        want.append((r["first_slot"], r["start"], int(r["key"].split("|")[0])))
+        if r["taken"] > r["size"]:
+            want.append((r["second_slot"], r["start"], int(r["key"].split("|")[0])))
+    out = mixing.mixed_rows(docs, slots=1 << 10).select("doc_id").collect()
+    assert [r["doc_id"] for r in out] == [i for *_, i in sorted(want)]
+    order = [r["doc_id"] for r in queries.op10_mixing(docs.sparkSession, SF).where("taken > 0").collect()]
+    assert order == [r["doc_id"] for r in sorted(mixing.mix(docs).where("taken > 0").collect(), key=lambda r: (r["first_slot"], r["start"]))]
+
+
 # -- language identification ----------------------------------------------------------------
 
 
