@@ -3,8 +3,11 @@
 A page is read into a tree that repairs what browsers repair here: void elements, implied
 ends of paragraphs, items and cells, unclosed elements, comments and raw text, and a tag cut
 off at the end.  Blocks are the runs of text between block-level tags.  Elements that by
-their name, role, class or id are menus, page headers, footers, sidebars, notices, adverts,
-forms, scripts, styles or reader comments take no part.  Each block gives points for its
+their name, role or style are menus, page headers, footers, asides, forms, scripts, styles
+or hidden take no part.  A class or id that marks menus, sidebars, notices, adverts or reader
+comments lowers the points of what it encloses, and such an element is left out unless it
+holds the best container; names with other meanings count only as a whole class word, and
+inside a longer one only if most of the text is in links.  Each block gives points for its
 length and its commas to its element, half of them to the element above and less further
 up; a container's points are discounted by the share of its text that is in links.  The best
 container (or the article that encloses it) is kept, with siblings that score well enough.
@@ -26,7 +29,7 @@ from pyspark.sql import types as T
 
 #: HTML element classes (fixed by the HTML standard).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math".split())
+RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg".split())
 BLOCK = frozenset(
     "address article aside blockquote body br_ center caption dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html "
     "legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
@@ -43,13 +46,19 @@ IMPLIED = {
     "tbody": (frozenset(["tbody", "thead", "tfoot", "tr", "td", "th"]), frozenset(["table"])),
 }
 #: Elements that never hold main text.
-DROPPED = frozenset("nav footer aside form script style noscript iframe template svg math select button textarea input object embed canvas dialog menu head title search audio video".split())
+DROPPED = frozenset("nav footer aside form script style noscript iframe template svg annotation annotation-xml select button textarea input object embed canvas dialog menu head title search audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Words in a class or id that mark what is not main text.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion sidebar sidenav sidecol rail widget widgets comment comments commentlist "
     "disqus reply replies respond cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing sharebar social related "
     "recommended recommendations breadcrumb breadcrumbs menu menus nav navbar navigation topnav topbar footer masthead pagination pager toolbar skip hidden feedback".split())
+#: Marks that have other meanings within longer class words.
+AMBIGUOUS = frozenset("ad ads rail widget widgets reply replies respond notice notices alert overlay share sharing social related recommended promo promotion subscription signup login skip hidden feedback banner sponsored comment consent".split())
+#: First and last parts of class words that tell a state of a layout, not what an element is.
+STATES = (frozenset("has no is with without".split()), frozenset("open closed".split()))
+PENALTY = 0.2
+SHORT = 25
 _PAGE = frozenset(["html", "body", "main"])
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
@@ -58,13 +67,13 @@ _TOKEN = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 
 
 class _Node:
-    __slots__ = ("tag", "up", "out", "block", "link", "points", "chars", "linked")
+    __slots__ = ("tag", "up", "out", "mark", "block", "link", "points", "linked")
 
-    def __init__(self, tag: str, up: _Node | None, out: bool):
-        self.tag, self.up, self.out = tag, up, out
+    def __init__(self, tag: str, up: _Node | None, out: bool, mark: int = 0):
+        self.tag, self.up, self.out, self.mark = tag, up, out, mark
         self.block = tag in BLOCK
         self.link = tag == "a" or (up is not None and up.link)
-        self.points = self.chars = self.linked = 0.0
+        self.points = self.linked = 0.0
 
 
 def _marked(tag: str, attributes: str, inside_article: bool) -> bool:
@@ -80,11 +89,30 @@ def _marked(tag: str, attributes: str, inside_article: bool) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and any(t.lower() in MARKS for t in _TOKEN.findall(value)):
-            return True
     return False
 
 
+def _mark(tag: str, attributes: str) -> int:
+    """2: a class or id marks what is not main text; 1: an ambiguous mark within a class word."""
+    if not attributes or tag in _PAGE:
+        return 0
+    mark = 0
+    for m in _ATTR.finditer(attributes):
+        if m[1].lower() not in ("class", "id"):
+            continue
+        for word in unescape(m[2] or m[3] or m[4] or "").split():
+            parts = [t.lower() for t in _TOKEN.findall(word)]
+            if word.lower() in MARKS:
+                return 2
+            if not parts or parts[0] in STATES[0] or parts[-1] in STATES[1]:
+                continue
+            met = MARKS.intersection(parts)
+            if met - AMBIGUOUS:
+                return 2
+            mark = max(mark, int(bool(met)))
+    return mark
+
+
 def _blocks(html: str) -> list[tuple[_Node, str]]:
     """(element, text) of each run of text between block-level tags, in page order."""
     root = _Node("html", None, False)
@@ -94,7 +122,6 @@ def _blocks(html: str) -> list[tuple[_Node, str]]:
         if text:
             if s := " ".join("".join(t for t, _ in text).split()):
                 linked = sum(len(t) for t, link in text if link)
-                owner.chars += len(s)
                 owner.linked += min(len(s), linked)
                 out.append((owner, s))
             text.clear()
@@ -174,6 +201,8 @@ def _blocks(html: str) -> list[tuple[_Node, str]]:
         if up.tag == "head" and tag not in RAW and tag not in ("head", "base", "link", "meta"):
             del stack[-1]
             up = stack[-1]
+        if tag in ("svg", "math") and m[3].endswith("/"):
+            continue
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)", re.I).search(html, at)
             at = end if not stop else stop.start()
@@ -182,7 +211,7 @@ def _blocks(html: str) -> list[tuple[_Node, str]]:
                 at = end if close_at < 0 else close_at + 1
             continue
         hidden = up.out or _marked(tag, m[3], any(n.tag in ("article", "main") for n in stack))
-        stack.append(_Node(tag, up, hidden))
+        stack.append(_Node(tag, up, hidden, _mark(tag, m[3])))
     flush()
     return out
 
@@ -192,43 +221,66 @@ def main_text(html: str | None) -> str:
     blocks = _blocks(html or "")
     if not blocks:
         return ""
+    def totals() -> tuple[dict[_Node, float], dict[_Node, float]]:
+        """Text and linked text of all that an element encloses."""
+        chars, linked = {}, {}
+        for node, s in blocks:
+            for n in _path(node):
+                chars[n] = chars.get(n, 0.0) + len(s)
+        for node in dict.fromkeys(n for n, _ in blocks):
+            for n in _path(node):
+                linked[n] = linked.get(n, 0.0) + node.linked
+        return chars, linked
+
+    chars, linked = totals()
+
+    def dropped(n: _Node) -> bool:
+        return bool(n.mark) and (linked.get(n, 0.0) > 0.5 * chars.get(n, 0.0) or (n.mark == 2 and chars.get(n, 0.0) < SHORT))
+
+    def without(left_out) -> list[tuple[_Node, str]]:
+        known: dict[_Node | None, bool] = {None: False}
+        for node, _ in blocks:
+            new = []
+            while node not in known:
+                new.append(node)
+                node = node.up
+            for n in reversed(new):
+                known[n] = known[n.up] or left_out(n)
+        return [(n, s) for n, s in blocks if not known[n]]
+
+    out = {n for b, _ in blocks for n in _path(b) if dropped(n)}
+    blocks = without(out.__contains__)
+    if not blocks:
+        return ""
+    chars, linked = totals()
     scored: dict[_Node, None] = {}
     for node, s in blocks:
         points = 1.0 + s.count(",") + min(len(s) / 100.0, 3.0)
         if node.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "li", "th", "figcaption"):
             points *= 0.25
+        if any(n.mark == 2 for n in _path(node)):
+            points *= PENALTY
         level, up = 0, node if node.tag in ("div", "section", "article", "main", "td", "body", "html") else node.up
         while up is not None:
             up.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
             scored[up] = None
             level, up = level + 1, up.up
-    for node, s in blocks:  # text and linked text of all that an element encloses
-        up = node.up
-        share = len(s)
-        while up is not None:
-            up.chars += share
-            up = up.up
-    linked: dict[_Node, float] = {}
-    for node in dict.fromkeys(n for n, _ in blocks):
-        up = node
-        while up is not None:
-            linked[up] = linked.get(up, 0.0) + node.linked
-            up = up.up
-
     def worth(n: _Node) -> float:
         bonus = 1.5 if n.tag in ("article", "main") else 1.0
-        return bonus * n.points * (1.0 - min(1.0, linked.get(n, 0.0) / max(1.0, n.chars)))
+        return bonus * n.points * (1.0 - min(1.0, linked.get(n, 0.0) / max(1.0, chars.get(n, 0.0))))
 
     best = max(scored, key=worth)
     top = best
     while top is not None and top.tag not in ("article", "main"):
         top = top.up
     best = top or best
+    within = set(_path(best))
+    blocks = without(lambda n: n.mark == 2 and n not in within)
     enough = max(2.0, 0.2 * worth(best))
     keep = {best}
     if best.tag not in ("article", "main", "body", "html"):
         for n in {n for b, _ in blocks for n in _path(b) if n.up is best.up}:
-            dense = linked.get(n, 0.0) > 0.25 * max(1.0, n.chars)
+            dense = linked.get(n, 0.0) > 0.25 * max(1.0, chars.get(n, 0.0))
             if not dense and (worth(n) >= enough or n.tag in ("p", "h1", "h2", "h3", "blockquote", "pre")):
                 keep.add(n)
     return "\n\n".join(s for n, s in blocks if any(x in keep for x in _path(n)))

@@ -226,6 +226,22 @@ def test_container_without_an_article_element():
     assert html_extract.main_text(html).split("\n\n") == ["Head", *[f"Sentence {i}, with some words, and commas, enough to count." for i in range(5)]]
 
 
+PROSE = [f"Paragraph {i} of the article, with some words, and commas, enough to be counted as prose." for i in range(4)]
+
+
+@pytest.mark.parametrize("tag", [
+    "article class='post comments-open'", "div id='content' class='has-sidebar'", "div class='no-sidebar'", "div class='social-science'", "section class='related-party'", "div class='share-price'",
+    "div class='promotion'", "article class='reply'", "div id='feedback'",
+])
+def test_names_of_layouts_do_not_lose_the_article(tag):
+    html = f"<body><nav><a href=/>Home</a></nav><{tag}>{''.join(f'<p>{p}</p>' for p in PROSE)}<div class='comments-area'><p>A comment, of a reader, long enough.</p></div></{tag.split()[0]}><div class='sidebar'><p>Some notes, at the side, of no weight.</p></div></body>"
+    assert html_extract.main_text(html).split("\n\n") == PROSE
+
+
+def test_formulas_and_empty_drawings():
+    assert html_extract.main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p><svg viewBox='0 0 1 1'/><p>More, and more.</p></article>") == "Let x=2 hold.\n\nMore, and more."
+
+
 def test_time_grows_with_the_length():
     import time
 
