@@ -278,7 +278,7 @@ def main_text(html: str | None) -> str:
     blocks = without(lambda n: n.mark == 2 and n not in within)
     enough = max(2.0, 0.2 * worth(best))
     keep = {best}
-    if best.tag not in ("article", "main", "body", "html"):
+    if best.tag not in ("body", "html"):
         for n in {n for b, _ in blocks for n in _path(b) if n.up is best.up}:
             dense = linked.get(n, 0.0) > 0.25 * max(1.0, chars.get(n, 0.0))
             if not dense and (worth(n) >= enough or n.tag in ("p", "h1", "h2", "h3", "blockquote", "pre")):

@@ -238,6 +238,14 @@ def test_names_of_layouts_do_not_lose_the_article(tag):
     assert html_extract.main_text(html).split("\n\n") == PROSE
 
 
+def test_siblings_of_an_article_are_kept():
+    paragraphs = "".join(f"<p>{p}</p>" for p in PROSE)
+    two = f"<main><article>{paragraphs}</article><article>{paragraphs}</article></main>"
+    assert html_extract.main_text(f"<body>{two}</body>").split("\n\n") == PROSE * 2
+    lead = f"<div><h1>Head</h1><p>A lead, of one line.</p><article>{paragraphs}<p>One more, and long.</p></article><section>{paragraphs}</section><div><a href=/x>Some link</a></div></div>"
+    assert html_extract.main_text(f"<body>{lead}</body>").split("\n\n") == ["Head", "A lead, of one line.", *PROSE, "One more, and long.", *PROSE]
+
+
 def test_formulas_and_empty_drawings():
     assert html_extract.main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p><svg viewBox='0 0 1 1'/><p>More, and more.</p></article>") == "Let x=2 hold.\n\nMore, and more."
 
