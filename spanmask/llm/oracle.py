@@ -56,4 +56,42 @@ fits as (select n, rule, v, row_number() over (partition by n order by length(ru
 select page_id, host, path, rule, coalesce(v, 'allow') as verdict from numbered left join (select * from fits where o = 1) using (n)
 """
 
-ORACLE = {"op2_vector_search": OP2, "op5_url_filter": OP5, "op4_substring_dedup": OP4, "op10_mixing": OP10}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: All phrases of up to four words of all pieces, counted one by one.
+OP11 = rf"""
+with pieces as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as p from (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') as t from documents)),
+places as (select lang, w, unnest(range(1, len(w) + 1)) as i from (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from pieces)),
+counts as (select lang, m, array_to_string(w[i : i + m - 1], ' ') as phrase, count(*) as f from places, (values (1), (2), (3), (4)) s(m) where i + m - 1 <= len(w) group by all),
+total as (select lang, sum(f) as n from counts where m = 1 group by lang),
+found as (select lang, m, phrase, f as a, string_split(phrase, ' ') as w from counts where m > 1 and f >= 30),
+around as (select lang, array_to_string(w[i : i + k - 1], ' ') as phrase, max(a) as b from found, (values (2), (3)) s(k), (values (1), (2), (3)) t(i) where k < m and i + k - 1 <= m group by all),
+kept as (select f.* from found f left join around o using (lang, phrase) where o.b is null or 100 * o.b < 80 * f.a),
+cuts as (select c.lang, c.phrase, c.a, k, h.f as l, r.f as r, (2000000::hugeint * c.a) // (h.f + r.f) as score from kept c cross join (values (1), (2), (3)) s(k)
+  join counts h on h.lang = c.lang and h.phrase = array_to_string(c.w[1 : k], ' ') join counts r on r.lang = c.lang and r.phrase = array_to_string(c.w[k + 1 : c.m], ' ') where k < c.m),
+worst as (select *, row_number() over (partition by lang, phrase order by score, k) as o from cuts),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as place from worst where o = 1)
+select lang, place::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from ranked join total using (lang) where place <= 2000
+"""
+
+#: Every group's count of every kept term, zeros included, term by term.
+OP13 = rf"""
+with docs as (select row_number() over () as d, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') as t from documents),
+terms as (select d, lang, source, unnest(regexp_extract_all(t, '[a-z\x{{80}}-\x{{10FFFF}}]+')) as term from docs),
+kept as (select lang, term from terms group by all having count(distinct d) >= 10),
+many as (select lang, count(*)::hugeint as v from kept group by lang),
+groups as (select distinct lang, source from docs),
+used as (select lang, source, term, count(*) as c from terms join kept using (lang, term) group by all),
+cells as (select g.lang, g.source, k.term, coalesce(u.c, 0)::hugeint as c from groups g join kept k using (lang) left join used u on u.lang = g.lang and u.source = g.source and u.term = k.term),
+rates as (select *, 1 + (1000000000::hugeint * (c + 2)) // (sum(c) over (partition by lang, source)::hugeint + 2 * v) as p from cells join many using (lang)),
+whole as (select lang, term, 1 + (1000000000::hugeint * (c + 2)) // (sum(c) over (partition by lang)::hugeint + 2 * v) as q from (select lang, term, sum(c)::hugeint as c, v from rates group by all)),
+pairs as (select a.lang, a.source, b.source as item, coalesce(s.value, 0) as value from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join (select x.lang, x.source, y.source as item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) as value from rates x join rates y using (lang, term) where x.source <> y.source group by all) s
+  on s.lang = a.lang and s.source = a.source and s.item = b.source),
+single as (select r.lang, r.source, r.term as item, ((p - q) * (p - q)) // (p + q) as value from rates r join whole using (lang, term) where r.c > 0 and p > q),
+parts as (select lang, source, 'pair' as part, item, value from pairs union all select lang, source, 'term' as part, item, value from single),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as place from parts)
+select lang, source, part, item, value::bigint as value, place::integer as rank from ranked where part = 'pair' or place <= 10
+"""
+
+ORACLE = {"op2_vector_search": OP2, "op5_url_filter": OP5, "op4_substring_dedup": OP4, "op10_mixing": OP10, "op11_collocations": OP11, "op13_source_divergence": OP13}

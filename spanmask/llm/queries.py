@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanmask.llm import html_extract, language_id, mixing, packing, quality_classifier, quality_rules, simhash, substring_dedup, url_filter, vector_search
+from spanmask.llm import bpe, collocations, html_extract, language_id, mixing, packing, quality_classifier, quality_rules, simhash, source_divergence, substring_dedup, url_filter, vector_search
 from spanmask.llm.features import held_out
 
 TOKENIZER_FILE = "word_bpe_49k.json"
@@ -78,6 +78,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir, "lang"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = bpe.encode(_documents(spark, sf_dir), tokenizer_path()).select("doc_id", "ids")
+    digests = ("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
+    return bpe.decode(ids, tokenizer_path()).select(*digests, F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(_documents(spark, sf_dir, "lang", "source"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,6 +110,9 @@ def queries() -> dict:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_simhash": op9_simhash,
         "op10_mixing": op10_mixing,
+        "op11_collocations": op11_collocations,
+        "op12_bpe": op12_bpe,
+        "op13_source_divergence": op13_source_divergence,
         "pipeline": pipeline,
     }
 
