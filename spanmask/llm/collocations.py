@@ -51,13 +51,13 @@ _ANSWER = "chunk long, owner int, bits binary"
 _GRAMS = "lang string, gram string, size int, weight long"
 
 
-def _slices(text: bytes):
-    """A text in slices of about CHUNK bytes that end with a piece."""
+def _slices(text: bytes, size: int):
+    """A text in slices of about ``size`` bytes that end with a piece."""
     at = 0
-    while len(text) - at > CHUNK:
-        ends = [e for e in (text.rfind(bytes([c]), at, at + CHUNK) for c in _ENDS) if e >= 0]
+    while len(text) - at > size:
+        ends = [e for e in (text.rfind(bytes([c]), at, at + size) for c in _ENDS) if e >= 0]
         if not ends:
-            later = [e for e in (text.find(bytes([c]), at + CHUNK) for c in _ENDS) if e >= 0]
+            later = [e for e in (text.find(bytes([c]), at + size) for c in _ENDS) if e >= 0]
             if not later:
                 break
             ends = [min(later)]
@@ -66,32 +66,31 @@ def _slices(text: bytes):
     yield text[at:]
 
 
-def _chunks(batches):
-    """Blocks of texts: chunk, number of words, payload."""
-    from pyspark import TaskContext
+def _block(chunk: int, held: list[tuple[str, bytes]]) -> pa.RecordBatch:
+    langs, texts = zip(*held, strict=True)
+    payload = pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(texts, pa.binary()).cast(pa.string())], ["lang", "text"])
+    words = len(Words.of(payload.column("text")))
+    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([words], pa.int64()), pa.array([to_bytes(payload)], pa.binary())], ["chunk", "words", "payload"])
 
-    base, n = TaskContext.get().partitionId() << 32, 0
-    held: list[tuple[str, bytes]] = []
-    size = 0
 
-    def block():
-        langs, texts = zip(*held, strict=True)
-        payload = pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(texts, pa.binary()).cast(pa.string())], ["lang", "text"])
-        words = len(Words.of(payload.column("text")))
-        return pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), pa.array([words], pa.int64()), pa.array([to_bytes(payload)], pa.binary())], ["chunk", "words", "payload"])
+def _chunks(size: int):
+    def chunks(batches):
+        """Blocks of texts: chunk, number of words, payload."""
+        from pyspark import TaskContext
 
-    for batch in batches:
-        texts = batch.column("text").cast(pa.binary())
-        for lang, text in zip(batch.column("lang").to_pylist(), texts, strict=True):
-            for part in _slices(text.as_py()):
-                if part:
+        chunk, held, have = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
+                for part in _slices(text.as_py(), size):
                     held.append((lang, part))
-                size += len(part) + 32
-                if size >= CHUNK and held:
-                    yield block()
-                    held, size, n = [], 0, n + 1
-    if held:
-        yield block()
+                    have += len(part) + 32
+                    if have >= size:
+                        yield _block(chunk, held)
+                        chunk, held, have = chunk + 1, [], 0
+        if held:
+            yield _block(chunk, held)
+
+    return chunks
 
 
 class _Chunk:
@@ -268,11 +267,11 @@ def _distinct(group: np.ndarray, member: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(np.unique(group * width + member) // width, minlength=n)
 
 
-def weighted_paths(df: DataFrame, column: str = "text", lang_column: str = "lang", longest: int = LONGEST, least: int = LEAST) -> DataFrame:
+def weighted_paths(df: DataFrame, column: str = "text", lang_column: str = "lang", longest: int = LONGEST, least: int = LEAST, chunk: int = CHUNK) -> DataFrame:
     """(lang, gram, size, weight): compacted paths (``longest`` words or more) and cut grams of
     all chunks; size 0 holds the places whose first word is not frequent."""
     rows = df.select(F.coalesce(F.col(lang_column).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(column), F.lit("")).alias("text"))
-    chunks = settle(rows.mapInArrow(_chunks, "chunk long, words long, payload binary"))
+    chunks = settle(rows.mapInArrow(_chunks(chunk), "chunk long, words long, payload binary"))
     words = chunks.agg(F.sum("words")).first()[0] or 0
     owners = max(1, -(-longest * words // OWNED))
     # so many bits that different grams seldom meet
@@ -280,8 +279,8 @@ def weighted_paths(df: DataFrame, column: str = "text", lang_column: str = "lang
 
     def send(batches):
         for batch in batches:
-            for chunk, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload"), strict=True):
-                yield _send(chunk, np.concatenate(_Chunk(payload.as_py()).hashes(longest, bits)), bits, owners, least)
+            for number, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload"), strict=True):
+                yield _send(number, np.concatenate(_Chunk(payload.as_py()).hashes(longest, bits)), bits, owners, least)
 
     def paths(batches):
         for batch in batches:
@@ -312,11 +311,11 @@ def phrase_counts(paths: DataFrame, longest: int = LONGEST) -> tuple[DataFrame,
     return counts, edges.groupBy("lang").agg(F.sum("weight").alias("n"))
 
 
-def collocations(df: DataFrame, column: str = "text", lang_column: str = "lang", longest: int = LONGEST, least: int = LEAST, top: int = 2000, covered: int = 80) -> DataFrame:
+def collocations(df: DataFrame, column: str = "text", lang_column: str = "lang", longest: int = LONGEST, least: int = LEAST, top: int = 2000, covered: int = 80, chunk: int = CHUNK) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of each language's ``top`` phrases of 2 to
     ``longest`` words with ``least`` occurrences; those of which a longer one that holds them has
     ``covered`` percent of the occurrences are left out."""
-    counts, totals = phrase_counts(weighted_paths(df, column, lang_column, longest, least), longest)
+    counts, totals = phrase_counts(weighted_paths(df, column, lang_column, longest, least, chunk), longest)
     counts = settle(counts.where(F.col("f") >= least))
     phrases = counts.where("size > 1").withColumnRenamed("f", "a")
     # the largest count of a longer phrase around each phrase
