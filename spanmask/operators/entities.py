@@ -1,20 +1,24 @@
 """Contextual layer: entity scoring and masking.
 
-Scoring works on chunk rows (key, chunk_idx, cstart, text), spread over all tasks, so
-one long document is scored by many of them.  A scorer turns chunk rows into hit rows:
-a Python model gets batches of texts, loaded once per worker (E4), a failing text only
-records its error type (E3); a dictionary is a table and the match a join.  Hits alone
-travel back to their documents.  Merging (P7), the covered guard (P8) and masking (P9)
-are Column expressions; table forms of the same operators are provided for span tables.
+A model works on chunk rows (key, chunk_idx, cstart, text), spread over all tasks, so one
+long document is scored by many of them; it gets Arrow batches of texts, is loaded once per
+worker (E4), and a failing text only records its error type (E3): a batch that raises is
+halved until the text at fault stands alone.  Hits alone travel back to their documents.
+
+A dictionary whose size is checked and small becomes an automaton that reads each document's
+chunks in its own row, without any shuffle; a larger one is a table and the match a join.
+
+Merging (P7), the covered guard (P8) and masking (P9) are Column expressions; table forms of
+the same operators are in :mod:`spanmask.operators.span_tables`.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +27,7 @@ from ..functions import patterns as P
 from ..functions.spans import empty, scan, split_on_matches, with_cut
 
 # One row per scored chunk (scored = 1, its error if it failed) and one per hit (scored = 0).
-SCORED_FIELDS = "key string, chunk_idx int, cstart int, scored int, error string, hit_idx int, label_idx int, start int, end int, label string, text string, confidence double"
+SCORED_FIELDS = "key binary, chunk_idx int, cstart int, scored int, error string, hit_idx int, label_idx int, start int, end int, label string, text string, confidence double"
 
 # Sort key for merging: position, longer first, then the scoring order.
 ESPAN_TYPE = T.StructType(
@@ -73,6 +77,11 @@ class Scorer:
         """Rows of SCORED_FIELDS for chunk rows that are not blank."""
         return _model_scored(self, chunks, labels, threshold)
 
+    def in_row(self, labels: Sequence[str], threshold: float) -> Callable[[Column, Column], Column] | None:
+        """For scorers so cheap that a document is scored where it is: a function of the text
+        and its chunk ranges that gives the ROW_SCORED struct.  None: score chunk rows."""
+        return None
+
 
 # Per Python worker: each scorer's model, by a key fixed when the query is built.
 _MODELS: dict[str, object] = {}
@@ -84,40 +93,130 @@ def _model_for(scorer: Scorer, key: str):
     return _MODELS[key]
 
 
+def _cache_key(scorer: Scorer) -> str:
+    # a scorer may name a stable key (e.g. its model id) to share its model across queries
+    return getattr(scorer, "cache_key", None) or uuid.uuid4().hex
+
+
+def score_apart(scorer: Scorer, model, texts: Sequence[str], labels: Sequence[str], threshold: float) -> list:
+    """Per text its hits or its exception: a batch that raises is halved until the texts at
+    fault stand alone, so a text loses nothing by those beside it (E3)."""
+    try:
+        found = list(scorer.score_batch(model, texts, labels, threshold))
+        if len(found) != len(texts):
+            raise ValueError(f"{len(found)} results for {len(texts)} texts")
+        return found
+    except Exception as exc:  # noqa: BLE001 - the text fails, not the job
+        if len(texts) == 1:
+            return [exc]
+        half = len(texts) // 2
+        return [*score_apart(scorer, model, texts[:half], labels, threshold), *score_apart(scorer, model, texts[half:], labels, threshold)]
+
+
+def _numbered(found: Sequence[dict], order: dict[str, int]):
+    """Per hit: its number among the hits of its label, the label's place, and the hit."""
+    seen: dict[str, int] = {}
+    for h in found:
+        n = seen[h["label"]] = seen.get(h["label"], -1) + 1
+        yield n, order.get(h["label"], len(order)), h
+
+
+_SCORED_ARROW = pa.schema([
+    ("key", pa.binary()), ("chunk_idx", pa.int32()), ("cstart", pa.int32()), ("scored", pa.int32()), ("error", pa.string()), ("hit_idx", pa.int32()),
+    ("label_idx", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("label", pa.string()), ("text", pa.string()), ("confidence", pa.float64())])
+
+
 def _model_scored(scorer: Scorer, chunks: DataFrame, labels: Sequence[str], threshold: float) -> DataFrame:
     labels = list(labels)
     order = {lab: i for i, lab in enumerate(labels)}
-    # a scorer may name a stable key (e.g. its model id) to share its model across queries
-    cache_key = getattr(scorer, "cache_key", None) or uuid.uuid4().hex
-    names = [f.split()[0] for f in SCORED_FIELDS.split(", ")]
+    cache_key = _cache_key(scorer)
 
-    def hit_rows(key, idx, cstart, found):
+    def chunk_rows(chunk, found):
         if isinstance(found, Exception):
-            return [(key, idx, cstart, 1, type(found).__name__, *[None] * 7)]
-        rows = [(key, idx, cstart, 1, None, *[None] * 7)]
-        seen: dict[str, int] = {}
-        for h in found:
-            n = seen[h["label"]] = seen.get(h["label"], -1) + 1
-            rows.append((key, idx, cstart, 0, None, n, order.get(h["label"], len(order)), int(h["start"]), int(h["end"]),
-                         h["label"], h.get("text") or "", float(h.get("confidence", 1.0))))
-        return rows
-
-    def run(frames):
+            return [(*chunk, 1, type(found).__name__, *[None] * 7)]
+        hits = [(*chunk, 0, None, n, place, int(h["start"]), int(h["end"]), h["label"], h.get("text") or "", float(h.get("confidence", 1.0)))
+                for n, place, h in _numbered(found, order)]
+        return [(*chunk, 1, None, *[None] * 7), *hits]
+
+    def run(batches):
+        model = _model_for(scorer, cache_key)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, scorer.batch_size):
+                part = batch.slice(lo, scorer.batch_size).to_pydict()
+                found = score_apart(scorer, model, part["text"], labels, threshold)
+                rows = [r for *chunk, f in zip(part["key"], part["chunk_idx"], part["cstart"], found, strict=True) for r in chunk_rows(chunk, f)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCORED_ARROW, strict=True)], schema=_SCORED_ARROW)
+
+    return chunks.select("key", "chunk_idx", "cstart", "text").mapInArrow(run, SCORED_FIELDS)
+
+
+# Result of scoring a document in its row: chunks scored and their hits, offsets in the chunk.
+ROW_HIT = "struct<chunk_idx:int,hit_idx:int,label_idx:int,start:int,end:int,label:string,text:string,confidence:double>"
+ROW_SCORED = f"struct<scored:int,hits:array<{ROW_HIT}>>"
+_ROW_ARROW = pa.struct([("scored", pa.int32()), ("hits", pa.list_(pa.struct([
+    ("chunk_idx", pa.int32()), ("hit_idx", pa.int32()), ("label_idx", pa.int32()), ("start", pa.int32()), ("end", pa.int32()),
+    ("label", pa.string()), ("text", pa.string()), ("confidence", pa.float64())])))])
+
+
+def _row_scored(scorer: Scorer, labels: Sequence[str], threshold: float) -> Callable[[Column, Column], Column]:
+    """``Scorer.in_row`` of a scorer that raises on no text."""
+    labels = list(labels)
+    order = {lab: i for i, lab in enumerate(labels)}
+    cache_key = _cache_key(scorer)
+
+    @F.arrow_udf(ROW_SCORED)
+    def run(texts: pa.Array, ranges: pa.Array) -> pa.Array:
         model = _model_for(scorer, cache_key)
-        for frame in frames:
-            rows = []
-            for lo in range(0, len(frame), scorer.batch_size):
-                part = frame.iloc[lo : lo + scorer.batch_size]
-                texts = list(part["text"])
-                try:
-                    found = scorer.score_batch(model, texts, labels, threshold)
-                except Exception as exc:  # noqa: BLE001 - the batch fails, not the job
-                    found = [exc] * len(texts)
-                for key, idx, cstart, f in zip(part["key"], part["chunk_idx"], part["cstart"], found, strict=True):
-                    rows += hit_rows(key, idx, cstart, f)
-            yield pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in ("hit_idx", "label_idx", "start", "end")})
-
-    return chunks.select("key", "chunk_idx", "cstart", "text").mapInPandas(run, SCORED_FIELDS)
+        out = []
+        for text, chunks in zip(texts.to_pylist(), ranges.to_pylist(), strict=True):
+            parts = [(i, text[c["start"] : c["end"]]) for i, c in enumerate(chunks or ())]
+            parts = [(i, part) for i, part in parts if part and not part.isspace()]
+            found = scorer.score_batch(model, [part for _, part in parts], labels, threshold)
+            out.append({"scored": len(parts), "hits": [{**h, "chunk_idx": i, "hit_idx": n, "label_idx": place} for (i, _), f in zip(parts, found, strict=True) for n, place, h in _numbered(f, order)]})
+        return pa.array(out, _ROW_ARROW)
+
+    return lambda text, chunks: run.asNondeterministic()(text, chunks)
+
+
+@dataclass
+class AutomatonScorer(Scorer):
+    """Occurrences of terms (term, label, confidence) at word boundaries, by one automaton with
+    failure links, in time linear in the text and its hits."""
+
+    entries: list[tuple[str, str, float]]
+    name: str = "dictionary"
+
+    def load(self):
+        import ahocorasick
+
+        by_term: dict[str, list[tuple[float, str]]] = {}
+        for term, label, confidence in self.entries:
+            by_term.setdefault(term, []).append((confidence, label))
+        found = ahocorasick.Automaton()
+        for term, values in by_term.items():
+            found.add_word(term, (term, sorted(values), _in_word(term[0]), _in_word(term[-1])))
+        if by_term:
+            found.make_automaton()
+        return found
+
+    def score(self, model, text, labels, threshold):
+        if not len(model):
+            return []
+        out, n = [], len(text)
+        for last, (term, values, opens, closes) in model.iter(text):
+            start, end = last + 1 - len(term), last + 1
+            if (opens and start and _in_word(text[start - 1])) or (closes and end < n and _in_word(text[end])):
+                continue
+            out += [(start, end, term, confidence, label) for confidence, label in values]
+        return [{"label": label, "start": start, "end": end, "text": term, "confidence": confidence} for start, end, term, confidence, label in sorted(out)]
+
+    def in_row(self, labels, threshold):
+        return _row_scored(self, labels, threshold)
+
+
+def _in_word(c: str) -> bool:
+    """Python's word characters."""
+    return c.isalnum() or c == "_"
 
 
 _TOKEN = f"[{P.JAVA_WORD_BODY}]+|[^{P.JAVA_SPACE_BODY}]"
@@ -135,34 +234,86 @@ def tokens(text: Column) -> Column:
     return scan(split_on_matches(text, _TOKEN), {"pos": F.lit(0), "i": F.lit(0)}, TOKEN_ARRAY, step)
 
 
+#: Bits of the filter of first tokens, as words of 64.
+_FIRST_WORDS = 1 << 16
+
+
+def _token_bits(token: Column) -> list[Column]:
+    """The filter's bits of a token."""
+    return [F.pmod(F.shiftrightunsigned(F.xxhash64(token), shift), F.lit(64 * _FIRST_WORDS)) for shift in (0, 32)]
+
+
+def first_tokens(terms: DataFrame) -> Column:
+    """Bloom filter of the terms' first tokens: one array of fixed size, as a scalar subquery."""
+    bit = terms.select(F.explode(F.array(*_token_bits(F.col("token")))).alias("bit"))
+    words = bit.groupBy(F.floor(F.col("bit") / 64).cast("int").alias("w")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("bit") % 64).cast("int"))).alias("bits"))
+    every = terms.sparkSession.range(_FIRST_WORDS).select(F.col("id").cast("int").alias("w")).join(words, "w", "left")
+    array = every.agg(F.array_sort(F.collect_list(F.struct("w", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("b"))
+    return array.select(F.transform("b", lambda x: x["bits"])).scalar()
+
+
+def may_be_first(token: Column, bits: Column) -> Column:
+    return F.forall(F.array(*_token_bits(token)), lambda b: F.getbit(F.get(bits, F.floor(b / 64).cast("int")), (b % 64).cast("int")) == 1)
+
+
 @dataclass
 class DictionaryScorer(Scorer):
-    """Every occurrence of a dictionary term at word boundaries, as a join.
-
-    ``terms`` is a table (term, label, confidence) of any size.  Each token of a chunk,
-    with as much text after it as the longest term has, meets the terms that start with
-    that token; Spark broadcasts the terms only if they are small.  Terms that start with
-    space match nothing.
+    """Every occurrence of a dictionary term at word boundaries.
+
+    ``terms`` is a table (term, label, confidence) of any size.  Its usable terms are counted
+    when the query is built.  Up to ``automaton_chars`` characters in all, they become one
+    automaton in the Python workers (0: never).  Beyond that the match is a join: tokens that a
+    Bloom filter of the terms' first tokens lets through, with as much text after them as the
+    longest term has, meet the terms that start with them.  Terms that start with space match
+    nothing.  Both ways give the same hits.
     """
 
     terms: DataFrame
     name: str = "dictionary"
+    automaton_chars: int = 4_000_000
+    _small: dict = field(default_factory=dict, repr=False)
 
     @classmethod
     def from_table(cls, spark, terms: DataFrame) -> DictionaryScorer:
         return cls(terms)
 
-    def scored(self, chunks: DataFrame, labels: Sequence[str], threshold: float) -> DataFrame:
-        order = F.array(*(F.lit(x) for x in labels))
-        word = f"[{P.JAVA_WORD_BODY}]$"
+    def usable(self, labels: Sequence[str], threshold: float) -> DataFrame:
+        """(term, label, confidence, size, token): terms that can give a hit."""
         terms = self.terms.where(F.length("term") > 0).select(
             F.col("term"), F.col("label"), F.col("confidence").cast("double").alias("confidence"),
             F.length("term").alias("size"), F.regexp_extract("term", f"^(?:{_TOKEN})", 0).alias("token"))
-        terms = terms.where(F.col("label").isin(list(labels)) & (F.col("confidence") >= F.lit(threshold)) & (F.col("token") != ""))
+        return terms.where(F.col("label").isin(list(labels)) & (F.col("confidence") >= F.lit(threshold)) & (F.col("token") != ""))
+
+    def automaton(self, labels: Sequence[str], threshold: float) -> AutomatonScorer | None:
+        """The dictionary as an automaton, if it is small enough."""
+        key = (tuple(labels), threshold)
+        if key not in self._small and self.automaton_chars:
+            terms = self.usable(labels, threshold)
+            size = terms.agg(F.sum(F.col("size") + 1)).first()[0] or 0
+            rows = terms.select("term", "label", "confidence").collect() if size <= self.automaton_chars else None
+            self._small[key] = None if rows is None else AutomatonScorer([tuple(r) for r in rows], self.name)
+        return self._small.get(key)
+
+    def in_row(self, labels, threshold):
+        small = self.automaton(labels, threshold)
+        return small and small.in_row(labels, threshold)
+
+    def scored(self, chunks: DataFrame, labels: Sequence[str], threshold: float) -> DataFrame:
+        small = self.automaton(labels, threshold)
+        return small.scored(chunks, labels, threshold) if small else self._joined(chunks, labels, threshold)
+
+    def _joined(self, chunks: DataFrame, labels: Sequence[str], threshold: float) -> DataFrame:
+        order = F.array(*(F.lit(x) for x in labels))
+        word = f"[{P.JAVA_WORD_BODY}]$"
+        terms = self.usable(labels, threshold)
         longest = terms.agg(F.coalesce(F.max("size"), F.lit(0)).alias("n")).scalar()
-        around = with_cut(F.col("text"), lambda t, part: F.transform(tokens(t), lambda k: F.struct(
-            k["pos"].alias("pos"), k["token"].alias("token"), part(k["pos"], F.col("__spanmask_longest") + 1).alias("rest"))))
-        at = chunks.withColumn("__spanmask_longest", longest).select("key", "chunk_idx", "cstart", F.explode_outer(around).alias("k"))
+        bits, reach = F.col("__spanmask_first"), F.col("__spanmask_longest") + 1
+        around = with_cut(F.col("text"), lambda t, part: F.transform(
+            F.filter(tokens(t), lambda k: may_be_first(k["token"], bits)),
+            lambda k: F.struct(k["pos"].alias("pos"), k["token"].alias("token"), part(k["pos"], reach).alias("rest"))))
+        at = chunks.withColumn("__spanmask_longest", longest).withColumn("__spanmask_first", first_tokens(terms))
+        at = at.select("key", "chunk_idx", "cstart", F.explode_outer(around).alias("k"))
         at = at.select("key", "chunk_idx", "cstart", F.col("k.pos").alias("pos"), F.col("k.token").alias("token"), F.col("k.rest").alias("rest"))
         met = at.join(terms, "token").where(
             (F.substring("rest", F.lit(1), F.col("size")) == F.col("term"))
@@ -178,6 +329,31 @@ class DictionaryScorer(Scorer):
         return done.unionByName(hits)
 
 
+@dataclass
+class PatternScorer(Scorer):
+    """Regular expressions (Python's) as a batch model: label -> (pattern, confidence).
+
+    Like a model of limited width it takes no text of more than ``max_chars``: such a text
+    fails the batch that holds it, and so, batches being halved, itself alone."""
+
+    patterns: dict[str, tuple[str, float]]
+    max_chars: int | None = None
+    name: str = "patterns"
+
+    def load(self):
+        import re
+
+        return [(label, re.compile(pattern), confidence) for label, (pattern, confidence) in self.patterns.items()]
+
+    def score_batch(self, model, texts, labels, threshold):
+        for text in texts:
+            if self.max_chars is not None and len(text) > self.max_chars:
+                raise ValueError(f"text of {len(text)} characters")
+        known = [m for m in model if m[0] in labels and m[2] >= threshold]
+        return [[{"label": label, "start": m.start(), "end": m.end(), "text": m[0], "confidence": confidence}
+                 for label, pattern, confidence in known for m in pattern.finditer(text)] for text in texts]
+
+
 # ---- filters (V4, V5, E2) --------------------------------------------------------
 _EDGE_SPACE = f"^[{P.JAVA_SPACE_BODY}]+|[{P.JAVA_SPACE_BODY}]+$"
 
@@ -195,8 +371,12 @@ def known_label(labels: Sequence[str] = P.ENTITY_LABELS) -> Column:
     return F.col("label").isin(list(labels))
 
 
+def is_stopword(text: Column) -> Column:
+    return entity_word(F.coalesce(text, F.lit(""))).isin(list(P.ENTITY_STOPWORDS))
+
+
 def not_stopword() -> Column:
-    return ~entity_word(F.coalesce(F.col("text"), F.lit(""))).isin(list(P.ENTITY_STOPWORDS))
+    return ~is_stopword(F.col("text"))
 
 
 def filter_hits(hits: DataFrame, threshold: float, labels: Sequence[str] = P.ENTITY_LABELS) -> DataFrame:
@@ -209,12 +389,16 @@ def remap(hits: DataFrame) -> DataFrame:
     return hits.withColumn("start", F.col("start") + F.col("cstart")).withColumn("end", F.col("end") + F.col("cstart"))
 
 
+def _espan(start: Column, end: Column, hit) -> Column:
+    return F.struct(
+        start.alias("start"), (start - end).alias("neg_len"), hit("chunk_idx").alias("chunk_idx"), hit("label_idx").alias("label_idx"),
+        hit("hit_idx").alias("hit_idx"), end.alias("end"), hit("label").alias("label")).cast(ESPAN_TYPE)
+
+
 def gather(scored: DataFrame, threshold: float, labels: Sequence[str] = P.ENTITY_LABELS) -> DataFrame:
     """Per key: ``scored_chunks``, ``model_errors`` and ``hits`` (kept ones, as ESPAN structs)."""
     keep = confident(threshold) & known_label(labels) & not_stopword()
-    span = F.struct(
-        F.col("start"), (F.col("start") - F.col("end")).alias("neg_len"), "chunk_idx", "label_idx", "hit_idx", F.col("end"), "label",
-    ).cast(ESPAN_TYPE)
+    span = _espan(F.col("start"), F.col("end"), F.col)
     return remap(scored).groupBy("key").agg(
         F.sum("scored").cast("int").alias("scored_chunks"),
         F.collect_list("error").alias("model_errors"),
@@ -222,6 +406,18 @@ def gather(scored: DataFrame, threshold: float, labels: Sequence[str] = P.ENTITY
     )
 
 
+def kept_in_row(hits: Column, chunks: Column, threshold: float, labels: Sequence[str] = P.ENTITY_LABELS) -> Column:
+    """V4, V5, E2 and P10 on the hits of a ROW_SCORED struct: ESPAN structs."""
+    def keep(h):
+        return (h["confidence"] >= F.lit(threshold)) & h["label"].isin(list(labels)) & ~is_stopword(h["text"])
+
+    def span(h):
+        at = F.get(chunks, h["chunk_idx"])["start"]
+        return _espan(h["start"] + at, h["end"] + at, lambda n: h[n])
+
+    return F.transform(F.filter(hits, keep), span)
+
+
 # ---- in-row span operators (P7, P8, P9) -------------------------------------------
 def merge_contained(spans: Column) -> Column:
     """Sort, then drop a span fully inside the last kept one."""
@@ -267,25 +463,3 @@ def greedy(spans: Column) -> Column:
 
 def upper_placeholder(label: Column) -> Column:
     return F.concat(F.lit("["), F.upper(label), F.lit("]"))
-
-
-# ---- table forms ------------------------------------------------------------------
-def merge_table(spans: DataFrame, id_col: str, ties: Sequence[str]) -> DataFrame:
-    """P7 as a window: kept ends only grow, so the last kept end is the running
-    maximum of earlier ends."""
-    w = Window.partitionBy(id_col).orderBy(
-        F.col("start"), (F.col("start") - F.col("end")), *[F.col(t) for t in ties]
-    ).rowsBetween(Window.unboundedPreceding, -1)
-    m = F.col("_m")
-    inside = m.isNotNull() & (F.col("start") < m) & (F.col("end") <= m)
-    return spans.withColumn("_m", F.max("end").over(w)).where(~inside).drop("_m")
-
-
-def guard_table(spans: DataFrame, covered: DataFrame, id_col: str) -> DataFrame:
-    """P8 as an interval anti join inside each document."""
-    cond = (
-        (spans[id_col] == covered[id_col])
-        & (spans["end"] > covered["start"])
-        & (spans["start"] < covered["end"])
-    )
-    return spans.join(covered, cond, "left_anti")

@@ -1,13 +1,15 @@
 """Entity branch of the pipeline (Q2): segments -> chunks -> score -> mask.
 
-The uncovered segments (P6) are chunked in the row (C5).  The chunks become rows of
-their own, equal ones of equal documents once, spread over all tasks and scored (E1);
-their kept hits (V4-V6), remapped (P10), are gathered by document and joined back to it,
-where they are merged (P7), guarded (P8) and masked (P9) by Column expressions.
-
-Layer 1 feeds both the chunk rows and the join, so its rows are persisted on disk when
-the query first runs (DISK_ONLY; lost parts are computed again).  ``unpersist`` or
-``spark.catalog.clearCache()`` frees them.
+The uncovered segments (P6) are chunked in the row (C5).  A scorer that works in the row (a
+dictionary of checked size) gives each document's hits there, and the whole plan is a map.
+For other scorers the chunks become rows of their own, equal ones of equal documents once,
+spread over all tasks and scored (E1); their hits are gathered by document and joined back to
+it.  Kept hits (V4-V6), remapped (P10), are merged (P7), guarded (P8) and masked (P9) by Column
+expressions.
+
+With chunk rows, layer 1 feeds both them and the join, so its rows are persisted on disk when
+the query first runs (DISK_ONLY; lost parts are computed again).  The result's ``staged``
+attribute is that frame (None: nothing is persisted); ``release`` frees it.
 """
 
 from __future__ import annotations
@@ -43,7 +45,8 @@ def chunk_column(text, covered, size: int, overlap: int):
 def with_chunks(df: DataFrame, config: RedactConfig, text_col: str = PREFIX + "text", covered_col: str = PREFIX + "covered") -> DataFrame:
     """Adds the chunk ranges, and a key that rows of equal text and equal ranges share."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.sha2(F.concat_ws("|", F.to_json(F.col(covered_col)), text), 256)
+    # 16 bytes of a SHA-256: short, and no one can make two texts share them
+    key = F.substring(F.unhex(F.sha2(F.concat_ws("|", F.to_json(F.col(covered_col)), text), 256)), 1, 16)
     return df.withColumn(CHUNKS, once(chunk_column(text, F.col(covered_col), config.chunk_size, config.overlap))).withColumn(KEY, key)
 
 
@@ -64,17 +67,41 @@ def scored_rows(staged: DataFrame, scorer, threshold: float, labels=P.ENTITY_LAB
     return scorer.scored(chunk_rows(staged, text_col), labels, threshold)
 
 
+def row_scorer(scorer, threshold: float, labels=P.ENTITY_LABELS):
+    """The scorer's function for documents in their rows; None if it needs chunk rows."""
+    offered = getattr(scorer, "in_row", None)
+    return offered(labels, threshold) if offered else None
+
+
+def release(df: DataFrame) -> None:
+    """Free what the entity layer persisted for ``df``, a result of ``redact``."""
+    staged = getattr(df, "staged", None)
+    if staged is not None:
+        staged.unpersist()
+
+
 def entity_layer(layer1: DataFrame, columns: list[str], text_col: str, config: RedactConfig, scorer) -> DataFrame:
-    staged = with_chunks(layer1, config).persist(StorageLevel.DISK_ONLY)
-    found = E.gather(scored_rows(staged, scorer, config.threshold), config.threshold).withColumnRenamed("key", KEY)
-    names = {c: PREFIX + c for c in ("scored_chunks", "model_errors", "hits")}
-    for old, new in names.items():
-        found = found.withColumnRenamed(old, new)
-    out = staged.join(found, KEY, "left")
-    hits = F.coalesce(F.col(names["hits"]), F.array().cast(E.ESPAN_ARRAY))
+    if scorer is None:
+        raise ValueError("the entity layer needs a scorer (or disable_model=True)")
+    staged, keep = with_chunks(layer1, config), None
+    scored, hits, errors = (F.col(PREFIX + c) for c in ("scored_chunks", "hits", "model_errors"))
+    in_row = row_scorer(scorer, config.threshold)
+    if in_row:
+        row = F.col(PREFIX + "row")
+        out = staged.withColumn(PREFIX + "row", in_row(F.col(PREFIX + "text"), F.col(CHUNKS)))
+        out = out.withColumn(PREFIX + "hits", once(E.kept_in_row(row["hits"], F.col(CHUNKS), config.threshold))).withColumn(PREFIX + "scored_chunks", row["scored"])
+        errors = F.array().cast("array<string>")
+    else:
+        staged = keep = staged.persist(StorageLevel.DISK_ONLY)
+        found = E.gather(scored_rows(staged, scorer, config.threshold), config.threshold).withColumnRenamed("key", KEY)
+        for name in ("scored_chunks", "model_errors", "hits"):
+            found = found.withColumnRenamed(name, PREFIX + name)
+        out = staged.join(found, KEY, "left")
+        hits, scored, errors = F.coalesce(hits, F.array().cast(E.ESPAN_ARRAY)), F.coalesce(scored, F.lit(0)), F.coalesce(errors, F.array().cast("array<string>"))
     spans, kept = F.col(PREFIX + "entities"), PREFIX + "entities"
     out = out.withColumn(kept, once(E.greedy(E.guard(E.merge_contained(hits), F.col(PREFIX + "covered")))))
-    return result(
+    out = result(
         out, columns, text_col, getattr(scorer, "name", "scorer"), mask(F.col(PREFIX + "text"), spans, E.upper_placeholder),
-        label_counts(spans["label"]), F.size(CHUNKS), F.coalesce(F.col(names["scored_chunks"]), F.lit(0)),
-        F.coalesce(F.col(names["model_errors"]), F.array().cast("array<string>")))
+        label_counts(spans["label"]), F.size(CHUNKS), scored, errors)
+    out.staged = keep
+    return out

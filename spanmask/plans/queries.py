@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +24,7 @@ from ..config import RedactConfig
 from . import pipeline as PL
 from . import pipeline_full as PF
 from ..operators import regex_layer as RL
+from ..operators import span_tables as ST
 from ..operators.aggregates import audit, doc_hits, full_audit, label_counts_long
 from ..operators.segments import uncovered_segments
 from . import derived as D
@@ -283,20 +283,45 @@ def q_chunk_segments(spark, sf_dir, source):
                       *_bigint("c.start", "c.end")).toDF(id_col, "chunk_idx", "start", "end")
 
 
-def _hits(spark, sf_dir, source):
-    """All hits of the scorer, with the ids of the rows that share the scored text."""
+def _row_hits(staged, id_col, scorer):
+    """Hits of a scorer that works in the row."""
+    row = scorer.in_row(P.ENTITY_LABELS, 0.0)(F.col(PL.PREFIX + "text"), F.col(PF.CHUNKS))
+    hits = explode_rows(staged.withColumn("_row", row), "_row.hits", "h", id_col, PF.CHUNKS)
+    return hits.select(id_col, "h.*", F.get(PF.CHUNKS, F.col("h.chunk_idx"))["start"].alias("cstart"))
+
+
+def _chunk_hits(staged, id_col, scorer):
+    """Scored rows of any scorer over chunk rows, with the documents' ids for keys."""
+    by_id = staged.withColumn(PF.KEY, F.col(id_col).cast("string").cast("binary"))
+    scored = PF.scored_rows(by_id, scorer, 0.0)
+    return scored.withColumn(id_col, F.col("key").cast("string").cast("bigint"))
+
+
+def _hits(spark, sf_dir, source, join=False):
+    """All hits of the dictionary, by its automaton in the row or (``join``) by joins."""
     staged, id_col, scorer = _staged(spark, sf_dir, source)
-    staged = staged.persist(StorageLevel.DISK_ONLY)
-    hits = PF.scored_rows(staged, scorer, 0.0).where(F.col("start").isNotNull())
-    ids = staged.select(F.col(PF.KEY).alias("key"), id_col)
-    return hits.join(ids, "key"), id_col
+    if join:
+        scorer.automaton_chars = 0
+        return _chunk_hits(staged, id_col, scorer).where(F.col("start").isNotNull()), id_col
+    return _row_hits(staged, id_col, scorer), id_col
 
 
-def q_score_chunks(spark, sf_dir, source):
-    hits, id_col = _hits(spark, sf_dir, source)
+def q_score_chunks(spark, sf_dir, source, join=False):
+    hits, id_col = _hits(spark, sf_dir, source, join)
     return hits.select(id_col, *[F.col(c).cast("bigint").alias(c) for c in ("chunk_idx", "start", "end")], "label", "text", "confidence")
 
 
+#: A model of limited width: longer chunks fail, and their batch with them until halved.
+MODEL_PATTERNS, MODEL_CHARS = {"organization": ("[A-Z][a-z]{5,}", 0.8), "person": ("[a-z]+ble [a-z]+", 0.9)}, 1500
+
+
+def q_score_chunks_model(spark, sf_dir, source):
+    staged, id_col, _ = _staged(spark, sf_dir, source)
+    rows = _chunk_hits(staged, id_col, E.PatternScorer(MODEL_PATTERNS, MODEL_CHARS))
+    rows = rows.where(F.col("start").isNotNull() | F.col("error").isNotNull())
+    return rows.select(id_col, *[F.col(c).cast("bigint").alias(c) for c in ("chunk_idx", "start", "end", "hit_idx")], "error", "label", "text")
+
+
 def q_remap_offsets(spark, sf_dir, source):
     hits, id_col = _hits(spark, sf_dir, source)
     return E.remap(hits).select(id_col, *[F.col(c).cast("bigint").alias(c) for c in ("chunk_idx", "start", "end")], "label")
@@ -332,64 +357,91 @@ def q_audit_full(spark, sf_dir, source):
     return full_audit(df, id_col, "text").drop("run_id")
 
 
-_HIT_COLS = ["note_id", "chunk_idx", "hit_idx", "start", "end", "label", "text", "confidence"]
+# ---- the entity layer's steps one by one, over hits that overlap each other and layer 1 ----
+def document_hits(spark, sf_dir):
+    """The dictionary's hits in the documents, widened so that they meet what is beside them."""
+    hits, id_col = _hits(spark, sf_dir, "documents")
+    hits = E.remap(hits)
+    return hits.select(id_col, "chunk_idx", "hit_idx", (F.col("start") - F.col("start") % 7).alias("start"), (F.col("end") + F.col("end") % 41).alias("end"), "label", "text", "confidence")
 
 
-def _hits_out(df):
-    return df.select(
-        "note_id", *[F.col(c).cast("bigint").alias(c) for c in ("chunk_idx", "hit_idx", "start", "end")],
-        "label", "text", "confidence",
-    )
+#: Inputs of these queries: hits, their documents, id column.
+HIT_SOURCES = {"notes": (entity_hits, notes, "note_id"), "documents": (document_hits, documents, "doc_id")}
 
 
-def q_entity_threshold(spark, sf_dir):
-    return _hits_out(entity_hits(spark, sf_dir).where(E.confident(RedactConfig().threshold)))
+def _hits_of(spark, sf_dir, source, keep):
+    hits, _, id_col = HIT_SOURCES[source]
+    return hits(spark, sf_dir).where(keep).select(
+        id_col, *[F.col(c).cast("bigint").alias(c) for c in ("chunk_idx", "hit_idx", "start", "end")],
+        "label", "text", "confidence",
+    )
 
 
-def q_entity_stopwords(spark, sf_dir):
-    return _hits_out(entity_hits(spark, sf_dir).where(E.not_stopword()))
+def q_entity_threshold(spark, sf_dir, source):
+    return _hits_of(spark, sf_dir, source, E.confident(RedactConfig().threshold))
 
 
-def q_label_filter(spark, sf_dir):
-    return _hits_out(entity_hits(spark, sf_dir).where(E.known_label()))
+def q_entity_stopwords(spark, sf_dir, source):
+    return _hits_of(spark, sf_dir, source, E.not_stopword())
 
 
-def _filtered_hits(spark, sf_dir):
-    h = E.filter_hits(entity_hits(spark, sf_dir), RedactConfig().threshold)
-    return h.withColumn("label_idx", F.array_position(F.array(*[F.lit(x) for x in P.ENTITY_LABELS]), F.col("label")).cast("int") - 1)
+def q_label_filter(spark, sf_dir, source):
+    return _hits_of(spark, sf_dir, source, E.known_label())
 
 
-def q_merged_spans(spark, sf_dir):
-    m = E.merge_table(_filtered_hits(spark, sf_dir), "note_id", ["chunk_idx", "label_idx", "hit_idx"])
-    return m.select("note_id", *_bigint("start", "end"), "label")
+def _filtered_hits(spark, sf_dir, source):
+    hits, rows, id_col = HIT_SOURCES[source]
+    h = E.filter_hits(hits(spark, sf_dir), RedactConfig().threshold)
+    return h.withColumn("label_idx", F.array_position(F.array(*[F.lit(x) for x in P.ENTITY_LABELS]), F.col("label")).cast("int") - 1), rows, id_col
 
 
-def _notes_layer1(spark, sf_dir):
-    return RL.redact_regex(notes(spark, sf_dir), "text", registry(spark, sf_dir))
+def q_merged_spans(spark, sf_dir, source):
+    h, _, id_col = _filtered_hits(spark, sf_dir, source)
+    return ST.merge_table(h, id_col, ["chunk_idx", "label_idx", "hit_idx"]).select(id_col, *_bigint("start", "end"), "label")
 
 
-def q_covered_guard(spark, sf_dir):
-    merged = q_merged_spans(spark, sf_dir)
-    l1 = _notes_layer1(spark, sf_dir)
-    cov = explode_rows(l1, "rx_covered", "c", "note_id").select(
-        "note_id", F.col("c.start").cast("bigint").alias("start"), F.col("c.end").cast("bigint").alias("end"))
-    return E.guard_table(merged, cov, "note_id")
+def q_covered_guard(spark, sf_dir, source):
+    _, rows, id_col = HIT_SOURCES[source]
+    merged = q_merged_spans(spark, sf_dir, source)
+    cov = explode_rows(_layer1_docs(spark, sf_dir, rows), "rx_covered", "c", id_col).select(
+        id_col, F.col("c.start").cast("bigint").alias("start"), F.col("c.end").cast("bigint").alias("end"))
+    return ST.guard_table(merged, cov, id_col)
 
 
-def q_redact_entities(spark, sf_dir):
-    h = _filtered_hits(spark, sf_dir)
-    spans = h.groupBy("note_id").agg(F.collect_list(F.struct(
+def q_redact_entities(spark, sf_dir, source):
+    h, rows, id_col = _filtered_hits(spark, sf_dir, source)
+    spans = h.groupBy(id_col).agg(F.collect_list(F.struct(
         F.col("start").cast("int").alias("start"), (F.col("start") - F.col("end")).cast("int").alias("neg_len"),
         F.col("chunk_idx").cast("int").alias("chunk_idx"), F.col("label_idx").alias("label_idx"),
         F.col("hit_idx").cast("int").alias("hit_idx"), F.col("end").cast("int").alias("end"), F.col("label"),
     )).alias("hits"))
-    l1 = _notes_layer1(spark, sf_dir).join(spans, "note_id", "left")
+    l1 = _layer1_docs(spark, sf_dir, rows).join(spans, id_col, "left")
     l1 = l1.withColumn("hits", F.coalesce("hits", F.array().cast(E.ESPAN_ARRAY)))
     l1 = l1.withColumn("kept", E.greedy(E.guard(E.merge_contained(F.col("hits")), F.col("rx_covered"))))
-    return l1.select("note_id", mask(F.col("rx_text"), F.col("kept"), E.upper_placeholder).alias("text"),
+    return l1.select(id_col, mask(F.col("rx_text"), F.col("kept"), E.upper_placeholder).alias("text"),
                      F.size("kept").cast("bigint").alias("model_hits"))
 
 
+# ---- P2, P4, P6 over span tables ---------------------------------------------------
+def _resolved_table(spark, sf_dir):
+    return ST.resolve_table(q_all_spans(spark, sf_dir), "doc_id")
+
+
+def q_resolved_spans_table(spark, sf_dir):
+    return _resolved_table(spark, sf_dir).select("doc_id", "start", "end", "label")
+
+
+def q_covered_ranges_table(spark, sf_dir):
+    return ST.covered_table(_resolved_table(spark, sf_dir), "doc_id").select("doc_id", "out_start", "out_end", "label")
+
+
+def q_uncovered_segments_table(spark, sf_dir):
+    df = _layer1_docs(spark, sf_dir)
+    cov = explode_rows(df, "rx_covered", "c", "doc_id").select("doc_id", "c.start", "c.end")
+    gaps = ST.uncovered_table(cov, df.select("doc_id", F.length("rx_text").alias("length")), "doc_id")
+    return gaps.select("doc_id", F.col("start").alias("seg_start"), F.col("end").alias("seg_end"))
+
+
 DETECT_SOURCES = {
     "EMAIL": ("detect_email", documents, "doc_id"),
     "PHONE": ("detect_phone", documents, "doc_id"),
@@ -413,6 +465,14 @@ ENTITY_QUERIES = {
     "pipeline_full": q_pipeline_full,
     "run_summary": q_run_summary,
     "audit_full": q_audit_full,
+    "score_chunks_join": partial(q_score_chunks, join=True),
+    "score_chunks_model": q_score_chunks_model,
+    "entity_threshold": q_entity_threshold,
+    "entity_stopwords": q_entity_stopwords,
+    "label_filter": q_label_filter,
+    "merged_spans": q_merged_spans,
+    "covered_guard": q_covered_guard,
+    "redact_entities": q_redact_entities,
 }
 
 
@@ -442,12 +502,9 @@ def registered() -> dict:
         chunk_documents=q_chunk_documents,
         chunk_para_docs=q_chunk_para_docs,
         chunk_stats=q_chunk_stats,
-        entity_threshold=q_entity_threshold,
-        entity_stopwords=q_entity_stopwords,
-        label_filter=q_label_filter,
-        merged_spans=q_merged_spans,
-        covered_guard=q_covered_guard,
-        redact_entities=q_redact_entities,
+        resolved_spans_table=q_resolved_spans_table,
+        covered_ranges_table=q_covered_ranges_table,
+        uncovered_segments_table=q_uncovered_segments_table,
     )
     for key, fn in ENTITY_QUERIES.items():
         q[key] = partial(fn, source="notes")

@@ -64,3 +64,9 @@ def ship_package(spark: SparkSession) -> None:
     root = os.path.dirname(os.path.dirname(os.path.abspath(spanmask.__file__)))
     archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spanmask-ship-"), "spanmask"), "zip", root, "spanmask")
     spark.sparkContext.addPyFile(archive)
+
+
+def settled(df):
+    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -28,14 +28,19 @@ def decode_text(col: Column) -> Column:
     return F.coalesce(F.make_valid_utf8(F.col(col) if isinstance(col, str) else col), F.lit(""))
 
 
-def read_parquet_text(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    return spread(spark.read.parquet(path), partitions)
+def decoded(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``df`` with :func:`decode_text` applied to ``text_col``, in its place."""
+    return df.select(*(decode_text(F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns))
+
+
+def read_parquet_text(spark: SparkSession, path: str, partitions: int | None = None, text_col: str = "text") -> DataFrame:
+    return spread(decoded(spark.read.parquet(path), text_col), partitions)
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per file (``wholetext``), with the file path as the id."""
     df = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
-    return df.select("path", F.coalesce(F.col("value"), F.lit("")).alias("text"))
+    return df.select("path", decode_text("value").alias("text"))
 
 
 def read_binary_files(spark: SparkSession, path: str) -> DataFrame:

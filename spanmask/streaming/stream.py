@@ -1,9 +1,9 @@
 """The redaction transform as a Structured Streaming job.
 
-The deterministic layer is stateless per row, so the batch transform is reused unchanged
-on a streaming DataFrame: no state store, no watermark.  With a scorer each micro-batch
-runs the batch transform and replaces its own folder of the sink, so a micro-batch that is
-run again writes the same rows once.  A restarted query resumes after the last micro-batch
+The deterministic layer is stateless per row, as is a scorer that works in the row, so the
+batch transform is reused unchanged on a streaming DataFrame: no state store, no watermark.
+With any other scorer each micro-batch runs the batch transform and replaces its own folder of
+the sink, so a micro-batch that is run again writes the same rows once.  A restarted query resumes after the last micro-batch
 its checkpoint has committed; therefore the checkpoint, or a query name that fixes its
 place under ``spark.checkpoint.dir``, must be given.
 """
@@ -16,15 +16,18 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import RedactConfig
 from ..functions.detectors import PinRegistry
 from ..plans.pipeline import redact
+from ..plans.pipeline_full import release, row_scorer
 from ..session import ensure_checkpoint_dir
+from ..sources.io import decoded
 
 
 def read_text_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
-                     max_files_per_trigger: int | None = None) -> DataFrame:
+                     max_files_per_trigger: int | None = None, text_col: str = "text") -> DataFrame:
+    """A stream of files; undecodable bytes of ``text_col`` become U+FFFD, no text "" (S1)."""
     reader = spark.readStream.format(fmt).schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return reader.load(path)
+    return decoded(reader.load(path), text_col)
 
 
 def redact_stream(stream: DataFrame, sink_path: str, text_col: str = "text",
@@ -37,15 +40,16 @@ def redact_stream(stream: DataFrame, sink_path: str, text_col: str = "text",
     spark, config = stream.sparkSession, config or RedactConfig()
     if checkpoint is None:
         checkpoint = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{query_name}"
-    if config.disable_model or scorer is None:
-        out = redact(stream, text_col, registry=registry, config=config, disable_model=True)
+    no_model = config.disable_model or scorer is None
+    if no_model or row_scorer(scorer, config.threshold):
+        out = redact(stream, text_col, registry=registry, config=config, disable_model=no_model, scorer=scorer)
         writer = out.writeStream.format(fmt).outputMode("append").option("path", sink_path)
     else:
 
         def write(batch: DataFrame, batch_id: int) -> None:
             done = redact(batch, text_col, registry=registry, config=config, disable_model=False, scorer=scorer)
             done.write.format(fmt).mode("overwrite").save(f"{sink_path.rstrip('/')}/batch={batch_id}")
-            batch.sparkSession.catalog.clearCache()
+            release(done)
 
         writer = stream.writeStream.foreachBatch(write)
     writer = writer.option("checkpointLocation", checkpoint)

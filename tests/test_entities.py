@@ -164,3 +164,92 @@ def test_guard_of_touching_and_empty_ranges(spark):
     want = [s for s in spans if not any(s[1] > c[0] and s[0] < c[1] for c in covered)]
     df = spark.createDataFrame([([(a, a - b, 0, 0, 0, b, "x") for a, b in spans], covered)], T.StructType([T.StructField("s", ESPAN_ARRAY), T.StructField("c", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))]))
     assert [(x["start"], x["end"]) for x in df.select(guard(F.col("s"), F.col("c")).alias("g")).first()["g"]] == want
+
+
+def test_a_batch_that_raises_loses_only_the_text_at_fault(spark):
+    class Strict(Scorer):
+        batch_size = 64
+
+        def score_batch(self, model, texts, labels, threshold):
+            if any("bad" in t for t in texts):
+                raise KeyError("bad")
+            return [[{"label": "city", "start": 0, "end": 1, "text": t[0], "confidence": 1.0}] for t in texts]
+
+    df = spark.range(64).coalesce(1).select("id", F.concat(F.lit("x"), F.col("id").cast("string"), F.when(F.col("id").isin(5, 40), " bad").otherwise("")).alias("text"))
+    rows = {r["id"]: r for r in redact(df, scorer=Strict()).collect()}
+    assert [i for i, r in rows.items() if r["model_errors"]] == [5, 40]
+    assert all(r["model_hits"] == (0 if i in (5, 40) else 1) for i, r in rows.items())
+
+
+def test_score_apart_halves_and_checks_lengths():
+    from spanmask.operators.entities import score_apart
+
+    calls = []
+
+    class Model(Scorer):
+        def score_batch(self, model, texts, labels, threshold):
+            calls.append(len(texts))
+            return [[]] if "short" in texts and len(texts) > 1 else [[] for _ in texts]
+
+    assert score_apart(Model(), None, ["a", "short", "b", "c"], [], 0.5) == [[], [], [], []]
+    assert calls == [4, 2, 1, 1, 2]
+
+
+SHAPES = [("a-b", "city", 0.9), ("$x", "city", 0.9), ("été", "city", 0.9), ("end.", "city", 0.9), (" lead", "city", 0.9), ("", "city", 0.9), (None, "city", 0.9),
+          ("low", "city", 0.1), ("other", "nolabel", 0.9), ("aa", "person", 0.8), ("aa aa", "person", 0.9), ("aa", "city", 0.8), ("a", "city", 0.95), ("\U0001f600", "city", 0.9)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_automaton_and_join_give_the_same_hits(spark, seed):
+    import random
+
+    from spanmask.functions.patterns import ENTITY_LABELS
+
+    rng = random.Random(seed)
+    terms = spark.createDataFrame(SHAPES, "term string, label string, confidence double")
+    parts = ["a", "aa", "-", "b", " ", "$", "x", "été", "e", "end.", ".", " lead", "low", "_", "7", "\n", "\u00a0", "\U0001f600", "other"]
+    rows = [(i.to_bytes(2), 0, 3, "".join(rng.choice(parts) for _ in range(rng.randint(1, 60)))) for i in range(150)]
+    chunks = spark.createDataFrame([r for r in rows if r[3].strip()], "key binary, chunk_idx int, cstart int, text string")
+    both = [DictionaryScorer(terms, automaton_chars=n).scored(chunks, ENTITY_LABELS, 0.75).collect() for n in (4_000_000, 0)]
+    assert sorted(both[0], key=str) == sorted(both[1], key=str) and any(r["label"] for r in both[0])
+
+
+def test_large_dictionaries_are_joined(spark):
+    terms = spark.range(300).select(F.concat(F.lit("name"), "id").alias("term"), F.lit("person").alias("label"), F.lit(0.9).alias("confidence"))
+    df = spark.createDataFrame([(1, "name7 and name299, name300"), (2, "none")], "id long, text string")
+    scorer = DictionaryScorer(terms, automaton_chars=100)
+    out = redact(df, scorer=scorer)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and scorer.automaton(["person"], 0.75) is None
+    assert {r["id"]: r["redacted"] for r in out.collect()} == {1: "[PERSON] and [PERSON], name300", 2: "none"}
+
+
+def test_small_dictionaries_need_no_shuffle_and_persist_nothing(spark):
+    terms = spark.createDataFrame([("Alice", "person", 0.9)], "term string, label string, confidence double")
+    out = redact(spark.createDataFrame([(1, "Alice, Bob"), (2, None), (3, " ")], "id long, text string"), scorer=DictionaryScorer(terms))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "InMemoryTableScan" not in plan and out.staged is None
+    rows = {r["id"]: r for r in out.collect()}
+    assert (rows[1]["redacted"], rows[1]["scored_chunks"], rows[1]["model_hits"]) == ("[PERSON], Bob", 1, 1)
+    assert (rows[2]["redacted"], rows[2]["scored_chunks"], rows[3]["redacted"], rows[3]["mode"]) == ("", 0, " ", "blank")
+
+
+def test_an_empty_dictionary_matches_nothing(spark):
+    terms = spark.createDataFrame([], "term string, label string, confidence double")
+    df = spark.createDataFrame([(1, "Alice")], "id long, text string")
+    for n in (0, 100):
+        assert redact(df, scorer=DictionaryScorer(terms, automaton_chars=n)).first()["redacted"] == "Alice"
+
+
+def test_release_frees_what_chunk_rows_need(spark):
+    from spanmask.plans.pipeline_full import release
+
+    df = spark.createDataFrame([(1, "Alice went home.")], "id long, text string")
+    mine = spark.range(7).cache()
+    mine.count()
+    out = redact(df, scorer=FixedScorer([{"label": "person", "start": 0, "end": 5, "text": "Alice", "confidence": 0.9}]))
+    out.collect()
+    assert out.staged.storageLevel.useDisk
+    release(out)
+    assert not out.staged.storageLevel.useDisk and mine.storageLevel.useMemory
+    mine.unpersist()
