@@ -10,7 +10,7 @@ linear in the word.
 
 What the tokenizer's file does before (normalizing, splitting at its pattern, bytes to
 characters) is left to the library, word by word: no piece and no composed character reaches
-over white space.  Words and pieces are remembered, up to ``KEPT`` of each.
+over white space.  Words and pieces are remembered, up to ``KEPT`` and ``KEPT_PIECES`` of them.
 
 Decoding copies each id's token from one buffer, by a table of offsets; as the file names no
 decoder, tokens are joined by one space, word ends are kept, and ids without a token add
@@ -34,13 +34,14 @@ from pyspark.sql import types as T
 
 from spanmask.llm.blocks import pieces, utf8
 
-KEPT, LONG_WORD = 1 << 18, 64
+KEPT, KEPT_PIECES, LONG_WORD = 1 << 18, 1 << 19, 64
 SLICE = 4 << 20
 #: Symbols are characters from here on, clear of any that means something to a library.
 _FIRST = 0x100
 _SPACE = re.compile(rb"[ \t-\r]")
-_PLAIN = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
-_PROBES = [b"Hello", b"WORLD!", b"a,", b"Supercalifragilistic", b"x...", b"word-(", b"it$#", b"Then;", b"Zz[]{}"]
+#: Punctuation after a word's letters (no apostrophe: the splitter's pattern may name it).
+_TAIL = r"([!-&(-/:-@\[-`{-~]*)"
+_PROBES = ["Hello", "WORLD!", "a,", "Supercalifragilistic", "x...", "word-(", "it$#", "Then;", "Zz[]{}", "Été", "straße,", "ŒUVRE..."]
 _loaded: dict[str, Bpe] = {}
 
 
@@ -106,28 +107,34 @@ class Merges:
         whole = self.id_of.get(text)
         if whole is not None:
             return [whole]
-        longest, length = [-1] * n, self.length
+        # the automaton names the longest of the tokens that end at a place first; read from the
+        # back, places count from the end: longest[-i] starts i symbols before it
+        longest, length, shorter, known = [-1] * n, self.length, self.shorter, self.known
         for end, token in self.automaton.iter(text[::-1]):
-            at = n - 1 - end
-            if longest[at] < 0 or length[token] > length[longest[at]]:
-                longest[at] = token
+            if longest[end] < 0:
+                longest[end] = token
         out: list[int] = []
         hopeless = bytearray(n + 1)
-        at, token = 0, longest[0]
-        while at < n:
-            end = at + length[token]
-            if not hopeless[end] and (not out or self.compatible(out[-1], token)):
-                out.append(token)
-                at = end
-                token = longest[at] if at < n else -1
-                continue
-            token = self.shorter[token]
+        left, token, last = n, longest[n - 1], -1
+        while True:
+            rest = left - length[token]
+            if not hopeless[rest]:
+                fits = True if last < 0 else known.get(last << 32 | token)
+                if fits is None:
+                    fits = self.compatible(last, token)
+                if fits:
+                    out.append(token)
+                    if not rest:
+                        return out
+                    left, last, token = rest, token, longest[rest - 1]
+                    continue
+            token = shorter[token]
             while token < 0:
-                hopeless[at] = 1
+                hopeless[left] = 1
                 token = out.pop()
-                at -= length[token]
-                token = self.shorter[token]
-        return out
+                last = out[-1] if out else -1
+                left += length[token]
+                token = shorter[token]
 
 
 class Bpe:
@@ -157,13 +164,19 @@ class Bpe:
         number = {s: i for i, s in enumerate([*symbols, *(a + b for a, b in merges)])}
         self.merges = Merges(len(symbols), [(number[a], number[b]) for a, b in merges])
         self.public = np.array([vocabulary[s] for s in number], np.uint32)
-        self.inner = {s: chr(_FIRST + i) for s, i in number.items() if i < len(symbols)}
-        self.end = end
+        self.ids = [i.to_bytes(4, "little") for i in self.public.tolist()]
+        inner = {s: chr(_FIRST + i) for s, i in number.items() if i < len(symbols)}
+        self.inside, self.last = _Dropping({ord(s): c for s, c in inner.items() if len(s) == 1}), {s.removesuffix(end): c for s, c in inner.items() if s.endswith(end)}
         self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
         self.special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")") if added else None
         self.pieces: dict[str, bytes] = {}
         self.words = _Words(self)
-        self.plain = not any(_PLAIN.fullmatch(s.encode()) for s in self.added) and all(self._plain(w) == self._any(w) for w in _PROBES)
+        # letters that the splitter leaves in one piece with those beside them, and what it shows
+        # for them; the way by letters is taken if it gives the same for the probes
+        shown = {c: self._shown(f"a{chr(c)}b") for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250))}
+        self.letters = {c: x[0][1:-1] for c, x in shown.items() if len(x) == 1 and x[0][0] == "a" and x[0][-1] == "b" and len(x[0]) > 2}
+        self.plain_word = re.compile("([" + "".join(map(chr, self.letters)) + "]+)" + _TAIL) if self.letters else re.compile("(?!)")
+        self.plain = not any(self._may_hide(s) for s in self.added) and all(self._plain(w) in (None, self._any(w)) for w in _PROBES)
         self._table({**vocabulary, **{t["content"]: t["id"] for t in added}})
 
     def _table(self, vocabulary: dict[str, int]) -> None:
@@ -176,38 +189,40 @@ class Bpe:
         np.cumsum(list(map(len, texts)), out=self.offsets[1:])
         self.buffer = np.frombuffer(b"".join(texts), np.uint8)
 
+    def _may_hide(self, added: str) -> bool:
+        """Can a word of letters and punctuation hold this added token?"""
+        head = added.lstrip("".join(map(chr, self.letters)))
+        return re.fullmatch(_TAIL, head) is not None
+
+    def _shown(self, text: str) -> list[str]:
+        """The pieces that the splitter makes of a text."""
+        norm = self.normalizer.normalize_str(text) if self.normalizer else text
+        return [p for p, _ in self.splitter.pre_tokenize_str(norm) if p] if self.splitter else [norm] * bool(norm)
+
     def _piece(self, piece: str) -> bytes:
         """Ids of one piece of the splitter."""
         ids = self.pieces.get(piece)
         if ids is None:
-            inner = self.inner
-            symbols = [inner[c] for c in piece[:-1] if c in inner]
-            last = piece[-1] + self.end
-            text = "".join(symbols) + (inner[last] if last in inner else "")
-            ids = self.public[self.merges.encode(text)].astype("<u4").tobytes() if text else b""
+            text = piece[:-1].translate(self.inside) + self.last.get(piece[-1], "")
+            ids = b"".join(map(self.ids.__getitem__, self.merges.encode(text))) if text else b""
             if len(piece) <= LONG_WORD:
-                if len(self.pieces) >= KEPT:
+                if len(self.pieces) >= KEPT_PIECES:
                     self.pieces.clear()
                 self.pieces[piece] = ids
         return ids
 
-    def _plain(self, word: bytes) -> bytes | None:
-        """Ids of ASCII letters with punctuation after them; None for other words."""
-        m = _PLAIN.fullmatch(word)
+    def _plain(self, word: str) -> bytes | None:
+        """Ids of letters with punctuation after them; None for other words."""
+        m = self.plain_word.fullmatch(word)
         if not m:
             return None
-        ids = self._piece(m[1].decode().lower())
-        return ids + self._piece(m[2].decode()) if m[2] else ids
-
-    def _any(self, word: bytes) -> bytes:
-        text, out = word.decode(), []
-        for i, part in enumerate(self.special.split(text) if self.special else [text]):
-            if i % 2:
-                out.append(self.added[part])
-            elif part:
-                norm = self.normalizer.normalize_str(part) if self.normalizer else part
-                shown = self.splitter.pre_tokenize_str(norm) if self.splitter else [(norm, None)]
-                out += [self._piece(piece) for piece, _ in shown if piece]
+        ids = self._piece(m[1].translate(self.letters))
+        return ids + self._piece(m[2]) if m[2] else ids
+
+    def _any(self, word: str) -> bytes:
+        out = []
+        for i, part in enumerate(self.special.split(word) if self.special else [word]):
+            out += [self.added[part]] if i % 2 else map(self._piece, self._shown(part))
         return b"".join(out)
 
     def encode(self, text: bytes) -> bytes:
@@ -234,6 +249,13 @@ class Bpe:
         return b"".join(out)[:-1]
 
 
+class _Dropping(dict):
+    """A table for ``str.translate`` that drops characters it does not name."""
+
+    def __missing__(self, c: int) -> None:
+        return None
+
+
 class _Words(dict):
     """Ids by word; encodes a word it does not hold."""
 
@@ -241,9 +263,10 @@ class _Words(dict):
         self.bpe = bpe
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.bpe._plain(word) if self.bpe.plain else None
+        text = word.decode()
+        ids = self.bpe._plain(text) if self.bpe.plain else None
         if ids is None:
-            ids = self.bpe._any(word)
+            ids = self.bpe._any(text)
         if len(word) <= LONG_WORD:
             if len(self) >= KEPT:
                 self.clear()
