@@ -95,7 +95,8 @@ def term_counts(df: DataFrame, column: str = "text", lang_column: str = "lang",
     texts of their language; ``first`` is 1 in one row of each (lang, term).  One row with null
     term per group, so that groups without terms are there."""
     rows = df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for c, name in ((column, "text"), (lang_column, "lang"), (source_column, "source"))))
-    counted = rows.mapInArrow(_count, "lang string, source string, term string, n long, docs long")
+    # sums per task go to their term's partition at once; what follows needs no other shuffle
+    counted = rows.mapInArrow(_count, "lang string, source string, term string, n long, docs long").repartition("lang", "term")
     counted = counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     # one row per source in each of these windows
     term = Window.partitionBy("lang", "term")
