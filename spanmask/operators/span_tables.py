@@ -3,7 +3,8 @@
 For spans that do not fit in a row: all sweep over a document's positions with a running
 maximum, sum or next value.  A sweep is two-level: positions fall into buckets of ``BUCKET``, a
 window runs inside each bucket, and a second one over the buckets' totals, so a document with
-a third of all spans is spread over many tasks and each sorts one bucket at a time.
+a third of all spans is spread over many tasks and each sorts one bucket at a time.  What a
+sweep reads is checkpointed, so jobs run when these operators are called.
 
 Offsets are half-open; spans hold one character or more.  Other columns pass through where a
 result has the rows of its input.
@@ -26,10 +27,12 @@ def running(df: DataFrame, id_cols: Sequence[str], at: str, order: Sequence[Colu
             own: bool = False, down: bool = False) -> DataFrame:
     """``df`` with ``name``: the fold (F.max, F.min, F.sum) of ``value`` over the rows of the same
     ids before each, its own row included if ``own``, in the order of position ``at`` (falling
-    if ``down``), then ``order``; null where there are none."""
+    if ``down``), then ``order``; null where there are none.
+
+    ``df`` is read twice, for the rows and for the buckets' totals, so it is settled first."""
     bucket = F.floor(F.col(at) / BUCKET)
     way = (lambda c: F.desc(c)) if down else (lambda c: F.asc(c))
-    df = df.withColumn(_B, bucket).withColumn(_T, value)
+    df = settled(df.withColumn(_B, bucket).withColumn(_T, value))
     inside = Window.partitionBy(*id_cols, _B).orderBy(way(at), *order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
     totals = df.groupBy(*id_cols, _B).agg(fold(F.col(_T)).alias(_T))
     before = Window.partitionBy(*id_cols).orderBy(way(_B)).rowsBetween(Window.unboundedPreceding, -1)

@@ -408,7 +408,7 @@ def q_covered_guard(spark, sf_dir, source):
     return ST.guard_table(merged, cov, id_col)
 
 
-def q_redact_entities(spark, sf_dir, source):
+def q_redact_entities(spark, sf_dir, source="notes"):
     h, rows, id_col = _filtered_hits(spark, sf_dir, source)
     spans = h.groupBy(id_col).agg(F.collect_list(F.struct(
         F.col("start").cast("int").alias("start"), (F.col("start") - F.col("end")).cast("int").alias("neg_len"),
@@ -422,6 +422,21 @@ def q_redact_entities(spark, sf_dir, source):
                      F.size("kept").cast("bigint").alias("model_hits"))
 
 
+def q_redact_entities_documents(spark, sf_dir):
+    """As ``redact_entities`` over ``document_hits``, in the documents' rows."""
+    staged, id_col, scorer = _staged(spark, sf_dir, "documents")
+    text, chunks = F.col(PL.PREFIX + "text"), F.col(PF.CHUNKS)
+    hits = E.kept_in_row(scorer.in_row(P.ENTITY_LABELS, 0.0)(text, chunks)["hits"], chunks, RedactConfig().threshold)
+
+    def widened(s):
+        start, end = s["start"] - s["start"] % 7, s["end"] + s["end"] % 41
+        return s.withField("start", start).withField("end", end).withField("neg_len", start - end)
+
+    out = staged.withColumn("hits", once(F.transform(hits, widened)))
+    out = out.withColumn("kept", once(E.greedy(E.guard(E.merge_contained(F.col("hits")), F.col(PL.PREFIX + "covered")))))
+    return out.select(id_col, mask(text, F.col("kept"), E.upper_placeholder).alias("text"), F.size("kept").cast("bigint").alias("model_hits"))
+
+
 # ---- P2, P4, P6 over span tables ---------------------------------------------------
 def _resolved_table(spark, sf_dir):
     return ST.resolve_table(q_all_spans(spark, sf_dir), "doc_id")
@@ -509,4 +524,5 @@ def registered() -> dict:
     for key, fn in ENTITY_QUERIES.items():
         q[key] = partial(fn, source="notes")
         q[key + "_documents"] = partial(fn, source="documents")
+    q["redact_entities_documents"] = q_redact_entities_documents
     return q
