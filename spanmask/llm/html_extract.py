@@ -3,18 +3,21 @@
 A page is read into a tree that repairs what browsers repair here: void elements, implied
 ends of paragraphs, items and cells, unclosed elements, comments and raw text, and a tag cut
 off at the end.  Blocks are the runs of text between block-level tags.  Elements that by
-their name, role or style are menus, page headers, footers, asides, forms, scripts, styles
-or hidden take no part.  A class or id that marks menus, sidebars, notices, adverts or reader
-comments lowers the points of what it encloses, and such an element is left out unless it
+their name or style are menus, page headers, footers, asides, scripts, styles or hidden take
+no part.  Forms, roles, and classes or ids that mark menus, sidebars, notices, adverts or reader
+comments lower the points of what they enclose, and such an element is left out unless it
 holds the best container; names with other meanings count only as a whole class word, and
 inside a longer one only if most of the text is in links.  Each block gives points for its
 length and its commas to its element, half of them to the element above and less further
-up; a container's points are discounted by the share of its text that is in links.  The best
-container (or the article that encloses it) is kept, with siblings that score well enough.
-
-Null and empty pages, pages without text: empty text.  Repeated rows are read each; whole
-pages of any length are read in time proportional to their length.  Empty tables give empty
-results.
+up, to ``LEVELS`` elements; a container's points are discounted by the share of its text that
+is in links.  The best container (or the article that encloses it) is kept, with siblings
+that score well enough.
+
+Null and empty pages, pages without text: empty text.  A raw element without an end tag, as
+``svg`` or ``noscript``, is passed over as if its tag were not there; only scripts and styles run
+to the end of the page then.  Repeated rows are read each; whole pages of any length and depth
+are read in time proportional to their length.  Empty tables give empty results.  Columns of
+the input named ``text`` or ``n_chars`` are replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -46,8 +49,10 @@ IMPLIED = {
     "tbody": (frozenset(["tbody", "thead", "tfoot", "tr", "td", "th"]), frozenset(["table"])),
 }
 #: Elements that never hold main text.
-DROPPED = frozenset("nav footer aside form script style noscript iframe template svg annotation annotation-xml select button textarea input object embed canvas dialog menu head title search audio video".split())
+DROPPED = frozenset("nav footer aside script style noscript iframe template svg annotation annotation-xml select button textarea input object embed canvas dialog menu head title search audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+#: Raw elements that run to the end of the page if they are not ended.
+TO_THE_END = frozenset(["script", "style"])
 #: Words in a class or id that mark what is not main text.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion sidebar sidenav sidecol rail widget widgets comment comments commentlist "
@@ -59,6 +64,8 @@ AMBIGUOUS = frozenset("ad ads rail widget widgets reply replies respond notice n
 STATES = (frozenset("has no is with without".split()), frozenset("open closed".split()))
 PENALTY = 0.2
 SHORT = 25
+#: Elements above a block that get points from it.
+LEVELS = 64
 _PAGE = frozenset(["html", "body", "main"])
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
@@ -67,17 +74,40 @@ _TOKEN = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 
 
 class _Node:
-    __slots__ = ("tag", "up", "out", "mark", "block", "link", "points", "linked")
+    __slots__ = ("tag", "up", "out", "mark", "marked", "block", "holder", "article", "link", "points", "linked")
 
     def __init__(self, tag: str, up: _Node | None, out: bool, mark: int = 0):
         self.tag, self.up, self.out, self.mark = tag, up, out, mark
+        self.marked = mark == 2 or (up is not None and up.marked)
         self.block = tag in BLOCK
+        # the block-level element that text in it belongs to
+        self.holder = self if self.block or up is None else up.holder
+        self.article = tag in ("article", "main") or (up is not None and up.article)
         self.link = tag == "a" or (up is not None and up.link)
         self.points = self.linked = 0.0
 
 
-def _marked(tag: str, attributes: str, inside_article: bool) -> bool:
-    """Whether an element, by its name and attributes, is not main text."""
+class _Stack:
+    """Open elements, with the places of each tag's, so that the nearest of a name is known."""
+
+    def __init__(self, root: _Node):
+        self.nodes, self.places = [root], {root.tag: [0]}
+
+    def push(self, node: _Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, at: int) -> None:
+        for node in reversed(self.nodes[at:]):
+            self.places[node.tag].pop()
+        del self.nodes[at:]
+
+    def last(self, names) -> int:
+        return max((p[-1] for n in names if (p := self.places.get(n))), default=-1)
+
+
+def _hidden(tag: str, attributes: str, inside_article: bool) -> bool:
+    """Whether an element, by its name and attributes, is never main text."""
     if tag in DROPPED or (tag == "header" and not inside_article):
         return True
     if not attributes or tag in _PAGE:
@@ -85,7 +115,7 @@ def _marked(tag: str, attributes: str, inside_article: bool) -> bool:
     for m in _ATTR.finditer(attributes):
         name = m[1].lower()
         value = unescape(m[2] or m[3] or m[4] or "")
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.strip().lower() in ROLES):
+        if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
@@ -93,11 +123,16 @@ def _marked(tag: str, attributes: str, inside_article: bool) -> bool:
 
 
 def _mark(tag: str, attributes: str) -> int:
-    """2: a class or id marks what is not main text; 1: an ambiguous mark within a class word."""
+    """2: a form, or a role, class or id that marks what is not main text; 1: an ambiguous mark
+    within a class word."""
+    if tag == "form":
+        return 2
     if not attributes or tag in _PAGE:
         return 0
     mark = 0
     for m in _ATTR.finditer(attributes):
+        if m[1].lower() == "role" and unescape(m[2] or m[3] or m[4] or "").strip().lower() in ROLES:
+            return 2
         if m[1].lower() not in ("class", "id"):
             continue
         for word in unescape(m[2] or m[3] or m[4] or "").split():
@@ -113,10 +148,12 @@ def _mark(tag: str, attributes: str) -> int:
     return mark
 
 
-def _blocks(html: str) -> list[tuple[_Node, str]]:
-    """(element, text) of each run of text between block-level tags, in page order."""
+def _blocks(html: str) -> tuple[list[tuple[_Node, str]], list[_Node]]:
+    """(element, text) of each run of text between block-level tags, in page order, and all
+    elements, each after the one that encloses it."""
     root = _Node("html", None, False)
-    stack, out, text, owner = [root], [], [], root
+    stack, nodes, out, text, owner = _Stack(root), [root], [], [], root
+    unended: set[str] = set()
 
     def flush():
         if text:
@@ -127,24 +164,19 @@ def _blocks(html: str) -> list[tuple[_Node, str]]:
             text.clear()
 
     def close(names, limits=frozenset()):
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                if any(n.block for n in stack[i:]):
-                    flush()
-                del stack[i:]
-                return
-            if stack[i].tag in limits:
-                return
-
-    def holder() -> _Node:
-        return next(n for n in reversed(stack) if n.block)
+        at = stack.last(names)
+        if at > 0 and at >= stack.last(limits):
+            if any(n.block for n in stack.nodes[at:]):
+                flush()
+            stack.cut(at)
 
     def say(s: str):
         nonlocal owner
-        if s and not stack[-1].out:
+        top = stack.nodes[-1]
+        if s and not top.out:
             if not text:
-                owner = holder()
-            text.append((unescape(s) if "&" in s else s, stack[-1].link))
+                owner = top.holder
+            text.append((unescape(s) if "&" in s else s, top.link))
 
     at, end, last = 0, len(html), html.rfind(">")
     while at < end:
@@ -189,7 +221,7 @@ def _blocks(html: str) -> list[tuple[_Node, str]]:
             close(frozenset(["p"]), frozenset(["td", "th", "button", "table"]))
         if tag in IMPLIED:
             close(*IMPLIED[tag])
-        if tag in ("html", "body") and len(stack) > 1:
+        if tag in ("html", "body") and len(stack.nodes) > 1:
             continue
         if tag == "body":
             close(frozenset(["head"]))
@@ -197,74 +229,79 @@ def _blocks(html: str) -> list[tuple[_Node, str]]:
             close(frozenset(["a"]), frozenset(["td", "th", "table"]))
         if tag in VOID:
             continue
-        up = stack[-1]
+        up = stack.nodes[-1]
         if up.tag == "head" and tag not in RAW and tag not in ("head", "base", "link", "meta"):
-            del stack[-1]
-            up = stack[-1]
+            stack.cut(len(stack.nodes) - 1)
+            up = stack.nodes[-1]
         if tag in ("svg", "math") and m[3].endswith("/"):
             continue
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)", re.I).search(html, at)
-            at = end if not stop else stop.start()
+            stop = None if tag in unended else re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)", re.I).search(html, at)
             if stop:
-                close_at = html.find(">", at)
+                close_at = html.find(">", stop.start())
                 at = end if close_at < 0 else close_at + 1
+            elif tag in TO_THE_END:
+                at = end
+            else:
+                unended.add(tag)
             continue
-        hidden = up.out or _marked(tag, m[3], any(n.tag in ("article", "main") for n in stack))
-        stack.append(_Node(tag, up, hidden, _mark(tag, m[3])))
+        node = _Node(tag, up, up.out or _hidden(tag, m[3], up.article), _mark(tag, m[3]))
+        stack.push(node)
+        nodes.append(node)
     flush()
+    return out, nodes
+
+
+def _totals(blocks: list[tuple[_Node, str]], nodes: list[_Node]) -> tuple[dict[_Node, float], dict[_Node, float]]:
+    """Text and linked text of all that an element encloses, for elements that enclose some."""
+    chars: dict[_Node, float] = {}
+    linked: dict[_Node, float] = {}
+    for node, s in blocks:
+        chars[node] = chars.get(node, 0.0) + len(s)
+        linked[node] = node.linked
+    # what encloses comes first, so from the back every element is complete when it is passed on
+    for n in reversed(nodes):
+        if n in chars and n.up is not None:
+            chars[n.up] = chars.get(n.up, 0.0) + chars[n]
+            linked[n.up] = linked.get(n.up, 0.0) + linked[n]
+    return chars, linked
+
+
+def _inside(nodes: list[_Node], chosen) -> set[_Node]:
+    """The elements that are chosen or lie in one that is."""
+    out: set[_Node] = set()
+    for n in nodes:
+        if n.up in out or chosen(n):
+            out.add(n)
     return out
 
 
 def main_text(html: str | None) -> str:
     """Blocks of the main text, joined by empty lines."""
-    blocks = _blocks(html or "")
-    if not blocks:
-        return ""
-    def totals() -> tuple[dict[_Node, float], dict[_Node, float]]:
-        """Text and linked text of all that an element encloses."""
-        chars, linked = {}, {}
-        for node, s in blocks:
-            for n in _path(node):
-                chars[n] = chars.get(n, 0.0) + len(s)
-        for node in dict.fromkeys(n for n, _ in blocks):
-            for n in _path(node):
-                linked[n] = linked.get(n, 0.0) + node.linked
-        return chars, linked
-
-    chars, linked = totals()
+    blocks, nodes = _blocks(html or "")
+    chars, linked = _totals(blocks, nodes)
 
     def dropped(n: _Node) -> bool:
-        return bool(n.mark) and (linked.get(n, 0.0) > 0.5 * chars.get(n, 0.0) or (n.mark == 2 and chars.get(n, 0.0) < SHORT))
-
-    def without(left_out) -> list[tuple[_Node, str]]:
-        known: dict[_Node | None, bool] = {None: False}
-        for node, _ in blocks:
-            new = []
-            while node not in known:
-                new.append(node)
-                node = node.up
-            for n in reversed(new):
-                known[n] = known[n.up] or left_out(n)
-        return [(n, s) for n, s in blocks if not known[n]]
-
-    out = {n for b, _ in blocks for n in _path(b) if dropped(n)}
-    blocks = without(out.__contains__)
+        return bool(n.mark) and n in chars and (linked[n] > 0.5 * chars[n] or (n.mark == 2 and chars[n] < SHORT))
+
+    out = _inside(nodes, dropped)
+    blocks = [(n, s) for n, s in blocks if n not in out]
     if not blocks:
         return ""
-    chars, linked = totals()
+    chars, linked = _totals(blocks, nodes)
     scored: dict[_Node, None] = {}
     for node, s in blocks:
         points = 1.0 + s.count(",") + min(len(s) / 100.0, 3.0)
         if node.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "li", "th", "figcaption"):
             points *= 0.25
-        if any(n.mark == 2 for n in _path(node)):
+        if node.marked:
             points *= PENALTY
         level, up = 0, node if node.tag in ("div", "section", "article", "main", "td", "body", "html") else node.up
-        while up is not None:
+        while up is not None and level < LEVELS:
             up.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
             scored[up] = None
             level, up = level + 1, up.up
+
     def worth(n: _Node) -> float:
         bonus = 1.5 if n.tag in ("article", "main") else 1.0
         return bonus * n.points * (1.0 - min(1.0, linked.get(n, 0.0) / max(1.0, chars.get(n, 0.0))))
@@ -275,15 +312,17 @@ def main_text(html: str | None) -> str:
         top = top.up
     best = top or best
     within = set(_path(best))
-    blocks = without(lambda n: n.mark == 2 and n not in within)
+    out = _inside(nodes, lambda n: n.mark == 2 and n not in within)
     enough = max(2.0, 0.2 * worth(best))
     keep = {best}
     if best.tag not in ("body", "html"):
-        for n in {n for b, _ in blocks for n in _path(b) if n.up is best.up}:
-            dense = linked.get(n, 0.0) > 0.25 * max(1.0, chars.get(n, 0.0))
-            if not dense and (worth(n) >= enough or n.tag in ("p", "h1", "h2", "h3", "blockquote", "pre")):
-                keep.add(n)
-    return "\n\n".join(s for n, s in blocks if any(x in keep for x in _path(n)))
+        for n in nodes:
+            if n.up is best.up and n in chars and n not in out:
+                dense = linked[n] > 0.25 * max(1.0, chars[n])
+                if not dense and (worth(n) >= enough or n.tag in ("p", "h1", "h2", "h3", "blockquote", "pre")):
+                    keep.add(n)
+    kept = _inside(nodes, keep.__contains__)
+    return "\n\n".join(s for n, s in blocks if n in kept and n not in out)
 
 
 def _path(n: _Node | None):

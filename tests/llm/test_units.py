@@ -257,3 +257,60 @@ def test_time_grows_with_the_length():
         t = time.perf_counter()
         html_extract.main_text(unit * 20_000)
         assert time.perf_counter() - t < 5, unit
+
+
+@pytest.mark.parametrize(("before", "after"), [("<svg>", ""), ("<template>", ""), ("<noscript>", ""), ("<form>", "</form>"), ("<form action='/x'><input>", "</form>"), ("<div role='form'>", "</div>"), ("<div role=banner>", "</div>"), ("<svg>" * 300, "")])
+def test_articles_inside_what_is_left_out_elsewhere(before, after):
+    article = "<article>" + "".join(f"<p>{p}</p>" for p in PROSE) + "</article>"
+    assert html_extract.main_text(f"<body>{before}{article}{after}</body>").split("\n\n") == PROSE
+    # a form beside the article goes, with what is in it
+    assert html_extract.main_text(f"<body>{article}<form><p>Write to us, or call, at any time of the day.</p></form></body>").split("\n\n") == PROSE
+
+
+@pytest.mark.parametrize("unit", ["<div>x, y", "<b>x", "<p><table><tr><td>z", "<div></span>", "<svg>", "<div class=a>", "<ul><li>a"])
+def test_time_grows_with_the_depth(unit):
+    import time
+
+    t = time.perf_counter()
+    html_extract.main_text("<body>" + unit * 30_000)
+    assert time.perf_counter() - t < 10
+
+
+def _brute_main_text(html):
+    """The scoring by its words: every element sums over the blocks it encloses, one by one."""
+    blocks, nodes = html_extract._blocks(html)
+    path = lambda n: list(html_extract._path(n))
+    inside = lambda n: [(b, s) for b, s in blocks if n in path(b)]
+    chars = lambda n: float(sum(len(s) for _, s in inside(n)))
+    linked = lambda n: float(sum(b.linked for b in dict.fromkeys(b for b, _ in inside(n))))
+    gone = {n for n in nodes if n.mark and inside(n) and (linked(n) > 0.5 * chars(n) or (n.mark == 2 and chars(n) < html_extract.SHORT))}
+    blocks = [(b, s) for b, s in blocks if not gone.intersection(path(b))]
+    if not blocks:
+        return ""
+    points = {}
+    for b, s in blocks:
+        value = (1 + s.count(",") + min(len(s) / 100, 3)) * (0.25 if b.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "li", "th", "figcaption") else 1)
+        value *= html_extract.PENALTY if any(n.mark == 2 for n in path(b)) else 1
+        above = path(b) if b.tag in ("div", "section", "article", "main", "td", "body", "html") else path(b)[1:]
+        for level, n in enumerate(above):
+            points[n] = points.get(n, 0) + value / (1, 2, *(3 * k for k in range(2, level + 1)))[level]
+    worth = lambda n: (1.5 if n.tag in ("article", "main") else 1) * points.get(n, 0) * (1 - min(1, linked(n) / max(1, chars(n))))
+    best = max(points, key=worth)
+    best = next((n for n in path(best) if n.tag in ("article", "main")), best)
+    out = {n for n in nodes if n.mark == 2 and n not in path(best)}
+    keep = {best}
+    if best.tag not in ("body", "html"):
+        for n in nodes:
+            if n.up is best.up and inside(n) and not out.intersection(path(n)) and linked(n) <= 0.25 * max(1, chars(n)):
+                if worth(n) >= max(2, 0.2 * worth(best)) or n.tag in ("p", "h1", "h2", "h3", "blockquote", "pre"):
+                    keep.add(n)
+    return "\n\n".join(s for b, s in blocks if keep.intersection(path(b)) and not out.intersection(path(b)))
+
+
+def test_pages_equal_brute_force_scoring():
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    assert len(pages) == 250
+    for html in pages:
+        assert html_extract.main_text(html) == _brute_main_text(html)
