@@ -9,14 +9,19 @@ probability of a run and the interpolation weight of a context, cut into shards
 time, besides the first ``KEPT`` runs, which tasks keep loaded.  A text gets the language of
 the lowest cross-entropy per symbol.
 
-Calibration, on learning rows that are not counted (fold 1): ``score`` is the probability
-that the choice is right, a logistic function of the margin to the second language;
-``rejected`` marks texts whose cross-entropy is beyond what ``REJECT`` of the calibration
-texts of that language have, for their length.
+Calibration: models of folds 2 and up judge the learning rows of fold 1.  ``score`` is the
+probability that the choice is right, a logistic function of the margin to the second
+language; ``rejected`` marks texts whose cross-entropy is beyond what ``REJECT`` of the
+calibration texts of that language have, for their length.  The models that predict are then
+counted on all learning rows; a language that only fold 1 has is predicted too, without a limit.
+
+Letters of the first plane are their own symbols; those beyond it share the 8,447 code points
+of the first plane that no letter has, consecutive letters side by side, so that scripts differ.
 
 Null text or text without a letter: ``und``, score 0, rejected.  Ties go to the language
 first in code-point order.  Nothing to learn from: every text is ``und``.  Repeated rows
-count each; empty tables give empty results.
+count each; empty tables give empty results.  Columns of the input named like an output are
+replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -42,10 +47,12 @@ _letters: list[np.ndarray] = []
 
 
 def _letter_symbols() -> np.ndarray:
-    """Symbol of each code point: itself for letters (65,535 beyond the first plane), else 0."""
+    """Symbol of each code point: itself for letters (from 0xD800 on beyond the first plane),
+    else 0."""
     if not _letters:
         is_letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-        _letters.append(np.where(is_letter, np.minimum(np.arange(0x110000), 0xFFFF), 0).astype(np.uint16))
+        code = np.arange(0x110000)
+        _letters.append(np.where(is_letter, np.where(code < 0x10000, code, 0xD800 + code % 8447), 0).astype(np.uint16))
     return _letters[0]
 
 
@@ -216,6 +223,15 @@ class Model:
         self.floor = [1.0 / (1 + letters[lang]) for lang in self.langs]
         self.slope, self.typical, self.limit = 1.0, np.zeros(len(self.langs)), np.full(len(self.langs), np.inf)
 
+    def calibrated_like(self, other: Model) -> Model:
+        """This model with the other's calibration of the languages they share."""
+        at = {lang: i for i, lang in enumerate(other.langs)}
+        self.slope = other.slope
+        for i, lang in enumerate(self.langs):
+            if lang in at:
+                self.typical[i], self.limit[i] = other.typical[at[lang]], other.limit[at[lang]]
+        return self
+
     def log_probabilities(self, code: np.ndarray) -> np.ndarray:
         """Natural logarithms per run and language."""
         out = np.empty((len(code), len(self.langs)), np.float32)
@@ -258,12 +274,21 @@ def fit(docs: DataFrame, column: str = "text", lang_column: str = "lang", id_col
     """Learns from rows with a language whose fold (crc32 of the id, modulo FOLDS) is not 0."""
     fold = F.crc32(F.col(id_column).cast("string")) % FOLDS
     known = docs.select(F.col(column).alias("text"), F.col(lang_column).alias("lang"), fold.alias("fold")).where("lang is not null and text is not null and fold <> 0")
-    counts = known.where("fold > 1").select("lang", "text").mapInArrow(_count, "lang string, run long, n long")
-    counts = settle(counts.groupBy("lang", "run").agg(F.sum("n").alias("n")))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        counts = rows.select("lang", "text").mapInArrow(_count, "lang string, run long, n long")
+        return settle(counts.groupBy("lang", "run").agg(F.sum("n").alias("n")))
+
+    first, others = counted(known.where("fold = 1")), counted(known.where("fold > 1"))
+    tried = _calibrated(known.where("fold = 1").select("lang", "text"), _model(others, entries))
+    whole = settle(first.unionByName(others).groupBy("lang", "run").agg(F.sum("n").alias("n")))
+    return _model(whole, entries).calibrated_like(tried)
+
+
+def _model(counts: DataFrame, entries: int) -> Model:
     table = settle(_orders(counts))
     kinds = table.where("n <= 2").groupBy("lang", "order").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"))
-    model = Model(_parts(table), kinds.toArrow().to_pandas(), entries, docs.sparkSession.sparkContext.broadcast)
-    return _calibrated(known.where("fold = 1").select("lang", "text"), model)
+    return Model(_parts(table), kinds.toArrow().to_pandas(), entries, counts.sparkSession.sparkContext.broadcast)
 
 
 def _calibrated(rows: DataFrame, model: Model) -> Model:
