@@ -28,6 +28,7 @@ from ..operators import span_tables as ST
 from ..operators.aggregates import audit, doc_hits, full_audit, label_counts_long
 from ..operators.segments import uncovered_segments
 from . import derived as D
+from .. import sql
 from ..sources.io import changed, decode_text, nonblank_redacted, spread
 
 
@@ -457,6 +458,29 @@ def q_uncovered_segments_table(spark, sf_dir):
     return gaps.select("doc_id", F.col("start").alias("seg_start"), F.col("end").alias("seg_end"))
 
 
+# ---- SQL surface ---------------------------------------------------------------------
+def q_redact_text_sql(spark, sf_dir):
+    sql.register(spark, registry(spark, sf_dir))
+    return spark.sql("select doc_id, redact_text(text) as text from {docs}", docs=documents(spark, sf_dir))
+
+
+def q_redact_spans_sql(spark, sf_dir):
+    sql.register(spark, registry(spark, sf_dir))
+    return spark.sql(
+        "select doc_id, cast(s.start as bigint) as start, cast(s.end as bigint) as end, s.label from (select doc_id, explode(redact_spans(text)) as s from {docs})",
+        docs=documents(spark, sf_dir))
+
+
+def q_label_counts_sql(spark, sf_dir):
+    sql.register(spark, registry(spark, sf_dir))
+    return spark.sql("select doc_id, label, cast(n as bigint) as n from (select doc_id, explode(redact_counts(text)) as (label, n) from {docs})", docs=documents(spark, sf_dir))
+
+
+def _chunk_text(spark, sf_dir, source):
+    sql.register(spark, registry(spark, sf_dir))
+    return spark.sql(f"select * from chunk_text(table({{docs}}), {DEFAULT_CHUNK_SIZE}, {DEFAULT_OVERLAP})", docs=source(spark, sf_dir))
+
+
 DETECT_SOURCES = {
     "EMAIL": ("detect_email", documents, "doc_id"),
     "PHONE": ("detect_phone", documents, "doc_id"),
@@ -517,6 +541,11 @@ def registered() -> dict:
         chunk_documents=q_chunk_documents,
         chunk_para_docs=q_chunk_para_docs,
         chunk_stats=q_chunk_stats,
+        redact_text_sql=q_redact_text_sql,
+        redact_spans_sql=q_redact_spans_sql,
+        label_counts_sql=q_label_counts_sql,
+        chunk_text_sql=partial(_chunk_text, source=documents),
+        chunk_text_para_sql=partial(_chunk_text, source=para_docs),
         resolved_spans_table=q_resolved_spans_table,
         covered_ranges_table=q_covered_ranges_table,
         uncovered_segments_table=q_uncovered_segments_table,
