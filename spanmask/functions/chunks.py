@@ -94,7 +94,7 @@ def _sentence_level(sub: Column, s: Column, size: int, overlap: int) -> Column:
 def chunk_ranges(text: Column, size: int = 1600, overlap: int = 200) -> Column:
     """array<range>: paragraph-aware chunks of ``text`` (C4), in order."""
 
-    def by_paragraph(t, part, units):
+    def by_paragraph(t, units):
         tail = F.element_at(units, -1)
 
         # the tail's text is cut once, bound, and descended into only if it is oversize
@@ -109,19 +109,19 @@ def chunk_ranges(text: Column, size: int = 1600, overlap: int = 200) -> Column:
             return pack(units, size, oversize)
 
         return F.when(F.size(units) == 1, hard_windows(F.lit(0), F.length(t), size, overlap)).otherwise(
-            let(part(tail["start"], tail["end"] - tail["start"]), body)
+            with_cut(t, lambda whole, part: let(part(tail["start"], tail["end"] - tail["start"]), body))
         )
 
-    def chunks(t, part):
+    def chunks(t):
         n = F.length(t)
         return (
             F.when(n == 0, empty(RANGE_ARRAY))
             .when(n <= size, F.array(_rng(F.lit(0), n)))
-            .when(t.rlike(P.JAVA_PARAGRAPH), let(unit_ranges(t, P.JAVA_PARAGRAPH), lambda u: by_paragraph(t, part, u)))
+            .when(t.rlike(P.JAVA_PARAGRAPH), let(unit_ranges(t, P.JAVA_PARAGRAPH), lambda u: by_paragraph(t, u)))
             .otherwise(_sentence_level(t, F.lit(0), size, overlap))
         )
 
-    return with_cut(text, chunks)
+    return let(text, chunks)
 
 
 def sentence_ranges(text: Column) -> Column:

@@ -74,25 +74,29 @@ class PinRegistry:
 
 
 # Cheap necessary conditions (a row failing one cannot match that detector).
-def _guards(text: Column) -> dict[str, Column]:
-    has_digit = text.rlike(f"[{P.JAVA_DIGIT_BODY}]")
-    has_at = F.instr(text, "@") > 0
+def _guards(text: Column, has: Column) -> dict[str, Column]:
+    """Conditions by detector; ``has`` is :func:`_holds` of the text, evaluated once."""
+    digit, at = has["digit"], has["at"]
     return {
-        "EMAIL": has_at,
-        "PHONE": has_digit,
-        "PAN": has_digit,
-        "AADHAAR": has_digit,
-        "UPI": has_at,
-        "IP": has_digit & (F.instr(text, ".") > 0),
+        "EMAIL": at,
+        "PHONE": digit,
+        "PAN": digit,
+        "AADHAAR": digit,
+        "UPI": at,
+        "IP": digit & (F.instr(text, ".") > 0),
         # any match holds 20 consecutive token characters: a look-around-free scan
         "SECRET": text.rlike(r"[A-Za-z0-9_\-]{20}"),
-        "LONGNUM": has_digit,
-        "ADDRESS": (F.instr(text, "\n") > 0) & text.rlike(P.JAVA_PIN),
-        "SSN": has_digit & (F.instr(text, "-") > 0),
-        "POSTAL_CODE": has_digit,
+        "LONGNUM": digit,
+        "ADDRESS": digit & (F.instr(text, "\n") > 0) & text.rlike(P.JAVA_PIN),
+        "SSN": digit & (F.instr(text, "-") > 0),
+        "POSTAL_CODE": digit,
     }
 
 
+def _holds(text: Column) -> Column:
+    return F.struct(text.rlike(f"[{P.JAVA_DIGIT_BODY}]").alias("digit"), (F.instr(text, "@") > 0).alias("at"))
+
+
 # Every ADDRESS match starts with one of the starter words; testing their first
 # letters before the form look-ahead keeps that look-ahead off most positions.
 _ADDRESS_FIRST = "(?=[FHDPTBSN])"
@@ -117,7 +121,7 @@ def _form_at(part, start: Column) -> Column:
     return let(part(start, F.lit(_FORM_WINDOW)), test)
 
 
-def _address_cands(text: Column, prio: int, keep) -> Column:
+def _address_cands(text: Column, guard: Column, prio: int, keep) -> Column:
     """ADDRESS candidates with the labelled-form look-ahead (V2), exactly.
 
     The look-ahead scans up to nine lines at every position the grammar is
@@ -138,7 +142,7 @@ def _address_cands(text: Column, prio: int, keep) -> Column:
 
         return let(find_cands(t, body, "ADDRESS", prio), chosen)
 
-    return F.when(_guards(text)["ADDRESS"], with_cut(text, cands)).otherwise(empty(CAND_ARRAY))
+    return F.when(guard, with_cut(text, cands)).otherwise(empty(CAND_ARRAY))
 
 
 def detector_cands(text: Column, label: str, raw: bool = False) -> Column:
@@ -152,7 +156,13 @@ def all_cands(text: Column, labels: Iterable[str] = P.DETECTOR_ORDER, raw: bool
 
     The pieces of all detectors but ADDRESS go through one fold, which keeps the plan
     small: each detector adds its regex and its guard only."""
-    labels, guards = list(labels), _guards(text)
+    labels = list(labels)
+    if not labels:
+        return empty(CAND_ARRAY)
+    return let(_holds(text), lambda has: _all_cands(text, labels, _guards(text, has), raw))
+
+
+def _all_cands(text: Column, labels: list[str], guards: dict[str, Column], raw: bool) -> Column:
     arrays = []
     if "ADDRESS" in labels:
 
@@ -160,14 +170,14 @@ def all_cands(text: Column, labels: Iterable[str] = P.DETECTOR_ORDER, raw: bool
             pin = F.regexp_extract(match, P.JAVA_PIN, 0)
             return (pin != "") & PinRegistry.contains(pin)
 
-        arrays.append(_address_cands(text, P.DETECTOR_ORDER.index("ADDRESS"), None if raw else in_registry))
+        arrays.append(_address_cands(text, guards["ADDRESS"], P.DETECTOR_ORDER.index("ADDRESS"), None if raw else in_registry))
     plain = [x for x in labels if x != "ADDRESS"]
     if plain:
         found = F.array(*(
-            F.struct(
-                F.when(guards[x], split_on_matches(text, P.JAVA_DETECTORS[x])).otherwise(F.array().cast("array<string>")).alias("pieces"),
-                F.lit(P.DETECTOR_ORDER.index(x)).alias("prio"), F.lit(x).alias("label"))
+            F.when(guards[x], F.struct(split_on_matches(text, P.JAVA_DETECTORS[x]).alias("pieces"), F.lit(P.DETECTOR_ORDER.index(x)).alias("prio"), F.lit(x).alias("label")))
             for x in plain))
+        # one piece is a text without a match
+        found = F.filter(found, lambda d: d.isNotNull() & (F.size(d["pieces"]) > 1))
 
         def cands(d):
             def keep(match):
@@ -176,6 +186,4 @@ def all_cands(text: Column, labels: Iterable[str] = P.DETECTOR_ORDER, raw: bool
             return matches_to_cands(d["pieces"], d["label"], d["prio"], None if raw or "POSTAL_CODE" not in plain else keep)
 
         arrays.append(F.flatten(F.transform(found, cands)))
-    if not arrays:
-        return empty(CAND_ARRAY)
     return F.concat(*arrays) if len(arrays) > 1 else arrays[0]

@@ -149,3 +149,18 @@ def chunk_ranges(text: str | None, size: int = 1600, overlap: int = 200) -> list
         return _windows(*unit, size, overlap)
 
     return _packed(units, size, oversize)
+
+
+def gaps(length: int, covered: list[Range]) -> list[Range]:
+    """Ranges outside the covered ones (P6), which may be nested or in any order."""
+    out, at = [], 0
+    for start, end in sorted(covered):
+        if start > at:
+            out.append((at, start))
+        at = max(at, end)
+    return [*out, (at, length)] if length > at else out
+
+
+def segment_chunks(text: str, covered: list[Range], size: int, overlap: int) -> list[Range]:
+    """Chunks of every uncovered segment, in text offsets."""
+    return [(a + start, a + end) for a, b in gaps(len(text), covered) for start, end in chunk_ranges(text[a:b], size, overlap)]

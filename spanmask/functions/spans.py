@@ -239,11 +239,11 @@ def mask(text: Column, kept: Column, placeholder=None) -> Column:
             prev_end = F.when(i == 0, F.lit(0)).otherwise(F.get(ks, i - 1)["end"])
             return F.concat(part(prev_end, k["start"] - prev_end), placeholder(k["label"]))
 
-        tail_from = F.coalesce(F.get(ks, F.size(ks) - 1)["end"], F.lit(0))
-        masked = F.concat(F.array_join(F.transform(ks, piece), ""), part(tail_from, F.length(t) - tail_from))
-        return F.when(F.size(ks) == 0, t).otherwise(masked)
+        tail_from = F.get(ks, F.size(ks) - 1)["end"]
+        return F.concat(F.array_join(F.transform(ks, piece), ""), part(tail_from, F.length(t) - tail_from))
 
-    return with_cut(text, lambda t, part: let(kept, lambda ks: build(t, part, ks)))
+    # a text without spans is not cut into blocks
+    return let(kept, lambda ks: F.when(F.size(ks) == 0, text).otherwise(with_cut(text, lambda t, part: build(t, part, ks))))
 
 
 def label_counts(labels: Column) -> Column:

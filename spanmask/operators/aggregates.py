@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import label_counts
+
 
 def map_total(m) -> "F.Column":
     return F.aggregate(F.map_values(m), F.lit(0), lambda a, x: a + x)
@@ -42,7 +44,8 @@ def audit(df: DataFrame, id_col: str, text_col: str, out_col: str = "rx_text",
 
 def full_audit(df: DataFrame, id_col: str, text_col: str, run_id: str = "") -> DataFrame:
     """Audit record of both layers per document of ``redact`` (A3): lengths, hits and labels
-    of each layer, chunks, chunks scored and failed, and the run id; never the text."""
+    of each layer, chunks, chunks scored and failed, failures by type, spans that masking passed
+    over, and the run id; never the text."""
     return df.select(
         id_col,
         F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("bigint").alias("input_len"),
@@ -52,12 +55,19 @@ def full_audit(df: DataFrame, id_col: str, text_col: str, run_id: str = "") -> D
         F.col("num_chunks").cast("bigint").alias("num_chunks"),
         F.col("scored_chunks").cast("bigint").alias("scored_chunks"),
         F.size("model_errors").cast("bigint").alias("failed_chunks"),
+        label_counts(F.col("model_errors")).alias("error_types"),
+        F.col("model_skipped").cast("bigint").alias("skipped_spans"),
         (F.col("regex_hits") + F.col("model_hits") > 0).alias("changed"),
         "mode",
         F.lit(run_id).alias("run_id"),
     )
 
 
+def error_summary(df: DataFrame) -> DataFrame:
+    """(error, n): failed chunks of a run by the type of their error."""
+    return df.select(F.explode("model_errors").alias("error")).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+
+
 def run_summary(df: DataFrame, layers: dict[str, str]) -> DataFrame:
     """Run total per (layer, label) over all documents (A2).
 
@@ -101,6 +111,8 @@ def observe_run(df: DataFrame, run_id: str):
         F.sum("regex_hits").cast("bigint").alias("regex_hits"),
         F.sum("model_hits").cast("bigint").alias("model_hits"),
         F.sum("num_chunks").cast("bigint").alias("chunks"),
+        F.sum(F.size("model_errors")).cast("bigint").alias("failed_chunks"),
+        F.sum("model_skipped").cast("bigint").alias("skipped_spans"),
         F.sum(F.length("redacted")).cast("bigint").alias("output_chars"),
         F.sum(F.when((F.col("regex_hits") + F.col("model_hits")) > 0, 1).otherwise(0)).cast("bigint").alias("changed_docs"),
     )

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import patterns as P
+from ..functions.rowwise import segment_chunks
 from ..functions.spans import empty, scan, split_on_matches, with_cut
 
 # One row per scored chunk (scored = 1, its error if it failed) and one per hit (scored = 0).
@@ -77,9 +78,10 @@ class Scorer:
         """Rows of SCORED_FIELDS for chunk rows that are not blank."""
         return _model_scored(self, chunks, labels, threshold)
 
-    def in_row(self, labels: Sequence[str], threshold: float) -> Callable[[Column, Column], Column] | None:
+    def in_row(self, labels: Sequence[str], threshold: float, size: int, overlap: int) -> Callable[[Column, Column], Column] | None:
         """For scorers so cheap that a document is scored where it is: a function of the text
-        and its chunk ranges that gives the ROW_SCORED struct.  None: score chunk rows."""
+        and its covered ranges that chunks what is not covered and gives the ROW_SCORED
+        struct.  None: score chunk rows."""
         return None
 
 
@@ -150,32 +152,35 @@ def _model_scored(scorer: Scorer, chunks: DataFrame, labels: Sequence[str], thre
     return chunks.select("key", "chunk_idx", "cstart", "text").mapInArrow(run, SCORED_FIELDS)
 
 
-# Result of scoring a document in its row: chunks scored and their hits, offsets in the chunk.
-ROW_HIT = "struct<chunk_idx:int,hit_idx:int,label_idx:int,start:int,end:int,label:string,text:string,confidence:double>"
-ROW_SCORED = f"struct<scored:int,hits:array<{ROW_HIT}>>"
-_ROW_ARROW = pa.struct([("scored", pa.int32()), ("hits", pa.list_(pa.struct([
-    ("chunk_idx", pa.int32()), ("hit_idx", pa.int32()), ("label_idx", pa.int32()), ("start", pa.int32()), ("end", pa.int32()),
+# Result of scoring a document in its row: chunks, those scored, and their hits with the start
+# of the chunk that their offsets count from.
+ROW_HIT = "struct<chunk_idx:int,cstart:int,hit_idx:int,label_idx:int,start:int,end:int,label:string,text:string,confidence:double>"
+ROW_SCORED = f"struct<chunks:int,scored:int,hits:array<{ROW_HIT}>>"
+_ROW_ARROW = pa.struct([("chunks", pa.int32()), ("scored", pa.int32()), ("hits", pa.list_(pa.struct([
+    ("chunk_idx", pa.int32()), ("cstart", pa.int32()), ("hit_idx", pa.int32()), ("label_idx", pa.int32()), ("start", pa.int32()), ("end", pa.int32()),
     ("label", pa.string()), ("text", pa.string()), ("confidence", pa.float64())])))])
 
 
-def _row_scored(scorer: Scorer, labels: Sequence[str], threshold: float) -> Callable[[Column, Column], Column]:
+def _row_scored(scorer: Scorer, labels: Sequence[str], threshold: float, size: int, overlap: int) -> Callable[[Column, Column], Column]:
     """``Scorer.in_row`` of a scorer that raises on no text."""
     labels = list(labels)
     order = {lab: i for i, lab in enumerate(labels)}
     cache_key = _cache_key(scorer)
 
     @F.arrow_udf(ROW_SCORED)
-    def run(texts: pa.Array, ranges: pa.Array) -> pa.Array:
+    def run(texts: pa.Array, covered: pa.Array) -> pa.Array:
         model = _model_for(scorer, cache_key)
         out = []
-        for text, chunks in zip(texts.to_pylist(), ranges.to_pylist(), strict=True):
-            parts = [(i, text[c["start"] : c["end"]]) for i, c in enumerate(chunks or ())]
-            parts = [(i, part) for i, part in parts if part and not part.isspace()]
-            found = scorer.score_batch(model, [part for _, part in parts], labels, threshold)
-            out.append({"scored": len(parts), "hits": [{**h, "chunk_idx": i, "hit_idx": n, "label_idx": place} for (i, _), f in zip(parts, found, strict=True) for n, place, h in _numbered(f, order)]})
+        for text, ranges in zip(texts.to_pylist(), covered.to_pylist(), strict=True):
+            chunks = segment_chunks(text or "", [(r["start"], r["end"]) for r in ranges or ()], size, overlap)
+            parts = [(i, start, text[start:end]) for i, (start, end) in enumerate(chunks)]
+            parts = [p for p in parts if not p[2].isspace()]
+            found = scorer.score_batch(model, [p[2] for p in parts], labels, threshold)
+            hits = [{**h, "chunk_idx": i, "cstart": start, "hit_idx": n, "label_idx": place} for (i, start, _), f in zip(parts, found, strict=True) for n, place, h in _numbered(f, order)]
+            out.append({"chunks": len(chunks), "scored": len(parts), "hits": hits})
         return pa.array(out, _ROW_ARROW)
 
-    return lambda text, chunks: run.asNondeterministic()(text, chunks)
+    return lambda text, covered: run.asNondeterministic()(text, covered)
 
 
 @dataclass
@@ -210,8 +215,8 @@ class AutomatonScorer(Scorer):
             out += [(start, end, term, confidence, label) for confidence, label in values]
         return [{"label": label, "start": start, "end": end, "text": term, "confidence": confidence} for start, end, term, confidence, label in sorted(out)]
 
-    def in_row(self, labels, threshold):
-        return _row_scored(self, labels, threshold)
+    def in_row(self, labels, threshold, size, overlap):
+        return _row_scored(self, labels, threshold, size, overlap)
 
 
 def _in_word(c: str) -> bool:
@@ -295,9 +300,9 @@ class DictionaryScorer(Scorer):
             self._small[key] = None if rows is None else AutomatonScorer([tuple(r) for r in rows], self.name)
         return self._small.get(key)
 
-    def in_row(self, labels, threshold):
+    def in_row(self, labels, threshold, size, overlap):
         small = self.automaton(labels, threshold)
-        return small and small.in_row(labels, threshold)
+        return small and small.in_row(labels, threshold, size, overlap)
 
     def scored(self, chunks: DataFrame, labels: Sequence[str], threshold: float) -> DataFrame:
         small = self.automaton(labels, threshold)
@@ -406,14 +411,13 @@ def gather(scored: DataFrame, threshold: float, labels: Sequence[str] = P.ENTITY
     )
 
 
-def kept_in_row(hits: Column, chunks: Column, threshold: float, labels: Sequence[str] = P.ENTITY_LABELS) -> Column:
+def kept_in_row(hits: Column, threshold: float, labels: Sequence[str] = P.ENTITY_LABELS) -> Column:
     """V4, V5, E2 and P10 on the hits of a ROW_SCORED struct: ESPAN structs."""
     def keep(h):
         return (h["confidence"] >= F.lit(threshold)) & h["label"].isin(list(labels)) & ~is_stopword(h["text"])
 
     def span(h):
-        at = F.get(chunks, h["chunk_idx"])["start"]
-        return _espan(h["start"] + at, h["end"] + at, lambda n: h[n])
+        return _espan(h["start"] + h["cstart"], h["end"] + h["cstart"], lambda n: h[n])
 
     return F.transform(F.filter(hits, keep), span)
 

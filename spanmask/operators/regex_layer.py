@@ -68,7 +68,7 @@ def redact_regex(df: DataFrame, text_col: str = "text", registry: PinRegistry |
     staged = staged.withColumn(spans, once(resolve(F.col("__spanmask_cands")))).drop("__spanmask_cands")
     text = F.coalesce(F.col(text_col), F.lit(""))
     return (
-        staged.withColumn(out, mask(text, F.col(spans)))
+        staged.withColumn(out, once(mask(text, F.col(spans))))
         .withColumn(counts, label_counts(F.col(spans)["label"]))
-        .withColumn(covered, covered_ranges(F.col(spans)))
+        .withColumn(covered, once(covered_ranges(F.col(spans))))
     )

@@ -30,7 +30,9 @@ def segments_of(text: Column, covered: Column) -> Column:
             lambda acc: gap(acc["cur"], F.length(t)),
         )
 
-    return with_cut(text, build)
+    # a text without ranges is one segment and not cut into blocks
+    whole = F.when(F.length(text) > 0, F.array(F.struct(F.lit(0).alias("seg_start"), text.alias("seg_text")))).otherwise(empty(SEG_ARRAY))
+    return F.when(F.size(covered) == 0, whole).otherwise(with_cut(text, build))
 
 
 def uncovered_segments(df: DataFrame, text_col: str, covered_col: str, name: str = "segments") -> DataFrame:

@@ -2,7 +2,8 @@
 
 ``redact(df)`` returns the input rows plus the result columns of Q3, the same in every
 mode: ``redacted``, ``regex_counts``, ``model_counts``, ``mode``, ``num_chunks``,
-``scored_chunks``, ``model_errors`` and the totals ``regex_hits``/``model_hits``.  With
+``scored_chunks``, ``model_errors``, ``model_skipped`` (spans that merging kept and masking passed
+over, whose text stays readable in part) and the totals ``regex_hits``/``model_hits``.  With
 the model disabled the entity branch is never planned.  Intermediate columns have
 reserved names; an input column named like a result is an error.
 """
@@ -19,12 +20,12 @@ from ..operators import regex_layer as RL
 from ..operators.aggregates import map_total
 
 COUNTS = T.MapType(T.StringType(), T.IntegerType())
-RESULT = ["redacted", "regex_counts", "model_counts", "mode", "num_chunks", "scored_chunks", "model_errors", "regex_hits", "model_hits"]
+RESULT = ["redacted", "regex_counts", "model_counts", "mode", "num_chunks", "scored_chunks", "model_errors", "model_skipped", "regex_hits", "model_hits"]
 PREFIX = "__spanmask_"
 
 
 def result(df: DataFrame, columns: list[str], text_col: str, mode: str, masked: Column, model_counts: Column,
-           num_chunks: Column, scored_chunks: Column, errors: Column) -> DataFrame:
+           num_chunks: Column, scored_chunks: Column, errors: Column, skipped: Column | None = None) -> DataFrame:
     """The input's columns and RESULT; blank rows keep their text and count nothing (V7)."""
     blank = RL.is_blank(F.col(text_col))
     none = F.create_map().cast(COUNTS)
@@ -37,6 +38,7 @@ def result(df: DataFrame, columns: list[str], text_col: str, mode: str, masked:
         F.when(blank, F.lit(0)).otherwise(num_chunks).alias("num_chunks"),
         F.when(blank, F.lit(0)).otherwise(scored_chunks).alias("scored_chunks"),
         F.when(blank, F.array().cast("array<string>")).otherwise(errors).alias("model_errors"),
+        (F.lit(0) if skipped is None else F.when(blank, F.lit(0)).otherwise(skipped)).alias("model_skipped"),
     )
     return out.withColumn("regex_hits", map_total(F.col("regex_counts"))).withColumn("model_hits", map_total(F.col("model_counts")))
 

@@ -1,10 +1,9 @@
 """Entity branch of the pipeline (Q2): segments -> chunks -> score -> mask.
 
-The uncovered segments (P6) are chunked in the row (C5).  A scorer that works in the row (a
-dictionary of checked size) gives each document's hits there, and the whole plan is a map.
-For other scorers the chunks become rows of their own, equal ones of equal documents once,
-spread over all tasks and scored (E1); their hits are gathered by document and joined back to
-it.  Kept hits (V4-V6), remapped (P10), are merged (P7), guarded (P8) and masked (P9) by Column
+A scorer that works in the row (a dictionary of checked size) chunks the uncovered segments
+(P6, C5) and scores them there, and the whole plan is a map.  For other scorers the chunks
+become rows of their own, equal ones of equal documents once, spread over all tasks and scored
+(E1); their hits are gathered by document and joined back to it.  Kept hits (V4-V6), remapped (P10), are merged (P7), guarded (P8) and masked (P9) by Column
 expressions.
 
 With chunk rows, layer 1 feeds both them and the join, so its rows are persisted on disk when
@@ -67,10 +66,10 @@ def scored_rows(staged: DataFrame, scorer, threshold: float, labels=P.ENTITY_LAB
     return scorer.scored(chunk_rows(staged, text_col), labels, threshold)
 
 
-def row_scorer(scorer, threshold: float, labels=P.ENTITY_LABELS):
+def row_scorer(scorer, config: RedactConfig, labels=P.ENTITY_LABELS):
     """The scorer's function for documents in their rows; None if it needs chunk rows."""
     offered = getattr(scorer, "in_row", None)
-    return offered(labels, threshold) if offered else None
+    return offered(labels, config.threshold, config.chunk_size, config.overlap) if offered else None
 
 
 def release(df: DataFrame) -> None:
@@ -83,25 +82,27 @@ def release(df: DataFrame) -> None:
 def entity_layer(layer1: DataFrame, columns: list[str], text_col: str, config: RedactConfig, scorer) -> DataFrame:
     if scorer is None:
         raise ValueError("the entity layer needs a scorer (or disable_model=True)")
-    staged, keep = with_chunks(layer1, config), None
     scored, hits, errors = (F.col(PREFIX + c) for c in ("scored_chunks", "hits", "model_errors"))
-    in_row = row_scorer(scorer, config.threshold)
+    in_row, keep = row_scorer(scorer, config), None
     if in_row:
         row = F.col(PREFIX + "row")
-        out = staged.withColumn(PREFIX + "row", in_row(F.col(PREFIX + "text"), F.col(CHUNKS)))
-        out = out.withColumn(PREFIX + "hits", once(E.kept_in_row(row["hits"], F.col(CHUNKS), config.threshold))).withColumn(PREFIX + "scored_chunks", row["scored"])
-        errors = F.array().cast("array<string>")
+        out = layer1.withColumn(PREFIX + "row", in_row(F.col(PREFIX + "text"), F.col(PREFIX + "covered")))
+        out = out.withColumn(PREFIX + "hits", once(E.kept_in_row(row["hits"], config.threshold)))
+        num_chunks, scored, errors = row["chunks"], row["scored"], F.array().cast("array<string>")
     else:
-        staged = keep = staged.persist(StorageLevel.DISK_ONLY)
+        staged = keep = with_chunks(layer1, config).persist(StorageLevel.DISK_ONLY)
         found = E.gather(scored_rows(staged, scorer, config.threshold), config.threshold).withColumnRenamed("key", KEY)
         for name in ("scored_chunks", "model_errors", "hits"):
             found = found.withColumnRenamed(name, PREFIX + name)
         out = staged.join(found, KEY, "left")
         hits, scored, errors = F.coalesce(hits, F.array().cast(E.ESPAN_ARRAY)), F.coalesce(scored, F.lit(0)), F.coalesce(errors, F.array().cast("array<string>"))
+        num_chunks = F.size(CHUNKS)
     spans, kept = F.col(PREFIX + "entities"), PREFIX + "entities"
-    out = out.withColumn(kept, once(E.greedy(E.guard(E.merge_contained(hits), F.col(PREFIX + "covered")))))
+    guarded = PREFIX + "guarded"
+    out = out.withColumn(guarded, once(E.guard(E.merge_contained(hits), F.col(PREFIX + "covered"))))
+    out = out.withColumn(kept, once(E.greedy(F.col(guarded))))
     out = result(
         out, columns, text_col, getattr(scorer, "name", "scorer"), mask(F.col(PREFIX + "text"), spans, E.upper_placeholder),
-        label_counts(spans["label"]), F.size(CHUNKS), scored, errors)
+        label_counts(spans["label"]), num_chunks, scored, errors, F.size(guarded) - F.size(kept))
     out.staged = keep
     return out

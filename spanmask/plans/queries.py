@@ -25,7 +25,7 @@ from . import pipeline as PL
 from . import pipeline_full as PF
 from ..operators import regex_layer as RL
 from ..operators import span_tables as ST
-from ..operators.aggregates import audit, doc_hits, full_audit, label_counts_long
+from ..operators.aggregates import audit, doc_hits, error_summary, full_audit, label_counts_long
 from ..operators.segments import uncovered_segments
 from . import derived as D
 from .. import sql
@@ -284,11 +284,14 @@ def q_chunk_segments(spark, sf_dir, source):
                       *_bigint("c.start", "c.end")).toDF(id_col, "chunk_idx", "start", "end")
 
 
+def _in_row(scorer):
+    """The scorer on a document's masked text and covered ranges, whatever the confidence."""
+    return PF.row_scorer(scorer, RedactConfig(threshold=0.0))(F.col(PL.PREFIX + "text"), F.col(PL.PREFIX + "covered"))
+
+
 def _row_hits(staged, id_col, scorer):
     """Hits of a scorer that works in the row."""
-    row = scorer.in_row(P.ENTITY_LABELS, 0.0)(F.col(PL.PREFIX + "text"), F.col(PF.CHUNKS))
-    hits = explode_rows(staged.withColumn("_row", row), "_row.hits", "h", id_col, PF.CHUNKS)
-    return hits.select(id_col, "h.*", F.get(PF.CHUNKS, F.col("h.chunk_idx"))["start"].alias("cstart"))
+    return explode_rows(staged.withColumn("_row", _in_row(scorer)), "_row.hits", "h", id_col).select(id_col, "h.*")
 
 
 def _chunk_hits(staged, id_col, scorer):
@@ -355,7 +358,13 @@ def q_run_summary(spark, sf_dir, source):
 
 def q_audit_full(spark, sf_dir, source):
     df, id_col = _pipeline_full(spark, sf_dir, source)
-    return full_audit(df, id_col, "text").drop("run_id")
+    return full_audit(df, id_col, "text").drop("run_id", "error_types")
+
+
+def q_error_summary(spark, sf_dir, source):
+    rows, _, _ = ENTITY_SOURCES[source]
+    df = PL.redact(rows(spark, sf_dir), "text", registry=registry(spark, sf_dir), disable_model=False, scorer=E.PatternScorer(MODEL_PATTERNS, MODEL_CHARS))
+    return error_summary(df)
 
 
 # ---- the entity layer's steps one by one, over hits that overlap each other and layer 1 ----
@@ -426,8 +435,7 @@ def q_redact_entities(spark, sf_dir, source="notes"):
 def q_redact_entities_documents(spark, sf_dir):
     """As ``redact_entities`` over ``document_hits``, in the documents' rows."""
     staged, id_col, scorer = _staged(spark, sf_dir, "documents")
-    text, chunks = F.col(PL.PREFIX + "text"), F.col(PF.CHUNKS)
-    hits = E.kept_in_row(scorer.in_row(P.ENTITY_LABELS, 0.0)(text, chunks)["hits"], chunks, RedactConfig().threshold)
+    text, hits = F.col(PL.PREFIX + "text"), E.kept_in_row(_in_row(scorer)["hits"], RedactConfig().threshold)
 
     def widened(s):
         start, end = s["start"] - s["start"] % 7, s["end"] + s["end"] % 41
@@ -506,6 +514,7 @@ ENTITY_QUERIES = {
     "audit_full": q_audit_full,
     "score_chunks_join": partial(q_score_chunks, join=True),
     "score_chunks_model": q_score_chunks_model,
+    "error_summary": q_error_summary,
     "entity_threshold": q_entity_threshold,
     "entity_stopwords": q_entity_stopwords,
     "label_filter": q_label_filter,

@@ -41,7 +41,7 @@ def redact_stream(stream: DataFrame, sink_path: str, text_col: str = "text",
     if checkpoint is None:
         checkpoint = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{query_name}"
     no_model = config.disable_model or scorer is None
-    if no_model or row_scorer(scorer, config.threshold):
+    if no_model or row_scorer(scorer, config):
         out = redact(stream, text_col, registry=registry, config=config, disable_model=no_model, scorer=scorer)
         writer = out.writeStream.format(fmt).outputMode("append").option("path", sink_path)
     else:

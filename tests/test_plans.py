@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from spanmask.functions.detectors import PinRegistry
 from spanmask.plans import queries as Q
+from spanmask.operators.entities import DictionaryScorer
 from spanmask.plans.pipeline import redact
 
 
@@ -67,11 +68,24 @@ def test_filters_stay_above_the_spans(spark):
 
 
 def test_no_job_runs_while_a_query_is_built(spark):
-    """Only the reads of schemas; data is touched when the result is."""
+    """Only the reads of schemas, and of a dictionary whose size decides how it is matched; data
+    is touched when the result is."""
     tracker = spark.sparkContext.statusTracker()
-    for key in ("pipeline_full", "pipeline_full_documents", "detect_postal", "redact_entities", "run_summary"):
-        spark.sparkContext.setJobGroup(f"build-{key}", key)
-        Q.registered()[key](spark, SF_SMALL)
-        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(f"build-{key}")]
-        assert all(len(j.stageIds) <= 1 for j in jobs if j), key
-    spark.sparkContext.setJobGroup("", "")
+
+    def jobs(name, build):
+        spark.sparkContext.setJobGroup(f"build-{name}", name)
+        build()
+        spark.sparkContext.setJobGroup("", "")
+        found = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(f"build-{name}")]
+        return [j for j in found if j and len(j.stageIds) > 1]
+
+    for key in ("pipeline_regex_only", "detect_postal", "redact_nonblank", "chunk_segments", "run_summary_join"):
+        if key == "run_summary_join":
+            terms = Q.entity_terms(spark, SF_SMALL)
+            assert not jobs(key, lambda: redact(Q.documents(spark, SF_SMALL), "text", scorer=DictionaryScorer(terms, automaton_chars=0)))  # noqa: B023
+        else:
+            assert not jobs(key, lambda: Q.registered()[key](spark, SF_SMALL)), key  # noqa: B023
+    # the dictionary is read once for all queries of a scorer
+    scorer = DictionaryScorer(Q.entity_terms(spark, SF_SMALL))
+    redact(Q.documents(spark, SF_SMALL), "text", scorer=scorer)
+    assert not jobs("again", lambda: redact(Q.documents(spark, SF_SMALL), "text", scorer=scorer))
