@@ -15,7 +15,8 @@ longest grams that begin with it.
 2. Each chunk builds its graph of what is left, words told apart by their bytes, and compacts
    unary paths: edges of equal weight joined by nodes with one edge in and one out become one
    row, a run of words with a weight.  A passage that thousands of texts share is one row a chunk.
-3. Equal paths of all chunks are summed, then opened to edges, and edges are summed.  Flow and
+3. Equal paths of all chunks meet at the owner of their first gram's hash, in sorted, compressed
+   blocks, and are summed; then they are opened to edges, and edges are summed.  Flow and
    corrections give the counts of all shorter phrases.
 
 Chunks are checkpointed blocks of about ``CHUNK`` bytes, cut between pieces, so a long text is
@@ -48,6 +49,7 @@ _FOLD[list(b".,;:!?\x0a\x0b\x0c\x0d")] = 10
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _SENT = "owner int, chunk long, grams binary, counts binary"
 _ANSWER = "chunk long, owner int, bits binary"
+_BLOCKS = "owner int, lang string, grams binary, sizes binary, weights binary"
 _GRAMS = "lang string, gram string, size int, weight long"
 
 
@@ -177,19 +179,19 @@ def _frequent(distinct: np.ndarray, answers: list | None, bits: int, owners: int
     return flag
 
 
-def _depths(c: _Chunk, answers: list | None, longest: int, bits: int, owners: int) -> np.ndarray:
+def _depths(c: _Chunk, answers: list | None, longest: int, bits: int, owners: int) -> tuple[np.ndarray, np.ndarray]:
     """Per word, the size of the longest gram from there all of whose beginnings may be
-    frequent (0: none)."""
+    frequent (0: none), and that gram's hash."""
     grams = c.hashes(longest, bits)
     distinct, number = np.unique(np.concatenate(grams), return_inverse=True)
     often = _frequent(distinct, answers, bits, owners)[number]
-    depth, lo = np.zeros(len(c.words), np.int8), 0
+    depth, value, lo = np.zeros(len(c.words), np.int8), np.zeros(len(c.words), np.uint64), 0
     for size, g in enumerate(grams, 1):
         at = c.starts(size)
-        at = at[often[lo : lo + len(g)] & (depth[at] == size - 1)]
-        depth[at] = size
+        deeper = often[lo : lo + len(g)] & (depth[at] == size - 1)
+        depth[at[deeper]], value[at[deeper]] = size, g[deeper]
         lo += len(g)
-    return depth
+    return depth, value
 
 
 def _strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -206,9 +208,9 @@ def _ids(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return np.unique(before * np.int64(word.max(initial=0) + 1) + word, return_inverse=True)[1]
 
 
-def _graph(c: _Chunk, depth: np.ndarray, longest: int) -> pa.RecordBatch:
+def _graph(c: _Chunk, depth: np.ndarray, longest: int) -> tuple[np.ndarray, pa.Table]:
     """The chunk's unary paths and cut grams with their weights, and per language, as a gram of
-    size 0, the places that start none."""
+    size 0, the places that start none; before it, the words at which the first ones start."""
     w, n = c.words, len(c.words)
     # words in a row, one space between them
     size = w.end - w.start
@@ -258,7 +260,46 @@ def _graph(c: _Chunk, depth: np.ndarray, longest: int) -> pa.RecordBatch:
     grams = pa.concat_arrays([_strings(held, begins[rep], ends[rep + length - 1] - 1), pa.array([""] * len(at), pa.string())])
     sizes = pa.array(np.concatenate([length, np.zeros(len(at), np.int64)]).astype(np.int32))
     weights = pa.array(np.concatenate([sums, none[at]]).astype(np.int64))
-    return pa.RecordBatch.from_arrays([lang, grams, sizes, weights], ["lang", "gram", "size", "weight"])
+    return rep, pa.table([lang, grams, sizes, weights], ["lang", "gram", "size", "weight"])
+
+
+def _blocks(table: pa.Table, owner: np.ndarray) -> pa.RecordBatch:
+    """The table's rows by owner and language, sorted, so that they compress well."""
+    table = table.append_column("owner", pa.array(owner, pa.int32())).sort_by([("owner", "ascending"), ("lang", "ascending"), ("gram", "ascending")])
+    owner, lang = table.column("owner").to_numpy(), table.column("lang").combine_chunks().dictionary_encode()
+    name = (lang.chunk(0) if isinstance(lang, pa.ChunkedArray) else lang).indices.to_numpy()
+    cuts = [0, *(np.flatnonzero((owner[1:] != owner[:-1]) | (name[1:] != name[:-1])) + 1).tolist(), len(owner)]
+    rows = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if a == b:
+            continue
+        part = table.slice(a, b - a)
+        # no word holds a line feed
+        texts = "\n".join(part.column("gram").to_pylist()).encode()
+        numbers = (part.column("size").to_numpy().astype("<i4"), part.column("weight").to_numpy().astype("<i8"))
+        rows.append((int(owner[a]), part.column("lang")[0].as_py(), zlib.compress(texts, 1), *(zlib.compress(_bytewise(x), 1) for x in numbers)))
+    columns = zip(*rows, strict=True) if rows else [()] * 5
+    kinds = (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["owner", "lang", "grams", "sizes", "weights"])
+
+
+def _bytewise(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _numbers(blob: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """The rows of an owner's blocks, equal ones as one with the sum of their weights."""
+    parts = []
+    for lang, grams, sizes, weights in zip(*(table.column(c).to_pylist() for c in ("lang", "grams", "sizes", "weights")), strict=True):
+        texts = pa.array(zlib.decompress(grams).decode().split("\n"), pa.string())
+        parts.append(pa.table([pa.repeat(pa.scalar(lang, pa.string()), len(texts)), texts, pa.array(_numbers(sizes, "<i4")), pa.array(_numbers(weights, "<i8"))], ["lang", "gram", "size", "weight"]))
+    out = pa.concat_tables(parts).group_by(["lang", "gram", "size"]).aggregate([("weight", "sum")])
+    return out.rename_columns({"weight_sum": "weight"}).select(["lang", "gram", "size", "weight"])
 
 
 def _distinct(group: np.ndarray, member: np.ndarray, n: int) -> np.ndarray:
@@ -274,8 +315,10 @@ def weighted_paths(df: DataFrame, column: str = "text", lang_column: str = "lang
     chunks = settle(rows.mapInArrow(_chunks(chunk), "chunk long, words long, payload binary"))
     words = chunks.agg(F.sum("words")).first()[0] or 0
     owners = max(1, -(-longest * words // OWNED))
-    # so many bits that different grams seldom meet
-    bits = min(64, max(24, (longest * words).bit_length() + 6))
+    # some sixteen occurrences a value: grams seen a few times seldom reach ``least`` by chance or
+    # meet a frequent one; those that do are told apart by their words later
+    bits = min(64, max(16, (longest * words).bit_length() - 4))
+    summing = max(1, owners // 4)
 
     def send(batches):
         for batch in batches:
@@ -284,13 +327,17 @@ def weighted_paths(df: DataFrame, column: str = "text", lang_column: str = "lang
 
     def paths(batches):
         for batch in batches:
-            for payload, answers in zip(batch.column("payload"), batch.column("answers").to_pylist(), strict=True):
+            for number, payload, answers in zip(batch.column("chunk").to_pylist(), batch.column("payload"), batch.column("answers").to_pylist(), strict=True):
                 c = _Chunk(payload.as_py())
-                yield _graph(c, _depths(c, answers, longest, bits, owners), longest)
+                depth, value = _depths(c, answers, longest, bits, owners)
+                starts, found = _graph(c, depth, longest)
+                owner = np.searchsorted(_cuts(bits, summing), value[starts], "right")
+                yield _blocks(found, np.concatenate([owner, np.full(found.num_rows - len(owner), number % summing)]))
 
     answers = chunks.mapInArrow(send, _SENT).groupBy("owner").applyInArrow(_answer(least), _ANSWER)
     answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("owner", "bits")).alias("answers"))
-    return chunks.join(answers, "chunk", "left").select("payload", "answers").mapInArrow(paths, _GRAMS)
+    found = chunks.join(answers, "chunk", "left").select("chunk", "payload", "answers").mapInArrow(paths, _BLOCKS)
+    return found.groupBy("owner").applyInArrow(_summed, _GRAMS)
 
 
 def _first(gram: str, n: int | Column) -> Column:
@@ -300,10 +347,9 @@ def _first(gram: str, n: int | Column) -> Column:
 def phrase_counts(paths: DataFrame, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """Counts of all phrases of up to ``longest`` words, (lang, phrase, size, f), and of all
     words, (lang, n).  Phrases under the paths' ``least`` may be too low or missing."""
-    summed = paths.groupBy("lang", "gram", "size").agg(F.sum("weight").alias("weight"))
     words = F.split("gram", " ")
     opened = F.when(F.col("size") > longest, F.transform(F.sequence(F.lit(1), F.col("size") - (longest - 1)), lambda i: F.array_join(F.slice(words, i, longest), " "))).otherwise(F.array("gram"))
-    edges = summed.select("lang", F.explode(opened).alias("gram"), F.least("size", F.lit(longest)).alias("size"), "weight")
+    edges = paths.select("lang", F.explode(opened).alias("gram"), F.least("size", F.lit(longest)).alias("size"), "weight")
     edges = settle(edges.groupBy("lang", "gram", "size").agg(F.sum("weight").alias("weight")))
     # a phrase's flow: all longest grams that begin with it, those that end with it among them
     flow = edges.where("size > 0").select("lang", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("size")), lambda i: _first("gram", i))).alias("size", "phrase"), "weight")
