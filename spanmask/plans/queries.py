@@ -23,6 +23,7 @@ from ..functions.spans import mask, once
 from ..config import RedactConfig
 from . import pipeline as PL
 from . import pipeline_full as PF
+from ..operators import long_texts as LT
 from ..operators import regex_layer as RL
 from ..operators import span_tables as ST
 from ..operators.aggregates import audit, doc_hits, error_summary, full_audit, label_counts_long
@@ -466,6 +467,24 @@ def q_uncovered_segments_table(spark, sf_dir):
     return gaps.select("doc_id", F.col("start").alias("seg_start"), F.col("end").alias("seg_end"))
 
 
+# ---- long texts by slice (slices so short that most documents have several) --------------
+SLICE = 500
+
+
+def q_all_spans_sliced(spark, sf_dir):
+    return LT.long_candidates(documents(spark, sf_dir), "doc_id", "text", registry(spark, sf_dir), SLICE)
+
+
+def q_redact_sliced(spark, sf_dir):
+    out = LT.redact_long(documents(spark, sf_dir), "doc_id", "text", registry(spark, sf_dir), SLICE)
+    return out.select("doc_id", F.col("redacted").alias("text"))
+
+
+def q_detect_address_sliced(spark, sf_dir):
+    found = LT.long_candidates(form_notes(spark, sf_dir), "note_id", "text", registry(spark, sf_dir), 20)
+    return found.where("label = 'ADDRESS'").select("note_id", "start", "end", "label")
+
+
 # ---- SQL surface ---------------------------------------------------------------------
 def q_redact_text_sql(spark, sf_dir):
     sql.register(spark, registry(spark, sf_dir))
@@ -550,6 +569,9 @@ def registered() -> dict:
         chunk_documents=q_chunk_documents,
         chunk_para_docs=q_chunk_para_docs,
         chunk_stats=q_chunk_stats,
+        all_spans_sliced=q_all_spans_sliced,
+        redact_sliced=q_redact_sliced,
+        detect_address_sliced=q_detect_address_sliced,
         redact_text_sql=q_redact_text_sql,
         redact_spans_sql=q_redact_spans_sql,
         label_counts_sql=q_label_counts_sql,
