@@ -143,7 +143,7 @@ def tokenize_pieces(df: DataFrame, path: str, column: str = "text", id_column: s
 def _complement(have: np.ndarray, gap: int, most: int) -> tuple[int, ...] | None:
     """Available lengths with sum ``gap``: as few as possible, ``most`` of them at most, the
     longest first."""
-    if most and have[gap]:
+    if have[gap]:
         return (gap,)
 
     def two(total: int, top: int) -> tuple[int, int] | None:
@@ -172,8 +172,8 @@ def plan(counts: dict[int, int], capacity: int = 2048) -> list[tuple[tuple[int,
 
     Exact combinations of up to three lengths save most when short lengths abound; where they
     are scarce, using them up so leaves worse residuals.  So the plan is made with
-    combinations of up to three, two, one and no lengths, and the shortest is taken."""
-    plans = [_plan(counts, capacity, most) for most in (3, 2, 1, 0)]
+    combinations of up to three, two and one lengths, and the shortest is taken."""
+    plans = [_plan(counts, capacity, most) for most in (3, 2, 1)]
     return min(plans, key=lambda p: sum(times for _, times in p))
 
 
@@ -245,11 +245,9 @@ def pack(found: DataFrame, capacity: int = 2048) -> DataFrame:
     # ranks within a length: lengths with many pieces are split by a hash, so that no task sorts them all
     names = found.columns
     key = F.xxhash64(*names)
-    split = F.lit(1)
-    for length, n in counts.items():
-        if n > _RANKED:
-            split = F.when(F.col("length") == length, F.lit(-(-n // _RANKED))).otherwise(split)
-    salted = found.withColumn("_salt", F.pmod(key, split))
+    # one row per length: ``capacity`` at most
+    parts = found.sparkSession.createDataFrame([(length, -(-n // _RANKED)) for length, n in counts.items()], "length long, _parts long")
+    salted = found.join(F.broadcast(parts), "length").withColumn("_salt", F.pmod(key, F.col("_parts"))).select(*names, "_salt")
     sizes = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("length", "_salt", (F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
     within = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*names))
