@@ -46,12 +46,13 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float =
     t = sizes.withColumn("w", weight).withColumn("limit", most * F.col("source_size"))
     t = t.withColumn("ratio", F.col("limit") / F.col("w"))
     every = Window.orderBy("ratio", F.col("source").asc_nulls_last())
+    t = t.withColumn("nth", F.row_number().over(every))
     earlier = every.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
     t = t.withColumn("open_w", F.sum("w").over(whole) - F.coalesce(F.sum("w").over(earlier), F.lit(0.0)))
     t = t.withColumn("rest", share * F.sum("source_size").over(whole) - F.coalesce(F.sum("limit").over(earlier), F.lit(0.0)))
     # the first source in this order whose limit is not reached fixes the level
-    level = F.min(F.when(F.col("limit") * F.col("open_w") >= F.col("rest") * F.col("w"), F.struct("ratio", (F.col("rest") / F.col("open_w")).alias("level")))).over(whole)
+    level = F.min(F.when(F.col("limit") * F.col("open_w") >= F.col("rest") * F.col("w"), F.struct("nth", (F.col("rest") / F.col("open_w")).alias("level")))).over(whole)
     t = t.withColumn("level", level["level"])
     target = F.least(F.col("limit"), F.col("level") * F.col("w"))
     return t.select("source", "source_size", F.coalesce(target, F.col("limit")).cast("double").alias("target"), "w")
@@ -64,14 +65,18 @@ def schedule(goal: DataFrame, slots: int | Column = SLOTS) -> DataFrame:
     whole = Window.partitionBy()
     to = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     share = goal.select("source", (F.sum("target").over(to) / F.sum("target").over(whole)).alias("high"), ((F.sum("target").over(to) - F.col("target")) / F.sum("target").over(whole)).alias("low")).where("high > low")
-    # all shares as one value, so a slot finds its source without a join over ranges
-    shares = share.agg(F.sort_array(F.collect_list(F.struct("high", "low", "source")))).scalar()
+    # points meet shares in cells, as many as sources: a share lies in few cells and a cell
+    # meets few shares, however many sources there are
+    cells = share.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
+    share = share.withColumn("cells", cells)
+    last_cell = F.least(F.floor(F.col("high") * F.col("cells")), F.col("cells") - 1)
+    share = share.select("source", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * F.col("cells")), last_cell)).alias("cell"))
     t = (F.col("slot") + 0.5) * F.lit(GOLDEN)
     wide = F.lit(1 << 10).cast("long")
     first = spark.range(1 << 10).withColumn("slots", F.lit(slots).cast("long")).where("id < slots")
     points = first.select(F.explode(F.sequence(F.col("id"), F.col("slots") - 1, wide)).alias("slot")).withColumn("x", t - F.floor(t))
-    found = F.filter(F.col("shares"), lambda s: s["high"] > F.col("x"))
-    dealt = points.withColumn("shares", shares).withColumn("found", found).where(F.size("found") > 0).select("slot", F.col("found")[0]["source"].alias("source"))
+    points = points.withColumn("cells", cells).withColumn("cell", F.floor(F.col("x") * F.col("cells")))
+    dealt = points.join(share, "cell").where("x >= low and x < high").select("slot", "source")
     return dealt.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1)
 
 
@@ -98,7 +103,8 @@ def _mix(rows: DataFrame, slots: int) -> DataFrame:
     run = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     placed = _same(keyed.withColumn("nth", F.row_number().over(inside)).withColumn("run", run), before, "source", "bucket")
     placed = _same(placed.withColumn("start", F.col("b_before") + F.col("run") - F.col("size")), goal, "source")
-    block = goal.agg(F.greatest(F.ceil(F.sum("target") / slots), F.lit(1)).cast("long")).scalar()
+    # so large that about ``slots`` blocks reach the targets; from whole numbers, so exact
+    block = goal.agg(F.greatest(F.ceil(1.5 * F.sum("source_size") / slots), F.lit(1)).cast("long")).scalar()
     goal_b = goal.withColumn("block", block)
     # slots by rank: the r-th takes block r mod blocks, cut where the target is reached
     n_blocks = F.ceil(F.col("source_size") / F.col("block")).cast("long")
@@ -139,7 +145,7 @@ def _same(left: DataFrame, right: DataFrame, *on: str, how: str = "inner") -> Da
 
 
 def mixed_rows(df: DataFrame, column: str = "text", id_column: str = "doc_id", source_column: str = "source", slots: int = SLOTS) -> DataFrame:
-    """The rows of ``df`` as often as the mix takes them, in the order of the schedule's slots;
+    """The rows of ``df`` as often as the mix takes them, in any order (``mix`` gives the slots);
     where it takes part of a row's words, the text holds the first of them, joined by one
     space."""
     h = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
@@ -147,13 +153,12 @@ def mixed_rows(df: DataFrame, column: str = "text", id_column: str = "doc_id", s
     rows = df.select(F.struct("*").alias("row"), key.alias("key"), F.col(column).alias("text"), F.col(source_column).alias("source"))
     # equal rows have equal keys; they are told apart by a number
     nth = F.row_number().over(Window.partitionBy("key").orderBy("key"))
-    dealt = mix(rows, "text", "key", "source", slots).where("taken > 0").select("key", "size", "taken", "start", "first_slot", "second_slot")
+    dealt = mix(rows, "text", "key", "source", slots).where("taken > 0").select("key", "size", "taken", "start")
     dealt = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("taken"), "start")))
     met = rows.drop("source", "text").withColumn("nth", nth).join(dealt, ["key", "nth"])
     cut = (F.col("taken") % F.col("size")).cast("int")
-    met = met.select("*", F.posexplode(F.flatten(F.array(
-        F.array_repeat(F.lit(-1), F.floor(F.col("taken") / F.col("size")).cast("int")), F.when(cut > 0, F.array(cut)).otherwise(F.array().cast("array<int>"))))).alias("turn", "words"))
-    met = met.orderBy(F.when(F.col("turn") == 0, F.col("first_slot")).otherwise(F.col("second_slot")), "start", "key")
+    met = met.select("*", F.explode(F.flatten(F.array(
+        F.array_repeat(F.lit(-1), F.floor(F.col("taken") / F.col("size")).cast("int")), F.when(cut > 0, F.array(cut)).otherwise(F.array().cast("array<int>"))))).alias("words"))
     first = F.array_join(F.slice(F.regexp_extract_all(F.col(f"row.{column}"), F.lit(WORD_PATTERN), F.lit(0)), 1, F.greatest("words", F.lit(1))), " ")
     text = F.when(F.col("words") > 0, first).otherwise(F.col(f"row.{column}"))
     return met.select(*(text.alias(c) if c == column else F.col(f"row.`{c}`").alias(c) for c in df.columns))

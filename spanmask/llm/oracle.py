@@ -19,7 +19,8 @@ from docs d left join marked m using (r)
 
 #: Sources are filled to a common level in the order of limit / weight; each source's rows lie
 #: end to end in the order of their shuffle key, and the mix takes the first ``target`` words
-#: of that stream, starting over once.
+#: of that stream, starting over once.  The stream lies in equal blocks, and the r-th golden-ratio
+#: point that falls into a source's share is the slot of its r-th block.
 OP10 = f"""
 with docs as (select doc_id, source, len({_WORDS})::bigint as size from documents),
 sizes as (select source, sum(size)::bigint as source_size from docs group by source),
@@ -29,10 +30,20 @@ tried as (select a.o, (1.5::double * (select sum(source_size) from sizes) - coal
   from ordered a cross join ordered b group by a.o),
 level as (select min_by(t.level, t.o) as level from tried t join ordered a using (o) where a.lim / a.w >= t.level),
 goal as (select source, source_size, least(lim, (select level from level) * w)::double as target from ordered),
-placed as (select d.*, coalesce(sum(size) over (partition by d.source order by md5('mix|' || coalesce(doc_id::varchar, 'null') || '|' || size::varchar), doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as start from docs d)
-select p.doc_id, p.source, p.size, g.source_size::bigint as source_size, round(g.target, 6)::double as target,
-  (greatest(least(round(g.target)::bigint - p.start, p.size), 0) + greatest(least(round(g.target)::bigint - g.source_size - p.start, p.size), 0))::bigint as taken
-from placed p join goal g on p.source is not distinct from g.source
+placed as (select d.*, coalesce(sum(size) over (partition by d.source order by md5('mix|' || coalesce(doc_id::varchar, 'null') || '|' || size::varchar), doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as start from docs d),
+numbers as (select *, row_number() over (order by source nulls last) as s, round(target)::bigint as words,
+  (select greatest(ceil(1.5::double * sum(source_size) / 65536), 1)::bigint from sizes) as block from goal),
+blocks as (select *, ceil(source_size / block)::bigint as n_blocks from numbers),
+due as (select *, case when words <= source_size then ceil(words / block)::bigint else n_blocks + ceil((words - source_size) / block)::bigint end as k from blocks),
+shares as (select *, (sum(k) over (order by s) - k)::double / sum(k) over () as low, (sum(k) over (order by s))::double / sum(k) over () as high from due where k > 0),
+points as (select slot, (slot + 0.5::double) * 0.6180339887498949::double - floor((slot + 0.5::double) * 0.6180339887498949::double) as x
+  from (select unnest(range(0, (select 2 * coalesce(sum(k), 0) + 16 from due)::bigint)) as slot)),
+dealt as (select s, slot, row_number() over (partition by s order by slot) - 1 as r from points join shares on x >= low and x < high),
+taken as (select p.*, g.s, g.source_size, g.target, g.words, g.block, g.n_blocks,
+  (greatest(least(words - p.start, p.size), 0) + greatest(least(words - g.source_size - p.start, p.size), 0))::bigint as taken from placed p join blocks g on p.source is not distinct from g.source)
+select t.doc_id, t.source, t.size, t.source_size::bigint as source_size, round(t.target, 6)::double as target, t.taken,
+  case when t.size > 0 and t.start < t.words then a.slot end::bigint as first_slot, case when t.size > 0 and t.start < t.words - t.source_size then b.slot end::bigint as second_slot
+from taken t left join dealt a on a.s = t.s and a.r = t.start // t.block left join dealt b on b.s = t.s and b.r = t.n_blocks + t.start // t.block
 """
 
 #: Exact search: every query against every other usable vector; squares are added in order.

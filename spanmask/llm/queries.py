@@ -73,9 +73,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the SQL fixes the columns; the schedule shows in the order of the rows
-    out = mixing.mix(_documents(spark, sf_dir, "source")).orderBy(F.col("first_slot").asc_nulls_last(), "start", "doc_id")
-    return out.select("doc_id", "source", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    out = mixing.mix(_documents(spark, sf_dir, "source"))
+    return out.select("doc_id", "source", "size", "source_size", F.round("target", 6).alias("target"), "taken", "first_slot", "second_slot")
 
 
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,6 +196,19 @@ def test_hot_lengths_are_ranked_in_parts(spark, monkeypatch):
     assert n == least
 
 
+def test_many_pieces_of_every_length(spark):
+    """Each of 2,048 lengths has more pieces than one part ranks."""
+    n = 501
+    found = spark.range(2048 * n).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), (F.col("id") % 2048 + 1).alias("length"), F.col("id").alias("ids_crc32"))
+    out = packing.pack(found)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN") < 20
+    got = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.count_distinct("offset").alias("places"), F.count(F.lit(1)).alias("rows"))
+    bad = got.where("n > 2048 or end <> n or places <> rows").count()
+    assert bad == 0 and out.count() == 2048 * n
+
+
+
 # -- mixing ---------------------------------------------------------------------------------
 
 
@@ -276,17 +289,48 @@ def test_every_needed_slot_is_dealt():
         assert max(np.diff(x).max(), x[0], 1 - x[-1]) < 1 / m
 
 
-def test_mixed_rows_come_in_the_order_of_the_schedule(docs):
-    want = []
-    key = F.concat_ws("|", F.col("doc_id").cast("string"), F.xxhash64(*docs.columns).cast("string"))  # what mixed_rows shuffles by
-    for r in mixing.mix(docs.select(key.alias("key"), "text", "source"), "text", "key", slots=1 << 10).where("taken > 0").collect():
-        want.append((r["first_slot"], r["start"], int(r["key"].split("|")[0])))
-        if r["taken"] > r["size"]:
-            want.append((r["second_slot"], r["start"], int(r["key"].split("|")[0])))
-    out = mixing.mixed_rows(docs, slots=1 << 10).select("doc_id").collect()
-    assert [r["doc_id"] for r in out] == [i for *_, i in sorted(want)]
-    order = [r["doc_id"] for r in queries.op10_mixing(docs.sparkSession, SF).where("taken > 0").collect()]
-    assert order == [r["doc_id"] for r in sorted(mixing.mix(docs).where("taken > 0").collect(), key=lambda r: (r["first_slot"], r["start"]))]
+def test_slots_are_those_of_the_blocks_taken(docs):
+    """first_slot and second_slot by walking the schedule slot by slot."""
+    slots = 1 << 10
+    rows = mixing.mix(docs, slots=slots).collect()
+    goal = {r["source"]: (round(r["target"]), r["source_size"]) for r in rows}
+    block = max(1, math.ceil(1.5 * sum(n for _, n in goal.values()) / slots))
+    names, n_blocks = sorted(goal), {s: -(-n // block) for s, (_, n) in goal.items()}
+    need = {s: -(-t // block) if t <= n else n_blocks[s] + -(-(t - n) // block) for s, (t, n) in goal.items()}
+    total, ranks, slot_of = sum(need.values()), Counter(), {}
+    for slot in range(2 * total + 16):
+        x, low = (slot + 0.5) * mixing.GOLDEN % 1.0, 0
+        for s in names:
+            if low / total <= x < (low + need[s]) / total:
+                slot_of[s, ranks[s]] = slot
+                ranks[s] += 1
+            low += need[s]
+    for r in rows:
+        (t, n), s, b = goal[r["source"]], r["source"], r["start"] // block
+        assert r["first_slot"] == (slot_of[s, b] if r["size"] and r["start"] < t else None)
+        assert r["second_slot"] == (slot_of[s, n_blocks[s] + b] if r["size"] and r["start"] < t - n else None)
+
+
+@pytest.mark.parametrize("n", [1, 6, 20, 100])
+def test_sources_of_equal_sizes(spark, n):
+    words = " ".join("w" * 10)
+    df = spark.range(3 * n).select(F.col("id").alias("doc_id"), F.lit(words).alias("text"), F.concat(F.lit("s"), F.lpad((F.col("id") % n).cast("string"), 4, "0")).alias("source"))
+    want = brute_targets({f"s{i:04}": 30 for i in range(n)})
+    got = mixing.mix(df, slots=1 << 12).collect()
+    assert all(math.isclose(r["target"], want[r["source"]], rel_tol=1e-9) for r in got)
+    taken = Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - t) <= 1 for s, t in want.items()) and abs(sum(taken.values()) - 45 * n) <= n
+
+
+def test_five_thousand_sources(spark):
+    import time
+
+    n, t0 = 5_000, time.perf_counter()
+    df = spark.range(3 * n).select(F.col("id").alias("doc_id"), F.lit(" ".join("w" * 10)).alias("text"), (F.col("id") % n).cast("string").alias("source"))
+    assert abs(mixing.mix(df).agg(F.sum("taken")).first()[0] - 45 * n) <= n
+    assert time.perf_counter() - t0 < 60
 
 
 # -- language identification ----------------------------------------------------------------
@@ -298,6 +342,33 @@ def test_languages_of_held_out_documents(docs):
     assert all(0 <= r["score"] <= 1 for r in out)
 
 
+def test_languages_that_one_fold_alone_has(spark):
+    import zlib as z
+
+    fold = lambda i: z.crc32(str(i).encode()) % 5
+    texts = {"en": "the quick brown fox jumps over the lazy dog and runs away", "de": "der schnelle braune Fuchs springt über den faulen Hund", "ru": "быстрая лиса прыгает через ленивую собаку и бежит"}
+    ids = iter(range(10_000))
+    rows = [(next(i for i in ids if fold(i) not in ((0, 1) if lang == "ru" else (0,)) or (lang == "ru" and fold(i) == 1)), texts[lang], lang) for lang in ("en", "de") for _ in range(30)]
+    rows += [(next(i for i in ids if fold(i) == 1), texts["ru"], "ru") for _ in range(5)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["de", "en", "ru"]
+    out = language_id.predict(spark.createDataFrame([(1, "собака и лиса бежит"), (2, "the dog runs"), (3, "der Hund springt")], "doc_id long, text string"), model).collect()
+    assert [r["lang_pred"] for r in sorted(out, key=lambda r: r["doc_id"])] == ["ru", "en", "de"]
+
+
+def test_scripts_beyond_the_first_plane(spark):
+    import zlib as z
+
+    rng = random.Random(4)
+    scripts = {"got": range(0x10330, 0x10340), "ff": range(0x1E922, 0x1E930)}
+    word = lambda s: "".join(chr(rng.choice(s)) for _ in range(5))
+    rows = [(i, " ".join(word(s) for _ in range(30)), lang) for i, (lang, s) in enumerate((x for _ in range(40) for x in scripts.items()))]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    held = [r for r in rows if z.crc32(str(r[0]).encode()) % 5 == 0]
+    out = language_id.predict(spark.createDataFrame(held, "doc_id long, text string, lang string"), model).collect()
+    assert held and all(r["lang_pred"] == r["lang"] for r in out)
+
+
 def test_language_edges(odd, empty, docs):
     model = language_id.fit(docs)
     out = language_id.predict(odd, model, "text")
