@@ -95,6 +95,15 @@ def chunk_stats(chunks: DataFrame, id_col: str) -> DataFrame:
     )
 
 
+def run_metrics() -> list["F.Column"]:
+    """Aggregates over the result of ``redact`` that tell a run; never text."""
+    hits = F.col("regex_hits") + F.col("model_hits")
+    total = {
+        "regex_hits": F.col("regex_hits"), "model_hits": F.col("model_hits"), "chunks": F.col("num_chunks"), "scored_chunks": F.col("scored_chunks"),
+        "failed_chunks": F.size("model_errors"), "skipped_spans": F.col("model_skipped"), "output_chars": F.length("redacted"), "changed_docs": F.when(hits > 0, 1).otherwise(0)}
+    return [F.count(F.lit(1)).alias("docs"), *(F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(n) for n, c in total.items())]
+
+
 def observe_run(df: DataFrame, run_id: str):
     """Whole-run metrics gathered while the result is written (A3, Q5).
 
@@ -105,15 +114,4 @@ def observe_run(df: DataFrame, run_id: str):
     from pyspark.sql import Observation
 
     obs = Observation(f"spanmask_{run_id}")
-    observed = df.observe(
-        obs,
-        F.count(F.lit(1)).alias("docs"),
-        F.sum("regex_hits").cast("bigint").alias("regex_hits"),
-        F.sum("model_hits").cast("bigint").alias("model_hits"),
-        F.sum("num_chunks").cast("bigint").alias("chunks"),
-        F.sum(F.size("model_errors")).cast("bigint").alias("failed_chunks"),
-        F.sum("model_skipped").cast("bigint").alias("skipped_spans"),
-        F.sum(F.length("redacted")).cast("bigint").alias("output_chars"),
-        F.sum(F.when((F.col("regex_hits") + F.col("model_hits")) > 0, 1).otherwise(0)).cast("bigint").alias("changed_docs"),
-    )
-    return observed, obs
+    return df.observe(obs, *run_metrics()), obs

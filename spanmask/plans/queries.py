@@ -7,6 +7,8 @@ value-for-value with the DuckDB texts in :mod:`spanmask.plans.oracle`.
 
 from __future__ import annotations
 
+import hashlib
+import os
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +32,9 @@ from ..operators.aggregates import audit, doc_hits, error_summary, full_audit, l
 from ..operators.segments import uncovered_segments
 from . import derived as D
 from .. import sql
+from ..session import ensure_checkpoint_dir
 from ..sources.io import changed, decode_text, nonblank_redacted, spread
+from ..sources.writeback import write_back, written_back
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -177,6 +181,16 @@ def q_changed_only(spark, sf_dir):
     return changed(df).select("doc_id", F.col("redacted").alias("text"))
 
 
+def q_written_back(spark, sf_dir):
+    """The documents after their changed rows were written back; safe to repeat, the folder is
+    the session's own."""
+    mark = hashlib.sha256(os.path.abspath(sf_dir).encode()).hexdigest()[:8]
+    path = f"{ensure_checkpoint_dir(spark)}/written-back-{spark.sparkContext.applicationId}-{mark}"
+    base = documents(spark, sf_dir)
+    write_back(PL.redact(base, "text", registry=registry(spark, sf_dir), disable_model=True), path, "doc_id", "first")
+    return written_back(base, path, "doc_id")
+
+
 # ---- S3, V7 ---------------------------------------------------------------
 def _conversations_redacted(spark, sf_dir):
     return PL.redact(blank_conversations(spark, sf_dir), "text", registry=registry(spark, sf_dir), disable_model=True)
@@ -560,6 +574,7 @@ def registered() -> dict:
         doc_hits=q_doc_hits,
         audit=q_audit,
         changed_only=q_changed_only,
+        written_back=q_written_back,
         redact_nonblank=q_redact_nonblank,
         blank_docs=q_blank_docs,
         pipeline_regex_only=q_pipeline_regex_only,

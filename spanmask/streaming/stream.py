@@ -19,6 +19,7 @@ from ..plans.pipeline import redact
 from ..plans.pipeline_full import release, row_scorer
 from ..session import ensure_checkpoint_dir
 from ..sources.io import decoded
+from .totals import RunTotals
 
 
 def read_text_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
@@ -33,8 +34,9 @@ def read_text_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet
 def redact_stream(stream: DataFrame, sink_path: str, text_col: str = "text",
                   registry: PinRegistry | None = None, config: RedactConfig | None = None,
                   scorer=None, checkpoint: str | None = None, fmt: str = "parquet",
-                  available_now: bool = True, query_name: str | None = None) -> StreamingQuery:
-    """Start the streaming redaction of ``stream`` into ``sink_path``."""
+                  available_now: bool = True, query_name: str | None = None, totals: RunTotals | None = None) -> StreamingQuery:
+    """Start the streaming redaction of ``stream`` into ``sink_path``; ``totals``, a listener that
+    the session knows (``spark.streams.addListener``), gets the run's totals."""
     if checkpoint is None and query_name is None:
         raise ValueError("give checkpoint or query_name: without a fixed place a restart would begin again")
     spark, config = stream.sparkSession, config or RedactConfig()
@@ -43,13 +45,23 @@ def redact_stream(stream: DataFrame, sink_path: str, text_col: str = "text",
     no_model = config.disable_model or scorer is None
     if no_model or row_scorer(scorer, config):
         out = redact(stream, text_col, registry=registry, config=config, disable_model=no_model, scorer=scorer)
+        if totals:
+            out = totals.observe_stream(out)
         writer = out.writeStream.format(fmt).outputMode("append").option("path", sink_path)
     else:
 
         def write(batch: DataFrame, batch_id: int) -> None:
             done = redact(batch, text_col, registry=registry, config=config, disable_model=False, scorer=scorer)
-            done.write.format(fmt).mode("overwrite").save(f"{sink_path.rstrip('/')}/batch={batch_id}")
-            release(done)
+            folder = f"{sink_path.rstrip('/')}/batch={batch_id}"
+
+            def save(rows: DataFrame) -> DataFrame:
+                rows.write.format(fmt).mode("overwrite").save(folder)
+                return rows.sparkSession.read.format(fmt).schema(rows.schema).load(folder)
+
+            try:
+                totals.write_batch(done, save) if totals else save(done)
+            finally:
+                release(done)
 
         writer = stream.writeStream.foreachBatch(write)
     writer = writer.option("checkpointLocation", checkpoint)
