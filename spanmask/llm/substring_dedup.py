@@ -11,6 +11,10 @@ of ``b = (window + 1) // 2`` words aligned to multiples of b in its document.  S
    as distinct 64-bit hashes per chunk, to its owner, which answers which repeat.
 3. Repeated windows overlap into maximal repeats; the words they cover go.
 
+An owner's share of the hash space is as large as about ``OWNED`` words are to all words, so its
+group has one size whatever the corpus and the session's settings, and anchors have so many
+bits that about 2**13 hash values stand for each word.
+
 Hot passages cost one entry per chunk, whatever their number of copies, and answers are
 bits.  A chunk is a checkpointed block of rows, so answers by position stay valid when
 executors are lost.  Repeats are told by 64-bit hashes of the word sequences.
@@ -28,8 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanmask.llm.blocks import Words, chunked, from_bytes, partitions_of, planes, settle, unplanes, utf8
+from spanmask.llm.blocks import Words, chunked, from_bytes, planes, settle, unplanes, utf8
 
+#: Words an owner answers for, and the compressed bytes of text that hold about one.
+OWNED, WORD_BYTES = 4 << 20, 2
 _SENT = "owner int, chunk long, probes binary, marks binary"
 _ANSWER = "chunk long, owner int, hits binary"
 
@@ -92,15 +98,15 @@ def _hits(index: np.ndarray, answers: list | None, owners: int) -> np.ndarray:
 class _Chunk:
     """A chunk's words, its anchors and, after the first answers, its candidate windows."""
 
-    def __init__(self, payload: bytes, column: str, window: int):
+    def __init__(self, payload: bytes, column: str, window: int, mask: int = (1 << 64) - (1 << 24)):
         self.batch = from_bytes(payload)
         self.words = Words.of(self.batch.column(column))
         self.hash = self.words.hashes()
         self.window, self.block = window, (window + 1) // 2
         w = self.words
         self.at = w.window_starts(self.block)
-        # 40 bits are enough to propose anchors; a false one is dropped in the second step
-        self.probe = w.window_hashes(self.hash, self.block, self.at) & np.uint64(0xFFFFFFFFFF000000)
+        # the highest bits are enough to propose anchors; a false one is dropped in the second step
+        self.probe = w.window_hashes(self.hash, self.block, self.at) & np.uint64(mask)
         self.aligned = (self.at - w.first[w.text[self.at]]) % self.block == 0
 
     def anchors(self) -> np.ndarray:
@@ -125,22 +131,24 @@ def _answers(df: DataFrame, name: str) -> DataFrame:
 def remove_repeats(df: DataFrame, column: str = "text", window: int = 35) -> DataFrame:
     """The rows of ``df`` with ``n_words``, ``n_removed`` (longs) and ``kept_text`` (the words
     outside every repeated window, joined by one space)."""
-    owners = partitions_of(df.sparkSession)
     df = df.drop("n_words", "n_removed", "kept_text")
     out_schema = T.StructType([*df.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     chunks = chunked(df, column)
+    words = (chunks.agg(F.sum(F.octet_length("payload"))).first()[0] or 0) // WORD_BYTES
+    owners = max(1, -(-words // OWNED))
+    mask = (1 << 64) - (1 << (64 - min(64, max(24, words.bit_length() + 13))))
 
     def anchors(batches):
         for batch in batches:
             for chunk, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload"), strict=True):
-                c = _Chunk(payload.as_py(), column, window)
+                c = _Chunk(payload.as_py(), column, window, mask)
                 if (sent := _send(chunk, c.probe, c.anchors(), owners)) is not None:
                     yield sent
 
     def extend(batches):
         for batch in batches:
             for chunk, payload, met in zip(batch.column("chunk").to_pylist(), batch.column("payload"), batch.column("met").to_pylist(), strict=True):
-                c = _Chunk(payload.as_py(), column, window)
+                c = _Chunk(payload.as_py(), column, window, mask)
                 v = c.words.window_hashes(c.hash, window, c.candidates(_hits(c.anchors(), met, owners)))
                 if len(v) and (sent := _send(chunk, v, v, owners)) is not None:
                     yield sent
@@ -148,7 +156,7 @@ def remove_repeats(df: DataFrame, column: str = "text", window: int = 35) -> Dat
     def remove(batches):
         for batch in batches:
             for payload, met, again in zip(batch.column("payload"), batch.column("met").to_pylist(), batch.column("again").to_pylist(), strict=True):
-                yield _kept(_Chunk(payload.as_py(), column, window), met, again, owners, column)
+                yield _kept(_Chunk(payload.as_py(), column, window, mask), met, again, owners, column)
 
     met = settle(_answers(chunks.mapInArrow(anchors, _SENT).groupBy("owner").applyInArrow(_answer, _ANSWER), "met"))
     with_met = chunks.join(met, "chunk", "left")
