@@ -13,7 +13,9 @@ Prefix sums are two-level (hash buckets of about ``BUCKET`` rows, then rows in a
 a source with a third of all rows is spread over many tasks.
 
 Null sources are one source, last in order; null or wordless texts have size 0 and are taken
-0 times; repeated rows are shuffled as separate rows; empty tables give empty results.
+0 times; repeated rows are shuffled as separate rows; empty tables give empty results.  ``mix``
+reads the three columns named and returns its own, ``mixed_rows`` those of the input; other
+columns play no part, whatever their names.  One row per source is ranked in one task.
 """
 
 from __future__ import annotations

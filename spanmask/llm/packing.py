@@ -11,7 +11,7 @@ distributedly, and the rank gives pattern, sequence and offset.
 Null text: empty, so one piece that holds the end token alone.  Repeated rows are packed each.
 Texts of any length are tokenized whole, word by word (the tokenizer drops white space, so
 words are independent); only documents over ``capacity`` tokens are cut.  Empty tables give
-empty results.
+empty results.  Only the id and the text are read; other columns play no part.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ similarity and by the label's share of the sample.
 
 Null or empty text and texts orthogonal to all neighbours: the labels' smoothed frequency
 among learning rows, as is every score if nothing is labelled.  Repeated rows get equal
-scores.  Empty tables give empty results.
+scores.  Empty tables give empty results.  A column of the input named like
+the score is replaced, others but the text pass through.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ Scores of whole texts are means of weights over positions, computed per Arrow ba
 Null text: no words, so the base rule fails it.  A text is kept if the base rule passes and
 the calibrated probability of quality 1 reaches ``THRESHOLD``.  Repeated rows are judged
 each.  No labels at all, or one label only: the classifier's probability is that label's
-smoothed frequency.  Empty tables give empty results.
+smoothed frequency.  Empty tables give empty results.  Columns of
+the input named like an output are replaced, others but the text pass through.
 """
 
 from __future__ import annotations

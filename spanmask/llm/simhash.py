@@ -11,7 +11,8 @@ components are those of all links.
 
 Null or wordless text: fingerprint 0, linked like any other.  Repeated rows share a
 fingerprint and a component.  Null ids never become a component's id unless all its ids
-are null.  Empty tables give empty results.
+are null.  Empty tables give empty results.  Columns of the input named like an output are
+replaced, others but the text pass through; ``one_of_each`` returns the rows as they are.
 """
 
 from __future__ import annotations

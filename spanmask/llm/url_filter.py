@@ -16,7 +16,11 @@ occur only while levels are built, over distinct keys.
 The longest listed key decides; equal lengths: the first in code-point order.  A url without
 a listed key gets the cascades' verdict: not listed, so allowed.  Null urls and urls without
 ``://`` have an empty host and path.  Repeated rows are judged each; empty tables, empty
-lists and empty universes give cascades without levels, which list nothing.
+lists and empty universes give cascades without levels, which list nothing.  Columns of the
+input named like an output are replaced, others pass through whatever their names.
+
+A level's bit array is one value made by one task: some 10 to 40 bits a listed key, so lists of
+some hundred million keys (a few hundred MB) are the most it is meant for.
 """
 
 from __future__ import annotations
@@ -130,21 +134,21 @@ def _fitting(cascade: Cascade, name: str, verdict: str) -> Column:
 def judge(pages: DataFrame, rules: list[tuple[str, str]], url_column: str = "url") -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` (the fitting one that wins, else null) and
     ``verdict``; columns of the input named so are replaced."""
-    spark = pages.sparkSession
+    spark, own = pages.sparkSession, ("host", "path", "rule", "verdict")
     lengths = sorted({len(r) - len(r.split("/", 1)[0]) for _, r in rules})
-    parsed = pages.withColumn("_host", host_of(F.col(url_column))).withColumn("_path", path_of(F.col(url_column)))
-    universe = settle(parsed.select("_host", "_path").distinct().select(F.explode(candidate_keys(F.col("_host"), F.col("_path"), lengths)).alias("key")).distinct())
+    # the row apart, so that no column of it meets those that are made here
+    url = F.col(f"`{url_column}`")
+    parsed = pages.select(F.struct("*").alias("row"), host_of(url).alias("host"), path_of(url).alias("path"))
+    universe = settle(parsed.select("host", "path").distinct().select(F.explode(candidate_keys(F.col("host"), F.col("path"), lengths)).alias("key")).distinct())
     table = rule_table(spark, rules)
     verdicts = sorted({v for v, _ in rules})
-    parsed = parsed.withColumn("_keys", candidate_keys(F.col("_host"), F.col("_path"), lengths))
-    fits, names = [], []
+    parsed = parsed.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), lengths))
+    fits = []
     for v in verdicts:
         cascade, name = build(table.where(F.col("verdict") == v), universe), f"_{v}"
         parsed = cascade.attach(parsed, name)
-        names += [f"{name}{i}" for i in range(len(cascade.levels))]
         fits.append(_fitting(cascade, name, v))
     best = F.array_min(F.concat(*fits)) if fits else F.lit(None).cast("struct<n:int,key:string,verdict:string>")
+    kept = [F.col(f"row.`{c}`").alias(c) for c in pages.columns if c not in own]
     out = parsed.withColumn("_best", best)
-    out = out.withColumn("host", F.col("_host")).withColumn("path", F.col("_path"))
-    out = out.withColumn("rule", F.col("_best.key")).withColumn("verdict", F.coalesce("_best.verdict", F.lit("allow")))
-    return out.drop("_host", "_path", "_keys", "_best", *names)
+    return out.select(*kept, "host", "path", F.col("_best.key").alias("rule"), F.coalesce("_best.verdict", F.lit("allow")).alias("verdict"))

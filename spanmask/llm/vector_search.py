@@ -15,6 +15,7 @@ Vectors that are null, zero, or hold a null or non-finite component take no part
 those of another length than the most frequent one (ties: the longer).  Rows with equal ids
 and vectors count once; of equal vectors only the lowest ids can be among the nearest, so a
 task reranks each once.  Null ids take no part.  Empty tables give empty results.
+Only the id and the vector column are read; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations

@@ -528,6 +528,10 @@ def test_urls_against_brute_force(spark):
         got = sorted((r["page_id"], r["host"], r["path"], r["rule"] or "", r["verdict"]) for r in url_filter.judge(pages, rules).collect())
         want = sorted((r["page_id"], *(x or "" for x in brute_url(r["url"], rules))) for r in pages.collect())
         assert got == want
+    inner = pages.select("*", *(F.lit(c).alias(c) for c in ("_host", "_path", "_keys", "_best", "_allow0", "_block0", "row", "host")))
+    out = url_filter.judge(inner, queries.URL_RULES)
+    assert set(out.columns) == {*pages.columns, "_host", "_path", "_keys", "_best", "_allow0", "_block0", "row", "host", "path", "rule", "verdict"}
+    assert all(r["_host"] == "_host" and r["_block0"] == "_block0" and r["host"] != "host" for r in out.collect())
     assert url_filter.judge(df.limit(0), queries.URL_RULES).count() == 0
 
 
