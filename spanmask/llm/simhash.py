@@ -161,16 +161,9 @@ def links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
             of = np.array([salts.get(p, 1) for p in range(65)], np.uint64)[ones]
             yield pa.RecordBatch.from_arrays([pa.array(ones * (1 << 32) + (mix64(u) % of).astype(np.int64)), pa.array(fp)], ["tile", "fp"])
 
-    def pair(table: pa.Table) -> pa.Table:
-        me = table.column("tile")[0].as_py()
+    def packed(table: pa.Table) -> pa.Table:
         blob = np.sort(table.column("fp").to_numpy()).tobytes()
-        rows = []
-        for q in range((me >> 32) - radius, (me >> 32) + radius + 1):
-            for s in range(salts.get(q, 0)):
-                other = (q << 32) + s
-                rows.append((min(me, other), max(me, other), me, blob))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["a", "b", "me", "blob"])
+        return pa.Table.from_arrays([table.column("tile").slice(0, 1), pa.array([blob], pa.binary())], ["me", "blob"])
 
     def compare(table: pa.Table) -> pa.Table:
         sides = [np.frombuffer(x, np.uint64) for x in table.column("blob").to_pylist()]
@@ -178,8 +171,19 @@ def links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
         u, v = _forest(sides[0], None, radius) if one else _forest(*sides, radius) if len(sides) == 2 else (sides[0][:0], sides[0][:0])
         return pa.Table.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
-    tiles = fps.select("fp").mapInArrow(deal, "tile long, fp long")
-    pairs = tiles.groupBy("tile").applyInArrow(pair, "a long, b long, me long, blob binary")
+    if not counts:
+        return fps.sparkSession.createDataFrame([], "u long, v long")
+    tiles = fps.select("fp").mapInArrow(deal, "tile long, fp long").groupBy("tile").applyInArrow(packed, "me long, blob binary")
+    # each tile meets those within reach; Spark writes its copies one after the other
+    parts = F.create_map(*(F.lit(x) for item in sorted(salts.items()) for x in item))
+    ones = F.shiftright("me", 32).cast("int")
+
+    def of(q):
+        n = F.coalesce(F.try_element_at(parts, q), F.lit(0))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: q.cast("long") * (1 << 32) + i)).otherwise(F.array().cast("array<long>"))
+
+    reach = F.flatten(F.transform(F.sequence(ones - radius, ones + radius), of))
+    pairs = tiles.select("me", "blob", F.explode(reach).alias("other")).select(F.least("me", "other").alias("a"), F.greatest("me", "other").alias("b"), "blob")
     return pairs.groupBy("a", "b").applyInArrow(compare, "u long, v long")
 
 
