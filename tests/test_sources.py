@@ -4,6 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from spanmask.plans import queries as Q
 from spanmask.plans.pipeline import redact
 from spanmask.sources import io
 
@@ -35,6 +36,19 @@ def test_inputs_are_dealt_out_only_on_request(spark):
     assert io.spread(df, 3).rdd.getNumPartitions() == 3
 
 
+def test_short_texts_are_dealt_to_all_tasks(spark, scratch):
+    """One split of a small file holds any number of notes: their rows, not its bytes, are the work."""
+    customer = spark.range(800).coalesce(1).select(
+        F.col("id").alias("c_custkey"), (F.col("id") % 2).cast("int").alias("c_nationkey"), F.lit("MACHINERY").alias("c_mktsegment"))
+    customer.write.parquet(os.path.join(scratch, "customer.parquet"))
+    spark.createDataFrame([(0, "PERU", 0), (1, "INDIA", 0)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(os.path.join(scratch, "nation.parquet"))
+    spark.createDataFrame([(0, "ASIA")], "r_regionkey int, r_name string").write.parquet(os.path.join(scratch, "region.parquet"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for source in (Q.notes, Q.ssn_notes, Q.form_notes, Q.entity_notes):
+        shares = [r["count"] for r in source(spark, scratch).groupBy(F.spark_partition_id().alias("task")).count().collect()]
+        assert len(shares) == tasks and sum(shares) == 800 and max(shares) <= 2 * 800 / tasks, (source.__name__, shares)
+
+
 def test_the_package_can_be_shipped(spark):
     import zipfile
 
