@@ -253,3 +253,55 @@ def test_release_frees_what_chunk_rows_need(spark):
     release(out)
     assert not out.staged.storageLevel.useDisk and mine.storageLevel.useMemory
     mine.unpersist()
+
+
+def test_hits_in_the_row_become_arrow_in_small_parts():
+    import pyarrow as pa
+
+    from spanmask.operators import entities as E
+
+    def hits(i):
+        return [(i, 3, n, 0, n, n + 2, "person", "ab", 0.5) for n in range(i % 200)]
+
+    held = []
+    parts = E._packed_rows((i, i % 7, held.append(i) or hits(i)) for i in range(2000))
+    first = next(parts)
+    assert len(first) == len(held) < 200  # what has been read is Arrow before more is read
+    got = pa.concat_arrays([first, *parts])
+    names = [f.name for f in E._HIT_ARROW]
+    want = [{"chunks": i, "scored": i % 7, "hits": [dict(zip(names, h, strict=True)) for h in hits(i)]} for i in range(2000)]
+    assert got.type == E._ROW_ARROW and got.to_pylist() == want
+    assert pa.concat_arrays(list(E._packed_rows([]))).to_pylist() == []
+    assert all(len(p) <= 512 for p in E._packed_rows((1, 1, []) for _ in range(2000)))
+
+
+def test_an_automaton_travels_packed():
+    import pickle
+
+    from spanmask.functions.patterns import ENTITY_LABELS
+    from spanmask.operators.entities import AutomatonScorer
+
+    entries = [(f"term{i}", ("person", "city", "organization")[i % 3], 0.6 + i % 5 / 10) for i in range(3000)] + [("term7", "person", 0.9), ("term7", "city", 0.7)]
+    scorer = AutomatonScorer(entries)
+    sent = pickle.loads(pickle.dumps(scorer))
+    assert isinstance(sent.entries, bytes) and len(sent.entries) < 20 * len(entries)
+    again = pickle.loads(pickle.dumps(sent))
+    found = [s.score(s.load(), "a term7, term2999 term30000 term12", ENTITY_LABELS, 0.0) for s in (scorer, sent, again)]
+    assert found[0] == found[1] == found[2] and [(h["text"], h["label"], h["confidence"]) for h in found[0]] == [
+        ("term7", "city", 0.7), ("term7", "city", 0.8), ("term7", "person", 0.9), ("term2999", "organization", 1.0), ("term12", "person", 0.8)]
+    assert AutomatonScorer([]).score(AutomatonScorer([]).load(), "x", ENTITY_LABELS, 0.0) == []
+
+
+def test_the_terms_are_made_once(spark):
+    """Counting and collecting a dictionary makes each term once, however many filters read it."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def term(i):
+        made.add(1)
+        return f"term{i}"
+
+    terms = spark.range(50).select(term("id").alias("term"), F.lit("person").alias("label"), F.lit(0.9).alias("confidence"))
+    kept = set(spark.sparkContext._jsc.getPersistentRDDs())
+    assert len(DictionaryScorer(terms).automaton(["person"], 0.75).load()) == 50 and made.value == 50
+    assert set(spark.sparkContext._jsc.getPersistentRDDs()) <= kept
